@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, topk
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_top_k(spark, sf_dir):
+    """The 5 best matches of every 50th vector among all others."""
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     """Near-duplicate classes of all documents: 4-word shingles, links at 4 or fewer bits."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), size=4, radius=4)
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup)
+
+_ORACLES = {
+    "op2_exact_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
+
+
 def queries() -> dict:
-    return {"op4_simhash_near_dedup": op4_simhash_near_dedup}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracles() -> dict:
-    return {}
+    return dict(_ORACLES)
