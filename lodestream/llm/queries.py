@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash, topk
+from . import packing, simhash, topk
 
 
 def _read(spark, sf_dir, name):
@@ -22,7 +22,19 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup)
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark, sf_dir):
+    """All documents in sequences of 2048 tokens at most."""
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
+
+
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing)
 
 _ORACLES = {
     "op2_exact_top_k": """
