@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash, topk
+from . import packing, sharding, simhash, topk
 
 
 def _read(spark, sf_dir, name):
@@ -34,7 +34,19 @@ def op5_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing)
+def op10_sharding(spark, sf_dir):
+    """All documents over 40 shards whose row counts differ by one at most."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _read(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + 16).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op10_sharding)
 
 _ORACLES = {
     "op2_exact_top_k": """
