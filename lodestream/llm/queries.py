@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, topk
+from . import packing, sharding, simhash, topk, warc
+from .shared import new_path
 
 
 def _read(spark, sf_dir, name):
@@ -34,6 +35,13 @@ def op5_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
 
 
+def op9_warc(spark, sf_dir):
+    """All pages written to archives, read back and assembled."""
+    path = new_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    return warc.page_captures(warc.assemble(warc.read(spark, path, blocks=False)))
+
+
 def op10_sharding(spark, sf_dir):
     """All documents over 40 shards whose row counts differ by one at most."""
     text = F.coalesce("text", F.lit(""))
@@ -46,7 +54,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op10_sharding)
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op9_warc, op10_sharding)
 
 _ORACLES = {
     "op2_exact_top_k": """
@@ -63,6 +71,22 @@ WITH e AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p
+), b AS (
+  SELECT page_id, payload_bytes, h,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS original
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM b""",
 }
 
 
