@@ -11,16 +11,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
+from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a task remembers.
+#: Words whose ids a task remembers, and as many of those before them.
 REMEMBERED = 400_000
 #: Tokens after which the best cuts so far are taken for good.
 TOKENS_AT_ONCE = 1 << 18
@@ -28,41 +31,83 @@ TOKENS_AT_ONCE = 1 << 18
 END = 1
 #: Characters that str.split takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: What may follow the letters of a word; a run of these is a token sequence of its own.
+_TAIL = ".,;:!?%&*#$"
+_WORD_END = "</w>"
 _SENTENCE_ENDS = (". ", "! ", "? ")
 
 
 class Encoder:
     """Ids of texts, sentence by sentence, as little-endian unsigned 32-bit numbers.
 
-    Tokens of the vocabulary never reach over white space, so words are encoded once and remembered.
+    Tokens of the vocabulary never reach over white space, so words are encoded once and remembered. New
+    words of letters are encoded as one text, in which the vocabulary's word ends tell them apart.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(_WORD_END)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            return self._ids(words)
+        data = ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *stops], stops)]
+
+    def _learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        tailed, others, letters = [], [], {}
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
+            core = w.rstrip(_TAIL)
+            if not core.lower().isalpha():
+                others.append(w)
+                continue
+            if core not in known:
+                letters[core] = None
+            if core != w:
+                tailed.append((w, core, w[len(core) :]))
+        if letters:
+            known.update(zip(letters, self._letters(list(letters))))
+        others += {t for _, _, t in tailed if t not in known}
+        if others:
+            known.update(zip(others, self._ids(others)))
+        for w, core, tail in tailed:
+            known[w] = known[core] + known[tail]
 
     def sentences(self, text: str) -> list[bytes]:
         if _ODD_SPACE.search(text):
             return self._ids([text])
         for end in _SENTENCE_ENDS:
             text = text.replace(end, end[0] + "\n")
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         known = self.known
         parts = [s.split() for s in text.split("\n")]
-        new = [w for w in {w for s in parts for w in s} if w not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list({w for s in parts for w in s})
-            known.update(zip(new, self._ids(new)))
+        if new := {w for s in parts for w in s if w not in known}:
+            self._learn(new)
         return [b"".join([known[w] for w in s]) for s in parts if s]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which keeps the words of earlier tasks."""
+    return Encoder(path)
+
+
 class Packer:
     """Chooses the cuts of one partition's documents. Positions count tokens from the partition's start."""
 
@@ -124,24 +169,16 @@ class Packer:
 
     def settled(self) -> list[int]:
         """Cuts that are taken for good: the cheapest way into the last window; what follows starts anew."""
-        pos = self.pos
-        i = min((k for k in range(len(pos)) if pos[k] > self.end - self.window), key=lambda k: (self.best[k], -pos[k]))
+        pos, back, best = self.pos, self.back, self.best
+        i = min((k for k in range(len(pos)) if pos[k] > self.end - self.window), key=lambda k: (best[k], -pos[k]))
         cuts = self._path(i)
-        later = [(pos[k], self.best[k] - self.best[self.back[k]]) for k in range(i + 1, len(pos))]
-        kinds = self._penalties(i + 1)
         self._start(pos[i])
-        for (p, _), penalty in zip(later, kinds):
-            self._cut(p, penalty)
+        for k in range(i + 1, len(pos)):
+            size = pos[k] - pos[back[k]]
+            padding = 0 if size in self.even else self.window - size
+            self._cut(pos[k], best[k] - best[back[k]] - padding)
         return cuts
 
-    def _penalties(self, start: int) -> list[float]:
-        """Penalties of the cuts from `start` on: what their cost holds beyond padding."""
-        out = []
-        for k in range(start, len(self.pos)):
-            size = self.pos[k] - self.pos[self.back[k]]
-            out.append(self.best[k] - self.best[self.back[k]] - (0 if size in self.even else self.window - size))
-        return out
-
     def last(self) -> list[int]:
         """Cuts to the end: the last sequence is padded, or cut into sizes that need no padding."""
         pos, end = self.pos, self.end
@@ -197,7 +234,7 @@ def pack(
     schema = T.StructType([T.StructField(id_col, id_type.dataType)] + [T.StructField(c, T.LongType()) for c in PIECES[1:]])
 
     def run(batches):
-        encoder, packer = Encoder(tokenizer), Packer(window, sentence_penalty, word_penalty, step)
+        words, packer = encoder(tokenizer), Packer(window, sentence_penalty, word_penalty, step)
         base, sequences, since = TaskContext.get().partitionId() << 33, 0, 0
 
         def rows(cuts):
@@ -212,7 +249,7 @@ def pack(
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 before = packer.end
-                packer.add(doc_id, encoder.sentences(text.as_py() or ""))
+                packer.add(doc_id, words.sentences(text.as_py() or ""))
                 since += packer.end - before
                 if since >= TOKENS_AT_ONCE:
                     yield rows(packer.settled())
