@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, topk, warc
+from . import decontaminate, packing, sharding, simhash, topk, warc
 from .shared import new_path
 
 
@@ -35,6 +35,13 @@ def op5_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
 
 
+def op7_decontamination(spark, sf_dir):
+    """Benchmark windows of ten words in all documents."""
+    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), size=10)
+    listed = F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
 def op9_warc(spark, sf_dir):
     """All pages written to archives, read back and assembled."""
     path = new_path(spark, "warc")
@@ -54,7 +61,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op9_warc, op10_sharding)
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op7_decontamination, op9_warc, op10_sharding)
 
 _ORACLES = {
     "op2_exact_top_k": """
@@ -71,6 +78,32 @@ WITH e AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), g AS (
+  SELECT DISTINCT item_id, w[s:s + 9] AS p, least(len(w), 10) AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM i WHERE len(w) > 0)
+), o AS (
+  SELECT r, s, k, w[s:s + k - 1] AS p
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)
+), m AS (
+  SELECT DISTINCT o.r, o.s, o.k, g.item_id FROM o JOIN g ON o.p = g.p
+), h AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS q FROM m) GROUP BY r
+), t AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
     "op9_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
