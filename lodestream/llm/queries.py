@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, simhash, topk, warc
+from . import decontaminate, packing, quality, sharding, simhash, topk, warc
 from .shared import new_path
 
 
@@ -42,6 +42,17 @@ def op7_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
 
 
+#: Score from which a document counts as good.
+GOOD_FROM = 0.3
+
+
+def op8_quality(spark, sf_dir):
+    """Quality score of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 def op9_warc(spark, sf_dir):
     """All pages written to archives, read back and assembled."""
     path = new_path(spark, "warc")
@@ -61,7 +72,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op7_decontamination, op9_warc, op10_sharding)
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op7_decontamination, op8_quality, op9_warc, op10_sharding)
 
 _ORACLES = {
     "op2_exact_top_k": """
