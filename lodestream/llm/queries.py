@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, simhash, topk, warc
+from . import decontaminate, packing, paragraphs, quality, sharding, simhash, topk, warc
 from .shared import new_path
 
 
@@ -35,6 +35,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), window=2048)
 
 
+def op6_substring_dedup(spark, sf_dir):
+    """Paragraphs of all documents that repeat, exactly or nearly."""
+    return paragraphs.repeated(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     """Benchmark windows of ten words in all documents."""
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), size=10)
@@ -72,7 +77,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op7_decontamination, op8_quality, op9_warc, op10_sharding)
+_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding)
 
 _ORACLES = {
     "op2_exact_top_k": """
