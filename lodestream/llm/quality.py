@@ -2,13 +2,15 @@
 
 Two zstandard dictionaries are built from labelled text, one from good and one from bad. A text is cut into
 pieces and each is compressed with either dictionary; the difference of the two sizes as a share of the
-larger says which kind the text is like, and a logistic curve fitted on labelled texts that the dictionaries
-never saw makes a probability of it.
+larger says which kind the text is like. Text that repeats itself shrinks under either, which the share of
+its size that remains tells. A logistic curve of the two, fitted on labelled texts that the dictionaries
+never saw, makes a probability of them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ from pyspark.sql import types as T
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 16 << 20
 #: Bytes of a dictionary, and of the pieces that are compressed with it.
-DICTIONARY = 32 << 10
+DICTIONARY = 64 << 10
 PIECE = 512
 LEVEL = 3
+#: Bytes that count as a text's frame, so that very short texts don't seem to grow.
+_FRAME = 8
 FOLDS = 5
 
 
@@ -31,16 +35,20 @@ FOLDS = 5
 class Model:
     good: bytes
     bad: bytes
-    scale: float
-    slope: float
+    mean: tuple[float, ...]
+    spread: tuple[float, ...]
+    weights: tuple[float, ...]
     offset: float
 
     def scorer(self):
         """A function from a text's bytes to its probability of being good."""
         with_good, with_bad = (_compressor(d) for d in (self.good, self.bad))
+        scaled = [w / s for w, s in zip(self.weights, self.spread)]
+        offset = self.offset - sum(w * m for w, m in zip(scaled, self.mean))
 
         def score(data: bytes) -> float:
-            return float(1 / (1 + np.exp(-np.clip(self.slope * _difference(data, with_good, with_bad) / self.scale + self.offset, -30, 30))))
+            x = offset + sum(w * f for w, f in zip(scaled, _features(data, with_good, with_bad)))
+            return 1 / (1 + exp(-min(30.0, max(-30.0, x))))
 
         return score
 
@@ -54,14 +62,14 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, **options)
 
 
-def _difference(data: bytes, with_good, with_bad) -> float:
-    """How much smaller the good dictionary makes a text than the bad one, as a share: above 0 it is like good text."""
+def _features(data: bytes, with_good, with_bad) -> tuple[float, float]:
+    """How much smaller the good dictionary makes a text than the bad one, as a share, and the log of what it leaves."""
     good = bad = 0
     for k in range(0, max(1, len(data)), PIECE):
         piece = data[k : k + PIECE]
         good += len(with_good.compress(piece))
         bad += len(with_bad.compress(piece))
-    return (bad - good) / max(good, bad)
+    return (bad - good) / max(good, bad), log((good + _FRAME) / (len(data) + _FRAME))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -72,16 +80,15 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, odds: float) -> tuple[float, float]:
-    """Slope and offset of P(y = 1) by Newton's method with a slight ridge; `odds` are added to the offset."""
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset of P(y = 1) by Newton's method with a slight ridge."""
     rows = np.c_[x, np.ones(len(x))]
+    w = np.zeros(rows.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        curve = (rows * (p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(2)
-        step = np.linalg.solve(curve, rows.T @ (y - p) - 0.01 * w)
-        w += np.clip(step, -5, 5)
-    return max(0.0, float(w[0])), float(w[1] + odds)
+        curve = (rows * (p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(len(w))
+        w += np.clip(np.linalg.solve(curve, rows.T @ (y - p) - 0.01 * w), -5, 5)
+    return w
 
 
 def held_out(doc_id):
@@ -116,16 +123,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         by_class[r["y"]].append((r["h"], r["id"], bytes(r["t"])))
     found = {y: [t for _, _, t in sorted(rows)] for y, rows in by_class.items()}
     if not found[0] or not found[1]:
-        return Model(b"", b"", 1.0, 0.0, prior)
+        return Model(b"", b"", (0.0, 0.0), (1.0, 1.0), (0.0, 0.0), prior)
     good, bad = _dictionary(found[1][::2]), _dictionary(found[0][::2])
     with_good, with_bad = _compressor(good), _compressor(bad)
     rest = [(t, y) for y in (0, 1) for t in found[y][1::2] or found[y]]
-    x = np.array([_difference(t, with_good, with_bad) for t, _ in rest])
+    x = np.array([_features(t, with_good, with_bad) for t, _ in rest])
     y = np.array([c for _, c in rest], float)
-    scale = float(x.std()) or 1.0
-    seen = float(np.log(y.sum() / (len(y) - y.sum())))
-    slope, offset = _logistic(x / scale, y, prior - seen)
-    return Model(good, bad, scale, slope, offset)
+    mean, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    *weights, offset = _logistic((x - mean) / spread, y).tolist()
+    sampled = float(np.log(y.sum() / (len(y) - y.sum())))
+    return Model(good, bad, tuple(mean.tolist()), tuple(spread.tolist()), tuple(weights), offset + prior - sampled)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
