@@ -33,6 +33,7 @@ END = 1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: What may follow the letters of a word; a run of these is a token sequence of its own.
 _TAIL = ".,;:!?%&*#$"
+_PLAIN = "\u0130"
 _WORD_END = "</w>"
 _SENTENCE_ENDS = (". ", "! ", "? ")
 
@@ -46,9 +47,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.by_space = Tokenizer.from_file(path)  # for lower-case words of letters, which nothing else parts
+        self.by_space.normalizer = normalizers.Sequence([])
+        self.by_space.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(_WORD_END)]] = True
@@ -58,7 +64,10 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        text, tokenizer = " ".join(words), self.tokenizer
+        if max(text) < _PLAIN:  # composed letters whose lower case is one letter
+            text, tokenizer = text.lower(), self.by_space
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(stops) != len(words):
             return self._ids(words)
@@ -88,18 +97,28 @@ class Encoder:
         for w, core, tail in tailed:
             known[w] = known[core] + known[tail]
 
-    def sentences(self, text: str) -> list[bytes]:
+    def sentences(self, text: str) -> tuple[list[int], bytes]:
+        """The tokens of each sentence that has any, and the ids of all."""
         if _ODD_SPACE.search(text):
-            return self._ids([text])
+            ids = self._ids([text])[0]
+            return [len(ids) >> 2] if ids else [], ids
         for end in _SENTENCE_ENDS:
             text = text.replace(end, end[0] + "\n")
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known = self.known
-        parts = [s.split() for s in text.split("\n")]
-        if new := {w for s in parts for w in s if w not in known}:
-            self._learn(new)
-        return [b"".join([known[w] for w in s]) for s in parts if s]
+        words, stops = [], []
+        for sentence in text.split("\n"):
+            words += sentence.split()
+            stops.append(len(words))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            new = [i for i, x in enumerate(ids) if x is None]
+            self._learn({words[i] for i in new})
+            for i in new:
+                ids[i] = self.known[words[i]]
+        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) >> 2)
+        sizes = np.diff(np.r_[0, upto][stops], prepend=0)
+        return sizes[sizes > 0].tolist(), b"".join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -122,43 +141,44 @@ class Packer:
         self.pos, self.best, self.back = [position], [0.0], [0]
         self.at, self.queue = {position: 0}, deque([(float(position), 0)])
 
-    def _cut(self, p: int, penalty: float) -> None:
-        queue, pos = self.queue, self.pos
-        while pos[queue[0][1]] < p - self.window:
-            queue.popleft()
-        low, i = queue[0]
-        cost = low + self.window - p
-        for w in self.even:  # these sizes need no padding
-            if (k := self.at.get(p - w)) is not None and self.best[k] < cost:
-                cost, i = self.best[k], k
-        cost += penalty
-        j = len(pos)
-        pos.append(p)
-        self.best.append(cost)
-        self.back.append(i)
-        self.at[p] = j
-        key = cost + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
-
-    def add(self, doc_id, sentences: list[bytes]) -> None:
+    def _cuts(self, cuts) -> None:
+        """Take up (position, penalty) pairs in order."""
+        queue, pos, best, back, at, window, even = self.queue, self.pos, self.best, self.back, self.at, self.window, self.even
+        for p, penalty in cuts:
+            low = p - window
+            while pos[queue[0][1]] < low:
+                queue.popleft()
+            cost, i = queue[0]
+            cost -= low
+            for w in even:  # these sizes need no padding
+                k = at.get(p - w)
+                if k is not None and best[k] < cost:
+                    cost, i = best[k], k
+            cost += penalty
+            j = at[p] = len(pos)
+            pos.append(p)
+            best.append(cost)
+            back.append(i)
+            key = cost + p
+            while queue and queue[-1][0] >= key:
+                queue.pop()
+            queue.append((key, j))
+
+    def add(self, doc_id, sizes: list[int], ids: bytes) -> None:
+        """Take up a document of sentences of these sizes."""
         first = p = self.end
-        for s in sentences:
-            size = len(s) >> 2
-            for _ in range(size // self.step):
-                if size <= self.step:
-                    break
-                p += self.step
-                size -= self.step
-                self._cut(p, self.word_penalty)
-            if size:
-                p += size
-                self._cut(p, self.sentence_penalty)
+        step, word, sentence = self.step, self.word_penalty, self.sentence_penalty
+        cuts = []
+        for size in sizes:
+            if size > step:
+                cuts += [(q, word) for q in range(p + step, p + size, step)]
+            p += size
+            cuts.append((p, sentence))
         p += 1
-        self._cut(p, 0.0)
+        cuts.append((p, 0.0))
+        self._cuts(cuts)
         self.end = p
-        self.docs.append((doc_id, first, b"".join([*sentences, END.to_bytes(4, "little")])))
+        self.docs.append((doc_id, first, ids + END.to_bytes(4, "little")))
 
     def _path(self, i: int) -> list[int]:
         cuts = [i]
@@ -176,7 +196,7 @@ class Packer:
         for k in range(i + 1, len(pos)):
             size = pos[k] - pos[back[k]]
             padding = 0 if size in self.even else self.window - size
-            self._cut(pos[k], best[k] - best[back[k]] - padding)
+            self._cuts([(pos[k], best[k] - best[back[k]] - padding)])
         return cuts
 
     def last(self) -> list[int]:
@@ -249,7 +269,7 @@ def pack(
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 before = packer.end
-                packer.add(doc_id, words.sentences(text.as_py() or ""))
+                packer.add(doc_id, *words.sentences(text.as_py() or ""))
                 since += packer.end - before
                 if since >= TOKENS_AT_ONCE:
                     yield rows(packer.settled())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, paragraphs, quality, sharding, simhash, topk, warc
+from . import chat, decontaminate, licenses, packing, paragraphs, quality, sharding, simhash, topk, warc
 from .shared import new_path
 
 
@@ -12,11 +12,22 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark, sf_dir):
+    """All maximal conversations, rendered."""
+    return chat.render(_read(spark, sf_dir, "conversations"))
+
+
 def op2_exact_top_k(spark, sf_dir):
     """The 5 best matches of every 50th vector among all others."""
     return topk.top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
 
+def op3_license_scan(spark, sf_dir):
+    """Licence texts and notices in all documents."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.array_join("notices", ",").alias("notices"), "n_notices")
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     """Near-duplicate classes of all documents: 4-word shingles, links at 4 or fewer bits."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), size=4, radius=4)
@@ -77,9 +88,46 @@ def op10_sharding(spark, sf_dir):
     return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-_QUERIES = (op2_exact_top_k, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding)
+_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding)
+
+def _canonical_sql(text: str) -> str:
+    """DuckDB's form of licenses.canonical."""
+    sql = f"lower({text})"
+    for pattern, replacement in licenses.steps():
+        sql = f"regexp_replace({sql}, '{pattern}', '{replacement}', 'g')"
+    return f"trim({sql})"
+
+
+def _license_sql() -> str:
+    quoted = [(n, t.replace("'", "''")) for n, t in licenses.known_pairs()]
+    values = ", ".join(f"('{n}', '{t}')" for n, t in quoted)
+    return f"""
+WITH known AS (
+  SELECT {_canonical_sql("t")} AS c, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1 HAVING c <> ''
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), lines AS (
+  SELECT r, {_canonical_sql("line")} AS c FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+), notices AS (
+  SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM lines JOIN known USING (c) GROUP BY r
+)
+SELECT doc_id, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
+FROM (SELECT r, doc_id, {_canonical_sql("text")} AS c FROM d) LEFT JOIN known USING (c) LEFT JOIN notices USING (r)"""
+
 
 _ORACLES = {
+    "op1_chat_format": """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+), c AS (
+  SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, x) AS l, count(*) AS n FROM t GROUP BY conv_id
+), u AS (
+  SELECT l, n, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY l, n
+)
+SELECT conv_id, n AS n_turns, copies AS n_copies,
+  array_to_string(list_transform(l, lambda m: '<|im_start|>' || m.r || chr(10) || m.x || '<|im_end|>' || chr(10)), '') AS text
+FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > u.n AND c.l[1:u.n] = u.l)""",
+    "op3_license_scan": _license_sql(),
     "op2_exact_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e

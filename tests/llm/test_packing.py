@@ -71,7 +71,7 @@ def test_best_cuts_as_brute_force():
         cuts, p = {0: 0.0}, 0
         for _ in range(rng.randrange(2, 12)):
             sizes = [rng.choice([5, 30, 64, 100, 127, 128]) for _ in range(rng.randrange(4))]
-            packer.add(0, [b"abcd" * s for s in sizes])
+            packer.add(0, sizes, b"abcd" * sum(sizes))
             for s in sizes:
                 p += s
                 cuts[p] = 3.0
