@@ -9,7 +9,6 @@ it, which a monotone queue gives in constant time. Nothing is shuffled.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections import deque
@@ -18,6 +17,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +29,21 @@ REMEMBERED = 400_000
 TOKENS_AT_ONCE = 1 << 18
 #: Id that ends every document.
 END = 1
-#: Characters that str.split takes for white space and the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_SENTENCE_ENDS = (".", "!", "?")
+#: Characters of text that are encoded together, one text at least.
+TEXT_AT_ONCE = 16 << 20
 #: What may follow the letters of a word; a run of these is a token sequence of its own.
 _TAIL = ".,;:!?%&*#$"
 _PLAIN = "\u0130"
 _WORD_END = "</w>"
-_SENTENCE_ENDS = (". ", "! ", "? ")
 
 
 class Encoder:
-    """Ids of texts, sentence by sentence, as little-endian unsigned 32-bit numbers.
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    Tokens of the vocabulary never reach over white space, so words are encoded once and remembered. New
-    words of letters are encoded as one text, in which the vocabulary's word ends tell them apart.
+    Tokens of the vocabulary never reach over white space, so the distinct words of many texts are encoded
+    once and remembered. New words of letters are encoded as one text, in which the vocabulary's word ends
+    tell them apart.
     """
 
     def __init__(self, path: str):
@@ -76,49 +77,58 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         known, older = self.known, self.older
-        tailed, others, letters = [], [], {}
-        for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-                continue
+        if older:
+            again = words & older.keys()
+            known.update((w, older[w]) for w in again)
+            words -= again
+        letters = {w for w in words if w.isalpha()}
+        tailed, others = [], set()
+        for w in words - letters:
             core = w.rstrip(_TAIL)
-            if not core.lower().isalpha():
-                others.append(w)
-                continue
-            if core not in known:
-                letters[core] = None
-            if core != w:
+            if core.isalpha():
                 tailed.append((w, core, w[len(core) :]))
+                if core not in known:
+                    letters.add(core)
+            else:
+                others.add(w)
         if letters:
-            known.update(zip(letters, self._letters(list(letters))))
-        others += {t for _, _, t in tailed if t not in known}
+            new = list(letters)
+            known.update(zip(new, self._letters(new)))
+        others |= {t for _, _, t in tailed if t not in known}
         if others:
-            known.update(zip(others, self._ids(others)))
+            new = list(others)
+            known.update(zip(new, self._ids(new)))
         for w, core, tail in tailed:
             known[w] = known[core] + known[tail]
 
-    def sentences(self, text: str) -> tuple[list[int], bytes]:
-        """The tokens of each sentence that has any, and the ids of all."""
-        if _ODD_SPACE.search(text):
-            ids = self._ids([text])[0]
-            return [len(ids) >> 2] if ids else [], ids
-        for end in _SENTENCE_ENDS:
-            text = text.replace(end, end[0] + "\n")
+    def documents(self, texts: pa.Array):
+        """Of each text: the tokens of every sentence that has any, and all ids."""
+        lines = pc.split_pattern(texts.fill_null(""), "\n")
+        parts = pc.ascii_split_whitespace(lines.values)
+        found = parts.values.dictionary_encode()
+        words, codes = found.dictionary.to_pylist(), found.indices.to_numpy()
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        words, stops = [], []
-        for sentence in text.split("\n"):
-            words += sentence.split()
-            stops.append(len(words))
         ids = list(map(self.known.get, words))
-        if None in ids:
-            new = [i for i, x in enumerate(ids) if x is None]
+        if new := [i for i, x in enumerate(ids) if x is None]:
             self._learn({words[i] for i in new})
             for i in new:
                 ids[i] = self.known[words[i]]
-        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) >> 2)
-        sizes = np.diff(np.r_[0, upto][stops], prepend=0)
-        return sizes[sizes > 0].tolist(), b"".join(ids)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begin, every = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint32)
+        upto = np.cumsum(size[codes])
+        where = np.repeat(begin[codes] - (upto - size[codes]), size[codes]) + np.arange(upto[-1] if len(upto) else 0)
+        every = every[where]
+        line_ends, text_ends = parts.offsets.to_numpy(), lines.offsets.to_numpy()
+        ends = np.fromiter((w.endswith(_SENTENCE_ENDS) for w in words), bool, len(words))[codes]
+        ends[line_ends[1:][np.diff(line_ends) > 0] - 1] = True
+        ends = np.flatnonzero(ends)
+        sentences = np.diff(upto[ends], prepend=0)
+        word_at = line_ends[text_ends]
+        token_at, sentence_at = np.r_[0, upto][word_at].tolist(), np.searchsorted(ends, word_at).tolist()
+        for i in range(len(texts)):
+            sizes = sentences[sentence_at[i] : sentence_at[i + 1]]
+            yield sizes[sizes > 0].tolist(), every[token_at[i] : token_at[i + 1]].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -267,13 +277,15 @@ def pack(
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                before = packer.end
-                packer.add(doc_id, *words.sentences(text.as_py() or ""))
-                since += packer.end - before
-                if since >= TOKENS_AT_ONCE:
-                    yield rows(packer.settled())
-                    since = 0
+            group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64) // TEXT_AT_ONCE
+            cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+                for doc_id, (sizes, tokens) in zip(ids, words.documents(batch.column(1).slice(lo, hi - lo))):
+                    packer.add(doc_id, sizes, tokens)
+                    if packer.end >= since + TOKENS_AT_ONCE:
+                        since = packer.end
+                        yield rows(packer.settled())
         if packer.docs:
             yield rows(packer.last())
 
