@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import store, without
 
 #: Words that are looked up in one pass over the documents; more words take more passes.
 WORDS_AT_ONCE = 20_000
@@ -58,7 +58,7 @@ def keys(docs: DataFrame, phrases: DataFrame, text_col: str = "text") -> DataFra
 
 
 def postings(docs: DataFrame, wanted: list[str], around: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: row (long, unique), id_col, n_words and the postings of `wanted` words of every document.
+    """The index: row (long, unique), id_col, version (hash of the text), n_words and the postings of `wanted` words of every document.
 
     A posting has the word, its position, and from `first` on the `around` words to either side and itself.
     """
@@ -73,8 +73,9 @@ def postings(docs: DataFrame, wanted: list[str], around: int, id_col: str = "doc
             F.slice(w, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1).alias("near"),
         ),
     )
-    rows = docs.select(F.col(id_col), words(F.col(text_col)).alias("_words"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.size(w).cast("long").alias("n_words"), entry.alias("postings"))
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("_words"))
+    row = F.monotonically_increasing_id().alias("row")
+    return rows.select(row, F.col(id_col), "version", F.size(w).cast("long").alias("n_words"), entry.alias("postings"))
 
 
 class Index:
@@ -98,8 +99,8 @@ class Index:
             last = block[-1]
 
     def documents(self) -> DataFrame:
-        """row, id_col and n_words of every document."""
-        return self.blocks[0].select("row", self.id_col, "n_words")
+        """row, id_col, version and n_words of every document."""
+        return self.blocks[0].select("row", self.id_col, "version", "n_words")
 
     def _looked_up(self) -> DataFrame:
         known = _small(self.keys, self.n_windows)
@@ -153,6 +154,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     return joined.select(F.col(id_col), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (hit > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows in which a window of `items` occurs (see `contamination`), all columns as they are."""
+    index = Index(docs, items, size, None, id_col, text_col)
+    hit = store(index.phrases().select("row").distinct(), "hit")
+    gone = index.documents().join(hit, "row").select(id_col, "version").distinct()
+    return without(docs, gone, id_col, text_col)
+
+
 def near_matches(docs: DataFrame, items: DataFrame, size: int = 10, within: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, item, position): windows all of whose words lie within `within` words of their rarest word, in any order."""
     index = Index(docs, items, size, within, id_col, text_col)

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import store
+from .shared import _ID, VERSION, store
+
+_GONE = "__lodestream_gone"
 
 #: Words of a shingle, least similarity of a link, and least words of a paragraph that is looked at.
 SHINGLE = 5
@@ -159,8 +161,11 @@ def _cells(distinct: DataFrame) -> DataFrame:
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(shared, "key long, x int, y int, pid long")
 
 
-def _links(members: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Edges (a, b) between paragraphs of a cell, as many at most as members, that join what similarity joins."""
+def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Edges (a, b) between the texts of a cell, as many at most as members, that join what similarity joins.
+
+    `members` has key, x and y (the cell), pid and the text in words; similarity is that of its shingles.
+    """
 
     def compare(batches):
         for table in _grouped(batches, 3):
@@ -168,7 +173,7 @@ def _links(members: DataFrame, similarity: float, size: int) -> DataFrame:
             pids, texts = table.column(3).to_numpy(), table.column(4)
             out = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                sets = [set(shingles(texts[i].as_py().split(b" "), size)) for i in range(lo, hi)]
+                sets = [set(shingles(texts[i].as_py().lower().split(), size)) for i in range(lo, hi)]
                 group: list[list[int]] = []  # members by component
                 for i, s in enumerate(sets):
                     near = [g for g in group if any(_similar(s, sets[j], similarity) for j in g)]
@@ -219,7 +224,7 @@ def repeated(
     cells = store(_cells(distinct.select("pid", "bands")), "cells")
     wanted = store(cells.select("pid").distinct().join(distinct.select("pid", "digest"), "pid"), "wanted")
     texts = lines.select("digest", "words").join(_small(wanted), "digest").groupBy("pid").agg(F.any_value("words").alias("words"))
-    edges = _links(cells.join(store(texts, "texts"), "pid").select("key", "x", "y", "pid", "words"), similarity, size)
+    edges = similar_links(cells.join(store(texts, "texts"), "pid").select("key", "x", "y", "pid", "words"), similarity, size)
     found = components(edges)
     labelled = distinct.select("pid", "digest", "first", "last").join(found, F.col("pid") == F.col("node"), "left")
     labelled = labelled.select("digest", "first", "last", F.coalesce("root", "pid").alias("root"))
@@ -235,9 +240,9 @@ def repeated(
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the paragraphs that `found` (see `repeated`) marks as removed; documents of which no
     word is left go, unless they had none before. Other columns stay as they are."""
-    gone = found.where("removed").groupBy(F.col(id_col).alias("_id"), "version").agg(F.collect_set("paragraph").alias("_gone"))
-    joined = docs.join(gone.withColumnRenamed("version", "_version"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_version")), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(text_col, text).where(F.col("_gone").isNull() | F.col(text_col).rlike(r"\S"))
+    gone = found.where("removed").groupBy(F.col(id_col).alias(_ID), F.col("version").alias(VERSION)).agg(F.collect_set("paragraph").alias(_GONE))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION)), "left")
+    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(_GONE, i))
+    text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(text_col, text).where(F.col(_GONE).isNull() | F.col(text_col).rlike(r"\S"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

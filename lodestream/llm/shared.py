@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Names that columns of the input are taken not to have.
+_ID, VERSION = "__lodestream_id", "__lodestream_version"
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,6 +33,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows of `docs` that `rows` (id_col and version, a hash of the text; ids may be null) doesn't name.
+
+    Columns stay as they are, whatever they are called; with how="left_semi" the rows that are named.
+    """
+    named = rows.select(F.col(id_col).alias(_ID), F.col("version").alias(VERSION))
+    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
+    return docs.join(named, same, how)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a table that `store` returned and nothing reads any more."""
     spark = df.sparkSession

@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import store
+from .paragraphs import similar_links
+from .shared import VERSION, store, without
 
 #: Children of an index node.
 FAN_OUT = 8
 #: Members of an uppermost node beyond which it is split into cells, each task getting two parts of it.
 LARGE_NODE = 1024
+#: Rows up to which a table is sent to every task; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: Distinct fingerprints whose pairs are searched at once in a task, as the sum of squares over nodes.
 PAIRS_AT_ONCE = 1 << 22
 ROWS_AT_ONCE = 1 << 16
@@ -52,21 +55,21 @@ def fingerprint(data: bytes | None, size: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long): the SimHash of every row's whole text over word shingles of `size` words.
+    """(id_col, version, fp): the SimHash of every row's whole text over word shingles of `size` words.
 
     Words are what white space of ASCII parts, A-Z in lower case. A text of fewer words than `size` is one
     shingle; a null, empty or blank text has fingerprint 0. Rows stay as they are, null ids and repeated
-    rows too.
+    rows too. version is a hash of the text, which tells rows that share an id apart.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary").alias("_text"))
     id_type = docs.select(id_col).schema[0].dataType
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=[id_col, "version", "fp"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, version long, fp long")
 
 
 def masks(n: int, radius: int) -> list[int]:
@@ -217,6 +220,19 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _members(found: DataFrame) -> DataFrame:
+    """(fp, root) of every fingerprint in a component of several, roots too."""
+    return found.select(F.col("node").alias("fp"), "root").union(found.select("root", "root").distinct())
+
+
+def _by_fingerprint(groups: DataFrame, found: DataFrame, first: str) -> DataFrame:
+    """(fp, first): the least `first` of each fingerprint's component, written so that a join can split hot fingerprints."""
+    member = _members(found)
+    least = member.join(groups, "fp").groupBy("root").agg(F.min(first).alias("least"))
+    of = member.join(least, "root").select("fp", "least")
+    return store(groups.join(of, "fp", "left").select("fp", F.coalesce("least", first).alias(first)), "known")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id_col, fp (long), component_id.
 
@@ -225,16 +241,60 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     component_id, unless a component has no other. Repeated rows are linked as any other; an empty table
     gives an empty result. Other columns of `docs` are not read.
     """
-    rows = store(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    groups = store(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "groups")
-    found = components(links(groups.select("fp"), radius))
-    member = found.select(F.col("node").alias("fp"), "root").union(found.select("root", "root").distinct())
-    named = member.join(groups, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = member.join(named, "root").select("fp", "component_id")
-    known = groups.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    rows = store(fingerprints(docs, size, id_col, text_col).drop("version"), "fingerprints")
+    groups = store(rows.groupBy("fp").agg(F.min(id_col).alias("component_id")), "groups")
+    known = _by_fingerprint(groups, components(links(groups.select("fp"), radius)), "component_id")
     return rows.join(known, "fp").select(F.col(id_col), "fp", "component_id")
 
 
+def _verified(docs: DataFrame, groups: DataFrame, found: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges between fingerprints of a component whose first texts' shingles are similar enough."""
+    member = store(_members(found).join(groups, "fp").select("fp", "root", "first"), "members")
+    n = member.count()
+    sizes = member.groupBy("root").agg(F.ceil(F.count("*") / LARGE_NODE).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    wanted = member.select(F.col("first.id").alias("_id"), F.col("first.version").alias("_version"), "fp", "root")
+    wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")))
+    texts = store(texts.select("fp", "root", F.coalesce("text", F.lit("")).cast("binary").alias("words")).dropDuplicates(["fp"]), "texts")
+    cells = texts.join(sizes, "root").withColumn("c", F.explode(dealt)).select(F.col("root").alias("key"), "c.x", "c.y", F.col("fp").alias("pid"), "words")
+    return similar_links(cells, similarity, size)
+
+
+def deduplicate(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    size: int = 5,
+    fine: int = 2,
+    radius: int = 8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """`docs` with one row of each class of near duplicates, all columns as they are.
+
+    Candidates are texts whose fingerprints over shingles of `fine` words differ in `radius` bits at most;
+    shingles shorter than `size` change less when words do, so that fewer bits find what is similar. Two
+    candidates are linked if the exact Jaccard similarity of their `size`-word shingles is `similarity` or
+    more; texts with one fingerprint are. The first of a class stays, by id (null last) and hash of the
+    text; rows that repeat both are one. Texts without words are one class, null or not.
+    """
+    rows = store(fingerprints(docs, fine, id_col, text_col), "fingerprints")
+    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version")
+    groups = store(rows.groupBy("fp").agg(F.min(place).alias("first")), "groups")
+    near = components(links(groups.select("fp"), radius))
+    known = _by_fingerprint(groups, components(_verified(docs, groups, near, size, similarity, id_col, text_col)), "first")
+    gone = store(rows.join(known, "fp").where(place != F.col("first")).select(id_col, "version").distinct(), "gone")
+    kept = without(docs, gone, id_col, text_col)
+    twice = store(rows.groupBy(id_col, "version").count().where("count > 1").select(id_col, "version"), "twice")
+    if not twice.count():
+        return kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = without(kept, twice, id_col, text_col, "left_semi").withColumn(VERSION, F.xxhash64(text_col)).dropDuplicates([id_col, VERSION])
+    return without(kept, twice, id_col, text_col).union(again.select(*columns))
+
+
 def fingerprint_text(fp):
     """Column: a fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

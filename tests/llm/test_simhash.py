@@ -115,3 +115,46 @@ def test_masks_cover_every_difference():
             for _ in range(200):
                 x = sum(1 << b for b in rng.sample(range(64), radius))
                 assert any(x & m == 0 for m in found)
+
+
+def test_deduplicate_keeps_one_of_each_verified_class(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, base = [], [" ".join(rng.choices(words, k=rng.choice([3, 60, 400]))) for _ in range(30)]
+    for i in range(150):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 30])):
+            w[rng.randrange(len(w))] = "edited"
+        rows.append((i, " ".join(w)))
+    rows += [(None, base[0]), (200, None), (201, ""), (3, "a repeated id"), rows[5], rows[5], (None, "alone without id"), (None, "alone without id")]
+    df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, fp string, root int")
+    out = simhash.deduplicate(df)
+    assert out.dtypes == df.dtypes
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(set(got))
+
+    def sh(t):
+        w = (t or "").split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    unique = sorted(set(rows), key=str)
+    sets = [sh(t) for _, t in unique]
+    parent = list(range(len(unique)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(unique)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    classes = {}
+    for i, r in enumerate(unique):
+        classes.setdefault(root(i), []).append(r)
+    kept = {c: [r for r in members if r in got] for c, members in classes.items()}
+    assert all(kept.values())  # no class is lost, and nearly every class keeps just one
+    assert len(got) <= len(classes) + 3
+    exact = [c for c, m in classes.items() if len({sh_t for sh_t in map(str, (t for _, t in m))}) == 1]
+    assert all(len(kept[c]) == 1 for c in exact)
