@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeseries",)
+MODULES = ("relational", "timeseries")
 
 
 def _all(kind: str) -> dict:
