@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections import deque
 from functools import lru_cache
 from itertools import accumulate
@@ -23,23 +22,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a task remembers, and as many of those before them.
-REMEMBERED = 400_000
+from .shared import wide_rows
+
+#: Words whose ids a worker remembers before it forgets those not used of late.
+REMEMBERED = 600_000
 #: Tokens after which the best cuts so far are taken for good.
 TOKENS_AT_ONCE = 1 << 18
 #: Id that ends every document.
 END = 1
-_SENTENCE_ENDS = (".", "!", "?")
 #: Characters of text that are encoded together, one text at least.
-TEXT_AT_ONCE = 16 << 20
+TEXT_AT_ONCE = 8 << 20
+#: Words that the tokenizer gets together.
+WORDS_AT_ONCE = 8192
 #: What may follow the letters of a word; a run of these is a token sequence of its own.
 _TAIL = ".,;:!?%&*#$"
 _PLAIN = "\u0130"
 _WORD_END = "</w>"
 
 
+class Words:
+    """Words and their ids: an Arrow array, the number of ids of each, and all ids in a row."""
+
+    def __init__(self, words: pa.Array, size: np.ndarray, ids: np.ndarray):
+        self.words, self.size, self.ids = words, size, ids
+
+    def of(self, at: np.ndarray) -> Words:
+        """The words at these places."""
+        return Words(self.words.take(pa.array(at)), self.size[at], _spans(self.ids, (np.cumsum(self.size) - self.size)[at], self.size[at]))
+
+    def __add__(self, other: Words) -> Words:
+        return Words(pa.concat_arrays([self.words, other.words]), np.r_[self.size, other.size], np.r_[self.ids, other.ids])
+
+
+def _spans(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[begin : begin + size] for each pair, one after the other."""
+    where = np.repeat(begin - (np.cumsum(size) - size), size)
+    where += np.arange(len(where))
+    return values[where]
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers.
+    """Ids of texts as unsigned 32-bit numbers.
 
     Tokens of the vocabulary never reach over white space, so the distinct words of many texts are encoded
     once and remembered. New words of letters are encoded as one text, in which the vocabulary's word ends
@@ -50,7 +73,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.by_space = Tokenizer.from_file(path)  # for lower-case words of letters, which nothing else parts
         self.by_space.normalizer = normalizers.Sequence([])
         self.by_space.pre_tokenizer = pre_tokenizers.Sequence(
@@ -59,76 +82,98 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(_WORD_END)]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        text, tokenizer = " ".join(words), self.tokenizer
-        if max(text) < _PLAIN:  # composed letters whose lower case is one letter
-            text, tokenizer = text.lower(), self.by_space
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(words):
-            return self._ids(words)
-        data = ids.tobytes()
-        return [data[lo:hi] for lo, hi in zip([0, *stops], stops)]
-
-    def _learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        if older:
-            again = words & older.keys()
-            known.update((w, older[w]) for w in again)
-            words -= again
-        letters = {w for w in words if w.isalpha()}
-        tailed, others = [], set()
-        for w in words - letters:
-            core = w.rstrip(_TAIL)
-            if core.isalpha():
-                tailed.append((w, core, w[len(core) :]))
-                if core not in known:
-                    letters.add(core)
-            else:
-                others.add(w)
-        if letters:
-            new = list(letters)
-            known.update(zip(new, self._letters(new)))
-        others |= {t for _, _, t in tailed if t not in known}
-        if others:
-            new = list(others)
-            known.update(zip(new, self._ids(new)))
-        for w, core, tail in tailed:
-            known[w] = known[core] + known[tail]
+        self.known = self._encode(pa.array([], pa.string()))
+        self.used = np.zeros(0, bool)
+
+    def _encode(self, words: pa.Array) -> Words:
+        """Each word on its own."""
+        ids = [np.zeros(0, np.uint32)]
+        for part in self._parts(words):
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return Words(words, np.array([len(i) for i in ids[1:]], np.int64), np.concatenate(ids))
+
+    def _letters(self, words: pa.Array) -> Words:
+        """Words of letters, many as one text."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for part in self._parts(words):
+            text, tokenizer = " ".join(part), self.tokenizer
+            if text.isascii() or max(text) < _PLAIN:  # composed letters whose lower case is one letter
+                text, tokenizer = text.lower(), self.by_space
+            ids.append(np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            stops = np.flatnonzero(self.ends[ids[-1]]) + 1
+            if len(stops) != len(part):
+                return self._encode(words)
+            sizes.append(np.diff(stops, prepend=0))
+        return Words(words, np.concatenate(sizes), np.concatenate(ids))
+
+    @staticmethod
+    def _parts(words: pa.Array):
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            yield words.slice(k, WORDS_AT_ONCE).to_pylist()
+
+    def _learn(self, words: pa.Array) -> Words:
+        """The ids of new words, in an order of its own."""
+        core = pc.utf8_rtrim(words, _TAIL)
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        tailed = plain & (pc.binary_length(core).to_numpy() < pc.binary_length(words).to_numpy())
+        pick = lambda array, mask: array.filter(pa.array(mask))
+        found = self._letters(pick(words, plain & ~tailed)) + self._encode(pick(words, ~plain))
+        if not tailed.any():
+            return found
+        wholes, heads = pick(words, tailed), pick(core, tailed)
+        head = heads.dictionary_encode()
+        before = self._letters(head.dictionary).of(head.indices.to_numpy())
+        tail = pa.array([w[len(h) :] for w, h in zip(wholes.to_pylist(), heads.to_pylist())]).dictionary_encode()
+        after = self._encode(tail.dictionary).of(tail.indices.to_numpy())
+        both = np.empty(2 * len(wholes), np.int64)
+        both[::2], both[1::2] = before.size, after.size
+        first = np.repeat(np.arange(len(both)) % 2 == 0, both)
+        ids = np.empty(int(both.sum()), np.uint32)
+        ids[first], ids[~first] = before.ids, after.ids
+        return found + Words(wholes, before.size + after.size, ids)
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Places of the words among the known ones, which the new ones join; those not used of late make room."""
+        if len(self.used) > REMEMBERED:
+            self.known = self.known.of(np.flatnonzero(self.used))
+            if len(self.known.size) > REMEMBERED // 2:
+                self.known = self.known.of(np.arange(0))
+            self.used = np.zeros(len(self.known.size), bool)
+        at = pc.index_in(words, value_set=self.known.words)
+        if at.null_count:
+            self.known += self._learn(words.filter(at.is_null()))
+            self.used = np.r_[self.used, np.zeros(len(self.known.size) - len(self.used), bool)]
+            at = pc.index_in(words, value_set=self.known.words)
+        at = at.to_numpy()
+        self.used[at] = True
+        return at
 
     def documents(self, texts: pa.Array):
-        """Of each text: the tokens of every sentence that has any, and all ids."""
+        """Of each text: the tokens of every sentence, and the bytes of all ids."""
         lines = pc.split_pattern(texts.fill_null(""), "\n")
         parts = pc.ascii_split_whitespace(lines.values)
         found = parts.values.dictionary_encode()
-        words, codes = found.dictionary.to_pylist(), found.indices.to_numpy()
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        ids = list(map(self.known.get, words))
-        if new := [i for i, x in enumerate(ids) if x is None]:
-            self._learn({words[i] for i in new})
-            for i in new:
-                ids[i] = self.known[words[i]]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        begin, every = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint32)
-        upto = np.cumsum(size[codes])
-        where = np.repeat(begin[codes] - (upto - size[codes]), size[codes]) + np.arange(upto[-1] if len(upto) else 0)
-        every = every[where]
-        line_ends, text_ends = parts.offsets.to_numpy(), lines.offsets.to_numpy()
-        ends = np.fromiter((w.endswith(_SENTENCE_ENDS) for w in words), bool, len(words))[codes]
+        words, codes = found.dictionary, found.indices.to_numpy()
+        at = self._known(words)
+        size, every = self.known.size, self.known.ids
+        begin = (np.cumsum(size) - size)[at]
+        size = size[at]
+        line_ends = parts.offsets.to_numpy()
+        ends = pc.match_substring_regex(words, "[.!?]$").to_numpy(zero_copy_only=False)[codes]
         ends[line_ends[1:][np.diff(line_ends) > 0] - 1] = True
         ends = np.flatnonzero(ends)
+        upto = np.cumsum(size[codes], dtype=np.int64)
         sentences = np.diff(upto[ends], prepend=0)
-        word_at = line_ends[text_ends]
-        token_at, sentence_at = np.r_[0, upto][word_at].tolist(), np.searchsorted(ends, word_at).tolist()
-        for i in range(len(texts)):
-            sizes = sentences[sentence_at[i] : sentence_at[i + 1]]
-            yield sizes[sizes > 0].tolist(), every[token_at[i] : token_at[i + 1]].tobytes()
+        word_at = line_ends[lines.offsets.to_numpy()]
+        token_at, sentence_at = np.r_[0, upto][word_at], np.searchsorted(ends, word_at).tolist()
+        group = token_at[1:] // TOKENS_AT_ONCE
+        cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(texts)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = codes[word_at[lo] : word_at[hi]]
+            tokens = _spans(every, begin[part], size[part])
+            at = (token_at[lo : hi + 1] - token_at[lo]).tolist()
+            for i in range(lo, hi):
+                yield sentences[sentence_at[i] : sentence_at[i + 1]], tokens[at[i - lo] : at[i - lo + 1]].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -144,51 +189,68 @@ class Packer:
         self.window, self.sentence_penalty, self.word_penalty, self.step = window, sentence_penalty, word_penalty, step
         self.even = [1 << k for k in range(7, window.bit_length()) if 1 << k < window]
         self.docs: deque = deque()  # (id, first position, ids)
-        self.end = 0
-        self._start(0)
-
-    def _start(self, position: int) -> None:
-        self.pos, self.best, self.back = [position], [0.0], [0]
-        self.at, self.queue = {position: 0}, deque([(float(position), 0)])
+        self.start = self.end = self.taken = 0  # where what isn't settled starts, all ends, and cuts are known up to
+        self.waiting: list[np.ndarray] = []  # sizes of sentences whose cuts aren't known yet, 0 before a document's end
+        self.cuts = (np.zeros(0, np.int64), np.zeros(0))  # positions and penalties
 
-    def _cuts(self, cuts) -> None:
-        """Take up (position, penalty) pairs in order."""
-        queue, pos, best, back, at, window, even = self.queue, self.pos, self.best, self.back, self.at, self.window, self.even
-        for p, penalty in cuts:
+    def add(self, doc_id, sizes, ids: bytes) -> None:
+        """Take up a document of sentences of these sizes."""
+        self.docs.append((doc_id, self.end, ids + END.to_bytes(4, "little")))
+        self.waiting.append(np.asarray(sizes, np.int64))
+        self.end += (len(ids) >> 2) + 1
+
+    def _take(self) -> None:
+        """Turn what waits into cuts: sentence ends, document ends (a token further), and every step within sentences."""
+        lengths = np.array([len(w) + 1 for w in self.waiting], np.int64)
+        last = np.cumsum(lengths) - 1
+        sizes = np.ones(int(lengths.sum()), np.int64)
+        inner = np.ones(len(sizes), bool)
+        inner[last] = False
+        if inner.any():
+            sizes[inner] = np.concatenate(self.waiting)
+        penalty, full = np.where(inner, self.sentence_penalty, 0.0), sizes > 0
+        sizes, penalty = sizes[full], penalty[full]
+        stops = self.taken + np.cumsum(sizes)
+        counts = (sizes - 1) // self.step + 1
+        ends = np.cumsum(counts) - 1
+        place = np.arange(int(counts.sum())) - np.repeat(ends - counts, counts)
+        positions = np.repeat(stops - sizes, counts) + place * self.step
+        penalties = np.full(len(positions), self.word_penalty)
+        positions[ends], penalties[ends] = stops, penalty
+        self.cuts = (np.r_[self.cuts[0], positions], np.r_[self.cuts[1], penalties])
+        self.waiting, self.taken = [], self.end
+
+    def solve(self) -> None:
+        """Least cost, and the cut before, of every cut since the start."""
+        if self.waiting:
+            self._take()
+        places, window = np.r_[self.start, self.cuts[0]], self.window
+        whole: dict[int, list[int]] = {}  # cuts before that leave a size without padding
+        for w in self.even:
+            at = np.searchsorted(places, places - w)
+            for j in np.flatnonzero(places[at] == places - w).tolist():
+                whole.setdefault(j, []).append(int(at[j]))
+        self.pos = pos = places.tolist()
+        best, back, queue = [0.0], [0], deque([(float(pos[0]), 0)])
+        for j, penalty in enumerate(self.cuts[1].tolist(), 1):
+            p = pos[j]
             low = p - window
             while pos[queue[0][1]] < low:
                 queue.popleft()
             cost, i = queue[0]
             cost -= low
-            for w in even:  # these sizes need no padding
-                k = at.get(p - w)
-                if k is not None and best[k] < cost:
-                    cost, i = best[k], k
+            if j in whole:
+                for k in whole[j]:
+                    if best[k] < cost:
+                        cost, i = best[k], k
             cost += penalty
-            j = at[p] = len(pos)
-            pos.append(p)
             best.append(cost)
             back.append(i)
-            key = cost + p
-            while queue and queue[-1][0] >= key:
+            cost += p
+            while queue and queue[-1][0] >= cost:
                 queue.pop()
-            queue.append((key, j))
-
-    def add(self, doc_id, sizes: list[int], ids: bytes) -> None:
-        """Take up a document of sentences of these sizes."""
-        first = p = self.end
-        step, word, sentence = self.step, self.word_penalty, self.sentence_penalty
-        cuts = []
-        for size in sizes:
-            if size > step:
-                cuts += [(q, word) for q in range(p + step, p + size, step)]
-            p += size
-            cuts.append((p, sentence))
-        p += 1
-        cuts.append((p, 0.0))
-        self._cuts(cuts)
-        self.end = p
-        self.docs.append((doc_id, first, ids + END.to_bytes(4, "little")))
+            queue.append((cost, j))
+        self.best, self.back = best, back
 
     def _path(self, i: int) -> list[int]:
         cuts = [i]
@@ -199,18 +261,15 @@ class Packer:
 
     def settled(self) -> list[int]:
         """Cuts that are taken for good: the cheapest way into the last window; what follows starts anew."""
-        pos, back, best = self.pos, self.back, self.best
+        self.solve()
+        pos, best = self.pos, self.best
         i = min((k for k in range(len(pos)) if pos[k] > self.end - self.window), key=lambda k: (best[k], -pos[k]))
-        cuts = self._path(i)
-        self._start(pos[i])
-        for k in range(i + 1, len(pos)):
-            size = pos[k] - pos[back[k]]
-            padding = 0 if size in self.even else self.window - size
-            self._cuts([(pos[k], best[k] - best[back[k]] - padding)])
-        return cuts
+        self.start, self.cuts = pos[i], (self.cuts[0][i:], self.cuts[1][i:])
+        return self._path(i)
 
     def last(self) -> list[int]:
         """Cuts to the end: the last sequence is padded, or cut into sizes that need no padding."""
+        self.solve()
         pos, end = self.pos, self.end
 
         def rest(k: int) -> tuple[float, list[int]]:
@@ -260,6 +319,7 @@ def pack(
     """
     if step < 1 or window < step:
         raise ValueError("step must be from 1 to window")
+    wide_rows(docs.sparkSession)
     id_type = docs.select(id_col).schema[0]
     schema = T.StructType([T.StructField(id_col, id_type.dataType)] + [T.StructField(c, T.LongType()) for c in PIECES[1:]])
 

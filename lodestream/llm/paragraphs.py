@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import _ID, VERSION, store
+from .shared import _ID, VERSION, store, wide_rows
 
 _GONE = "__lodestream_gone"
 
@@ -73,6 +73,7 @@ def _band_keys(hashes: np.ndarray, starts: np.ndarray, n_bands: int) -> np.ndarr
 def paragraphs(docs: DataFrame, n_bands: int, min_words: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """Every paragraph of min_words or more: id_col, version (hash of the text), paragraph (its number, from 0),
     start and length (characters of the text), n_words, words (joined, A-Z in lower case), digest, bands."""
+    wide_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), F.col(text_col))
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, "version", "paragraph", "start", "length", "n_words", "words", "digest", "bands"]

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import wide_rows
+
 #: Labelled texts of either class that the model is fitted on, at most, and their bytes together.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 16 << 20
@@ -65,6 +67,7 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 def _features(data: bytes, with_good, with_bad) -> tuple[float, float]:
     """How much smaller the good dictionary makes a text than the bad one, as a share, and the log of what it leaves."""
     good = bad = 0
+    data = memoryview(data)
     for k in range(0, max(1, len(data)), PIECE):
         piece = data[k : k + PIECE]
         good += len(with_good.compress(piece))
@@ -141,13 +144,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     Null counts as empty, and an empty text has the score of one that is like neither dictionary. Rows stay
     as they are; a column of `docs` called `name` is replaced. Nothing but the text enters the score.
     """
+    wide_rows(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def run(batches):
         of = model.scorer()
         for batch in batches:
-            scores = [of(t.as_py() or b"") for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(scores, pa.float64())], names=[*keep, name])
+            scores = [of(t.as_buffer() if t.is_valid else b"") for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    columns = keep if text_col in keep else [*keep, text_col]
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608"
 #: Names that columns of the input are taken not to have.
 _ID, VERSION = "__lodestream_id", "__lodestream_version"
 
@@ -25,6 +26,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
 
 
+def wide_rows(spark: SparkSession) -> None:
+    """Let a batch that goes to Python hold few bytes: rows hold whole texts, and workers share an executor's memory."""
+    spark.conf.set(_BATCH, _BYTES)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back with the same schema."""
     spark = df.sparkSession

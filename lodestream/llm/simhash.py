@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .paragraphs import similar_links
-from .shared import VERSION, store, without
+from .shared import VERSION, store, wide_rows, without
 
 #: Children of an index node.
 FAN_OUT = 8
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
     shingle; a null, empty or blank text has fingerprint 0. Rows stay as they are, null ids and repeated
     rows too. version is a hash of the text, which tells rows that share an id apart.
     """
+    wide_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary").alias("_text"))
     id_type = docs.select(id_col).schema[0].dataType
 

@@ -77,6 +77,7 @@ def test_best_cuts_as_brute_force():
                 cuts[p] = 3.0
             p += 1
             cuts[p] = 0.0
+        packer.solve()
         best = {0: 0.0}
         for j in sorted(cuts)[1:]:
             best[j] = min(best[i] + cuts[j] + (0 if j - i == 128 else 256 - (j - i)) for i in cuts if j - 256 <= i < j)
