@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "timeseries", "statistics", "spatial", "scalars")
+MODULES = ("relational", "timeseries", "statistics", "spatial", "scalars", "signals")
 
 
 def _all(kind: str) -> dict:

@@ -97,7 +97,7 @@ def time_parsing(spark, sf):
 
 
 @query("""
-SELECT event_id, make_timestamp(y::BIGINT, 1, 1, 0, 0, 0) + to_microseconds((round((y - floor(y)) * 365 * 86400))::BIGINT * 1000000) AS frac,
+SELECT event_id, make_timestamp(floor(y)::BIGINT, 1, 1, 0, 0, 0) + to_microseconds((round((y - floor(y)) * 365 * 86400))::BIGINT * 1000000) AS frac,
   (ts AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS utc, strptime(strftime(ts, '%Y%m%d%H%M'), '%Y%m%d%H%M') AS label FROM (SELECT event_id, ts, 2000 + (event_id % 1000) / 250.0::DOUBLE AS y FROM events)""")
 def odd_calendars(spark, sf):
     """F23, F26, F27"""
