@@ -140,12 +140,12 @@ def strongest_first(times: np.ndarray, strength: np.ndarray, apart: float) -> np
 def decluster(df: DataFrame, keys: list[str], ts: str, strength: str, seconds: float) -> DataFrame:
     """Greedy non-maximum suppression per key: the strongest detection stays, nearer ones go.
 
-    Detections are first cut into runs whose neighbours lie nearer than `seconds` (no choice reaches over a
-    larger gap), so that a task gets a run and not a whole key.
+    Detections are first cut into runs whose neighbours lie nearer than `seconds`. No choice reaches over a
+    larger gap, so a call gets a few hundred runs and not a whole key.
     """
     w = Window.partitionBy(*keys).orderBy("_t")
     rows = df.withColumn("_t", micros(ts) / 1e6).withColumn("_g", F.when(F.col("_t") - F.lag("_t").over(w) < seconds, 0).otherwise(1))
-    rows = rows.withColumn("_run", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_run", F.floor(F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 256))
     columns = list(df.columns)
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:

@@ -197,12 +197,12 @@ def snr_db(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, make_timestamp((avg(epoch_us(l_shipdate)))::BIGINT) AS mean_time, min(l_shipdate) AS first, max(l_shipdate) AS last, count(*) AS n
+SELECT l_orderkey, make_timestamp((floor(avg(epoch_us(l_shipdate) / 1000000)))::BIGINT * 1000000) AS mean_time, min(l_shipdate) AS first, max(l_shipdate) AS last, count(*) AS n
 FROM lineitem GROUP BY 1 HAVING count(*) >= 5""")
 def cluster_times(spark, sf):
     """A35"""
     us = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.timestamp_micros(F.round(F.avg(us)).cast("long")).cast("timestamp_ntz").alias("mean_time"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), F.count("*").alias("n"))
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.timestamp_micros(F.floor(F.avg(us / 1_000_000)) * 1_000_000).cast("timestamp_ntz").alias("mean_time"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), F.count("*").alias("n"))
     return g.where("n >= 5")
 
 

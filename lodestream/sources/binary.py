@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,3 +92,77 @@ def day_partitions(spark: SparkSession, path: str, days: list[str], stations: li
     """An archive partitioned by day and station, pruned before a file is opened."""
     df = spark.read.parquet(path).where(F.col("day").isin(days))
     return df.where(F.col("station").isin(stations)) if stations else df
+
+
+_MAT_KINDS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+
+
+def _mat_element(data: bytes, at: int) -> tuple[int, bytes, int]:
+    """Type, contents and end of the tagged element at a place; small elements hold their data in the tag."""
+    kind, size = struct.unpack_from("<II", data, at)
+    if kind >> 16:
+        return kind & 0xFFFF, data[at + 4 : at + 4 + (kind >> 16)], at + 8
+    return kind, data[at + 8 : at + 8 + size], at + 8 + size + (0 if kind == 15 else -size % 8)
+
+
+def mat_arrays(content: bytes) -> dict[str, np.ndarray]:
+    """The real numeric matrices of a level-5 MAT file by name; other variables are left out."""
+    found, at = {}, 128
+    while at + 8 <= len(content):
+        kind, body, at = _mat_element(content, at)
+        if kind == 15:
+            kind, body, _ = _mat_element(zlib.decompress(body), 0)
+        if kind != 14:
+            continue
+        _, flags, p = _mat_element(body, 0)
+        if flags[0] not in range(6, 16) or flags[1] & 8:
+            continue
+        _, dims, p = _mat_element(body, p)
+        _, name, p = _mat_element(body, p)
+        stored, values, _ = _mat_element(body, p)
+        found[name.decode()] = np.frombuffer(values, "<" + _MAT_KINDS[stored]).reshape(np.frombuffer(dims, "<i4"), order="F")
+    return found
+
+
+def mat_matrices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """File, variable, row, values of every matrix; a task holds one file."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                for name, matrix in mat_arrays(content).items():
+                    rows = matrix.reshape(matrix.shape[0], -1).astype(float)
+                    yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "variable": name, "row": np.arange(len(rows), dtype=np.int32), "values": rows.tolist()})
+
+    return files.mapInPandas(run, "file string, variable string, row int, values array<double>")
+
+
+def gridded_arrays(spark: SparkSession, paths: str | list[str], value: str = "strain") -> DataFrame:
+    """Numpy archives with time (microseconds), depth and a time x depth array, as rows of ts, depth (3 digits) and value."""
+    files = spark.read.format("binaryFile").load(paths).select("content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                data = np.load(io.BytesIO(content))
+                depth = np.round(data["depth"], 3)
+                for t, row in zip(data["time"].tolist(), data[value]):
+                    yield pd.DataFrame({"ts": pd.Timestamp(t, unit="us"), "depth": depth, value: row.astype(float)})
+
+    return files.mapInPandas(run, f"ts timestamp_ntz, depth double, `{value}` double")
+
+
+def header_times(spark: SparkSession, path: str, line: int, form: str) -> list:
+    """The tab-separated times of one header line, last first; cells that are no time are left out."""
+    cells = spark.read.text(path).limit(line + 1).collect()[line][0].split("\t")
+    df = spark.createDataFrame([(i, c.strip()) for i, c in enumerate(cells)], "i int, c string")
+    parsed = df.select("i", F.try_to_timestamp("c", F.lit(form)).cast("timestamp_ntz").alias("t")).where("t is not null").orderBy(F.desc("i"))
+    return [r.t for r in parsed.collect()]
+
+
+def fiber_by_well(frames: DataFrame, segments: DataFrame, width: float = 50.0) -> DataFrame:
+    """Frame rows (ts, channel depth) with the well segment [start, stop) that holds them, at the depth along the well."""
+    from lodestream.operators.ranges import interval_join
+
+    return interval_join(frames, segments, "depth", "start", "stop", width).withColumn("along", (F.col("depth") - F.col("start")) * F.col("stretch"))
