@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store, without
+from .shared import drop, store, without
 
 #: Words that are looked up in one pass over the documents; more words take more passes.
 WORDS_AT_ONCE = 20_000
@@ -52,7 +52,8 @@ def keys(docs: DataFrame, phrases: DataFrame, text_col: str = "text") -> DataFra
     n = terms.count()
     seen = docs.select(F.explode(words(F.col(text_col))).alias("word")).join(_small(terms, n), "word", "left_semi")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"))
-    placed = places.join(terms.join(counts, "word", "left"), "word")
+    counted = store(terms.join(counts, "word", "left"), "counted")
+    placed = places.join(_small(counted, n), "word")
     best = placed.groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shift", "word")).alias("k"))
     return best.where("k.n > 0").select("phrase", "k.word", "k.shift")
 
@@ -158,7 +159,8 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_
     """`docs` without the rows in which a window of `items` occurs (see `contamination`), all columns as they are."""
     index = Index(docs, items, size, None, id_col, text_col)
     hit = store(index.phrases().select("row").distinct(), "hit")
-    gone = index.documents().join(hit, "row").select(id_col, "version").distinct()
+    gone = store(index.documents().join(hit, "row").select(id_col, "version").distinct(), "gone")
+    drop(hit, *index.blocks)
     return without(docs, gone, id_col, text_col)
 
 

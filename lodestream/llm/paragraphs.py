@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import _ID, VERSION, store, wide_rows
+from .shared import _ID, VERSION, drop, small, store, wide_rows
 
 _GONE = "__lodestream_gone"
 
@@ -33,8 +33,6 @@ RECALL = 0.995
 LARGE_BUCKET = 512
 #: One in so many paragraphs is looked at to find large buckets; what it misses makes a cell larger, no more.
 SAMPLE = 16
-#: Rows up to which a table is sent to every task; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -146,7 +144,7 @@ def _cells(distinct: DataFrame) -> DataFrame:
         own = F.pmod(F.xxhash64("pid", F.lit(1)), "parts").cast("int")
         dealt = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
         whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-        rows = rows.join(F.broadcast(large) if some <= BROADCAST_ROWS else large, "key", "left")
+        rows = rows.join(small(large, some), "key", "left")
         rows = rows.select("key", "pid", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(dealt)).alias("c")).select("key", "c.x", "c.y", "pid")
     else:
         rows = rows.select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), "pid")
@@ -196,10 +194,6 @@ def _similar(a: set, b: set, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def repeated(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -207,6 +201,7 @@ def repeated(
     min_words: int = MIN_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    scratch: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Every occurrence of a paragraph that repeats: id_col, version, paragraph, start, length, n_words,
     class_id and class_paragraph (where the occurrence that stays lies), removed.
@@ -216,7 +211,7 @@ def repeated(
     first occurrence stays, by id (null last), text hash and place. Rows that repeat id and text count as
     one document. Null and empty texts have no paragraphs; an empty table gives an empty result. Banding
     finds a pair that is just similar enough with a chance of RECALL, and a more similar one more surely.
-    Other columns are not read.
+    Other columns are not read. The tables that the result is read from are added to `scratch`.
     """
     lines = store(paragraphs(docs, bands(similarity), min_words, size, id_col, text_col), "paragraphs")
     place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version", "paragraph")
@@ -224,7 +219,7 @@ def repeated(
     distinct = store(groups.withColumn("pid", F.monotonically_increasing_id()), "distinct")
     cells = store(_cells(distinct.select("pid", "bands")), "cells")
     wanted = store(cells.select("pid").distinct().join(distinct.select("pid", "digest"), "pid"), "wanted")
-    texts = lines.select("digest", "words").join(_small(wanted), "digest").groupBy("pid").agg(F.any_value("words").alias("words"))
+    texts = lines.select("digest", "words").join(small(wanted), "digest").groupBy("pid").agg(F.any_value("words").alias("words"))
     edges = similar_links(cells.join(store(texts, "texts"), "pid").select("key", "x", "y", "pid", "words"), similarity, size)
     found = components(edges)
     labelled = distinct.select("pid", "digest", "first", "last").join(found, F.col("pid") == F.col("node"), "left")
@@ -232,6 +227,9 @@ def repeated(
     classes = labelled.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
     known = store(labelled.select("digest", "root").join(classes.select("root", "first"), "root").select("digest", "first"), "classes")
     here = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version", "paragraph")
+    drop(distinct, cells, wanted, found)
+    if scratch is not None:
+        scratch += [lines, known]
     return lines.select(id_col, "version", "paragraph", "start", "length", "n_words", "digest").join(known, "digest").select(
         F.col(id_col), "version", "paragraph", "start", "length", "n_words",
         F.col("first.id").alias("class_id"), F.col("first.paragraph").alias("class_paragraph"), (here != F.col("first")).alias("removed"),
@@ -242,7 +240,10 @@ def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     """`docs` without the paragraphs that `found` (see `repeated`) marks as removed; documents of which no
     word is left go, unless they had none before. Other columns stay as they are."""
     gone = found.where("removed").groupBy(F.col(id_col).alias(_ID), F.col("version").alias(VERSION)).agg(F.collect_set("paragraph").alias(_GONE))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION)), "left")
+    gone = store(gone, "gone")
+    many = gone.agg(F.coalesce(F.sum(F.size(_GONE) + 1), F.lit(0))).first()[0]
+    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
+    joined = docs.join(small(gone, many // 2), same, "left")
     kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(_GONE, i))
     text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn(text_col, text).where(F.col(_GONE).isNull() | F.col(text_col).rlike(r"\S"))

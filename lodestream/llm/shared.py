@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of ids and hashes up to which a table is sent to every task: some 20 MB.
+BROADCAST_ROWS = 300_000
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608"
 #: Names that columns of the input are taken not to have.
 _ID, VERSION = "__lodestream_id", "__lodestream_version"
@@ -39,18 +41,29 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` to be sent to every task if it has BROADCAST_ROWS rows at most (counted here, or `rows`), else as it is."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
     """The rows of `docs` that `rows` (id_col and version, a hash of the text; ids may be null) doesn't name.
 
-    Columns stay as they are, whatever they are called; with how="left_semi" the rows that are named.
+    Columns stay as they are, whatever they are called; with how="left_semi" the rows that are named. Texts
+    are shuffled only if `rows` is too large to be sent to every task.
     """
-    named = rows.select(F.col(id_col).alias(_ID), F.col("version").alias(VERSION))
+    named = small(rows.select(F.col(id_col).alias(_ID), F.col("version").alias(VERSION)))
     same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
     return docs.join(named, same, how)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table that `store` returned and nothing reads any more."""
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that `store` returned and nothing reads any more."""
+    for df in tables:
+        _drop(df)
+
+
+def _drop(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

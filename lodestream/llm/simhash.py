@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .paragraphs import similar_links
-from .shared import VERSION, store, wide_rows, without
+from .shared import VERSION, drop, small, store, wide_rows, without
 
 #: Children of an index node.
 FAN_OUT = 8
 #: Members of an uppermost node beyond which it is split into cells, each task getting two parts of it.
 LARGE_NODE = 1024
-#: Rows up to which a table is sent to every task; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Texts of a class of candidates in a part of it; every two parts are compared in a task.
+TEXTS_IN_PART = 256
 #: Distinct fingerprints whose pairs are searched at once in a task, as the sum of squares over nodes.
 PAIRS_AT_ONCE = 1 << 22
 ROWS_AT_ONCE = 1 << 16
@@ -251,15 +251,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
 def _verified(docs: DataFrame, groups: DataFrame, found: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Edges between fingerprints of a component whose first texts' shingles are similar enough."""
     member = store(_members(found).join(groups, "fp").select("fp", "root", "first"), "members")
-    n = member.count()
-    sizes = member.groupBy("root").agg(F.ceil(F.count("*") / LARGE_NODE).cast("int").alias("parts"))
+    sizes = member.groupBy("root").agg(F.ceil(F.count("*") / TEXTS_IN_PART).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
     dealt = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
-    wanted = member.select(F.col("first.id").alias("_id"), F.col("first.version").alias("_version"), "fp", "root")
-    wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+    wanted = small(member.select(F.col("first.id").alias("_id"), F.col("first.version").alias("_version"), "fp", "root"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")))
-    texts = store(texts.select("fp", "root", F.coalesce("text", F.lit("")).cast("binary").alias("words")).dropDuplicates(["fp"]), "texts")
+    texts = texts.select("fp", "root", F.coalesce("text", F.lit("")).cast("binary").alias("words")).dropDuplicates(["fp"])
     cells = texts.join(sizes, "root").withColumn("c", F.explode(dealt)).select(F.col("root").alias("key"), "c.x", "c.y", F.col("fp").alias("pid"), "words")
     return similar_links(cells, similarity, size)
 
@@ -287,8 +285,9 @@ def deduplicate(
     near = components(links(groups.select("fp"), radius))
     known = _by_fingerprint(groups, components(_verified(docs, groups, near, size, similarity, id_col, text_col)), "first")
     gone = store(rows.join(known, "fp").where(place != F.col("first")).select(id_col, "version").distinct(), "gone")
-    kept = without(docs, gone, id_col, text_col)
     twice = store(rows.groupBy(id_col, "version").count().where("count > 1").select(id_col, "version"), "twice")
+    drop(rows, groups, near, known)
+    kept = without(docs, gone, id_col, text_col)
     if not twice.count():
         return kept
     columns = [F.col(f"`{c}`") for c in docs.columns]
