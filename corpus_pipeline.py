@@ -33,7 +33,9 @@ def drop_near_copies(spark, docs, sf_dir):
 
 def drop_repeated_paragraphs(spark, docs, sf_dir):
     """Texts without the paragraphs that another text, or an earlier place, holds; n_chars follows the text."""
-    out = paragraphs.remove(docs, paragraphs.repeated(docs, similarity=0.8, size=5))
+    scratch = []
+    out = paragraphs.remove(docs, paragraphs.repeated(docs, similarity=0.8, size=5, scratch=scratch))
+    shared.drop(*scratch)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
