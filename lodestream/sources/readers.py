@@ -76,8 +76,9 @@ def csv_with_units(spark: SparkSession, path: str, kinds: dict[str, str], unit_r
 
 def key_value_lines(spark: SparkSession, paths: str | list[str], kinds: dict[str, str]) -> DataFrame:
     """Lines of `key: value; key: value`."""
-    pairs = key_values(F.col("value"))
-    return spark.read.option("recursiveFileLookup", True).text(paths).where(F.contains("value", F.lit(":"))).select([F.try_element_at(pairs, F.lit(c)).try_cast(k).alias(c) for c, k in kinds.items()])
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).where(F.contains("value", F.lit(":")))
+    pairs = lines.select(key_values(F.col("value")).alias("_pairs"))
+    return pairs.select([F.try_element_at("_pairs", F.lit(c)).try_cast(k).alias(c) for c, k in kinds.items()])
 
 
 def xml_frames(spark: SparkSession, paths: str | list[str], fields: int) -> DataFrame:
