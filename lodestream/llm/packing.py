@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import wide_rows
+from .shared import give_back, wide_rows
 
 #: Words whose ids a worker remembers before it forgets those not used of late.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Tokens after which the best cuts so far are taken for good.
 TOKENS_AT_ONCE = 1 << 18
 #: Id that ends every document.
@@ -74,32 +74,37 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_space = Tokenizer.from_file(path)  # for lower-case words of letters, which nothing else parts
-        self.by_space.normalizer = normalizers.Sequence([])
-        self.by_space.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        whole = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        by_space = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ways = {False: whole, True: (normalizers.Sequence([]), by_space)}
+        self.simple = False
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(_WORD_END)]] = True
         self.known = self._encode(pa.array([], pa.string()))
         self.used = np.zeros(0, bool)
 
+    def _run(self, texts: list[str], simple: bool) -> list:
+        """Encodings of texts; simple ones are lower-case words of letters, which nothing but spaces parts."""
+        if simple != self.simple:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.ways[simple]
+            self.simple = simple
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def _encode(self, words: pa.Array) -> Words:
         """Each word on its own."""
         ids = [np.zeros(0, np.uint32)]
         for part in self._parts(words):
-            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids += [np.array(e.ids, np.uint32) for e in self._run(part, False)]
         return Words(words, np.array([len(i) for i in ids[1:]], np.int64), np.concatenate(ids))
 
     def _letters(self, words: pa.Array) -> Words:
         """Words of letters, many as one text."""
         sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for part in self._parts(words):
-            text, tokenizer = " ".join(part), self.tokenizer
-            if text.isascii() or max(text) < _PLAIN:  # composed letters whose lower case is one letter
-                text, tokenizer = text.lower(), self.by_space
-            ids.append(np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            text = " ".join(part)
+            simple = text.isascii() or max(text) < _PLAIN  # composed letters whose lower case is one letter
+            ids.append(np.array(self._run([text.lower() if simple else text], simple)[0].ids, np.uint32))
             stops = np.flatnonzero(self.ends[ids[-1]]) + 1
             if len(stops) != len(part):
                 return self._encode(words)
@@ -348,6 +353,7 @@ def pack(
                         yield rows(packer.settled())
         if packer.docs:
             yield rows(packer.last())
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import _ID, VERSION, drop, small, store, wide_rows
+from .shared import _ID, VERSION, drop, give_back, small, store, wide_rows
 
 _GONE = "__lodestream_gone"
 
@@ -106,6 +106,7 @@ def paragraphs(docs: DataFrame, n_bands: int, min_words: int, size: int, id_col:
                     at += len(line) + 1
             if found:
                 yield flush(kind)
+        give_back()
 
     schema = f"`{id_col}` {id_type}, version long, paragraph int, start long, length long, n_words long, words binary, digest binary, bands array<bigint>"
     return rows.mapInArrow(run, schema)
@@ -156,6 +157,7 @@ def _cells(distinct: DataFrame) -> DataFrame:
             keep = np.repeat(size > 1, size)
             if keep.any():
                 yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+        give_back()
 
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(shared, "key long, x int, y int, pid long")
 
@@ -183,6 +185,7 @@ def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame
                     group = [g for g in group if g not in near] + [merged]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
+        give_back()
 
     return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "a long, b long")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import wide_rows
+from .shared import give_back, wide_rows
 
 #: Labelled texts of either class that the model is fitted on, at most, and their bytes together.
 SAMPLE_ROWS = 3000
@@ -153,6 +153,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         for batch in batches:
             scores = [of(t.as_buffer() if t.is_valid else b"") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, name])
+        give_back()
 
     at = keep.index(text_col) if text_col in keep else len(keep)
     columns = keep if text_col in keep else [*keep, text_col]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .paragraphs import similar_links
-from .shared import VERSION, drop, small, store, wide_rows, without
+from .shared import VERSION, drop, give_back, small, store, wide_rows, without
 
 #: Children of an index node.
 FAN_OUT = 8
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=[id_col, "version", "fp"])
+        give_back()
 
     return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, version long, fp long")
 
@@ -217,6 +218,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
                 kept = kept.slice(cut)
         if kept is not None and kept.num_rows:
             yield from search(kept.combine_chunks())
+        give_back()
 
     return ordered.mapInArrow(run, "a long, b long")
 

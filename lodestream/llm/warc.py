@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import store
+from .shared import give_back, store
 
 #: Captures in a file.
 CAPTURES_A_FILE = 2000
@@ -171,6 +171,7 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield batch(rows)
+        give_back()
 
     return files.mapInArrow(run, RECORDS)
 
