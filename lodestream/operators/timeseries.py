@@ -49,15 +49,55 @@ def interpolate(df: DataFrame, value: str, keys: list[str], order: str, name: st
     return df.withColumn(name or value, filled).drop("_n")
 
 
-def islands(df: DataFrame, keys: list[str], start: Column, end: Column, gap: Column | None = None) -> DataFrame:
-    """Runs of intervals that touch or overlap (or lie within `gap`): keys, island start, island end, n."""
-    df = df.select(*keys, start.alias("_s"), end.alias("_e"))
-    w = Window.partitionBy(*keys).orderBy("_s", "_e")
-    reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+def islands(df: DataFrame, keys: list[str], start: Column, end: Column, gap: Column | None = None, chunk_seconds: float | None = None) -> DataFrame:
+    """Runs of intervals that touch or overlap (or lie within `gap`): keys, island start, island end, n.
+
+    With `chunk_seconds` the intervals that start in one stretch of time are merged first, and then what is left
+    of all stretches, so that a key with many rows is not sorted in one task.
+    """
+    rows = df.select(*keys, start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("n"))
+    if chunk_seconds:
+        rows = rows.withColumn("_c", F.floor(micros("start") / (chunk_seconds * 1e6)))
+        rows = _merge(rows, [*keys, "_c"], gap).drop("_c")
+    return _merge(rows, keys, gap)
+
+
+def _merge(rows: DataFrame, keys: list[str], gap: Column | None) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     limit = reach if gap is None else reach + gap
-    fresh = F.when(reach.isNull() | (F.col("_s") > limit), 1).otherwise(0)
-    marked = df.withColumn("_f", fresh).withColumn("_i", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_i").agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.count("*").alias("n")).drop("_i")
+    fresh = F.when(reach.isNull() | (F.col("start") > limit), 1).otherwise(0)
+    marked = rows.withColumn("_f", fresh).withColumn("_i", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_i")
+
+
+def rolling_in_chunks(df: DataFrame, keys: list[str], ts: str, seconds: float, chunk_seconds: float, results: dict) -> DataFrame:
+    """W06, X07 for keys with many rows: `results` (name -> function of a window) over (t - seconds, t].
+
+    Time is cut into chunks; a row is also copied to the chunks that begin within `seconds` after it, where it only
+    serves the frames of others. A task sorts a chunk of a key, not the key.
+    """
+    at, width = micros(ts), chunk_seconds * 1e6
+    first, last = F.floor(at / width), F.floor((at + seconds * 1e6 - 1) / width)
+    rows = df.withColumn("_own", first).withColumn("_c", F.explode(F.sequence(first, last)))
+    w = rolling_time([*keys, "_c"], ts, seconds)
+    for name, result in results.items():
+        rows = rows.withColumn(name, result(w))
+    return rows.where("_c = _own").drop("_c", "_own")
+
+
+def running_total(df: DataFrame, keys: list[str], ts: str, ties: list, value: Column, chunk_seconds: float, name: str = "total") -> DataFrame:
+    """W04, A26, W28 for keys with many rows: the sum of `value` up to each row in time order.
+
+    Sums within chunks of time are added to the totals of the chunks before, of which there are few.
+    """
+    rows = df.withColumn("_v", value).withColumn("_c", F.floor(micros(ts) / (chunk_seconds * 1e6)))
+    sums = rows.groupBy(*keys, "_c").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_c", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    inner = Window.partitionBy(*keys, "_c").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("_w", F.sum("_v").over(inner))
+    return here.join(offsets, [*keys, "_c"]).withColumn(name, F.col("_w") + F.col("_o")).drop("_v", "_c", "_w", "_o")
 
 
 def rolling_time(keys: list[str], ts: str, seconds: float) -> Window:

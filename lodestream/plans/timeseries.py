@@ -96,11 +96,14 @@ def cumulative_detections(spark, sf):
 SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(median(value) OVER w, 6) AS med, round(stddev_samp(value) OVER w, 4) AS sd FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '7199.999999 seconds' PRECEDING AND CURRENT ROW)""")
 def rolling_2h(spark, sf):
-    """Mean, median and deviation over (t - 2 h, t]"""
-    w = T.rolling_time(["event_type"], "ts", 7200)
-    return table(spark, sf, "events").select(
-        "event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.round(T.percentile("value").over(w), 6).alias("med"), F.round(F.stddev_samp("value").over(w), 4).alias("sd")
-    )
+    """Mean, median and deviation over (t - 2 h, t], a day of a type in a task"""
+    results = {
+        "mean": lambda w: F.round(F.avg("value").over(w), 6),
+        "med": lambda w: F.round(T.percentile("value").over(w), 6),
+        "sd": lambda w: F.round(F.stddev_samp("value").over(w), 4),
+    }
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    return T.rolling_in_chunks(e, ["event_type"], "ts", 7200, 86_400, results).select("event_id", "mean", "med", "sd")
 
 
 @query("""
@@ -156,7 +159,7 @@ g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED P
 SELECT user_id, min(s) AS start, max(e) AS "end", count(*) AS n FROM g GROUP BY user_id, i""")
 def islands(spark, sf):
     """Scan windows that touch become one"""
-    return T.islands(table(spark, sf, "events"), ["user_id"], F.col("ts"), F.col("ts") + F.expr("INTERVAL 30 MINUTE"))
+    return T.islands(table(spark, sf, "events"), ["user_id"], F.col("ts"), F.col("ts") + F.expr("INTERVAL 30 MINUTE"), chunk_seconds=86_400)
 
 
 @query("""
