@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, packing, paragraphs, quality, sharding, simhash, topk, warc
-from .shared import new_path
+from .shared import new_path, store
 
 
 def _read(spark, sf_dir, name):
@@ -73,7 +73,8 @@ def op9_warc(spark, sf_dir):
     """All pages written to archives, read back and assembled."""
     path = new_path(spark, "warc")
     warc.write(_read(spark, sf_dir, "pages"), path)
-    return warc.page_captures(warc.assemble(warc.read(spark, path, blocks=False)))
+    records = store(warc.read(spark, path, blocks=False), "records")  # read by both sides of the assembly
+    return warc.page_captures(warc.assemble(records))
 
 
 def op10_sharding(spark, sf_dir):
