@@ -32,8 +32,9 @@ TOKENS_AT_ONCE = 1 << 18
 END = 1
 #: Characters of text that are encoded together, one text at least.
 TEXT_AT_ONCE = 8 << 20
-#: Words that the tokenizer gets together.
+#: Words that the tokenizer gets together, and in one text.
 WORDS_AT_ONCE = 8192
+WORDS_IN_TEXT = 256
 #: What may follow the letters of a word; a run of these is a token sequence of its own.
 _TAIL = ".,;:!?%&*#$"
 _PLAIN = "\u0130"
@@ -102,9 +103,10 @@ class Encoder:
         """Words of letters, many as one text."""
         sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for part in self._parts(words):
-            text = " ".join(part)
-            simple = text.isascii() or max(text) < _PLAIN  # composed letters whose lower case is one letter
-            ids.append(np.array(self._run([text.lower() if simple else text], simple)[0].ids, np.uint32))
+            texts = [" ".join(part[k : k + WORDS_IN_TEXT]) for k in range(0, len(part), WORDS_IN_TEXT)]
+            simple = all(t.isascii() or max(t) < _PLAIN for t in texts)  # composed letters whose lower case is one letter
+            found = self._run([t.lower() for t in texts] if simple else texts, simple)
+            ids.append(np.concatenate([np.array(e.ids, np.uint32) for e in found]))
             stops = np.flatnonzero(self.ends[ids[-1]]) + 1
             if len(stops) != len(part):
                 return self._encode(words)
@@ -230,13 +232,17 @@ class Packer:
         if self.waiting:
             self._take()
         places, window = np.r_[self.start, self.cuts[0]], self.window
-        whole: dict[int, list[int]] = {}  # cuts before that leave a size without padding
+        later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # pairs of cuts that leave a size without padding
         for w in self.even:
             at = np.searchsorted(places, places - w)
-            for j in np.flatnonzero(places[at] == places - w).tolist():
-                whole.setdefault(j, []).append(int(at[j]))
+            found = np.flatnonzero(places[at] == places - w)
+            later.append(found)
+            earlier.append(at[found])
+        order = np.argsort(np.concatenate(later), kind="stable")
+        ends, starts = np.concatenate(later)[order].tolist() + [0], np.concatenate(earlier)[order].tolist()
         self.pos = pos = places.tolist()
         best, back, queue = [0.0], [0], deque([(float(pos[0]), 0)])
+        pair = 0
         for j, penalty in enumerate(self.cuts[1].tolist(), 1):
             p = pos[j]
             low = p - window
@@ -244,10 +250,11 @@ class Packer:
                 queue.popleft()
             cost, i = queue[0]
             cost -= low
-            if j in whole:
-                for k in whole[j]:
-                    if best[k] < cost:
-                        cost, i = best[k], k
+            while ends[pair] == j:
+                k = starts[pair]
+                if best[k] < cost:
+                    cost, i = best[k], k
+                pair += 1
             cost += penalty
             best.append(cost)
             back.append(i)

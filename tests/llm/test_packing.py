@@ -55,13 +55,13 @@ def check(pieces, docs, window):
     return padding / total
 
 
-@pytest.mark.parametrize("window, step", [(2048, 16), (256, 256)])
+@pytest.mark.parametrize("window, step", [(2048, 16), (256, 256), (100, 7)])
 def test_each_id_in_one_piece(spark, window, step):
     docs = documents()
     df = spark.createDataFrame([(a, b, 5) for a, b in docs], "doc_id long, text string, start int").repartition(3)
     found = packing.pack(df, PATH, window, step=step)
     assert found.columns == list(packing.PIECES)
-    assert check(found.collect(), docs, window) < 0.02
+    assert check(found.collect(), docs, window) < 0.05
 
 
 def test_best_cuts_as_brute_force():
