@@ -112,7 +112,8 @@ def interpolate_clamped(points: DataFrame, survey: DataFrame, keys: list[str], a
     w = Window.partitionBy(*keys).orderBy(at, F.col("_id").isNotNull())
     known = F.when(F.col("_id").isNull(), F.struct(at, *values))
     lo = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    down = Window.partitionBy(*keys).orderBy(F.desc(at), F.col("_id").isNull())
+    hi = F.last(known, True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_id is not null")
     share = (F.col(at) - F.col(f"_lo.{at}")) / F.nullif(F.col(f"_hi.{at}") - F.col(f"_lo.{at}"), F.lit(0.0))
 

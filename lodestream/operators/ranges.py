@@ -39,8 +39,8 @@ def nearest(left: DataFrame, right: DataFrame, at: str, on: list[str], order: li
     rows = l.unionByName(r)
     w = Window.partitionBy(*on).orderBy("_at", F.col("_l").isNotNull())
     back = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    v = Window.partitionBy(*on).orderBy("_at", F.col("_l").isNull())
-    ahead = F.first("_r", True).over(v.rowsBetween(0, Window.unboundedFollowing))
+    v = Window.partitionBy(*on).orderBy(F.desc("_at"), F.col("_l").isNotNull())
+    ahead = F.last("_r", True).over(v.rowsBetween(Window.unboundedPreceding, 0))
     found = rows.withColumn("_b", back).withColumn("_a", ahead).where("_l is not null")
     to_back, to_ahead = F.abs(F.col("_at") - F.col(f"_b.{at}")), F.abs(F.col(f"_a.{at}") - F.col("_at"))
     best = F.when(F.col("_a").isNull() | (to_back <= to_ahead), F.col("_b")).otherwise(F.col("_a"))

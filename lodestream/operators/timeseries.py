@@ -39,11 +39,12 @@ def densify(df: DataFrame, ts: str, step: str, keys: list[str], first: Column |
 def interpolate(df: DataFrame, value: str, keys: list[str], order: str, name: str | None = None) -> DataFrame:
     """Linear in row position between known neighbours; the last known value is carried on, leading nulls stay."""
     w = Window.partitionBy(*keys).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    upto = (Window.unboundedPreceding, 0)  # what follows is read in the other direction: frames that grow are linear
+    back, ahead = w.rowsBetween(*upto), Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(*upto)
     df = df.withColumn("_n", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.col("_n"))
-    left, right = F.last(value, True).over(back), F.first(value, True).over(ahead)
-    at, to = F.last(known, True).over(back), F.first(known, True).over(ahead)
+    left, right = F.last(value, True).over(back), F.last(value, True).over(ahead)
+    at, to = F.last(known, True).over(back), F.last(known, True).over(ahead)
     share = (F.col("_n") - at) / F.nullif(to - at, F.lit(0))
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when(right.isNull(), left).otherwise(left + (right - left) * share)
     return df.withColumn(name or value, filled).drop("_n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, so that a lost executor repeats what follows only."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """`df` written to the shared folder and read back, so that a lost executor repeats what follows only.
+
+    A table carries neither lineage nor the constraints of its plan, which grow from round to round in a loop.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
