@@ -250,18 +250,40 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     return rows.join(known, "fp").select(F.col(id_col), "fp", "component_id")
 
 
-def _verified(docs: DataFrame, groups: DataFrame, found: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Edges between fingerprints of a component whose first texts' shingles are similar enough."""
-    member = store(_members(found).join(groups, "fp").select("fp", "root", "first"), "members")
-    sizes = member.groupBy("root").agg(F.ceil(F.count("*") / TEXTS_IN_PART).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), "parts").cast("int")
+def _signatures(docs: DataFrame, fine: int, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, version, fp, digest) of every row: `fingerprints` and a digest of the exact words (A-Z in lower case)."""
+    wide_rows(docs.sparkSession)
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary").alias("_text"))
+    id_type = docs.select(id_col).schema[0].dataType
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(2)]
+            fps = np.array([fingerprint(t, fine) for t in texts], np.uint64)
+            digests = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64)), pa.array(digests, pa.binary())], names=[id_col, "version", "fp", "digest"])
+        give_back()
+
+    return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, version long, fp long, digest binary")
+
+
+def _fingerprint_cells(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, x, y, pid): all texts whose fingerprints are in one component, large ones dealt so that every two texts meet."""
+    member = store(groups.select("fp", "pid").join(store(_members(found), "members"), "fp", "left").select(F.coalesce("root", "fp").alias("key"), "pid"), "members")
+    sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TEXTS_IN_PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("pid"), "parts").cast("int")
     dealt = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
-    wanted = small(member.select(F.col("first.id").alias("_id"), F.col("first.version").alias("_version"), "fp", "root"))
+    return member.join(small(store(sizes, "sizes")), "key").select("key", "pid", F.explode(dealt).alias("c")).select("key", "c.x", "c.y", "pid")
+
+
+def _verified(docs: DataFrame, groups: DataFrame, cells: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges between texts (pid) that meet in a cell and whose shingles are similar enough."""
+    asked = store(cells.select("pid").distinct(), "asked")
+    wanted = small(store(groups.join(small(asked), "pid").select("pid", F.col("first.id").alias("_id"), F.col("first.version").alias("_version")), "wanted"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")))
-    texts = texts.select("fp", "root", F.coalesce("text", F.lit("")).cast("binary").alias("words")).dropDuplicates(["fp"])
-    cells = texts.join(sizes, "root").withColumn("c", F.explode(dealt)).select(F.col("root").alias("key"), "c.x", "c.y", F.col("fp").alias("pid"), "words")
-    return similar_links(cells, similarity, size)
+    texts = store(texts.select("pid", F.coalesce("text", F.lit("")).cast("binary").alias("words")).dropDuplicates(["pid"]), "texts")
+    return similar_links(cells.join(texts, "pid").select("key", "x", "y", "pid", "words"), similarity, size)
 
 
 def deduplicate(
@@ -275,20 +297,25 @@ def deduplicate(
 ) -> DataFrame:
     """`docs` with one row of each class of near duplicates, all columns as they are.
 
-    Candidates are texts whose fingerprints over shingles of `fine` words differ in `radius` bits at most;
-    shingles shorter than `size` change less when words do, so that fewer bits find what is similar. Two
+    Candidates are texts whose fingerprints over shingles of `fine` words differ in `radius` bits at most.
+    Texts of the same words (A-Z in lower case) are one; two
     candidates are linked if the exact Jaccard similarity of their `size`-word shingles is `similarity` or
-    more; texts with one fingerprint are. The first of a class stays, by id (null last) and hash of the
+    more, whether their fingerprints are equal or not. The first of a class stays, by id (null last) and hash of the
     text; rows that repeat both are one. Texts without words are one class, null or not.
     """
-    rows = store(fingerprints(docs, fine, id_col, text_col), "fingerprints")
+    rows = store(_signatures(docs, fine, id_col, text_col), "fingerprints")
     place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version")
-    groups = store(rows.groupBy("fp").agg(F.min(place).alias("first")), "groups")
-    near = components(links(groups.select("fp"), radius))
-    known = _by_fingerprint(groups, components(_verified(docs, groups, near, size, similarity, id_col, text_col)), "first")
-    gone = store(rows.join(known, "fp").where(place != F.col("first")).select(id_col, "version").distinct(), "gone")
+    groups = rows.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("fp").alias("fp"))
+    groups = store(groups.withColumn("pid", F.monotonically_increasing_id()), "groups")
+    near = components(links(groups.select("fp").distinct(), radius))
+    cells = store(_fingerprint_cells(groups, near), "cells")
+    same = components(_verified(docs, groups, cells, size, similarity, id_col, text_col))
+    labelled = store(groups.select("pid", "digest", "first").join(same, F.col("pid") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "pid").alias("root")), "labelled")
+    least = store(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")
+    known = store(labelled.select("digest", "root").join(least, "root").select("digest", F.col("least").alias("first")), "known")
+    gone = store(rows.select(id_col, "version", "digest").join(known, "digest").where(place != F.col("first")).select(id_col, "version").distinct(), "gone")
     twice = store(rows.groupBy(id_col, "version").count().where("count > 1").select(id_col, "version"), "twice")
-    drop(rows, groups, near, known)
+    drop(rows, groups, near, cells, same, labelled, least, known)
     kept = without(docs, gone, id_col, text_col)
     if not twice.count():
         return kept

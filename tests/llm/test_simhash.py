@@ -158,3 +158,12 @@ def test_deduplicate_keeps_one_of_each_verified_class(spark):
     assert len(got) <= len(classes) + 3
     exact = [c for c, m in classes.items() if len({sh_t for sh_t in map(str, (t for _, t in m))}) == 1]
     assert all(len(kept[c]) == 1 for c in exact)
+
+
+def test_deduplicate_verifies_texts_of_one_fingerprint(spark):
+    rng = random.Random(3)
+    rows = [(i, "- " * 400 + " ".join(f"t{i}x{rng.random()}" for _ in range(300))) for i in range(6)]
+    rows += [(10 + i, t.upper()) for i, t in rows[:2]]
+    assert len({simhash.fingerprint(t.encode(), 2) for _, t in rows}) == 1
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(6))
