@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .paragraphs import similar_links
+from .paragraphs import _band_keys, _bounds, _cells, _grouped, bands, shingles, similar_links
 from .shared import VERSION, drop, give_back, small, store, wide_rows, without
 
 #: Children of an index node.
@@ -250,21 +250,34 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     return rows.join(known, "fp").select(F.col(id_col), "fp", "component_id")
 
 
-def _signatures(docs: DataFrame, fine: int, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, version, fp, digest) of every row: `fingerprints` and a digest of the exact words (A-Z in lower case)."""
+def _signatures(docs: DataFrame, fine: int, size: int, n_bands: int, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, version, fp, digest, bands) of every row: `fingerprints` over `fine` words, a digest of the exact
+    words (A-Z in lower case), and MinHash band keys of the set of `size`-word shingles."""
     wide_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary").alias("_text"))
     id_type = docs.select(id_col).schema[0].dataType
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            fps = np.array([fingerprint(t, fine) for t in texts], np.uint64)
-            digests = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64)), pa.array(digests, pa.binary())], names=[id_col, "version", "fp", "digest"])
+            done, hashes, starts, found = 0, [], [], []
+            for i, t in enumerate(batch.column(2)):
+                data = t.as_py()
+                words = (data or b"").lower().split()
+                starts.append(len(hashes))
+                hashes += [xxhash.xxh3_64_intdigest(s) for s in shingles(words, size)]
+                found.append((fingerprint(data, fine), xxhash.xxh3_128_digest(b" ".join(words))))
+                if len(hashes) < HASHES_AT_ONCE and i + 1 < batch.num_rows:
+                    continue
+                keys = _band_keys(np.array(hashes, np.uint64), np.array(starts), n_bands)
+                offsets = np.arange(len(found) + 1, dtype=np.int32) * n_bands
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+                fps = pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64))
+                ids = [c.slice(done, len(found)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*ids, fps, pa.array([d for _, d in found], pa.binary()), lists], names=[id_col, "version", "fp", "digest", "bands"])
+                done, hashes, starts, found = i + 1, [], [], []
         give_back()
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, version long, fp long, digest binary")
+    return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, version long, fp long, digest binary, bands array<bigint>")
 
 
 def _fingerprint_cells(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -276,6 +289,22 @@ def _fingerprint_cells(groups: DataFrame, found: DataFrame) -> DataFrame:
     return member.join(small(store(sizes, "sizes")), "key").select("key", "pid", F.explode(dealt).alias("c")).select("key", "c.x", "c.y", "pid")
 
 
+def _band_cells(groups: DataFrame) -> DataFrame:
+    """(key, x, y, pid): texts that share a MinHash band; key is a hash of a cell's members, so that equal cells are one."""
+
+    def named(batches):
+        for table in _grouped(batches, 3):
+            bounds, pids = _bounds(table, 3), table.column(3).to_numpy()
+            keys = np.empty(len(pids), np.int64)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                keys[lo:hi] = xxhash.xxh3_64_intdigest(np.sort(pids[lo:hi]).tobytes()) - (1 << 63)
+            zero = pa.array(np.zeros(len(pids), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), zero, zero, pa.array(pids)], names=["key", "x", "y", "pid"])
+        give_back()
+
+    return _cells(groups.select("pid", "bands")).mapInArrow(named, "key long, x int, y int, pid long")
+
+
 def _verified(docs: DataFrame, groups: DataFrame, cells: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Edges between texts (pid) that meet in a cell and whose shingles are similar enough."""
     asked = store(cells.select("pid").distinct(), "asked")
@@ -297,18 +326,19 @@ def deduplicate(
 ) -> DataFrame:
     """`docs` with one row of each class of near duplicates, all columns as they are.
 
-    Candidates are texts whose fingerprints over shingles of `fine` words differ in `radius` bits at most.
-    Texts of the same words (A-Z in lower case) are one; two
-    candidates are linked if the exact Jaccard similarity of their `size`-word shingles is `similarity` or
+    Candidates are texts whose fingerprints over shingles of `fine` words differ in `radius` bits at most, and
+    texts that share a MinHash band of their `size`-word shingles, which finds a pair that is just similar
+    enough with a chance of paragraphs.RECALL whatever the edit and the length. Texts of the same words (A-Z
+    in lower case) are one; two candidates are linked if the exact Jaccard similarity of their `size`-word shingles is `similarity` or
     more, whether their fingerprints are equal or not. The first of a class stays, by id (null last) and hash of the
     text; rows that repeat both are one. Texts without words are one class, null or not.
     """
-    rows = store(_signatures(docs, fine, id_col, text_col), "fingerprints")
+    rows = store(_signatures(docs, fine, size, bands(similarity), id_col, text_col), "fingerprints")
     place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version")
-    groups = rows.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("fp").alias("fp"))
+    groups = rows.groupBy("digest").agg(F.min(place).alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     groups = store(groups.withColumn("pid", F.monotonically_increasing_id()), "groups")
     near = components(links(groups.select("fp").distinct(), radius))
-    cells = store(_fingerprint_cells(groups, near), "cells")
+    cells = store(_fingerprint_cells(groups, near).union(_band_cells(groups)).distinct(), "cells")
     same = components(_verified(docs, groups, cells, size, similarity, id_col, text_col))
     labelled = store(groups.select("pid", "digest", "first").join(same, F.col("pid") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "pid").alias("root")), "labelled")
     least = store(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")

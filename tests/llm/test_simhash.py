@@ -167,3 +167,36 @@ def test_deduplicate_verifies_texts_of_one_fingerprint(spark):
     assert len({simhash.fingerprint(t.encode(), 2) for _, t in rows}) == 1
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in out.collect()) == list(range(6))
+
+
+def edited_pairs(each=60):
+    """(kind, text, edited text) with 5-word similarity of 0.8 or more, by kind of edit and length."""
+    rng = random.Random(21)
+    out = []
+    for n in (8, 12, 50, 400):
+        for kind in ("appended", "cut", "prepended", "replaced"):
+            for _ in range(each):
+                w = [f"w{rng.randrange(5000)}" for _ in range(n)]
+                k = max(1, (n - 4) // 5 if kind in ("appended", "prepended") else (n - 4) // 6)
+                block = [f"new{rng.randrange(5000)}" for _ in range(k)]
+                if kind == "replaced":
+                    at = rng.randrange(n)
+                    e = w[:at] + ["edited"] + w[at + 1 :]
+                else:
+                    e = {"appended": w + block, "cut": w[:-k], "prepended": block + w}[kind]
+                a, b = ({" ".join(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (w, e))
+                if len(a & b) >= 0.8 * len(a | b):
+                    out.append((f"{kind}, {n} words", " ".join(w), " ".join(e)))
+    return out
+
+
+def test_deduplicate_recall_by_edit_and_length(spark):
+    pairs = edited_pairs()
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p[1:])]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    found = {}
+    for i, (kind, *_) in enumerate(pairs):
+        found.setdefault(kind, []).append(2 * i + 1 not in kept)
+    print({k: f"{sum(v)} of {len(v)}" for k, v in found.items()})
+    assert len(found) >= 12 and all(sum(v) >= 0.95 * len(v) for v in found.values())
