@@ -4,21 +4,25 @@ Paragraphs (lines) of enough words are first grouped by their exact words, so th
 MinHash signatures of the distinct ones are cut into bands; paragraphs that share a band are compared by the
 exact Jaccard similarity of their word shingles, and the links found make components. Of every component one
 occurrence stays, the others are removals.
+
+Passages that repeat word by word are found wherever lines end: runs of SEED words are picked from the word
+sequence by their hashes (winnowing), those that occur twice are joined and extended to the whole repeated run.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import _ID, VERSION, drop, give_back, small, store, wide_rows
+from .shared import _ID, VERSION, drop, give_back, small, store, wide_rows, without
 
 _GONE = "__lodestream_gone"
 
@@ -34,6 +38,10 @@ LARGE_BUCKET = 512
 #: One in so many paragraphs is looked at to find large buckets; what it misses makes a cell larger, no more.
 SAMPLE = 16
 SHINGLES_AT_ONCE = 1 << 16
+#: Words of a seed, and successive seeds of which the least is picked: a repeated run of SEED + PICK - 1 words holds a picked one.
+SEED = 20
+PICK = 20
+_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 def bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -251,3 +259,207 @@ def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn(text_col, text).where(F.col(_GONE).isNull() | F.col(text_col).rlike(r"\S"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _picked(hashes: np.ndarray) -> np.ndarray:
+    """Places of the seeds of a word sequence: the least of every PICK successive ones."""
+    n = len(hashes) - SEED + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    seeds = np.zeros(n, np.uint64)
+    for i in range(SEED):
+        seeds = seeds * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    seeds ^= seeds >> np.uint64(29)
+    seeds *= np.uint64(0xBF58476D1CE4E5B9)
+    seeds ^= seeds >> np.uint64(32)
+    windows = np.lib.stride_tricks.sliding_window_view(seeds, min(PICK, n))
+    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+
+
+def _seeds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, version, pos (the number of its first word), seed (digest of its words) of every picked seed."""
+    wide_rows(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary"))
+    id_type = rows.schema[0].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, places, seeds = [], [], []
+            for i, t in enumerate(batch.column(2)):
+                words = (t.as_py() or b"").lower().split()
+                at = _picked(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
+                rows += [i] * len(at)
+                places += at.tolist()
+                seeds += [xxhash.xxh3_128_digest(b" ".join(words[p : p + SEED])) for p in at.tolist()]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(seeds, pa.binary())], names=["id", "version", "pos", "seed"])
+        give_back()
+
+    return rows.mapInArrow(run, f"id {id_type}, version long, pos int, seed binary")
+
+
+def _edges(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each (id, version, first, last) of `runs`, its words first to last - 1: hashes of the PICK - 1 words before
+    and after it, outwards, and starts, line numbers and ends in the text for each of the extents that these allow."""
+    asked = runs.groupBy(F.col("id").alias(_ID), F.col("version").alias(VERSION)).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    asked = store(asked, "asked")
+    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
+    rows = docs.select(id_col, text_col).join(small(asked, runs.count()), same).select(F.col(_ID).alias("id"), F.col(VERSION).alias("version"), "runs", F.col(text_col).alias("text"))
+    rows = rows.select("id", "version", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"), "text")
+    id_type = rows.schema[0].dataType.simpleString()
+    names = ["id", "version", "first", "last", "before", "after", "starts", "lines", "ends"]
+
+    def run(batches):
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        types = [None, pa.int64(), pa.int32(), pa.int32(), longs, longs, ints, ints, ints]
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for key, version, firsts, lasts, text in zip(*[c.to_pylist() if i < 4 else c for i, c in enumerate(batch.columns)]):
+                text = text.as_py()
+                spans = [m.span() for m in _WORD.finditer(text)]
+                breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+
+                def hashed(numbers):
+                    return [xxhash.xxh3_64_intdigest(text[slice(*spans[n])].encode().lower()) - (1 << 63) for n in numbers]
+
+                for a, b in zip(firsts, lasts):
+                    left, right = range(a - 1, max(a - PICK, -1), -1), range(b, min(b + PICK - 1, len(spans)))
+                    starts = [spans[n][0] for n in (a, *left)]
+                    lines = np.searchsorted(breaks, starts).tolist()
+                    out.append((key, version, a, b, hashed(left), hashed(right), starts, lines, [spans[n][1] for n in (b - 1, *right)]))
+                    if len(out) >= 1 << 12:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t or kind) for i, t in enumerate(types)], names=names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t or kind) for i, t in enumerate(types)], names=names)
+        give_back()
+
+    schema = f"id {id_type}, version long, first int, last int, before array<bigint>, after array<bigint>, starts array<int>, lines array<int>, ends array<int>"
+    return rows.mapInArrow(run, schema)
+
+
+def _alike(a: str, b: str):
+    """Column: how many leading elements of two arrays are equal."""
+    equal = F.transform(F.arrays_zip(F.col(a).alias("p"), F.col(b).alias("q")), lambda x: F.coalesce(x["p"] == x["q"], F.lit(False)))
+    return (F.array_position(F.concat(equal, F.array(F.lit(False))), False) - 1).cast("int")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Every run of SEED words or more that repeats word by word, wherever lines end: the columns of `repeated`.
+
+    paragraph is the number of the line where the run begins, start and length are in characters. A run's words
+    stand at an earlier place too (by id, null last, text hash and place), which class_id and class_paragraph
+    name; that place has a row with removed = false. A whole text that repeats is one run. Every repeated run of SEED + PICK - 1 words (39) is found,
+    a shorter one of SEED words by chance. Runs that overlap have a row each. Rows that repeat id and text count
+    as one document. The tables that the result is read from are added to `scratch`.
+    """
+    every = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"))
+    ids = store(every.distinct(), "ids")
+    twice = every.count() > ids.count()
+    firsts = store(ids.groupBy("version").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("k"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copies = store(ids.join(small(firsts), "version").where(F.struct(F.col("id").isNull().alias("no_id"), "id") != F.col("k")).select("id", "version", F.col("k.id").alias("of_id")), "copies")
+    texts = without(docs.select(id_col, text_col), copies.select(F.col("id").alias(id_col), "version"), id_col, text_col)
+    seeds = store(_seeds(texts, id_col, text_col), "seeds")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "pos")
+    twins = store(seeds.groupBy("seed").count().where("count > 1").select("seed"), "twins")
+    again = store(seeds.join(small(twins), "seed"), "again")
+    drop(seeds, twins)
+    known = store(again.groupBy("seed").agg(F.min(place).alias("of")), "classes")
+    hits = again.join(small(known), "seed").where(place != F.col("of")).select("id", "version", "pos", F.col("of.id").alias("of_id"), F.col("of.version").alias("of_version"), (F.col("pos") - F.col("of.pos")).alias("by"))
+    hits = store(hits.distinct(), "hits")
+    drop(again, known, ids, firsts)
+    keys = ["id", "version", "of_id", "of_version", "by"]
+    order = Window.partitionBy(*keys).orderBy("pos")
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(order) > SEED).cast("int"), F.lit(1))
+    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*keys, "run").agg(F.min("pos").alias("first"), (F.max("pos") + SEED).cast("int").alias("last")).drop("run")
+    runs = store(runs.withColumn("of_first", (F.col("first") - F.col("by")).cast("int")).withColumn("of_last", (F.col("last") - F.col("by")).cast("int")), "runs")
+    drop(hits)
+    own = runs.select("id", "version", "first", "last")
+    others = runs.select(F.col("of_id").alias("id"), F.col("of_version").alias("version"), F.col("of_first").alias("first"), F.col("of_last").alias("last"))
+    asked = store(own.union(others).distinct(), "asked")
+    edges = _edges(docs, asked, id_col, text_col)
+    edges = store(edges.dropDuplicates(["id", "version", "first", "last"]) if twice else edges, "edges")
+    there = edges.select(*[F.col(c).alias("of_" + c) for c in edges.columns])
+    joined = runs.withColumnsRenamed({c: "r_" + c for c in ("id", "version", "first", "last")})
+    for side, left in ((edges, "r_"), (there.withColumnsRenamed({c: "t_" + c for c in ("of_id", "of_version", "of_first", "of_last")}), "of_")):
+        right = "" if left == "r_" else "t_of_"
+        same = F.col(left + "id").eqNullSafe(F.col(right + "id"))
+        for c in ("version", "first", "last"):
+            same = same & (F.col(left + c) == F.col(right + c))
+        joined = joined.join(side, same)
+    joined = joined.withColumn("more", _alike("before", "of_before")).withColumn("on", _alike("after", "of_after"))
+
+    def at(column, extent):
+        return F.element_at(column, F.col(extent) + 1).cast("long")
+
+    n_words = (F.col("r_last") - F.col("r_first") + F.col("more") + F.col("on")).cast("long")
+    ends = [at(p + c, e).alias(p + n) for p in ("", "of_") for c, e, n in (("starts", "more", "start"), ("ends", "on", "end"), ("lines", "more", "line"))]
+    slim = store(joined.select("r_id", "r_version", "of_id", "of_version", n_words.alias("n_words"), *ends).distinct(), "extended")
+    rows = [(slim, "r_", "", True), (slim, "of_", "of_", False)]
+    words = F.size(F.filter(F.split(text_col, r"[ \t\n\r\x0b\f]+"), lambda w: w != "")).cast("long")
+    same = F.col(id_col).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_col) == F.col("r_version"))
+    whole = docs.select(id_col, text_col).join(small(copies.select(F.col("id").alias("r_id"), F.col("version").alias("r_version"), "of_id")), same)
+    spans = [F.lit(0).cast("long").alias("start"), F.length(text_col).cast("long").alias("end"), F.lit(0).cast("long").alias("line")]
+    whole = whole.select("r_id", "r_version", "of_id", F.col("r_version").alias("of_version"), words.alias("n_words"), *spans, F.lit(0).alias("of_line"))
+    whole = whole.where(F.col("n_words") >= SEED)
+    rows += [(whole, "r_", "", True), (whole, "of_", "", False)]
+    out = None
+    for table, key, p, removed in rows:
+        part = table.select(
+            F.col(key + "id").alias(id_col), F.col(key + "version").alias("version"), F.col(p + "line").cast("int").alias("paragraph"), F.col(p + "start").alias("start"),
+            (F.col(p + "end") - F.col(p + "start")).alias("length"), "n_words", F.col("of_id").alias("class_id"), F.col("of_line").cast("int").alias("class_paragraph"), F.lit(removed).alias("removed"),
+        )
+        out = part if out is None else out.union(part)
+    found = store(out.distinct(), "passages")
+    drop(copies, runs, asked, edges, slim)
+    if scratch is not None:
+        scratch.append(found)
+    return found
+
+
+def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the characters that `found` (see `passages`) marks as removed; documents of which no word is
+    left go, unless they had none before. Other columns stay as they are."""
+    span = F.struct(F.col("start").cast("int").alias("a"), (F.col("start") + F.col("length")).cast("int").alias("b"))
+    gone = found.where("removed").groupBy(F.col(id_col).alias(_ID), F.col("version").alias(VERSION)).agg(F.array_sort(F.collect_set(span)).alias(_GONE))
+    gone = store(gone, "gone")
+    many = gone.agg(F.coalesce(F.sum(F.size(_GONE) + 1), F.lit(0))).first()[0]
+    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
+    joined = docs.join(small(gone, many // 2), same, "left")
+
+    def rest(text, spans):
+        if spans is None:
+            return text
+        out, at = [], 0
+        for a, b in spans:
+            out.append(text[at:a])
+            at = max(at, b)
+        return "".join(out) + text[at:]
+
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(len(names))
+            if spans.null_count < batch.num_rows:
+                texts = [t.as_py() if s is None else rest(t.as_py(), [(x["a"], x["b"]) for x in s]) for t, s in zip(batch.column(place), spans.to_pylist())]
+                keep = pa.array([s is None or bool(_WORD.search(t)) for t, s in zip(texts, spans.to_pylist())])
+                columns = [pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+            else:
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+        give_back()
+
+    return joined.select(*[F.col(f"`{c}`") for c in names], _GONE).mapInArrow(run, docs.schema)
+
+
+def everywhere(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `repeated`, and those of `passages` that don't lie in a line which `repeated` removes."""
+    docs = docs.select(id_col, text_col)
+    lines = store(repeated(docs, id_col=id_col, text_col=text_col, **options), "lines")
+    found = passages(docs, id_col, text_col)
+    gone = lines.where("removed").select(F.col(id_col).alias(_ID), F.col("version").alias(VERSION), F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b")).distinct()
+    inside = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.col("version") == F.col(VERSION)) & (F.col("start") >= F.col("a")) & (F.col("start") + F.col("length") <= F.col("b"))
+    return lines.union(found.join(gone, inside, "left_anti"))

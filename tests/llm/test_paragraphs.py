@@ -87,3 +87,26 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert paragraphs.repeated(docs).collect() == []
     assert paragraphs.bands(0.8) == 11
+
+
+def test_passages_mid_line_and_wrapped(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    p, q = words(60), words(60)
+    wrapped = "\n".join(" ".join(q.split()[k : k + 9]) for k in range(0, 60, 9))
+    heads, tails = [words(90) for _ in range(6)], [words(140) for _ in range(6)]
+    middle = [p, p.upper(), q, wrapped, p + " " + words(3) + " " + p, words(60)]
+    rows = [(i, f"{h} {m} {t}", "z") for i, (h, m, t) in enumerate(zip(heads, middle, tails))] + [(7, None, "z"), (8, "", "z"), (None, f"é {p}\nx", "z"), (50, words(15) + "\n" + words(15), "z")]
+    rows.append((51, rows[-1][1], "z"))
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string")
+    assert not [r for r in paragraphs.repeated(docs).collect() if r.doc_id in (0, 1, 2, 3, 4, 5)]
+    found = paragraphs.everywhere(docs)
+    assert sorted({(r.doc_id, r.class_id, r.n_words) for r in found.collect() if r.removed and r.doc_id is not None and r.n_words == 60}) == [(1, 0, 60), (3, 2, 60), (4, 0, 60)]
+    out = {r.doc_id: r.text for r in paragraphs.remove_passages(docs, paragraphs.passages(docs)).collect()}
+    assert {i: " ".join((t or "").split()) for i, t in out.items()} == {
+        0: f"{heads[0]} {p} {tails[0]}", 1: f"{heads[1]} {tails[1]}", 2: f"{heads[2]} {q} {tails[2]}", 3: f"{heads[3]} {tails[3]}",
+        4: f"{heads[4]} {' '.join(middle[4].split()[60:63])} {tails[4]}", 5: rows[5][1], 7: "", 8: "", None: "é x", 50: " ".join(rows[-1][1].split()),
+    }
