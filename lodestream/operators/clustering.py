@@ -32,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def dbscan(df: DataFrame, id_col: str, coords: list[str], eps: float, least: int) -> DataFrame:
-    """Id, cluster (the least core id of it; null for noise), core. A row counts itself among its neighbours.
+    """Id, cluster (the least core id of it; null for noise), core. A row counts itself among its neighbours.
 
     Border rows, which several clusters may reach, join that of their least core neighbour.
     """

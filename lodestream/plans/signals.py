@@ -131,7 +131,7 @@ def spectra(spark, sf):
 
 @query()
 def relative_polarity(spark, sf):
-    """G27, G28"""
+    """G27"""
     return _pairs(spark, sf).select("vec_id", K.on_arrays(lambda a, b: K.relative_polarity(a, b, 0.2), "double", "y", "x").alias("polarity"))
 
 

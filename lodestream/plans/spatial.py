@@ -108,7 +108,7 @@ SELECT s_suppkey, arg_min(cluster, (p.a <> p.b, p.b)) AS cluster, s_suppkey IN (
 FROM supplier LEFT JOIN (p JOIN k ON k.id = p.b) ON p.a = s_suppkey GROUP BY s_suppkey""".replace("""i AS (SELECT id, v, sum(CASE WHEN v - lag(v) OVER (ORDER BY v, id) <= 120 THEN 0 ELSE 1 END) OVER (ORDER BY v, id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT id, v, lag(v) OVER (ORDER BY v, id) FROM o)),
 """, ""))
 def dbscan(spark, sf):
-    """In one dimension, where runs of core rows are the clusters"""
+    """In one dimension, where runs of core rows are the clusters"""
     return C.dbscan(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], 120.0, 3)
 
 
@@ -136,7 +136,7 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec
 r AS (SELECT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
 SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def single_linkage(spark, sf):
-    """C03, C04, C06, C08"""
+    """C03, C04, C06"""
     return C.single_linkage(_cosine(spark, sf), "a", "b", "d", 0.7)
 
 
