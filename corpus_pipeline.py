@@ -32,12 +32,9 @@ def drop_near_copies(spark, docs, sf_dir):
 
 
 def drop_repeated_paragraphs(spark, docs, sf_dir):
-    """Texts without the paragraphs and passages that another text, or an earlier place, holds; n_chars follows the text."""
+    """Texts without the spans that another text, or an earlier place, holds; n_chars follows the text."""
     scratch = []
-    lines = shared.store(paragraphs.remove(docs, paragraphs.repeated(docs, similarity=0.8, size=5, scratch=scratch)), "lines")
-    shared.drop(*scratch)
-    scratch = []
-    out = paragraphs.remove_passages(lines, paragraphs.passages(lines, scratch=scratch))
+    out = shared.store(paragraphs.remove(docs, paragraphs.repeated(docs, similarity=0.8, size=5, scratch=scratch)), "rest")
     shared.drop(*scratch)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 

@@ -1,17 +1,15 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs (lines) of enough words are first grouped by their exact words, so that copies count once. The
-MinHash signatures of the distinct ones are cut into bands; paragraphs that share a band are compared by the
-exact Jaccard similarity of their word shingles, and the links found make components. Of every component one
-occurrence stays, the others are removals.
-
-Passages that repeat word by word are found wherever lines end: runs of SEED words are picked from the word
-sequence by their hashes (winnowing), those that occur twice are joined and extended to the whole repeated run.
+Paragraphs are cut by content and not at line ends: a cut lies where the hash of two words is the least among its
+neighbours, so a passage that repeats is cut alike wherever it stands, and every word lies in a paragraph. Equal
+paragraphs count once. The MinHash signatures of the distinct ones are cut into bands; paragraphs that share a band
+are compared by the exact Jaccard similarity of their word shingles, and the links found make components. Of every
+component one occurrence stays, the others are removals: adjacent ones are joined, and the ends of what is joined
+move out word by word as far as the text agrees with the occurrence that they were matched with.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import accumulate
 from math import ceil, log
 
@@ -22,29 +20,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import _ID, VERSION, drop, give_back, small, store, wide_rows, without
+from .shared import _ID, VERSION, drop, give_back, small, store, wide_rows
 
 _GONE = "__lodestream_gone"
 
-#: Words of a shingle, least similarity of a link, and least words of a paragraph that is looked at.
+#: Words of a shingle, and least similarity of a link.
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Pairs of words on either side among which a cut has the least hash: paragraphs have 13 words on average, 7 at least,
+#: and a passage of 51 words holds a whole one with a chance of 0.979 (55: 0.992, 60: 0.998; by simulation).
+REACH = 6
+#: Words beyond which a paragraph is cut again, every half of it: text without a least hash, as one word repeated.
+LONGEST = 64
+#: Least words of a removal.
 MIN_WORDS = 20
-#: Minima in a band, and the least chance that a pair just similar enough shares a band.
+#: Words between two removals up to which these become one.
+GAP = 4
+#: Minima in a band of whole documents and of paragraphs, and the least chance that a pair just similar enough shares a band.
 BAND_ROWS = 4
-RECALL = 0.995
-#: Paragraphs of a band's bucket beyond which it is split into cells, each task getting two parts of it.
+PARAGRAPH_ROWS = 2
+RECALL = 0.99
+#: Members of a band's bucket beyond which it is split into cells, each task getting two parts of it.
 LARGE_BUCKET = 512
-#: One in so many paragraphs is looked at to find large buckets; what it misses makes a cell larger, no more.
+#: One in so many members is looked at to find large buckets; what it misses makes a cell larger, no more.
 SAMPLE = 16
-SHINGLES_AT_ONCE = 1 << 16
-#: Words of a seed, and successive seeds of which the least is picked: a repeated run of SEED + PICK - 1 words holds a picked one.
-SEED = 20
-PICK = 20
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Bytes of text that a task hashes at once, beyond a single text.
+BYTES_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 12
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+_STEP = 0x9FB21C651E98DF25
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _letters() -> np.ndarray:
+    """A random number for each byte, capital letters A-Z having those of the small ones."""
+    values = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    values[65:91] = values[97:123]
+    return values
+
+
+_LETTERS = _letters()
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2^64."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(n, BYTES_AT_ONCE), base, np.uint64)
+        steps[0] = 1
+        have = np.cumprod(steps)
+        if n <= 4 * BYTES_AT_ONCE:
+            _POWERS[base] = have
+    return have[:n]
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
 
-def bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
+
+def bands(similarity: float, recall: float = 0.995, rows: int = BAND_ROWS) -> int:
     """Bands of `rows` minima that a pair of this similarity shares one of with a chance of `recall`."""
     return ceil(log(1 - recall) / log(1 - similarity**rows))
 
@@ -62,13 +100,13 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(6).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _band_keys(hashes: np.ndarray, starts: np.ndarray, n_bands: int) -> np.ndarray:
-    """A 64-bit key for each paragraph (its hashes begin at `starts`) and band."""
+def _band_keys(hashes: np.ndarray, starts: np.ndarray, n_bands: int, rows: int = BAND_ROWS) -> np.ndarray:
+    """A 64-bit key for each text (its hashes begin at `starts`) and band of `rows` minima."""
     keys = np.empty((len(starts), n_bands), np.uint64)
-    factors = _multipliers(n_bands * BAND_ROWS)
+    factors = _multipliers(n_bands * rows)
     for b in range(n_bands):
         key = np.full(len(starts), b + 1, np.uint64)
-        for m in factors[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
+        for m in factors[b * rows : (b + 1) * rows]:
             low = np.minimum.reduceat((hashes * m) >> np.uint64(8), starts)
             key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
@@ -76,48 +114,126 @@ def _band_keys(hashes: np.ndarray, starts: np.ndarray, n_bands: int) -> np.ndarr
     return keys
 
 
-def paragraphs(docs: DataFrame, n_bands: int, min_words: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Every paragraph of min_words or more: id_col, version (hash of the text), paragraph (its number, from 0),
-    start and length (characters of the text), n_words, words (joined, A-Z in lower case), digest, bands."""
+class _Cut:
+    """Texts (bytes `data`, text i from offsets[i] to offsets[i + 1]) cut into words and paragraphs.
+
+    data and offsets as given; starts, ends (bytes) and hashes of all words; of_text: the first word of each text, and the number of words;
+    first: the first word of each paragraph, and the number of words; text: the text of each paragraph.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        solid = ~_SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        self.starts = np.flatnonzero(solid & ~(np.r_[False, solid[:-1]] & ~edge[:-1]))
+        self.ends = np.flatnonzero(solid & ~(np.r_[solid[1:], False] & ~edge[1:])) + 1
+        sums = np.r_[np.uint64(0), np.cumsum(_LETTERS[data] * _powers(_STEP, len(data)))]
+        back = _powers(pow(_STEP, -1, 1 << 64), len(data) + 1)[self.starts]
+        self.hashes = _mixed((sums[self.ends] - sums[self.starts]) * back + (self.ends - self.starts).astype(np.uint64) * _MIX[2])
+        self.of_text = np.searchsorted(self.starts, offsets)
+        self.first = self._paragraphs()
+        self.text = np.searchsorted(self.of_text, self.first[:-1], side="right") - 1
+
+    def _paragraphs(self) -> np.ndarray:
+        n = len(self.hashes)
+        begins = np.unique(self.of_text[:-1][np.diff(self.of_text) > 0])
+        if n > 2 * REACH + 1:
+            pair = _mixed(self.hashes[:-1] * _MIX[2] + self.hashes[1:])
+            low, width = pair, 1
+            while 2 * width <= REACH:
+                low, width = np.minimum(low[:-width], low[width:]), 2 * width
+            low = np.minimum(low[: len(pair) - REACH + 1], low[REACH - width : len(pair) - width + 1])  # of REACH pairs from each place
+            at = np.arange(REACH, len(pair) - REACH)
+            least = (pair[at] < low[at - REACH]) & (pair[at] <= low[at + 1])
+            text = np.searchsorted(self.of_text, at, side="right") - 1
+            inside = (at - REACH >= self.of_text[text]) & (at + REACH + 1 < self.of_text[text + 1])
+            begins = np.union1d(begins, at[least & inside])
+        first = np.r_[begins, n].astype(np.int64)
+        long = np.flatnonzero(np.diff(first) > LONGEST)
+        more = [np.arange(first[i], first[i + 1] - LONGEST // 2, LONGEST // 2) for i in long.tolist()]
+        return np.unique(np.concatenate([first, *more])) if more else first
+
+    def digests(self) -> np.ndarray:
+        """A 64-bit digest of the words of every paragraph."""
+        size = np.diff(self.first)
+        if not len(size):
+            return np.empty(0, np.uint64)
+        place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], size)
+        return _mixed(np.add.reduceat(_mixed(self.hashes + (place + 1).astype(np.uint64) * _MIX[2]), self.first[:-1]) ^ size.astype(np.uint64))
+
+    def keys(self, digests: np.ndarray, chosen: np.ndarray, size: int, n_bands: int) -> np.ndarray:
+        """Band keys of the chosen paragraphs, by shingles of `size` words."""
+        value = self.hashes
+        for _ in range(size - 1):
+            value = np.r_[value[1:], np.uint64(0)] * _MIX[1] + self.hashes
+        value = _mixed(value)
+        n_words = np.diff(self.first)[chosen]
+        count = np.maximum(n_words - size + 1, 1)
+        ends = np.cumsum(count)
+        starts = ends - count
+        places = np.arange(ends[-1]) - np.repeat(starts, count) + np.repeat(self.first[:-1][chosen], count)
+        values = value[places]
+        values[starts[n_words < size]] = digests[chosen][n_words < size]
+        return _band_keys(values, starts, n_bands, PARAGRAPH_ROWS)
+
+
+def _cuts(column: pa.Array):
+    """(first text, _Cut) of successive texts of a binary column, some BYTES_AT_ONCE at a time."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BYTES_AT_ONCE, side="right")) - 1)
+        yield lo, _Cut(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        lo = hi
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     wide_rows(docs.sparkSession)
-    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), F.col(text_col))
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    names = [id_col, "version", "paragraph", "start", "length", "n_words", "words", "digest", "bands"]
-    types = [None, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), *more, F.col(text_col).cast("binary").alias("text"))
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every paragraph of every text: id, version (hash of the text), unit (its number), pid (digest of its words)."""
+    rows = _rows(docs, id_col, text_col)
 
     def run(batches):
-        found, hashes, starts = [], [], []
-
-        def flush(id_type):
-            keys = _band_keys(np.array(hashes, np.uint64), np.array(starts), n_bands)
-            columns = [pa.array([f[i] for f in found], t or id_type) for i, t in enumerate(types[:-1])]
-            offsets = np.arange(len(found) + 1, dtype=np.int32) * n_bands
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())))
-            out = pa.RecordBatch.from_arrays(columns, names=names)
-            for x in (found, hashes, starts):
-                x.clear()
-            return out
+        for batch in batches:
+            for lo, cut in _cuts(batch.column(2)):
+                if len(cut.text):
+                    at = pa.array(cut.text + lo)
+                    number = np.arange(len(cut.text)) - np.searchsorted(cut.text, cut.text)
+                    columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(cut.digests().view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "unit", "pid"])
+        give_back()
 
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, version long, unit int, pid long")
+
+
+def signatures(docs: DataFrame, n_bands: int, size: int, text_col: str = "text", share: int = 1) -> DataFrame:
+    """(pid, bands): MinHash band keys of the paragraphs of all texts, once for each batch of texts; of one in `share` pids."""
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
+    wide_rows(docs.sparkSession)
+
+    def run(batches):
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for doc_id, version, text in zip(*[c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns)]):
-                at = 0
-                for n, line in enumerate((text.as_py() or "").split("\n")):
-                    words = line.encode().lower().split()
-                    if len(words) >= max(1, min_words):
-                        joined = b" ".join(words)
-                        starts.append(len(hashes))
-                        hashes += [xxhash.xxh3_64_intdigest(s) for s in shingles(words, size)]
-                        found.append((doc_id, version, n, at, len(line), len(words), joined, xxhash.xxh3_128_digest(joined)))
-                        if len(hashes) >= SHINGLES_AT_ONCE:
-                            yield flush(kind)
-                    at += len(line) + 1
-            if found:
-                yield flush(kind)
+            known = np.empty(0, np.uint64)
+            for _, cut in _cuts(batch.column(0)):
+                digests = cut.digests()
+                pids, chosen = np.unique(digests, return_index=True)
+                new = ~np.isin(pids, known) & (pids % np.uint64(share) == 0)
+                pids, chosen = pids[new], chosen[new]
+                if len(pids):
+                    known = np.union1d(known, pids)
+                    keys = cut.keys(digests, chosen, size, n_bands)
+                    offsets = np.arange(len(pids) + 1, dtype=np.int32) * n_bands
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(pids.view(np.int64)), lists], names=["pid", "bands"])
         give_back()
 
-    schema = f"`{id_col}` {id_type}, version long, paragraph int, start long, length long, n_words long, words binary, digest binary, bands array<bigint>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "pid long, bands array<bigint>")
 
 
 def _grouped(batches, key_columns: int):
@@ -142,12 +258,14 @@ def _bounds(table: pa.Table, key_columns: int) -> np.ndarray:
     return np.r_[np.flatnonzero(first), table.num_rows]
 
 
-def _cells(distinct: DataFrame) -> DataFrame:
-    """(key, x, y, pid): paragraphs by band, large buckets dealt out so that every two members meet in a cell;
-    cells of a single paragraph are left out."""
+def _cells(distinct: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
+    """(key, x, y, pid): members by band, large buckets dealt out so that every two members meet in a cell; cells of
+    a single member are left out. `sampled` has one in SAMPLE of the members, if they aren't to be read twice."""
     rows = distinct.select("pid", F.explode("bands").alias("key"))
-    sampled = rows.where(F.pmod(F.xxhash64("pid"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
-    large = store(sampled.where(F.col("n") > LARGE_BUCKET // SAMPLE).select("key", F.ceil(F.col("n") * SAMPLE / (LARGE_BUCKET // 2)).cast("int").alias("parts")), "large")
+    if sampled is None:
+        sampled = distinct.where(F.pmod(F.xxhash64("pid"), F.lit(SAMPLE)) == 0)
+    counts = sampled.distinct().select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    large = store(counts.where(F.col("n") > LARGE_BUCKET // SAMPLE).select("key", F.ceil(F.col("n") * SAMPLE / (LARGE_BUCKET // 2)).cast("int").alias("parts")), "large")
     some = large.count()
     if some:
         own = F.pmod(F.xxhash64("pid", F.lit(1)), "parts").cast("int")
@@ -160,6 +278,9 @@ def _cells(distinct: DataFrame) -> DataFrame:
 
     def shared(batches):
         for table in _grouped(batches, 3):
+            columns = [table.column(i).to_numpy() for i in range(4)]
+            again = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+            table = table.filter(pa.array(np.r_[True, ~again]))
             bounds = _bounds(table, 3)
             size = np.diff(bounds)
             keep = np.repeat(size > 1, size)
@@ -167,7 +288,7 @@ def _cells(distinct: DataFrame) -> DataFrame:
                 yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
         give_back()
 
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(shared, "key long, x int, y int, pid long")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "pid").mapInArrow(shared, "key long, x int, y int, pid long")
 
 
 def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -205,222 +326,214 @@ def _similar(a: set, b: set, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def repeated(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    size: int = SHINGLE,
-    min_words: int = MIN_WORDS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    scratch: list[DataFrame] | None = None,
-) -> DataFrame:
-    """Every occurrence of a paragraph that repeats: id_col, version, paragraph, start, length, n_words,
-    class_id and class_paragraph (where the occurrence that stays lies), removed.
-
-    Paragraphs are the lines of a text with `min_words` words or more. Two are linked if the Jaccard
-    similarity of their `size`-word shingles is `similarity` or more, and a class is what links reach. The
-    first occurrence stays, by id (null last), text hash and place. Rows that repeat id and text count as
-    one document. Null and empty texts have no paragraphs; an empty table gives an empty result. Banding
-    finds a pair that is just similar enough with a chance of RECALL, and a more similar one more surely.
-    Other columns are not read. The tables that the result is read from are added to `scratch`.
-    """
-    lines = store(paragraphs(docs, bands(similarity), min_words, size, id_col, text_col), "paragraphs")
-    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version", "paragraph")
-    groups = lines.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("bands").alias("bands"))
-    distinct = store(groups.withColumn("pid", F.monotonically_increasing_id()), "distinct")
-    cells = store(_cells(distinct.select("pid", "bands")), "cells")
-    wanted = store(cells.select("pid").distinct().join(distinct.select("pid", "digest"), "pid"), "wanted")
-    texts = lines.select("digest", "words").join(small(wanted), "digest").groupBy("pid").agg(F.any_value("words").alias("words"))
-    edges = similar_links(cells.join(store(texts, "texts"), "pid").select("key", "x", "y", "pid", "words"), similarity, size)
-    found = components(edges)
-    labelled = distinct.select("pid", "digest", "first", "last").join(found, F.col("pid") == F.col("node"), "left")
-    labelled = labelled.select("digest", "first", "last", F.coalesce("root", "pid").alias("root"))
-    classes = labelled.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
-    known = store(labelled.select("digest", "root").join(classes.select("root", "first"), "root").select("digest", "first"), "classes")
-    here = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "version", "paragraph")
-    drop(distinct, cells, wanted, found)
-    if scratch is not None:
-        scratch += [lines, known]
-    return lines.select(id_col, "version", "paragraph", "start", "length", "n_words", "digest").join(known, "digest").select(
-        F.col(id_col), "version", "paragraph", "start", "length", "n_words",
-        F.col("first.id").alias("class_id"), F.col("first.paragraph").alias("class_paragraph"), (here != F.col("first")).alias("removed"),
-    )
+def _joined(docs: DataFrame, asked: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """id, version, the other columns of `asked` (a row for each id and version) and text, of the rows it names; texts
+    are shuffled only if `asked`, which holds `rows` paragraphs, is too large to be sent to every task."""
+    named = small(asked.withColumnsRenamed({"id": _ID, "version": VERSION}), rows)
+    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
+    joined = docs.select(id_col, text_col).join(named, same)
+    more = [c for c in asked.columns if c not in ("id", "version")]
+    return joined.select(F.col(_ID).alias("id"), F.col(VERSION).alias("version"), *more, F.col(text_col).cast("binary").alias("text"))
 
 
-def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the paragraphs that `found` (see `repeated`) marks as removed; documents of which no
-    word is left go, unless they had none before. Other columns stay as they are."""
-    gone = found.where("removed").groupBy(F.col(id_col).alias(_ID), F.col("version").alias(VERSION)).agg(F.collect_set("paragraph").alias(_GONE))
-    gone = store(gone, "gone")
-    many = gone.agg(F.coalesce(F.sum(F.size(_GONE) + 1), F.lit(0))).first()[0]
-    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
-    joined = docs.join(small(gone, many // 2), same, "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(_GONE, i))
-    text = F.when(F.col(_GONE).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(text_col, text).where(F.col(_GONE).isNull() | F.col(text_col).rlike(r"\S"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _picked(hashes: np.ndarray) -> np.ndarray:
-    """Places of the seeds of a word sequence: the least of every PICK successive ones."""
-    n = len(hashes) - SEED + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    seeds = np.zeros(n, np.uint64)
-    for i in range(SEED):
-        seeds = seeds * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-    seeds ^= seeds >> np.uint64(29)
-    seeds *= np.uint64(0xBF58476D1CE4E5B9)
-    seeds ^= seeds >> np.uint64(32)
-    windows = np.lib.stride_tricks.sliding_window_view(seeds, min(PICK, n))
-    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-
-
-def _seeds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, version, pos (the number of its first word), seed (digest of its words) of every picked seed."""
-    wide_rows(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary"))
-    id_type = rows.schema[0].dataType.simpleString()
+def _words(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(pid, words) of the paragraphs at `places` (pid, id, version, unit)."""
+    asked = places.groupBy("id", "version").agg(F.collect_list("unit").alias("units"), F.collect_list("pid").alias("pids"))
+    rows = _joined(docs, store(asked, "asked"), places.count(), id_col, text_col).select("units", "pids", "text")
 
     def run(batches):
         for batch in batches:
-            rows, places, seeds = [], [], []
-            for i, t in enumerate(batch.column(2)):
-                words = (t.as_py() or b"").lower().split()
-                at = _picked(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
-                rows += [i] * len(at)
-                places += at.tolist()
-                seeds += [xxhash.xxh3_128_digest(b" ".join(words[p : p + SEED])) for p in at.tolist()]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(seeds, pa.binary())], names=["id", "version", "pos", "seed"])
+            units, pids, texts = batch.columns
+            for lo, cut in _cuts(texts):
+                begins = np.searchsorted(cut.text, np.arange(len(cut.of_text) - 1))
+                found, words = [], []
+                for i, begin in enumerate(begins.tolist()):
+                    data = texts[lo + i].as_py()
+                    at = cut.of_text[i]
+                    parts = data.lower().split()
+                    for unit, pid in zip(units[lo + i].as_py(), pids[lo + i].as_py()):
+                        a, b = cut.first[begin + unit] - at, cut.first[begin + unit + 1] - at
+                        found.append(pid)
+                        words.append(b" ".join(parts[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(words, pa.binary())], names=["pid", "words"])
         give_back()
 
-    return rows.mapInArrow(run, f"id {id_type}, version long, pos int, seed binary")
+    return rows.mapInArrow(run, "pid long, words binary")
 
 
-def _edges(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each (id, version, first, last) of `runs`, its words first to last - 1: hashes of the PICK - 1 words before
-    and after it, outwards, and starts, line numbers and ends in the text for each of the extents that these allow."""
-    asked = runs.groupBy(F.col("id").alias(_ID), F.col("version").alias(VERSION)).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    asked = store(asked, "asked")
-    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(VERSION))
-    rows = docs.select(id_col, text_col).join(small(asked, runs.count()), same).select(F.col(_ID).alias("id"), F.col(VERSION).alias("version"), "runs", F.col(text_col).alias("text"))
-    rows = rows.select("id", "version", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"), "text")
-    id_type = rows.schema[0].dataType.simpleString()
-    names = ["id", "version", "first", "last", "before", "after", "starts", "lines", "ends"]
+_NEXT = [("before", "array<int>"), ("after", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>")]
+
+
+def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Of the paragraphs `marked` (id, version, units: unit, removed, edge, same, of) two kinds of rows.
+
+    Without unit: a run of adjacent ones, all removed or all not, from the first to the last that is the same as the
+    one it was matched with (of all, if none is): its words first to last - 1, left and right (the places that the
+    paragraphs at its ends were matched with), hashes of the words before and after it, outwards
+    (before, after), and the characters where it starts and ends for each number of these that it takes in (starts,
+    ends). With unit: a paragraph that others are matched with, and hashes of the words before and after it.
+    """
+    joined = _joined(docs, marked, rows, id_col, text_col)
+    place = marked.schema["units"].dataType.elementType["of"].dataType.simpleString()
+    id_type = marked.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, version long, unit int, removed boolean, first int, last int, left {place}, right {place}, " + ", ".join(f"{n} {t}" for n, t in _NEXT)
 
     def run(batches):
-        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-        types = [None, pa.int64(), pa.int32(), pa.int32(), longs, longs, ints, ints, ints]
+        ints = pa.list_(pa.int32())
         for batch in batches:
-            kind, out = batch.schema.field(0).type, []
-            for key, version, firsts, lasts, text in zip(*[c.to_pylist() if i < 4 else c for i, c in enumerate(batch.columns)]):
-                text = text.as_py()
-                spans = [m.span() for m in _WORD.finditer(text)]
-                breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
-
-                def hashed(numbers):
-                    return [xxhash.xxh3_64_intdigest(text[slice(*spans[n])].encode().lower()) - (1 << 63) for n in numbers]
-
-                for a, b in zip(firsts, lasts):
-                    left, right = range(a - 1, max(a - PICK, -1), -1), range(b, min(b + PICK - 1, len(spans)))
-                    starts = [spans[n][0] for n in (a, *left)]
-                    lines = np.searchsorted(breaks, starts).tolist()
-                    out.append((key, version, a, b, hashed(left), hashed(right), starts, lines, [spans[n][1] for n in (b - 1, *right)]))
-                    if len(out) >= 1 << 12:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t or kind) for i, t in enumerate(types)], names=names)
-                        out = []
+            ids, versions, marks, texts = batch.columns
+            of_type = marks.type.value_type.field("of").type
+            types = [ids.type, pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), of_type, of_type, ints, ints, ints, ints]
+            names = ["id", "version", "unit", "removed", "first", "last", "left", "right", *[n for n, _ in _NEXT]]
+            out = []
+
+            def flush():
+                made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+                out.clear()
+                return made
+
+            for lo, cut in _cuts(texts):
+                short = (cut.hashes >> np.uint64(33)).astype(np.int32)
+                begins = np.searchsorted(cut.text, np.arange(len(cut.of_text)))
+                chars = np.r_[0, np.cumsum((cut.data & 0xC0) != 0x80)]
+                for i in range(len(cut.of_text) - 1):
+                    key, version = ids[lo + i].as_py(), versions[lo + i].as_py()
+                    units = sorted(marks[lo + i].as_py(), key=lambda m: m["unit"])
+                    first = cut.first[begins[i] : begins[i + 1] + 1]
+                    zero, end = int(cut.of_text[i]), int(cut.of_text[i + 1])
+                    shift = chars[cut.offsets[i]]
+
+                    def before(unit, least):
+                        a = int(first[unit])
+                        far = a - (int(first[unit - 1]) if unit else a) + REACH + 2
+                        return a, max(least, a - far)
+
+                    def after(unit, most):
+                        b = int(first[unit + 1])
+                        far = (int(first[unit + 2]) if unit + 2 < len(first) else b) - b + REACH + 2
+                        return b, min(most, b + far)
+
+                    groups = []
+                    for m in units:
+                        if groups and groups[-1][-1]["unit"] + 1 == m["unit"] and groups[-1][-1]["removed"] == m["removed"]:
+                            groups[-1].append(m)
+                        else:
+                            groups.append([m])
+                        if m["edge"]:
+                            a, low = before(m["unit"], zero)
+                            b, high = after(m["unit"], end)
+                            out.append((key, version, m["unit"], None, None, None, None, None, short[low:a][::-1], short[b:high], None, None))
+                    for k, g in enumerate(groups):
+                        same = [j for j, m in enumerate(g) if m["same"]]
+                        if same:
+                            groups[k] = g[same[0] : same[-1] + 1]
+                    for k, g in enumerate(groups):
+                        a, low = before(g[0]["unit"], int(first[groups[k - 1][-1]["unit"] + 1]) if k else zero)
+                        b, high = after(g[-1]["unit"], int(first[groups[k + 1][0]["unit"]]) if k + 1 < len(groups) else end)
+                        starts = (chars[cut.starts[low : a + 1]] - shift)[::-1].astype(np.int32)
+                        ends = (chars[cut.ends[b - 1 : high]] - shift).astype(np.int32)
+                        out.append((key, version, None, g[0]["removed"], a - zero, b - zero, g[0]["of"], g[-1]["of"], short[low:a][::-1], short[b:high], starts, ends))
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield flush()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t or kind) for i, t in enumerate(types)], names=names)
+                yield flush()
         give_back()
 
-    schema = f"id {id_type}, version long, first int, last int, before array<bigint>, after array<bigint>, starts array<int>, lines array<int>, ends array<int>"
-    return rows.mapInArrow(run, schema)
+    return joined.select("id", "version", "units", "text").mapInArrow(run, schema)
 
 
-def _alike(a: str, b: str):
+def _alike(a, b):
     """Column: how many leading elements of two arrays are equal."""
-    equal = F.transform(F.arrays_zip(F.col(a).alias("p"), F.col(b).alias("q")), lambda x: F.coalesce(x["p"] == x["q"], F.lit(False)))
+    equal = F.transform(F.arrays_zip(a.alias("p"), b.alias("q")), lambda x: F.coalesce(x["p"] == x["q"], F.lit(False)))
     return (F.array_position(F.concat(equal, F.array(F.lit(False))), False) - 1).cast("int")
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: list[DataFrame] | None = None) -> DataFrame:
-    """Every run of SEED words or more that repeats word by word, wherever lines end: the columns of `repeated`.
-
-    paragraph is the number of the line where the run begins, start and length are in characters. A run's words
-    stand at an earlier place too (by id, null last, text hash and place), which class_id and class_paragraph
-    name; that place has a row with removed = false. A whole text that repeats is one run. Every repeated run of SEED + PICK - 1 words (39) is found,
-    a shorter one of SEED words by chance. Runs that overlap have a row each. Rows that repeat id and text count
-    as one document. The tables that the result is read from are added to `scratch`.
+def repeated(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    size: int = SHINGLE,
+    min_words: int = MIN_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    scratch: list[DataFrame] | None = None,
+) -> DataFrame:
+    """Every span of text that repeats: id_col, version (hash of the text), start and length (characters of the
+    text), n_words, class_id (the document whose text it was matched with) and removed.
+
+    Paragraphs are pieces of the whole text's words, wherever lines end (see the module). Two are linked if the
+    Jaccard similarity of their `size`-word shingles is `similarity` or more (words are what white space of ASCII
+    parts, A-Z in lower case), and a class is what links reach. The first occurrence stays, by id (null last), text
+    hash and place; class_id of a removal is its id, and that of what stays is the id of the last occurrence.
+    Removals that adjoin, or lie GAP words apart at most, are one span, whose ends are those of exact copies, moved
+    out to where the text differs from the one it was matched with (no further than the adjoining paragraph and
+    REACH + 2 words, which is as far as copies can be cut differently); if it has no exact copy, those of its paragraphs. Spans of fewer than `min_words` words are not returned.
+
+    Rows that repeat id and text count as one document. Null and empty texts have no paragraphs; an empty table
+    gives an empty result. A run of over 50 words that repeats exactly is found with the chance that REACH states, a
+    longer one more surely; banding finds two paragraphs that are just similar enough with a chance of RECALL, and
+    more similar ones more surely. Two different paragraphs have the same digest of 64 bits with a chance of 2^-64.
+    Other columns are not read. The tables that the result is read from are added to `scratch`.
     """
-    every = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"))
-    ids = store(every.distinct(), "ids")
-    twice = every.count() > ids.count()
-    firsts = store(ids.groupBy("version").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("k"), F.count("*").alias("n")).where("n > 1"), "firsts")
-    copies = store(ids.join(small(firsts), "version").where(F.struct(F.col("id").isNull().alias("no_id"), "id") != F.col("k")).select("id", "version", F.col("k.id").alias("of_id")), "copies")
-    texts = without(docs.select(id_col, text_col), copies.select(F.col("id").alias(id_col), "version"), id_col, text_col)
-    seeds = store(_seeds(texts, id_col, text_col), "seeds")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "pos")
-    twins = store(seeds.groupBy("seed").count().where("count > 1").select("seed"), "twins")
-    again = store(seeds.join(small(twins), "seed"), "again")
-    drop(seeds, twins)
-    known = store(again.groupBy("seed").agg(F.min(place).alias("of")), "classes")
-    hits = again.join(small(known), "seed").where(place != F.col("of")).select("id", "version", "pos", F.col("of.id").alias("of_id"), F.col("of.version").alias("of_version"), (F.col("pos") - F.col("of.pos")).alias("by"))
-    hits = store(hits.distinct(), "hits")
-    drop(again, known, ids, firsts)
-    keys = ["id", "version", "of_id", "of_version", "by"]
-    order = Window.partitionBy(*keys).orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(order) > SEED).cast("int"), F.lit(1))
-    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(*keys, "run").agg(F.min("pos").alias("first"), (F.max("pos") + SEED).cast("int").alias("last")).drop("run")
-    runs = store(runs.withColumn("of_first", (F.col("first") - F.col("by")).cast("int")).withColumn("of_last", (F.col("last") - F.col("by")).cast("int")), "runs")
-    drop(hits)
-    own = runs.select("id", "version", "first", "last")
-    others = runs.select(F.col("of_id").alias("id"), F.col("of_version").alias("version"), F.col("of_first").alias("first"), F.col("of_last").alias("last"))
-    asked = store(own.union(others).distinct(), "asked")
-    edges = _edges(docs, asked, id_col, text_col)
-    edges = store(edges.dropDuplicates(["id", "version", "first", "last"]) if twice else edges, "edges")
-    there = edges.select(*[F.col(c).alias("of_" + c) for c in edges.columns])
-    joined = runs.withColumnsRenamed({c: "r_" + c for c in ("id", "version", "first", "last")})
-    for side, left in ((edges, "r_"), (there.withColumnsRenamed({c: "t_" + c for c in ("of_id", "of_version", "of_first", "of_last")}), "of_")):
-        right = "" if left == "r_" else "t_of_"
-        same = F.col(left + "id").eqNullSafe(F.col(right + "id"))
-        for c in ("version", "first", "last"):
-            same = same & (F.col(left + c) == F.col(right + c))
-        joined = joined.join(side, same)
-    joined = joined.withColumn("more", _alike("before", "of_before")).withColumn("on", _alike("after", "of_after"))
-
-    def at(column, extent):
-        return F.element_at(column, F.col(extent) + 1).cast("long")
-
-    n_words = (F.col("r_last") - F.col("r_first") + F.col("more") + F.col("on")).cast("long")
-    ends = [at(p + c, e).alias(p + n) for p in ("", "of_") for c, e, n in (("starts", "more", "start"), ("ends", "on", "end"), ("lines", "more", "line"))]
-    slim = store(joined.select("r_id", "r_version", "of_id", "of_version", n_words.alias("n_words"), *ends).distinct(), "extended")
-    rows = [(slim, "r_", "", True), (slim, "of_", "of_", False)]
-    words = F.size(F.filter(F.split(text_col, r"[ \t\n\r\x0b\f]+"), lambda w: w != "")).cast("long")
-    same = F.col(id_col).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_col) == F.col("r_version"))
-    whole = docs.select(id_col, text_col).join(small(copies.select(F.col("id").alias("r_id"), F.col("version").alias("r_version"), "of_id")), same)
-    spans = [F.lit(0).cast("long").alias("start"), F.length(text_col).cast("long").alias("end"), F.lit(0).cast("long").alias("line")]
-    whole = whole.select("r_id", "r_version", "of_id", F.col("r_version").alias("of_version"), words.alias("n_words"), *spans, F.lit(0).alias("of_line"))
-    whole = whole.where(F.col("n_words") >= SEED)
-    rows += [(whole, "r_", "", True), (whole, "of_", "", False)]
-    out = None
-    for table, key, p, removed in rows:
-        part = table.select(
-            F.col(key + "id").alias(id_col), F.col(key + "version").alias("version"), F.col(p + "line").cast("int").alias("paragraph"), F.col(p + "start").alias("start"),
-            (F.col(p + "end") - F.col(p + "start")).alias("length"), "n_words", F.col("of_id").alias("class_id"), F.col("of_line").cast("int").alias("class_paragraph"), F.lit(removed).alias("removed"),
-        )
-        out = part if out is None else out.union(part)
-    found = store(out.distinct(), "passages")
-    drop(copies, runs, asked, edges, slim)
+    docs = docs.select(id_col, text_col)
+    n_bands = bands(similarity, RECALL, PARAGRAPH_ROWS)
+    units = store(paragraphs(docs, id_col, text_col), "units")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "unit")
+    cells = store(_cells(signatures(docs, n_bands, size, text_col), signatures(docs, n_bands, size, text_col, SAMPLE)), "cells")
+    wanted = store(cells.select("pid").distinct(), "wanted")
+    places = store(units.join(small(wanted), "pid").groupBy("pid").agg(F.min(place).alias("p")).select("pid", "p.id", "p.version", "p.unit"), "places")
+    texts = store(_words(docs, places, id_col, text_col).dropDuplicates(["pid"]), "texts")
+    found = components(similar_links(cells.join(texts, "pid").select("key", "x", "y", "pid", "words"), similarity, size))
+    drop(cells, wanted, places, texts)
+    members = found.select("node", "root").union(found.select("root", "root").distinct())
+    twins = units.groupBy("pid").agg(F.count("*").alias("n")).where("n > 1").select("pid")
+    known = twins.join(members, F.col("pid") == F.col("node"), "full").select(F.coalesce("pid", "node").alias("pid"), F.coalesce("root", "pid").alias("root"))
+    known = store(known, "known")
+    again = store(units.join(small(known), "pid").select("id", "version", "unit", "pid", "root"), "again")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "unit", "pid")
+    classes = store(again.groupBy("root").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most"), "classes")
+    of = F.when(F.col("removed"), F.col("least")).otherwise(F.col("most"))
+    marks = again.join(small(classes), "root").withColumn("removed", place != F.col("least"))
+    marks = marks.withColumn("edge", ~F.col("removed") | (place == F.col("most"))).withColumn("of", of)
+    mark = F.struct("unit", "removed", "edge", (F.col("pid") == F.col("of.pid")).alias("same"), F.struct("of.id", "of.version", "of.unit").alias("of"))
+    marked = store(marks.groupBy("id", "version").agg(F.collect_set(mark).alias("units")), "marked")
+    twice = not units.where("unit = 0").groupBy("id", "version").count().where("count > 1").isEmpty()
+    n_marks = marked.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
+    drop(units, found, known, again, classes)
+    pieces = store(_runs(docs, marked, n_marks, id_col, text_col), "pieces")
+    runs = pieces.where("unit is null").drop("unit")
+    around = pieces.where("unit is not null").select("id", "version", "unit", "before", "after")
+    if twice:
+        runs, around = runs.dropDuplicates(["id", "version", "first"]), around.dropDuplicates(["id", "version", "unit"])
+    around = small(store(around, "around"))
+    runs = runs.select(F.col("id").alias(_ID), F.col("version").alias(VERSION), "removed", "first", "last", "left", "right", *[F.col(n).alias("own_" + n) for n, _ in _NEXT])
+    for side, words, reach in (("left", "before", "more"), ("right", "after", "on")):
+        there = around.select("id", "version", "unit", words)
+        same = F.col("id").eqNullSafe(F.col(side + ".id")) & (F.col("version") == F.col(side + ".version")) & (F.col("unit") == F.col(side + ".unit"))
+        runs = runs.join(there, same).withColumn(reach, _alike(F.col("own_" + words), F.col(words))).drop("id", "version", "unit", words)
+    spans = store(runs.select(
+        F.col(_ID).alias("id"), F.col(VERSION).alias("version"), "removed", (F.col("first") - F.col("more")).alias("a"), (F.col("last") + F.col("on")).alias("b"),
+        F.element_at("own_starts", F.col("more") + 1).alias("start"), F.element_at("own_ends", F.col("on") + 1).alias("end"), F.col("left.id").alias("class_id"),
+    ), "spans")
+    order = Window.partitionBy("id", "version", "removed").orderBy("a", "b")
+    until = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("new", F.coalesce((F.col("a") - until > GAP).cast("int"), F.lit(1)))
+    islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("id", "version", "removed", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("b") - F.min("a")).alias("n_words"), F.min(F.struct("a", "class_id")).alias("of")
+    )
+    out = store(whole.where(F.col("n_words") >= min_words).select(
+        F.col("id").alias(id_col), "version", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start")).cast("long").alias("length"),
+        F.col("n_words").cast("long").alias("n_words"), F.col("of.class_id").alias("class_id"), "removed",
+    ), "repeated")
+    drop(marked, pieces, around, spans)
     if scratch is not None:
-        scratch.append(found)
-    return found
+        scratch.append(out)
+    return out
 
 
-def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the characters that `found` (see `passages`) marks as removed; documents of which no word is
-    left go, unless they had none before. Other columns stay as they are."""
+def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the characters that `found` (see `repeated`) marks as removed; documents of which no word is
+    left go, unless they had none before. Other columns stay as they are, whatever they are called."""
     span = F.struct(F.col("start").cast("int").alias("a"), (F.col("start") + F.col("length")).cast("int").alias("b"))
     gone = found.where("removed").groupBy(F.col(id_col).alias(_ID), F.col("version").alias(VERSION)).agg(F.array_sort(F.collect_set(span)).alias(_GONE))
     gone = store(gone, "gone")
@@ -429,12 +542,10 @@ def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     joined = docs.join(small(gone, many // 2), same, "left")
 
     def rest(text, spans):
-        if spans is None:
-            return text
         out, at = [], 0
-        for a, b in spans:
-            out.append(text[at:a])
-            at = max(at, b)
+        for s in spans:
+            out.append(text[at : s["a"]])
+            at = max(at, s["b"])
         return "".join(out) + text[at:]
 
     names = docs.columns
@@ -443,23 +554,14 @@ def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         for batch in batches:
             spans = batch.column(len(names))
-            if spans.null_count < batch.num_rows:
-                texts = [t.as_py() if s is None else rest(t.as_py(), [(x["a"], x["b"]) for x in s]) for t, s in zip(batch.column(place), spans.to_pylist())]
-                keep = pa.array([s is None or bool(_WORD.search(t)) for t, s in zip(texts, spans.to_pylist())])
-                columns = [pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
-            else:
+            if spans.null_count == batch.num_rows:
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+                continue
+            spans = spans.to_pylist()
+            texts = [t.as_py() if s is None else rest(t.as_py(), s) for t, s in zip(batch.column(place), spans)]
+            keep = pa.array([s is None or bool(t.encode().split()) for t, s in zip(texts, spans)])
+            columns = [pa.array(texts, batch.schema.field(i).type) if i == place else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
         give_back()
 
     return joined.select(*[F.col(f"`{c}`") for c in names], _GONE).mapInArrow(run, docs.schema)
-
-
-def everywhere(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `repeated`, and those of `passages` that don't lie in a line which `repeated` removes."""
-    docs = docs.select(id_col, text_col)
-    lines = store(repeated(docs, id_col=id_col, text_col=text_col, **options), "lines")
-    found = passages(docs, id_col, text_col)
-    gone = lines.where("removed").select(F.col(id_col).alias(_ID), F.col("version").alias(VERSION), F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b")).distinct()
-    inside = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.col("version") == F.col(VERSION)) & (F.col("start") >= F.col("a")) & (F.col("start") + F.col("length") <= F.col("b"))
-    return lines.union(found.join(gone, inside, "left_anti"))

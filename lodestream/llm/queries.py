@@ -47,8 +47,8 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_substring_dedup(spark, sf_dir):
-    """Paragraphs of all documents that repeat, exactly or nearly, and passages that repeat wherever lines end."""
-    return paragraphs.everywhere(_read(spark, sf_dir, "documents"))
+    """Spans of all documents that repeat, exactly or nearly, wherever lines end."""
+    return paragraphs.repeated(_read(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark, sf_dir):

@@ -4,7 +4,7 @@ import corpus_pipeline
 from lodestream.llm import quality, shared
 from test_decontaminate import brute as brute_contamination
 from test_packing import check as check_pieces
-from test_paragraphs import brute as brute_classes
+from test_paragraphs import VERSIONS, spans_by_brute_force
 
 
 def corpus():
@@ -55,12 +55,20 @@ def test_stages_as_brute_force(spark, tmp_path):
     texts = [t for _, t in kept["near_dedup"]]
     assert sorted({t or "" for t in texts} | {t for i, t in kept["quality"] if i == 300}) == sorted({t or "" for _, t in kept["quality"]})
     assert len(texts) == len({t or "" for t in texts}) and len(texts) < len(kept["quality"]) - 25
-    removed = {i: set() for i, _ in kept["near_dedup"]}
-    for group in brute_classes(kept["near_dedup"], 0.8, 5, 20):
-        for i, n in sorted(group, key=lambda x: (x[0] is None, x))[1:]:
-            removed[i].add(n)
-    want = [(i, t if not removed[i] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in removed[i])) for i, t in kept["near_dedup"]]
-    assert sorted(map(str, kept["substring_dedup"])) == sorted(str(r) for r in want if r[1] is None or r[1].strip() or not removed[r[0]])
+    VERSIONS.update({r.text: r.v for r in spark.createDataFrame(kept["near_dedup"], "i long, text string").selectExpr("text", "xxhash64(text) v").collect()})
+    removed = {}
+    for i, start, length, _, gone in spans_by_brute_force(kept["near_dedup"]):
+        if gone:
+            removed.setdefault(i, []).append((start, start + length))
+    assert len(removed) > 10
+
+    def rest(i, text):
+        for a, b in sorted(removed.get(i, ()), reverse=True):
+            text = text[:a] + text[b:]
+        return text
+
+    want = [(i, rest(i, t)) for i, t in kept["near_dedup"]]
+    assert sorted(map(str, kept["substring_dedup"])) == sorted(str(r) for r in want if r[0] not in removed or r[1].strip())
     clean = [r for r in kept["substring_dedup"] if brute_contamination([r], items, 10)[0].endswith("False)")]
     assert len(kept["substring_dedup"]) > len(clean) > 80
     assert sorted(map(str, kept["decontamination"])) == sorted(map(str, clean))
