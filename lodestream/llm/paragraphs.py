@@ -42,6 +42,10 @@ PARAGRAPH_ROWS = 2
 RECALL = 0.99
 #: Members of a band's bucket beyond which it is split into cells, each task getting two parts of it.
 LARGE_BUCKET = 512
+#: The same for paragraphs, which are short.
+LARGE_PARAGRAPH_BUCKET = 8192
+#: Rows of bands that a task holds before it looks for repeated ones; they take 24 bytes each.
+ROWS_IN_CELLS = 1 << 22
 #: One in so many members is looked at to find large buckets; what it misses makes a cell larger, no more.
 SAMPLE = 16
 #: Bytes of text that a task hashes at once, beyond a single text.
@@ -258,14 +262,52 @@ def _bounds(table: pa.Table, key_columns: int) -> np.ndarray:
     return np.r_[np.flatnonzero(first), table.num_rows]
 
 
-def _cells(distinct: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
+def _shared(batches, limit: int):
+    """The rows (key, x, y, pid) whose cell has several different pids, each once; rows that repeat are dropped on the way."""
+    parts, n = [], 0
+
+    def cells():
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+        order = np.argsort(columns[0], kind="stable")
+        key = columns[0][order]
+        equal = key[1:] == key[:-1]
+        order = order[np.r_[False, equal] | np.r_[equal, False]]  # keys of one row need no further look
+        columns = [c[order] for c in columns]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])][: len(order)]
+        return [c[new] for c in columns]
+
+    for batch in batches:
+        parts.append([c.to_numpy() for c in batch.columns])
+        n += batch.num_rows
+        if n > limit:  # copies found in many places: keep one of each
+            table = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+            order = np.lexsort(table[::-1])
+            table = [c[order] for c in table]
+            new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in table])]
+            parts = [[c[new] for c in table]]
+            n, limit = int(new.sum()), max(limit, 2 * int(new.sum()))
+    if n:
+        columns = cells()
+        first = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])][: len(columns[0])]
+        size = np.diff(np.r_[np.flatnonzero(first), len(first)])
+        keep = np.repeat(size > 1, size)
+        if keep.any():
+            table = pa.Table.from_arrays([pa.array(c[keep]) for c in columns], names=["key", "x", "y", "pid"])
+            yield from table.to_batches(max_chunksize=1 << 16)
+    give_back()
+
+
+def _cells(distinct: DataFrame, sampled: DataFrame | None = None, bucket: int | None = None) -> DataFrame:
     """(key, x, y, pid): members by band, large buckets dealt out so that every two members meet in a cell; cells of
     a single member are left out. `sampled` has one in SAMPLE of the members, if they aren't to be read twice."""
+    bucket = bucket or LARGE_BUCKET
     rows = distinct.select("pid", F.explode("bands").alias("key"))
     if sampled is None:
         sampled = distinct.where(F.pmod(F.xxhash64("pid"), F.lit(SAMPLE)) == 0)
     counts = sampled.distinct().select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    large = store(counts.where(F.col("n") > LARGE_BUCKET // SAMPLE).select("key", F.ceil(F.col("n") * SAMPLE / (LARGE_BUCKET // 2)).cast("int").alias("parts")), "large")
+    large = store(counts.where(F.col("n") > bucket // SAMPLE).select("key", F.ceil(F.col("n") * SAMPLE / (bucket // 2)).cast("int").alias("parts")), "large")
     some = large.count()
     if some:
         own = F.pmod(F.xxhash64("pid", F.lit(1)), "parts").cast("int")
@@ -275,26 +317,15 @@ def _cells(distinct: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
         rows = rows.select("key", "pid", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(dealt)).alias("c")).select("key", "c.x", "c.y", "pid")
     else:
         rows = rows.select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), "pid")
-
-    def shared(batches):
-        for table in _grouped(batches, 3):
-            columns = [table.column(i).to_numpy() for i in range(4)]
-            again = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
-            table = table.filter(pa.array(np.r_[True, ~again]))
-            bounds = _bounds(table, 3)
-            size = np.diff(bounds)
-            keep = np.repeat(size > 1, size)
-            if keep.any():
-                yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
-        give_back()
-
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "pid").mapInArrow(shared, "key long, x int, y int, pid long")
+    limit = ROWS_IN_CELLS
+    return rows.repartition("key", "x", "y").mapInArrow(lambda batches: _shared(batches, limit), "key long, x int, y int, pid long")
 
 
 def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame:
     """Edges (a, b) between the texts of a cell, as many at most as members, that join what similarity joins.
 
-    `members` has key, x and y (the cell), pid and the text in words; similarity is that of its shingles.
+    `members` has key, x and y (the cell), pid and the text in words; similarity is that of its shingles (told apart by
+    64-bit hashes).
     """
 
     def compare(batches):
@@ -303,15 +334,9 @@ def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame
             pids, texts = table.column(3).to_numpy(), table.column(4)
             out = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                sets = [set(shingles(texts[i].as_py().lower().split(), size)) for i in range(lo, hi)]
-                group: list[list[int]] = []  # members by component
-                for i, s in enumerate(sets):
-                    near = [g for g in group if any(_similar(s, sets[j], similarity) for j in g)]
-                    merged = [i]
-                    for g in near:
-                        out.append((int(pids[lo + i]), int(pids[lo + g[0]])))
-                        merged = g + merged
-                    group = [g for g in group if g not in near] + [merged]
+                if hi - lo > 1:
+                    sets = [{xxhash.xxh3_64_intdigest(g) for g in shingles(texts[i].as_py().lower().split(), size)} for i in range(lo, hi)]
+                    out += [(int(pids[lo + i]), int(pids[lo + j])) for i, j in _linked(sets, similarity)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
         give_back()
@@ -319,6 +344,42 @@ def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame
     return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _linked(sets: list[set], similarity: float):
+    """Links between sets that join what Jaccard similarity joins, as many at most as sets.
+
+    Two sets that are similar enough share one of their rarest elements: if o of n are shared and o >= similarity * n,
+    the n - o + 1 rarest of both do. So only sets that share such an element, and aren't linked yet, are compared.
+    """
+    count: dict = {}
+    for s in sets:
+        for g in s:
+            count[g] = count.get(g, 0) + 1
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        n = len(s) - ceil(similarity * len(s) - 1e-9) + 1
+        rare = sorted(s, key=lambda g: (count[g], g))[:n]
+        tried = set()
+        for g in rare:
+            if count[g] < 2:
+                continue
+            others = holders.setdefault(g, [])
+            for j in others:
+                if j not in tried and root(j) != root(i):
+                    tried.add(j)
+                    if _similar(s, sets[j], similarity):
+                        parent[root(i)] = root(j)
+                        yield i, j
+            others.append(i)
+
+
 def _similar(a: set, b: set, similarity: float) -> bool:
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
@@ -364,14 +425,43 @@ def _words(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
 _NEXT = [("before", "array<int>"), ("after", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>")]
 
 
+def _groups(units: list[dict]) -> list[list[dict]]:
+    """Marked paragraphs of a text in runs of adjacent ones that are all removed, or all not, from the first to the
+    last that is the same as the one it was matched with (all, if none is)."""
+    groups: list[list[dict]] = []
+    for m in sorted(units, key=lambda m: m["unit"]):
+        if groups and groups[-1][-1]["unit"] + 1 == m["unit"] and groups[-1][-1]["removed"] == m["removed"]:
+            groups[-1].append(m)
+        else:
+            groups.append([m])
+    for k, g in enumerate(groups):
+        same = [j for j, m in enumerate(g) if m["same"]]
+        if same:
+            groups[k] = g[same[0] : same[-1] + 1]
+    return groups
+
+
+def _partners(marked: DataFrame) -> DataFrame:
+    """(id, version, unit): the paragraphs that the ends of runs were matched with."""
+    place = marked.schema["units"].dataType.elementType["of"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            marks = batch.column(0)
+            found = [g[k]["of"] for m in marks for g in _groups(m.as_py()) for k in (0, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, marks.type.value_type.field("of").type)], names=["of"])
+        give_back()
+
+    return marked.select("units").mapInArrow(run, f"of {place}").select("of.*").distinct()
+
+
 def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the paragraphs `marked` (id, version, units: unit, removed, edge, same, of) two kinds of rows.
+    """Of the paragraphs `marked` (id, version, units: unit, removed, same, of; asked: units) two kinds of rows.
 
-    Without unit: a run of adjacent ones, all removed or all not, from the first to the last that is the same as the
-    one it was matched with (of all, if none is): its words first to last - 1, left and right (the places that the
-    paragraphs at its ends were matched with), hashes of the words before and after it, outwards
-    (before, after), and the characters where it starts and ends for each number of these that it takes in (starts,
-    ends). With unit: a paragraph that others are matched with, and hashes of the words before and after it.
+    Without unit: a run (see `_groups`): its words first to last - 1, left and right (the places that the paragraphs
+    at its ends were matched with), hashes of the words before and after it, outwards (before, after), and the
+    characters where it starts and ends for each number of these that it takes in (starts, ends). With unit: a
+    paragraph asked for, and hashes of the words before and after it.
     """
     joined = _joined(docs, marked, rows, id_col, text_col)
     place = marked.schema["units"].dataType.elementType["of"].dataType.simpleString()
@@ -381,7 +471,7 @@ def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col:
     def run(batches):
         ints = pa.list_(pa.int32())
         for batch in batches:
-            ids, versions, marks, texts = batch.columns
+            ids, versions, marks, asked, texts = batch.columns
             of_type = marks.type.value_type.field("of").type
             types = [ids.type, pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), of_type, of_type, ints, ints, ints, ints]
             names = ["id", "version", "unit", "removed", "first", "last", "left", "right", *[n for n, _ in _NEXT]]
@@ -398,7 +488,6 @@ def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col:
                 chars = np.r_[0, np.cumsum((cut.data & 0xC0) != 0x80)]
                 for i in range(len(cut.of_text) - 1):
                     key, version = ids[lo + i].as_py(), versions[lo + i].as_py()
-                    units = sorted(marks[lo + i].as_py(), key=lambda m: m["unit"])
                     first = cut.first[begins[i] : begins[i + 1] + 1]
                     zero, end = int(cut.of_text[i]), int(cut.of_text[i + 1])
                     shift = chars[cut.offsets[i]]
@@ -413,20 +502,11 @@ def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col:
                         far = (int(first[unit + 2]) if unit + 2 < len(first) else b) - b + REACH + 2
                         return b, min(most, b + far)
 
-                    groups = []
-                    for m in units:
-                        if groups and groups[-1][-1]["unit"] + 1 == m["unit"] and groups[-1][-1]["removed"] == m["removed"]:
-                            groups[-1].append(m)
-                        else:
-                            groups.append([m])
-                        if m["edge"]:
-                            a, low = before(m["unit"], zero)
-                            b, high = after(m["unit"], end)
-                            out.append((key, version, m["unit"], None, None, None, None, None, short[low:a][::-1], short[b:high], None, None))
-                    for k, g in enumerate(groups):
-                        same = [j for j, m in enumerate(g) if m["same"]]
-                        if same:
-                            groups[k] = g[same[0] : same[-1] + 1]
+                    for unit in asked[lo + i].as_py() or ():
+                        a, low = before(unit, zero)
+                        b, high = after(unit, end)
+                        out.append((key, version, unit, None, None, None, None, None, short[low:a][::-1], short[b:high], None, None))
+                    groups = _groups(marks[lo + i].as_py())
                     for k, g in enumerate(groups):
                         a, low = before(g[0]["unit"], int(first[groups[k - 1][-1]["unit"] + 1]) if k else zero)
                         b, high = after(g[-1]["unit"], int(first[groups[k + 1][0]["unit"]]) if k + 1 < len(groups) else end)
@@ -439,7 +519,7 @@ def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col:
                 yield flush()
         give_back()
 
-    return joined.select("id", "version", "units", "text").mapInArrow(run, schema)
+    return joined.select("id", "version", "units", "asked", "text").mapInArrow(run, schema)
 
 
 def _alike(a, b):
@@ -478,7 +558,7 @@ def repeated(
     n_bands = bands(similarity, RECALL, PARAGRAPH_ROWS)
     units = store(paragraphs(docs, id_col, text_col), "units")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "unit")
-    cells = store(_cells(signatures(docs, n_bands, size, text_col), signatures(docs, n_bands, size, text_col, SAMPLE)), "cells")
+    cells = store(_cells(signatures(docs, n_bands, size, text_col), signatures(docs, n_bands, size, text_col, SAMPLE), LARGE_PARAGRAPH_BUCKET), "cells")
     wanted = store(cells.select("pid").distinct(), "wanted")
     places = store(units.join(small(wanted), "pid").groupBy("pid").agg(F.min(place).alias("p")).select("pid", "p.id", "p.version", "p.unit"), "places")
     texts = store(_words(docs, places, id_col, text_col).dropDuplicates(["pid"]), "texts")
@@ -493,12 +573,15 @@ def repeated(
     classes = store(again.groupBy("root").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most"), "classes")
     of = F.when(F.col("removed"), F.col("least")).otherwise(F.col("most"))
     marks = again.join(small(classes), "root").withColumn("removed", place != F.col("least"))
-    marks = marks.withColumn("edge", ~F.col("removed") | (place == F.col("most"))).withColumn("of", of)
-    mark = F.struct("unit", "removed", "edge", (F.col("pid") == F.col("of.pid")).alias("same"), F.struct("of.id", "of.version", "of.unit").alias("of"))
+    marks = marks.withColumn("of", of)
+    mark = F.struct("unit", "removed", (F.col("pid") == F.col("of.pid")).alias("same"), F.struct("of.id", "of.version", "of.unit").alias("of"))
     marked = store(marks.groupBy("id", "version").agg(F.collect_set(mark).alias("units")), "marked")
+    asked = _partners(marked).groupBy(F.col("id").alias(_ID), F.col("version").alias(VERSION)).agg(F.collect_list("unit").alias("asked"))
+    same = F.col("id").eqNullSafe(F.col(_ID)) & (F.col("version") == F.col(VERSION))
+    every, marked = marked, store(marked.join(asked, same, "left").select("id", "version", "units", "asked"), "marked")
     twice = not units.where("unit = 0").groupBy("id", "version").count().where("count > 1").isEmpty()
     n_marks = marked.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
-    drop(units, found, known, again, classes)
+    drop(units, found, known, again, classes, every)
     pieces = store(_runs(docs, marked, n_marks, id_col, text_col), "pieces")
     runs = pieces.where("unit is null").drop("unit")
     around = pieces.where("unit is not null").select("id", "version", "unit", "before", "after")
