@@ -39,18 +39,19 @@ GAP = 4
 #: Minima in a band of whole documents and of paragraphs, and the least chance that a pair just similar enough shares a band.
 BAND_ROWS = 4
 PARAGRAPH_ROWS = 2
-RECALL = 0.99
+RECALL = 0.98
 #: Members of a band's bucket beyond which it is split into cells, each task getting two parts of it.
 LARGE_BUCKET = 512
 #: The same for paragraphs, which are short.
 LARGE_PARAGRAPH_BUCKET = 8192
+#: Members up to which a cell is compared without an index.
+FEW = 4
 #: Rows of bands that a task holds before it looks for repeated ones; they take 24 bytes each.
 ROWS_IN_CELLS = 1 << 22
 #: One in so many members is looked at to find large buckets; what it misses makes a cell larger, no more.
 SAMPLE = 16
 #: Bytes of text that a task hashes at once, beyond a single text.
 BYTES_AT_ONCE = 1 << 20
-ROWS_AT_ONCE = 1 << 12
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0x9FB21C651E98DF25
@@ -324,8 +325,8 @@ def _cells(distinct: DataFrame, sampled: DataFrame | None = None, bucket: int |
 def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame:
     """Edges (a, b) between the texts of a cell, as many at most as members, that join what similarity joins.
 
-    `members` has key, x and y (the cell), pid and the text in words; similarity is that of its shingles (told apart by
-    64-bit hashes).
+    `members` has key, x and y (the cell), pid and the text in words; similarity is that of its shingles (in
+    cells of over FEW members told apart by 64-bit hashes).
     """
 
     def compare(batches):
@@ -335,7 +336,8 @@ def similar_links(members: DataFrame, similarity: float, size: int) -> DataFrame
             out = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if hi - lo > 1:
-                    sets = [{xxhash.xxh3_64_intdigest(g) for g in shingles(texts[i].as_py().lower().split(), size)} for i in range(lo, hi)]
+                    parts = [shingles(texts[i].as_py().lower().split(), size) for i in range(lo, hi)]
+                    sets = [set(p) if hi - lo <= FEW else {xxhash.xxh3_64_intdigest(g) for g in p} for p in parts]
                     out += [(int(pids[lo + i]), int(pids[lo + j])) for i, j in _linked(sets, similarity)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
@@ -350,10 +352,6 @@ def _linked(sets: list[set], similarity: float):
     Two sets that are similar enough share one of their rarest elements: if o of n are shared and o >= similarity * n,
     the n - o + 1 rarest of both do. So only sets that share such an element, and aren't linked yet, are compared.
     """
-    count: dict = {}
-    for s in sets:
-        for g in s:
-            count[g] = count.get(g, 0) + 1
     parent = list(range(len(sets)))
 
     def root(i):
@@ -362,6 +360,17 @@ def _linked(sets: list[set], similarity: float):
             i = parent[i]
         return i
 
+    if len(sets) <= FEW:
+        for i, s in enumerate(sets):
+            for j in range(i):
+                if root(i) != root(j) and _similar(s, sets[j], similarity):
+                    parent[root(i)] = root(j)
+                    yield i, j
+        return
+    count: dict = {}
+    for s in sets:
+        for g in s:
+            count[g] = count.get(g, 0) + 1
     holders: dict = {}
     for i, s in enumerate(sets):
         n = len(s) - ceil(similarity * len(s) - 1e-9) + 1
@@ -425,20 +434,30 @@ def _words(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> Da
 _NEXT = [("before", "array<int>"), ("after", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>")]
 
 
-def _groups(units: list[dict]) -> list[list[dict]]:
-    """Marked paragraphs of a text in runs of adjacent ones that are all removed, or all not, from the first to the
-    last that is the same as the one it was matched with (all, if none is)."""
-    groups: list[list[dict]] = []
-    for m in sorted(units, key=lambda m: m["unit"]):
-        if groups and groups[-1][-1]["unit"] + 1 == m["unit"] and groups[-1][-1]["removed"] == m["removed"]:
-            groups[-1].append(m)
-        else:
-            groups.append([m])
-    for k, g in enumerate(groups):
-        same = [j for j, m in enumerate(g) if m["same"]]
-        if same:
-            groups[k] = g[same[0] : same[-1] + 1]
-    return groups
+class _Groups:
+    """Marked paragraphs (a list for each row: unit, removed, same, of) in runs of adjacent ones that are all removed,
+    or all not, from the first to the last that is the same as the one it was matched with (all, if none is).
+
+    For each run, by row and unit: row, removed, first and last (units), left and right (of at its ends).
+    """
+
+    def __init__(self, marks: pa.ListArray):
+        values = marks.flatten()
+        row = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+        unit, removed, same = (values.field(n).to_numpy(zero_copy_only=False) for n in ("unit", "removed", "same"))
+        order = np.lexsort((unit, row))
+        row, unit, removed, same = row[order], unit[order], removed[order], same[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (unit[1:] != unit[:-1] + 1) | (removed[1:] != removed[:-1])][: len(row)]
+        starts = np.flatnonzero(new)
+        lasts = np.r_[starts[1:], len(row)][: len(starts)] - 1
+        if len(starts):
+            place = np.arange(len(row))
+            low = np.minimum.reduceat(np.where(same, place, len(row)), starts)
+            high = np.maximum.reduceat(np.where(same, place, -1), starts)
+            starts, lasts = np.where(high >= 0, low, starts), np.where(high >= 0, high, lasts)
+        self.row, self.removed, self.first, self.last = row[starts], removed[starts], unit[starts], unit[lasts]
+        of = values.field("of")
+        self.left, self.right = of.take(pa.array(order[starts])), of.take(pa.array(order[lasts]))
 
 
 def _partners(marked: DataFrame) -> DataFrame:
@@ -447,18 +466,26 @@ def _partners(marked: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            marks = batch.column(0)
-            found = [g[k]["of"] for m in marks for g in _groups(m.as_py()) for k in (0, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, marks.type.value_type.field("of").type)], names=["of"])
+            groups = _Groups(batch.column(0))
+            for of in (groups.left, groups.right):
+                yield pa.RecordBatch.from_arrays([of], names=["of"])
         give_back()
 
     return marked.select("units").mapInArrow(run, f"of {place}").select("of.*").distinct()
 
 
+def _listed(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, step: int = 1) -> pa.ListArray:
+    """For each start, so many values from there on (in steps of 1 or -1), as lists of integers."""
+    ends = np.cumsum(counts)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+    items = values[np.repeat(starts, counts) + step * within].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(items))
+
+
 def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
     """Of the paragraphs `marked` (id, version, units: unit, removed, same, of; asked: units) two kinds of rows.
 
-    Without unit: a run (see `_groups`): its words first to last - 1, left and right (the places that the paragraphs
+    Without unit: a run (see `_Groups`): its words first to last - 1, left and right (the places that the paragraphs
     at its ends were matched with), hashes of the words before and after it, outwards (before, after), and the
     characters where it starts and ends for each number of these that it takes in (starts, ends). With unit: a
     paragraph asked for, and hashes of the words before and after it.
@@ -469,57 +496,56 @@ def _runs(docs: DataFrame, marked: DataFrame, rows: int, id_col: str, text_col:
     schema = f"id {id_type}, version long, unit int, removed boolean, first int, last int, left {place}, right {place}, " + ", ".join(f"{n} {t}" for n, t in _NEXT)
 
     def run(batches):
-        ints = pa.list_(pa.int32())
+        names = ["id", "version", "unit", "removed", "first", "last", "left", "right", *[n for n, _ in _NEXT]]
+        lists = pa.list_(pa.int32())
         for batch in batches:
             ids, versions, marks, asked, texts = batch.columns
-            of_type = marks.type.value_type.field("of").type
-            types = [ids.type, pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), of_type, of_type, ints, ints, ints, ints]
-            names = ["id", "version", "unit", "removed", "first", "last", "left", "right", *[n for n, _ in _NEXT]]
-            out = []
-
-            def flush():
-                made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-                out.clear()
-                return made
-
+            groups = _Groups(marks)
+            asked_row = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+            asked_unit = asked.flatten().to_numpy()
             for lo, cut in _cuts(texts):
+                n = len(cut.of_text) - 1
                 short = (cut.hashes >> np.uint64(33)).astype(np.int32)
-                begins = np.searchsorted(cut.text, np.arange(len(cut.of_text)))
+                begins = np.searchsorted(cut.text, np.arange(n + 1))
                 chars = np.r_[0, np.cumsum((cut.data & 0xC0) != 0x80)]
-                for i in range(len(cut.of_text) - 1):
-                    key, version = ids[lo + i].as_py(), versions[lo + i].as_py()
-                    first = cut.first[begins[i] : begins[i + 1] + 1]
-                    zero, end = int(cut.of_text[i]), int(cut.of_text[i + 1])
-                    shift = chars[cut.offsets[i]]
-
-                    def before(unit, least):
-                        a = int(first[unit])
-                        far = a - (int(first[unit - 1]) if unit else a) + REACH + 2
-                        return a, max(least, a - far)
-
-                    def after(unit, most):
-                        b = int(first[unit + 1])
-                        far = (int(first[unit + 2]) if unit + 2 < len(first) else b) - b + REACH + 2
-                        return b, min(most, b + far)
-
-                    for unit in asked[lo + i].as_py() or ():
-                        a, low = before(unit, zero)
-                        b, high = after(unit, end)
-                        out.append((key, version, unit, None, None, None, None, None, short[low:a][::-1], short[b:high], None, None))
-                    groups = _groups(marks[lo + i].as_py())
-                    for k, g in enumerate(groups):
-                        a, low = before(g[0]["unit"], int(first[groups[k - 1][-1]["unit"] + 1]) if k else zero)
-                        b, high = after(g[-1]["unit"], int(first[groups[k + 1][0]["unit"]]) if k + 1 < len(groups) else end)
-                        starts = (chars[cut.starts[low : a + 1]] - shift)[::-1].astype(np.int32)
-                        ends = (chars[cut.ends[b - 1 : high]] - shift).astype(np.int32)
-                        out.append((key, version, None, g[0]["removed"], a - zero, b - zero, g[0]["of"], g[-1]["of"], short[low:a][::-1], short[b:high], starts, ends))
-                    if len(out) >= ROWS_AT_ONCE:
-                        yield flush()
-            if out:
-                yield flush()
+
+                def around(row, first, last, together):
+                    """Words of the paragraphs first to last of a text, and the words before and after them that are looked at."""
+                    at, end = begins[row] + first, begins[row] + last + 1
+                    a, b = cut.first[at], cut.first[end]
+                    low = a - np.where(first > 0, a - cut.first[np.maximum(at - 1, 0)], 0) - REACH - 2
+                    high = b + np.where(end < begins[row + 1], cut.first[np.minimum(end + 1, len(cut.first) - 1)] - b, 0) + REACH + 2
+                    least, most = cut.of_text[row], cut.of_text[row + 1]
+                    if together and len(row):  # not beyond the runs before and after
+                        same = row[1:] == row[:-1]
+                        least = np.r_[least[:1], np.where(same, b[:-1], least[1:])]
+                        most = np.r_[np.where(same, a[1:], most[:-1]), most[-1:]]
+                    return a, b, np.maximum(low, least), np.minimum(high, most)
+
+                lo_run, hi_run = np.searchsorted(groups.row, [lo, lo + n])
+                if hi_run > lo_run:
+                    row = groups.row[lo_run:hi_run] - lo
+                    a, b, low, high = around(row, groups.first[lo_run:hi_run], groups.last[lo_run:hi_run], True)
+                    zero, shift = cut.of_text[row], chars[cut.offsets[row]]
+                    starts, ends = (_listed(chars[w], s, c, d) for w, s, c, d in ((cut.starts, a, a - low + 1, -1), (cut.ends, b - 1, high - b + 1, 1)))
+                    starts, ends = (pa.ListArray.from_arrays(x.offsets, pa.array(x.values.to_numpy() - np.repeat(shift, np.diff(x.offsets.to_numpy())).astype(np.int32))) for x in (starts, ends))
+                    at, size = pa.array(row + lo), hi_run - lo_run
+                    yield pa.RecordBatch.from_arrays([
+                        ids.take(at), versions.take(at), pa.nulls(size, pa.int32()), pa.array(groups.removed[lo_run:hi_run]), pa.array((a - zero).astype(np.int32)), pa.array((b - zero).astype(np.int32)),
+                        groups.left.slice(lo_run, size), groups.right.slice(lo_run, size), _listed(short, a - 1, a - low, -1), _listed(short, b, high - b), starts, ends,
+                    ], names=names)
+                lo_ask, hi_ask = np.searchsorted(asked_row, [lo, lo + n])
+                if hi_ask > lo_ask:
+                    row, unit, size = asked_row[lo_ask:hi_ask] - lo, asked_unit[lo_ask:hi_ask], hi_ask - lo_ask
+                    a, b, low, high = around(row, unit, unit, False)
+                    at, none, ints = pa.array(row + lo), pa.nulls(size, groups.left.type), pa.nulls(size, pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        ids.take(at), versions.take(at), pa.array(unit), pa.nulls(size, pa.bool_()), ints, ints, none, none,
+                        _listed(short, a - 1, a - low, -1), _listed(short, b, high - b), pa.nulls(size, lists), pa.nulls(size, lists),
+                    ], names=names)
         give_back()
 
-    return joined.select("id", "version", "units", "asked", "text").mapInArrow(run, schema)
+    return joined.select("id", "version", "units", F.coalesce("asked", F.array().cast("array<int>")).alias("asked"), "text").mapInArrow(run, schema)
 
 
 def _alike(a, b):
