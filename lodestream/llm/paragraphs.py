@@ -50,6 +50,8 @@ FEW = 4
 ROWS_IN_CELLS = 1 << 22
 #: One in so many members is looked at to find large buckets; what it misses makes a cell larger, no more.
 SAMPLE = 16
+#: Bits of the bitmap of paragraphs whose words are wanted: 16 MB.
+BITMAP_BITS = 1 << 27
 #: Bytes of text that a task hashes at once, beyond a single text.
 BYTES_AT_ONCE = 1 << 20
 
@@ -371,22 +373,31 @@ def _linked(sets: list[set], similarity: float):
     for s in sets:
         for g in s:
             count[g] = count.get(g, 0) + 1
-    holders: dict = {}
+    holders: dict = {}  # for each element, those that have it among their rarest, by the root of their component
+    held = [set() for _ in sets]  # for each root, the elements that it is found at
     for i, s in enumerate(sets):
         n = len(s) - ceil(similarity * len(s) - 1e-9) + 1
-        rare = sorted(s, key=lambda g: (count[g], g))[:n]
+        rare = [g for g in sorted(s, key=lambda g: (count[g], g))[:n] if count[g] > 1]
         tried = set()
         for g in rare:
-            if count[g] < 2:
-                continue
-            others = holders.setdefault(g, [])
-            for j in others:
-                if j not in tried and root(j) != root(i):
-                    tried.add(j)
-                    if _similar(s, sets[j], similarity):
-                        parent[root(i)] = root(j)
-                        yield i, j
-            others.append(i)
+            for r in list(holders.get(g, ())):
+                if r == root(i) or r not in holders[g]:  # linked, perhaps just now
+                    continue
+                for j in holders[g][r]:
+                    if j not in tried:
+                        tried.add(j)
+                        if _similar(s, sets[j], similarity):
+                            yield i, j
+                            small, large = sorted((root(i), r), key=lambda x: len(held[x]))
+                            parent[small] = large
+                            for h in held[small]:
+                                holders[h].setdefault(large, []).extend(holders[h].pop(small))
+                            held[large] |= held[small]
+                            break
+        r = root(i)
+        for g in rare:
+            holders.setdefault(g, {}).setdefault(r, []).append(i)
+        held[r].update(rare)
 
 
 def _similar(a: set, b: set, similarity: float) -> bool:
@@ -406,29 +417,44 @@ def _joined(docs: DataFrame, asked: DataFrame, rows: int, id_col: str, text_col:
     return joined.select(F.col(_ID).alias("id"), F.col(VERSION).alias("version"), *more, F.col(text_col).cast("binary").alias("text"))
 
 
-def _words(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(pid, words) of the paragraphs at `places` (pid, id, version, unit)."""
-    asked = places.groupBy("id", "version").agg(F.collect_list("unit").alias("units"), F.collect_list("pid").alias("pids"))
-    rows = _joined(docs, store(asked, "asked"), places.count(), id_col, text_col).select("units", "pids", "text")
+def _bitmap(pids: DataFrame) -> np.ndarray:
+    """BITMAP_BITS bits, of which those of `pids` are set: of one size however many there are, and 2^21 rows at most."""
+    bit = F.col("pid").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    rows = pids.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pid & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    for batch in rows.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def _words(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(pid, words) of the paragraphs `wanted` (pid). Texts aren't shuffled: paragraphs are cut once more, and those
+    whose bit is set in a bitmap of what is wanted are joined (the fuller the bitmap, the more are joined in vain)."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
+    wide_rows(spark)
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches):
+        bits, low, six = bitmap.value, np.uint64(BITMAP_BITS - 1), np.uint64(6)
         for batch in batches:
-            units, pids, texts = batch.columns
+            texts, known = batch.column(0), np.empty(0, np.uint64)
             for lo, cut in _cuts(texts):
-                begins = np.searchsorted(cut.text, np.arange(len(cut.of_text) - 1))
-                found, words = [], []
-                for i, begin in enumerate(begins.tolist()):
-                    data = texts[lo + i].as_py()
-                    at = cut.of_text[i]
-                    parts = data.lower().split()
-                    for unit, pid in zip(units[lo + i].as_py(), pids[lo + i].as_py()):
-                        a, b = cut.first[begin + unit] - at, cut.first[begin + unit + 1] - at
-                        found.append(pid)
-                        words.append(b" ".join(parts[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(words, pa.binary())], names=["pid", "words"])
+                pids, at = np.unique(cut.digests(), return_index=True)
+                hit = (bits[((pids & low) >> six).astype(np.int64)] >> (pids & np.uint64(63))) & np.uint64(1)
+                hit = (hit == 1) & ~np.isin(pids, known)
+                pids, at = pids[hit], at[hit]
+                known = np.union1d(known, pids)
+                data = cut.data.tobytes()
+                a, b = cut.starts[cut.first[at]].tolist(), cut.ends[cut.first[at + 1] - 1].tolist()
+                words = [b" ".join(data[x:y].lower().split()) for x, y in zip(a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(pids.view(np.int64)), pa.array(words, pa.binary())], names=["pid", "words"])
         give_back()
 
-    return rows.mapInArrow(run, "pid long, words binary")
+    found = rows.mapInArrow(run, "pid long, words binary")
+    out = store(found.join(small(wanted), "pid").dropDuplicates(["pid"]), "words")
+    bitmap.unpersist()
+    return out
 
 
 _NEXT = [("before", "array<int>"), ("after", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>")]
@@ -583,13 +609,11 @@ def repeated(
     docs = docs.select(id_col, text_col)
     n_bands = bands(similarity, RECALL, PARAGRAPH_ROWS)
     units = store(paragraphs(docs, id_col, text_col), "units")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "unit")
     cells = store(_cells(signatures(docs, n_bands, size, text_col), signatures(docs, n_bands, size, text_col, SAMPLE), LARGE_PARAGRAPH_BUCKET), "cells")
     wanted = store(cells.select("pid").distinct(), "wanted")
-    places = store(units.join(small(wanted), "pid").groupBy("pid").agg(F.min(place).alias("p")).select("pid", "p.id", "p.version", "p.unit"), "places")
-    texts = store(_words(docs, places, id_col, text_col).dropDuplicates(["pid"]), "texts")
+    texts = _words(docs, wanted, text_col)
     found = components(similar_links(cells.join(texts, "pid").select("key", "x", "y", "pid", "words"), similarity, size))
-    drop(cells, wanted, places, texts)
+    drop(cells, wanted, texts)
     members = found.select("node", "root").union(found.select("root", "root").distinct())
     twins = units.groupBy("pid").agg(F.count("*").alias("n")).where("n > 1").select("pid")
     known = twins.join(members, F.col("pid") == F.col("node"), "full").select(F.coalesce("pid", "node").alias("pid"), F.coalesce("root", "pid").alias("root"))

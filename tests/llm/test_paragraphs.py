@@ -228,3 +228,24 @@ def test_empty(spark):
     found = paragraphs.repeated(nulls)
     assert found.collect() == [] and paragraphs.remove(nulls, found).count() == 3
     assert paragraphs.bands(0.8) == 11 and paragraphs.bands(0.8, 0.99, 2) == 5
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_linked_as_brute_force(monkeypatch, few):
+    monkeypatch.setattr(paragraphs, "FEW", few)
+    rng = random.Random(3)
+    for trial in range(200):
+        base = list(range(rng.randrange(3, 14)))
+        sets = [{rng.choice([g, g, g, g, g, g, 50 + rng.randrange(9)]) for g in base[: rng.randrange(1, len(base) + 1)]} for _ in range(rng.randrange(1, 25))]
+
+        def classes(links):
+            group = list(range(len(sets)))
+            for i, j in links:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+            return {frozenset(i for i in range(len(sets)) if group[i] == g) for g in group}
+
+        links = list(paragraphs._linked(sets, 0.8))
+        assert len(links) < len(sets) or not sets
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert classes(links) == classes(every)
