@@ -25,18 +25,19 @@ from pyspark.sql import types as T
 from .shared import give_back, wide_rows
 
 #: Words whose ids a worker remembers before it forgets those not used of late.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Tokens after which the best cuts so far are taken for good.
 TOKENS_AT_ONCE = 1 << 18
 #: Id that ends every document.
 END = 1
 #: Characters of text that are encoded together, one text at least.
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 4 << 20
 #: Words that the tokenizer gets together, and in one text.
 WORDS_AT_ONCE = 8192
 WORDS_IN_TEXT = 256
 #: What may follow the letters of a word; a run of these is a token sequence of its own.
 _TAIL = ".,;:!?%&*#$"
+#: The letter whose lower case is a letter and a mark, which joins what follows; below it all have one letter.
 _PLAIN = "\u0130"
 _WORD_END = "</w>"
 
@@ -121,7 +122,8 @@ class Encoder:
     def _learn(self, words: pa.Array) -> Words:
         """The ids of new words, in an order of its own."""
         core = pc.utf8_rtrim(words, _TAIL)
-        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        letters = pc.utf8_is_alpha(pc.utf8_normalize(core, "NFC"))  # some letters are composed of a letter and a mark
+        plain = pc.and_not(letters, pc.match_substring(core, _PLAIN)).to_numpy(zero_copy_only=False)
         tailed = plain & (pc.binary_length(core).to_numpy() < pc.binary_length(words).to_numpy())
         pick = lambda array, mask: array.filter(pa.array(mask))
         found = self._letters(pick(words, plain & ~tailed)) + self._encode(pick(words, ~plain))

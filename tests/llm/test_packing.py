@@ -1,9 +1,11 @@
 import random
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -87,3 +89,18 @@ def test_best_cuts_as_brute_force():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_every_letter_before_every_mark():
+    """Ids are those of the tokenizer, whatever letter ends a word and whatever mark follows."""
+    encoder, tok = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    assert len(letters) > 100_000
+    for mark in packing._TAIL:
+        some = letters if mark == "." else [c for c in letters if ord(c) < 0x3000 or 0xF900 <= ord(c) < 0x10000]
+        for k in range(0, len(some), 20_000):
+            words = [f"a{c}{mark}" for c in some[k : k + 20_000]]
+            want = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+            assert [list(memoryview(ids).cast("I")) for _, ids in encoder.documents(pa.array(words))] == want
+    for text in ("SERG\u0130.", "\u0130;", "K\u0130TABEV\u0130, yeni", "\u0130ZM\u0130R.", "\u03a3\u0391\u03a3. \u039f\u0394\u039f\u03a3,"):
+        assert list(memoryview(next(encoder.documents(pa.array([text])))[1]).cast("I")) == tok.encode(text, add_special_tokens=False).ids
