@@ -53,7 +53,7 @@ SAMPLE = 16
 #: Bits of the bitmap of paragraphs whose words are wanted: 16 MB.
 BITMAP_BITS = 1 << 27
 #: Bytes of text that a task hashes at once, beyond a single text.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0x9FB21C651E98DF25
@@ -78,7 +78,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, BYTES_AT_ONCE), base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps)
-        if n <= 4 * BYTES_AT_ONCE:
+        if n <= 2 * BYTES_AT_ONCE:
             _POWERS[base] = have
     return have[:n]
 
@@ -219,6 +219,13 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, version long, unit int, pid long")
 
 
+def _with(known: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers with the sorted `more` among them, and which of these are new."""
+    at = np.searchsorted(known, more)
+    new = np.r_[known, ~more[-1:]][at] != more
+    return np.insert(known, at[new], more[new]), new
+
+
 def signatures(docs: DataFrame, n_bands: int, size: int, text_col: str = "text", share: int = 1) -> DataFrame:
     """(pid, bands): MinHash band keys of the paragraphs of all texts, once for each batch of texts; of one in `share` pids."""
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
@@ -230,10 +237,10 @@ def signatures(docs: DataFrame, n_bands: int, size: int, text_col: str = "text",
             for _, cut in _cuts(batch.column(0)):
                 digests = cut.digests()
                 pids, chosen = np.unique(digests, return_index=True)
-                new = ~np.isin(pids, known) & (pids % np.uint64(share) == 0)
+                known, new = _with(known, pids)
+                new &= pids % np.uint64(share) == 0
                 pids, chosen = pids[new], chosen[new]
                 if len(pids):
-                    known = np.union1d(known, pids)
                     keys = cut.keys(digests, chosen, size, n_bands)
                     offsets = np.arange(len(pids) + 1, dtype=np.int32) * n_bands
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
@@ -442,9 +449,9 @@ def _words(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
             for lo, cut in _cuts(texts):
                 pids, at = np.unique(cut.digests(), return_index=True)
                 hit = (bits[((pids & low) >> six).astype(np.int64)] >> (pids & np.uint64(63))) & np.uint64(1)
-                hit = (hit == 1) & ~np.isin(pids, known)
-                pids, at = pids[hit], at[hit]
-                known = np.union1d(known, pids)
+                pids, at = pids[hit == 1], at[hit == 1]
+                known, new = _with(known, pids)
+                pids, at = pids[new], at[new]
                 data = cut.data.tobytes()
                 a, b = cut.starts[cut.first[at]].tolist(), cut.ends[cut.first[at + 1] - 1].tolist()
                 words = [b" ".join(data[x:y].lower().split()) for x, y in zip(a, b)]

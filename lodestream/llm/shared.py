@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of ids and hashes up to which a table is sent to every task: some 7 MB.
 BROADCAST_ROWS = 100_000
-_BATCH, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304"
 #: Names that columns of the input are taken not to have.
 _ID, VERSION = "__lodestream_id", "__lodestream_version"
 
