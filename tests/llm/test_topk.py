@@ -1,22 +1,19 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lodestream.llm import topk
 
 
 def brute(rows, k, every):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        best[i] = min(best.get(i, v), v)
-    q = {i: [math.floor(256 * x) for x in v] for i, v in best.items()}
+    rows = [(i, v) for i, v in rows if not (i is None or v is None or any(x is None or not math.isfinite(x) for x in v))]
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
     out = []
-    for i in q:
+    for n, (i, e) in enumerate(q):
         if i % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i and len(q[j]) == len(q[i]))
+            found = sorted((-sum(a * b for a, b in zip(e, f)), j) for m, (j, f) in enumerate(q) if m != n and len(f) == len(e))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found[:k])]
     return sorted(out)
 
@@ -28,12 +25,21 @@ def test_top_k_as_brute_force(spark, monkeypatch, k, at_once):
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)]
     rows += [(i, [0.5] * 6) for i in range(150, 260)]  # ties
     rows += [(300, None), (350, [1.0, None]), (400, [float("nan")] * 6), (450, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
-    rows += [(500, []), (501, []), (550, [3.0, 2.0]), (600, [1e6, -1e6, 0.0, 0.0, 0.0, 0.0]), rows[3], (0, [9.0] * 6), (-50, [0.1] * 6)]
+    rows += [(500, []), (501, []), (550, [3.0, 2.0]), (600, [1e6, -1e6, 0.0, 0.0, 0.0, 0.0]), rows[3], rows[10], (601, [7e4, 1e6, 1 / 3, 0.0, 0.0, 1e7]), (610, [3.3e6, 1e6, 5e6, -7.7, 1e-9, 1e6]), (0, [9.0] * 6), (-50, [0.1] * 6)]
     df = spark.createDataFrame([(a, b, 1, "c") for a, b in rows], "vec_id long, embedding array<double>, rank int, score string")
     got = topk.top_k(df, k=k, every=10)
     assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
-    fixed = [(i, v if v is None else [x if x is None or not 1e5 <= abs(x) < math.inf else math.copysign((1 << 24) / 256, x) for x in v]) for i, v in rows]
-    assert sorted(map(tuple, got.collect())) == brute(fixed, k, 10)
+    assert sorted(map(tuple, got.collect())) == brute(rows, k, 10)
+
+
+def test_scores_are_exact_or_raise():
+    rng = random.Random(2)
+    for size in (1.0, 1e7, 1e8, 2e8):
+        a, b = ([[float(math.floor(rng.gauss(0, size) if rng.random() < 0.3 else rng.gauss(0, 9))) for _ in range(5)] for _ in range(8)] for _ in range(2))
+        want = [[sum(int(x) * int(y) for x, y in zip(q, v)) for v in b] for q in a]
+        assert topk._scores(np.array(b), np.array(a)).tolist() == want
+    with pytest.raises(OverflowError):
+        topk._scores(np.array([[1e15, 0.0]]), np.array([[1e15, 1.0]]))
 
 
 def test_empty_and_without_queries(spark):
