@@ -2,33 +2,65 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.storage import cut
 
+from .components import components
 from .ranges import radius_join
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node with an edge, root being the least node reached.
+#: Vectors of a block; every two blocks are compared in a task as matrices.
+BLOCK = 1024
 
-    Labels take the least label among neighbours, and then the label of their label, until nothing changes;
-    every round is checkpointed, so a lost executor repeats one round.
+
+def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float) -> DataFrame:
+    """(a, b, d) of all pairs a < b of vectors of one length whose cosine distance d is `most` or less.
+
+    Vectors are dealt to blocks by a hash of their id, so that no block grows with a group of alike ones; a task gets
+    two blocks and multiplies them as matrices. Only near pairs leave it. Null vectors, and those of zero length or
+    with null or non-finite parts, are near none.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = cut(both.union(both.select("v", "u")).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
-    while True:
-        of = labels.select(F.col("node").alias("v"), "root")
-        near = both.join(of, "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        nxt = cut(low.join(jump, "root", "left").select("node", F.least("root", "next").alias("root")))
-        changed = nxt.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old")
-        if changed.isEmpty():
-            return nxt
-        labels = nxt
+    e = F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), e.alias("e")).where("id is not null and e is not null")
+    rows = cut(rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))))
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    cells = rows.select("id", "e", own.alias("own"), F.explode(dealt).alias("c")).select("c.x", "c.y", "own", "id", "e")
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, owner = table["id"], table["own"].to_numpy()
+        lists = table["e"].combine_chunks() if isinstance(table["e"], pa.ChunkedArray) else table["e"]
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        lengths, starts = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1]
+        values, x, y = lists.values.to_numpy(zero_copy_only=False), table["x"][0].as_py(), table["y"][0].as_py()
+        left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == n)
+            m = values[starts[at][:, None] + np.arange(n)[None, :]]
+            norm = np.sqrt((m * m).sum(1))
+            at, m = at[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
+            i, j = at[owner[at] == x], at[owner[at] == y]
+            d = 1 - m[owner[at] == x] @ m[owner[at] == y].T
+            p, q = np.nonzero(d <= most)
+            if x == y:
+                p, q = p[(once := p < q)], q[once]
+            left.append(i[p])
+            right.append(j[q])
+            far.append(d[p, q])
+        a, b = (ids.take(pa.array(np.concatenate(k))) for k in (left, right))
+        swap = pc.greater(a, b)
+        found = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "d": pa.array(np.concatenate(far))})
+        return found.filter(pc.not_equal(found["a"], found["b"]))
+
+    return cells.groupBy("x", "y").applyInArrow(run, f"a {id_type}, b {id_type}, d double")
 
 
 def dbscan(df: DataFrame, id_col: str, coords: list[str], eps: float, least: int) -> DataFrame:
@@ -48,7 +80,7 @@ def dbscan(df: DataFrame, id_col: str, coords: list[str], eps: float, least: int
 
 
 def single_linkage(pairs: DataFrame, a: str, b: str, distance: str, most: float) -> DataFrame:
-    """Clusters of single linkage at a threshold are the components of the near pairs: exact."""
+    """Clusters of single linkage at a threshold are the components of the near pairs: exact."""
     return components(pairs.where(F.col(distance) <= most), a, b)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "timeseries", "statistics", "spatial", "scalars", "signals", "events", "io")
+MODULES = ("relational", "timeseries", "statistics", "spatial", "scalars", "signals", "events", "io", "formats")
 
 
 def _all(kind: str) -> dict:

@@ -114,30 +114,21 @@ def dbscan(spark, sf):
 
 @query("""
 WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.e, b.e) AS d FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.vec_id % 10 = b.vec_id % 10)
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.e, b.e) AS d FROM n a JOIN n b ON a.vec_id < b.vec_id)
 SELECT a, b, round(d, 4) AS d FROM p WHERE d <= 0.75""")
 def pairwise_cosine(spark, sf):
-    """Distances within stations, by blocks (a station is vec_id modulo 10)"""
-    return _cosine(spark, sf).where("d <= 0.75").withColumn("d", F.round("d", 4))
-
-
-def _cosine(spark, sf):
-    n = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("vec_id") % 10).alias("s"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda x, y: x + y * y))
-    n = n.withColumn("u", F.transform("e", lambda x: x / norm)).drop("e")
-    a, b = n.select(F.col("vec_id").alias("a"), "s", F.col("u").alias("ua")), n.select(F.col("vec_id").alias("b"), "s", F.col("u").alias("ub"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    return a.join(b, "s").where("a < b").select("a", "b", (1 - dot).alias("d"))
+    """Cosine distances of all pairs, by blocks"""
+    return C.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.75).withColumn("d", F.round("d", 4))
 
 
 @query("""
 WITH RECURSIVE n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.vec_id % 10 = b.vec_id % 10 AND 1 - list_cosine_similarity(a.e, b.e) <= 0.7),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.e, b.e) <= 0.7),
 r AS (SELECT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
 SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def single_linkage(spark, sf):
-    """C03, C04, C06"""
-    return C.single_linkage(_cosine(spark, sf), "a", "b", "d", 0.7)
+    """Over all vectors"""
+    return C.single_linkage(C.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.7), "a", "b", "d", 0.7)
 
 
 @query("""

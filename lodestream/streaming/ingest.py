@@ -38,13 +38,20 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
 
 
-def each_batch(stream: DataFrame, checkpoint: str, check: Callable[[DataFrame], bool], write: Callable[[DataFrame, int], None]) -> None:
-    """A batch is checked and then written; one that fails the check stops the query, to be run again."""
+def each_batch(stream: DataFrame, checkpoint: str, check: Callable[[DataFrame], bool], write: Callable[[DataFrame, int], None], log: str | None = None) -> None:
+    """A batch is checked and then written. Without `log`, one that fails stops the query, to be run
+    again; with it, the failure is a row (batch, error) of the table at that path and the loop goes on."""
 
     def put(batch: DataFrame, number: int) -> None:
-        if not check(batch):
-            raise ValueError(f"batch {number} failed its check")
-        write(batch, number)
+        try:
+            if not check(batch):
+                raise ValueError(f"batch {number} failed its check")
+            write(batch, number)
+        except Exception as e:  # noqa: BLE001  a failed batch is reported, not hidden
+            if log is None:
+                raise
+            failure = batch.sparkSession.createDataFrame([(number, f"{type(e).__name__}: {e}")], "batch long, error string")
+            failure.write.mode("append").parquet(log)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
