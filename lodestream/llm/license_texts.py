@@ -79,3 +79,20 @@ EQUIVALENT = [
     ("copyright owner", "copyright holder"),
     ("https", "http"),
 ]
+
+#: SHA-256 of the canonical form (see licenses.canonical) of whole licence texts.
+FULL = {
+    "Apache-2.0": ["0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"],
+    "CC0-1.0": ["cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"],
+    "GPL-1.0-only": ["9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"],
+    "GPL-2.0-only": ["b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"],
+    "GPL-3.0-only": ["59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"],
+    "LGPL-2.0-only": ["96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"],
+    "LGPL-2.1-only": ["22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"],
+    "LGPL-3.0-only": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["a038bead0535d9e18a762d7bfccdec8aa7d7de0963d959302b5426e7a35f821e"],
+    "MPL-2.0": ["95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"],
+}
+
+#: Words of which each of these texts has one.
+FULL_WORDS = ("affirmer", "apache", "gnu", "mozilla")

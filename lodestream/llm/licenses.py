@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import EQUIVALENT, KNOWN
+from .license_texts import EQUIVALENT, FULL, FULL_WORDS, KNOWN
 
 #: Rows of known digests up to which they are sent to every task; beyond, both sides are shuffled.
 BROADCAST_ROWS = 100_000
@@ -62,25 +62,38 @@ def markers(texts: list[str]) -> str:
     return "|".join(chosen)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license): of names with one digest the least."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], digests: list[tuple[str, str]] = ()) -> DataFrame:
+    """(digest, license) of (name, text) and (name, digest) pairs: of names with one digest the least."""
     rows = spark.createDataFrame(known, "license string, text string").withColumn("canon", canonical(F.col("text")))
-    return rows.where("canon <> ''").groupBy(F.sha2(F.col("canon").cast("binary"), 256).alias("digest")).agg(F.min("license").alias("license"))
-
-
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = rows.where("canon <> ''").select("license", F.sha2(F.col("canon").cast("binary"), 256).alias("digest"))
+    rows = rows.union(spark.createDataFrame(list(digests), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def scan(
+    docs: DataFrame,
+    known: list[tuple[str, str]] | None = None,
+    full: list[tuple[str, str]] = (),
+    full_words: tuple[str, ...] = (),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per row of `docs`: id_col, license, notices (sorted distinct names), n_notices.
 
     `license` is the known text that the whole text is, else null. `notices` are the known texts that whole
     lines are; n_notices counts such lines. Null, empty and blank texts have none; rows that repeat are
-    judged each. `known` are (name, text) pairs, the built-in ones by default. Other columns are not read.
+    judged each. `known` are (name, text) pairs, `full` (name, digest) pairs of canonical texts, of which each has
+    one of `full_words`; the built-in ones by default. Other columns are not read.
     """
     spark = docs.sparkSession
-    known = known_pairs() if known is None else known
-    digests = known_digests(spark, known)
-    if len(known) <= BROADCAST_ROWS:
+    if known is None:
+        known, full, full_words = known_pairs(), full_pairs(), FULL_WORDS
+    digests = known_digests(spark, known, full)
+    if len(known) + len(full) <= BROADCAST_ROWS:
         digests = F.broadcast(digests)
     marker = markers([t for _, t in known]) if known else "^$a"
+    if marker and full:  # without marker words every text is looked at
+        marker = "|".join([marker, *full_words]) if full_words else ""
     low = F.lower(F.col(text_col))
     hit = F.coalesce(low.rlike(marker), F.lit(False)) if marker else F.col(text_col).isNotNull()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.when(hit, F.col(text_col)).alias("text"))
@@ -105,3 +118,8 @@ def known_pairs() -> list[tuple[str, str]]:
     """The built-in (name, text) pairs, and the identifier line of every name."""
     pairs = [(name, text) for name, texts in KNOWN.items() for text in texts]
     return pairs + [(name, f"SPDX-License-Identifier: {name}") for name in KNOWN]
+
+
+def full_pairs() -> list[tuple[str, str]]:
+    """The built-in (name, digest) pairs of whole licence texts."""
+    return [(name, digest) for name, digests in FULL.items() for digest in digests]

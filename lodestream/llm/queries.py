@@ -102,18 +102,21 @@ def _canonical_sql(text: str) -> str:
 def _license_sql() -> str:
     quoted = [(n, t.replace("'", "''")) for n, t in licenses.known_pairs()]
     values = ", ".join(f"('{n}', '{t}')" for n, t in quoted)
+    full = ", ".join(f"('{n}', '{d}')" for n, d in licenses.full_pairs())
     return f"""
-WITH known AS (
-  SELECT {_canonical_sql("t")} AS c, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1 HAVING c <> ''
+WITH texts AS (
+  SELECT {_canonical_sql("t")} AS c, license FROM (VALUES {values}) v(license, t)
+), known AS (
+  SELECT h, min(license) AS license FROM (SELECT sha256(c) AS h, license FROM texts WHERE c <> '' UNION ALL SELECT h, license FROM (VALUES {full}) f(license, h)) GROUP BY h
 ), d AS (
   SELECT row_number() OVER () AS r, doc_id, text FROM documents
 ), lines AS (
-  SELECT r, {_canonical_sql("line")} AS c FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT r, sha256({_canonical_sql("line")}) AS h FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
 ), notices AS (
-  SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM lines JOIN known USING (c) GROUP BY r
+  SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM lines JOIN known USING (h) GROUP BY r
 )
 SELECT doc_id, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
-FROM (SELECT r, doc_id, {_canonical_sql("text")} AS c FROM d) LEFT JOIN known USING (c) LEFT JOIN notices USING (r)"""
+FROM (SELECT r, doc_id, sha256({_canonical_sql("text")}) AS h FROM d) LEFT JOIN known USING (h) LEFT JOIN notices USING (r)"""
 
 
 _ORACLES = {

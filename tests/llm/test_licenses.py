@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from lodestream.llm import licenses
 from lodestream.llm.license_texts import KNOWN
 
@@ -32,3 +36,18 @@ def test_own_list(spark):
     got = {r.doc_id: r.license for r in licenses.scan(df, [("b", "mine all mine"), ("a", "MINE: all mine"), ("none", "?!")]).collect()}
     assert got == {1: None, 2: "a", 3: None}
     assert all(r.license is None for r in licenses.scan(df, []).collect())
+
+
+FOLDER = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no licence texts here")
+def test_whole_texts_by_digest(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for name, file in names.items():
+        with open(f"{FOLDER}/{file}", encoding="utf-8") as f:
+            text = f.read()
+        rows += [(name, text), (name, text.upper().replace("\n", "\r\n")), (None, text + " more")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(found) == len(rows) and all(r.license == r.doc_id for r in found)
