@@ -58,8 +58,14 @@ def keys(docs: DataFrame, phrases: DataFrame, text_col: str = "text") -> DataFra
     return best.where("k.n > 0").select("phrase", "k.word", "k.shift")
 
 
-def postings(docs: DataFrame, wanted: list[str], around: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: row (long, unique), id_col, version (hash of the text), n_words and the postings of `wanted` words of every document.
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (long, unique), id_col, version (hash of the text) and _words of every document."""
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("_words"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), "version", "_words")
+
+
+def postings(rows: DataFrame, wanted: list[str], around: int, id_col: str = "doc_id") -> DataFrame:
+    """The index over `rows` (see `tokens`): row, id_col, version, n_words and the postings of `wanted` words of every document.
 
     A posting has the word, its position, and from `first` on the `around` words to either side and itself.
     """
@@ -74,9 +80,7 @@ def postings(docs: DataFrame, wanted: list[str], around: int, id_col: str = "doc
             F.slice(w, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1).alias("near"),
         ),
     )
-    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("_words"))
-    row = F.monotonically_increasing_id().alias("row")
-    return rows.select(row, F.col(id_col), "version", F.size(w).cast("long").alias("n_words"), entry.alias("postings"))
+    return rows.select("row", F.col(id_col), "version", F.size(w).cast("long").alias("n_words"), entry.alias("postings"))
 
 
 class Index:
@@ -88,13 +92,16 @@ class Index:
         self.keys = store(keys(docs, self.windows.select("phrase").distinct(), text_col), "keys")
         self.n_windows = self.windows.count()
         ordered = self.keys.select("word").distinct()
+        rows = tokens(docs, id_col, text_col)
+        if ordered.count() > WORDS_AT_ONCE:  # several passes: each must see the same rows under the same numbers
+            rows = store(rows, "tokens")
         self.blocks = []
         last = ""
         while True:  # blocks of looked-up words, in order; one at least, which holds all documents
             block = [r[0] for r in ordered.where(F.col("word") > last).orderBy("word").limit(WORDS_AT_ONCE).collect()]
             if block or not self.blocks:
                 around = size - 1 if around is None else around
-                self.blocks.append(store(postings(docs, block, around, id_col, text_col), "postings"))
+                self.blocks.append(store(postings(rows, block, around, id_col), "postings"))
             if len(block) < WORDS_AT_ONCE:
                 break
             last = block[-1]

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import decontaminate
 
@@ -69,3 +70,13 @@ def test_proximity(spark):
     t = spark.createDataFrame([(7, "one rare two")], "item_id long, text string")
     got = decontaminate.near_matches(d, t, size=3, within=5).collect()
     assert sorted(map(tuple, got)) == [(1, "7", 0), (2, "7", 5)]
+
+
+def test_rows_of_changing_partitions_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 3)
+    rng = random.Random(9)
+    items = [(i, " ".join(f"b{rng.randrange(5000)}" for _ in range(14))) for i in range(12)]
+    docs = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(30)) + " " + " ".join(items[i % 12][1].split()[2:13]) * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").orderBy(F.rand())  # another order whenever it is read
+    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r["items"] for r in got} == {i: [str(i % 12)] * (i % 2) for i, _ in docs}
