@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.storage import cut
 
 from .components import components
 from .ranges import radius_join
+from .relational import number_rows
 
 
 #: Vectors of a block; every two blocks are compared in a task as matrices.
@@ -116,4 +117,4 @@ def kmeans(df: DataFrame, id_col: str, coords: list[str], k: int, seed: int = 1)
 def largest_first(df: DataFrame, cluster: str, over: int) -> DataFrame:
     """Clusters of more than `over` rows with their rank by size, the largest first."""
     sizes = df.groupBy(cluster).agg(F.count("*").alias("n")).where(F.col("n") > over)
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), cluster)))
+    return number_rows(sizes, [F.desc("n"), F.col(cluster)], "rank")

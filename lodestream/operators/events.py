@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.storage import small
+
 
 def match_self_detections(templates: DataFrame, detections: DataFrame, key: str, mag: str, tolerance: float, order: str) -> DataFrame:
     """Every template with its detection of the nearest magnitude below `tolerance`; key, matched order or null."""
@@ -53,7 +55,7 @@ def travel_time_grid(stations: DataFrame, lats: tuple, lons: tuple, depths: tupl
 
 def brightness(traces: DataFrame, lags: DataFrame, channel: str, position: str, value: str) -> DataFrame:
     """Per node and position the sum of the channels' values at the node's lags, with partial sums before the shuffle."""
-    moved = traces.join(F.broadcast(lags), channel).select("node", (F.col(position) - F.col("lag")).alias(position), value)
+    moved = traces.join(small(lags), channel).select("node", (F.col(position) - F.col("lag")).alias(position), value)
     return moved.groupBy("node", position).agg(F.sum(value).alias("brightness"))
 
 

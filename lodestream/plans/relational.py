@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from lodestream.operators import relational as R
 from lodestream.session import table
+from lodestream.storage import small
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -162,7 +163,7 @@ def pair_table(spark, sf):
     """Source and receiver pairs without bad channels and pairs of one group"""
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     active = R.exclude(s, s.where("s_acctbal < 0"), ["s_suppkey"])
-    return active.crossJoin(F.broadcast(n)).where("s_nationkey <> n_nationkey").select("s_suppkey", "n_nationkey")
+    return active.crossJoin(small(n)).where("s_nationkey <> n_nationkey").select("s_suppkey", "n_nationkey")
 
 
 @query("SELECT c_custkey, CASE WHEN regexp_matches(c_mktsegment, '^[A-B]') THEN 'source' ELSE 'receiver' END AS side FROM customer")
@@ -272,7 +273,8 @@ def candidate_key_join(spark, sf):
     p = table(spark, sf, "part")
     names = F.array("p_brand", F.lower("p_brand"), F.concat(F.lit("brand#"), F.col("p_size").cast("string")))
     keys = p.select("p_partkey", F.posexplode(names).alias("rank", "name"))
-    m = p.select(F.lower("p_brand").alias("name")).distinct().withColumn("channel", F.dense_rank().over(Window.orderBy("name")).cast("long"))
+    m = p.select(F.lower("p_brand").alias("name")).distinct()
+    m = R.number_rows(m, [F.col("name")], "channel")
     return keys.join(m, "name").groupBy("p_partkey").agg(F.max_by("channel", "rank").alias("channel"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import stats as S
 from lodestream.operators.timeseries import running_total
 from lodestream.session import table
+from lodestream.storage import small
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -150,7 +151,7 @@ FROM g x JOIN g y ON x.event_type < y.event_type""")
 def bvalue_equality(spark, sf):
     """Pairs of event types, of which there are few"""
     g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("n"), (1 / (F.avg("value") - F.min("value"))).alias("b"))
-    x, y = g.alias("x"), F.broadcast(g.alias("y"))
+    x, y = g.alias("x"), small(g).alias("y")
     p = S.utsu_probability(F.col("x.n"), F.col("y.n"), F.col("x.b"), F.col("y.b"))
     return x.join(y, F.col("x.event_type") < F.col("y.event_type")).select(F.col("x.event_type").alias("left_type"), F.col("y.event_type").alias("right_type"), F.round(p, 6).alias("p"))
 

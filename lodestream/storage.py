@@ -6,16 +6,28 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table up to which it is sent to every task.
+SMALL = 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local use) one is made."""
+    """The folder of spark.checkpoint.dir; where it is unset one is made, in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="lodestream-"))
     return context.getCheckpointDir()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """`df` to be sent to every task if it has SMALL rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back, so that a lost executor repeats what follows only.
 
