@@ -16,8 +16,10 @@ _ID, VERSION = "__lodestream_id", "__lodestream_version"
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, local use) one is made and set."""
+    """The folder named by spark.checkpoint.dir; where it is unset one is made and set, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.checkpoint.dir", path)
