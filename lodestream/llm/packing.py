@@ -9,6 +9,7 @@ it, which a monotone queue gives in constant time. Nothing is shuffled.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -25,13 +26,13 @@ from pyspark.sql import types as T
 from .shared import give_back, wide_rows
 
 #: Words whose ids a worker remembers before it forgets those not used of late.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Tokens after which the best cuts so far are taken for good.
 TOKENS_AT_ONCE = 1 << 18
 #: Id that ends every document.
 END = 1
 #: Characters of text that are encoded together, one text at least.
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 8 << 20
 #: Words that the tokenizer gets together, and in one text.
 WORDS_AT_ONCE = 8192
 WORDS_IN_TEXT = 256
@@ -40,6 +41,8 @@ _TAIL = ".,;:!?%&*#$"
 #: The letter whose lower case is a letter and a mark, which joins what follows; below it all have one letter.
 _PLAIN = "\u0130"
 _WORD_END = "</w>"
+#: Letters that the tokenizer's normal form (NFC, lower case) turns into a letter and a mark.
+_COMPOSED = "[" + _PLAIN + "".join(c for c in map(chr, range(0x0900, 0xFB50)) if len(unicodedata.normalize("NFC", c)) > 1) + "]"
 
 
 class Words:
@@ -122,8 +125,7 @@ class Encoder:
     def _learn(self, words: pa.Array) -> Words:
         """The ids of new words, in an order of its own."""
         core = pc.utf8_rtrim(words, _TAIL)
-        letters = pc.utf8_is_alpha(pc.utf8_normalize(core, "NFC"))  # some letters are composed of a letter and a mark
-        plain = pc.and_not(letters, pc.match_substring(core, _PLAIN)).to_numpy(zero_copy_only=False)
+        plain = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring_regex(core, _COMPOSED)).to_numpy(zero_copy_only=False)
         tailed = plain & (pc.binary_length(core).to_numpy() < pc.binary_length(words).to_numpy())
         pick = lambda array, mask: array.filter(pa.array(mask))
         found = self._letters(pick(words, plain & ~tailed)) + self._encode(pick(words, ~plain))
