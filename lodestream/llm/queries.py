@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, paragraphs, quality, sharding, simhash, topk, warc
+from . import chat, decontaminate, licenses, packing, panes, paragraphs, quality, sharding, simhash, topk, warc
 from .shared import new_path, store
 
 
@@ -89,7 +89,32 @@ def op10_sharding(spark, sf_dir):
     return sharding.shuffle_into_shards(docs, 40, seed=10).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding)
+def _hours(ts):
+    """Whole hours from 1970 to a time without a zone, rounded down."""
+    return F.unix_date(F.col(ts).cast("date")).cast("long") * 24 + F.hour(ts)
+
+
+def click_batches(clicks, batches: int = 10):
+    """Clicks as rows of panes.revisions: each click_id once (of different rows the first that arrived; null is one id),
+    those without a time dropped; a click without an arrival arrives at its own time. A value that isn't finite is 0 cents."""
+    first = clicks.where(F.col("ts").isNotNull()).groupBy("click_id").agg(
+        F.min(F.struct(F.coalesce("arrived_at", "ts").alias("arrived"), "ts", "kind", "value")).alias("r")
+    ).select("click_id", "r.*")
+    day = F.unix_date(F.col("arrived").cast("date")).cast("long")
+    q = F.pmod(day, F.lit(10))
+    held_back = F.greatest(F.lit(0), F.crc32(F.col("click_id").cast("string")) % 30 - 23)
+    cents = F.when(F.col("value") - F.col("value") == 0, F.floor(F.col("value") * 100 + 0.5))
+    return first.select(
+        F.least(F.lit(batches - 1), q + held_back).cast("int").alias("batch"), "kind", (_hours("ts") - (day - q) * 24).alias("hour"), "click_id", cents.alias("cents"),
+    )
+
+
+def op11_window_panes(spark, sf_dir):
+    """All clicks in ten batches: hourly panes by kind, emitted, revised and closed."""
+    return panes.revisions(click_batches(_read(spark, sf_dir, "clicks")), 10, due_after=12, closed_after=48)
+
+
+_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding, op11_window_panes)
 
 def _canonical_sql(text: str) -> str:
     """DuckDB's form of licenses.canonical."""
@@ -119,7 +144,42 @@ SELECT doc_id, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_no
 FROM (SELECT r, doc_id, sha256({_canonical_sql("text")}) AS h FROM d) LEFT JOIN known USING (h) LEFT JOIN notices USING (r)"""
 
 
+#: The CRC-32 of a text of ASCII letters in DuckDB, bit by bit; {} is the text.
+_CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 _ORACLES = {
+    "op11_window_panes": f"""
+WITH c AS (
+  SELECT click_id, min({{'a': coalesce(arrived_at, ts), 'ts': ts, 'kind': kind, 'value': value}}) AS r
+  FROM clicks WHERE ts IS NOT NULL GROUP BY click_id
+), d AS (
+  SELECT click_id, r.ts AS ts, coalesce(r.kind, 'none') AS kind, date_diff('day', DATE '1970-01-01', r.a::DATE) AS day,
+    coalesce(floor(100 * r.value + 0.5), 0)::BIGINT AS cents
+  FROM c
+), e AS (
+  SELECT least(9, day % 10 + greatest(0, {_CRC32_SQL.format("click_id::VARCHAR")} % 30 - 23)) AS batch, click_id, kind, cents,
+    floor((epoch_us(ts) - (day - day % 10) * 86400000000) / 3600000000.0)::BIGINT AS hour
+  FROM d
+), w AS (
+  SELECT b.range AS batch, (SELECT max(hour) FROM e WHERE e.batch < b.range) AS seen FROM range(10) b
+), l AS (
+  SELECT e.*, seen IS NOT NULL AND seen >= hour + 49 AS late FROM e JOIN w USING (batch)
+), a AS (
+  SELECT kind, hour, batch, count(*) AS n, sum(cents) AS cents FROM l WHERE NOT late GROUP BY ALL
+), s AS (
+  SELECT kind, hour, batch, sum(n) OVER p AS n, sum(cents) OVER p AS cents, lead(batch) OVER p AS upto,
+    first_value(batch) OVER p AS first, (SELECT min(w.batch) FROM w WHERE seen >= a.hour + 13) AS due
+  FROM a WINDOW p AS (PARTITION BY kind, hour ORDER BY batch)
+), t AS (
+  SELECT *, CASE WHEN due IS NOT NULL THEN greatest(due, first) END AS sent, lag(n) OVER p AS old_n, lag(cents) OVER p AS old_cents
+  FROM s WINDOW p AS (PARTITION BY kind, hour ORDER BY batch)
+)
+SELECT batch::BIGINT AS batch, hour, click_id, 1::BIGINT AS n_rows, cents, 'late' AS record, kind FROM l WHERE late
+UNION ALL SELECT sent::BIGINT, hour, -1, n::BIGINT, cents::BIGINT, 'emit', kind FROM t WHERE batch <= sent AND (upto IS NULL OR upto > sent)
+UNION ALL SELECT batch::BIGINT, hour, -1, old_n::BIGINT, old_cents::BIGINT, 'retract', kind FROM t WHERE batch > sent
+UNION ALL SELECT batch::BIGINT, hour, -1, n::BIGINT, cents::BIGINT, 'replace', kind FROM t WHERE batch > sent
+UNION ALL SELECT 9, hour, -1, n::BIGINT, cents::BIGINT, 'final', kind FROM t WHERE sent IS NULL AND upto IS NULL""",
     "op1_chat_format": """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -35,6 +36,19 @@ def wide_rows(spark: SparkSession) -> None:
     spark.conf.set(_BATCH, _BYTES)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session that hold inside only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def give_back() -> None:
     """At the end of a Python task: return memory that nothing holds, as the worker lives on beside others."""
     import ctypes
