@@ -27,7 +27,11 @@ SHARDS = 8
 SLOTS = 32
 #: Panes that a task holds before it sends them on.
 _HELD = 100_000
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is kept in RocksDB. As each start is another run, its stores are given up with it, not later by maintenance.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 _ADDED = "kind string, shard long, hour long, n_rows long, cents long"
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 _STAGED = "kind string, hour long, click_id long, cents long, n long"
@@ -247,7 +251,7 @@ def revisions(rows: DataFrame, batches: int, due_after: int = 12, closed_after:
             now = latest[k] if now is None else max(now, latest[k])
     fs.mkdirs(path("source"))
     fs.mkdirs(path("out"))
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}):
+    with settings(spark, _STATE):
         for k in range(batches if latest else 0):
             for name in ("rows", "ticks"):
                 _move(spark, f"{root}/{name}/batch={k}", f"{root}/source/{name}-{k}")
