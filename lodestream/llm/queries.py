@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, panes, paragraphs, quality, sharding, simhash, topk, warc
+from . import chat, decontaminate, licenses, merkle, packing, panes, paragraphs, quality, sharding, simhash, topk, warc
 from .shared import new_path, store
 
 
@@ -114,7 +114,19 @@ def op11_window_panes(spark, sf_dir):
     return panes.revisions(click_batches(_read(spark, sf_dir, "clicks")), 10, due_after=12, closed_after=48)
 
 
-_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding, op11_window_panes)
+#: Fields of a document that its digest covers, in order.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    """Digest, proof and verification of every document, a third of them with the text's A-Z in lower case."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.leaf(*[lowered if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed)
+    return merkle.prove(_read(spark, sf_dir, "documents"), LEAF_FIELDS, by="lang", order="doc_id", altered=tampered)
+
+
+_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding, op11_window_panes, op13_merkle_manifest)
 
 def _canonical_sql(text: str) -> str:
     """DuckDB's form of licenses.canonical."""
