@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.storage import cut
+
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of `schema` in order, null where `df` lacks them."""
@@ -110,14 +112,18 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: list[Column], right_
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Consecutive numbers from 1 in a global order: sorted partitions are numbered within, and offsets added."""
-    rows = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_p", before.alias("_before"))
-    place = F.col("_before") + F.col("_m") - F.shiftleft(part, 33) + 1
-    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, place).drop("_m", "_p", "_before")
+    """Consecutive numbers from 1 in a global order; ties are numbered in any order, a column `name` is replaced.
+
+    The sorted rows are written once with their place in their partition, so that what is counted is what is numbered:
+    a second sort would draw other bounds. What lies before a partition is summed over partitions, not rows.
+    """
+    columns = [c for c in df.columns if c != name]
+    ordered = df.orderBy(*order).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), F.monotonically_increasing_id().alias("m"))
+    rows = cut(ordered).withColumn("p", F.shiftright("m", 33))
+    sizes = rows.groupBy("p").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    offsets = cut(sizes.select("p", (before - F.col("first") + 1).alias("shift")))  # a row a partition
+    return rows.join(F.broadcast(offsets), "p").select("r.*", (F.col("m") + F.col("shift")).alias(name))
 
 
 def compare_membership(left: DataFrame, right: DataFrame, key: str, names=("both", "left_only", "right_only")) -> DataFrame:
