@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, merkle, packing, panes, paragraphs, quality, sharding, simhash, topk, warc
+from . import chat, decontaminate, licenses, merkle, packing, panes, paragraphs, quality, sharding, simhash, topk, toxicity, warc
 from .shared import new_path, store
 
 
@@ -114,6 +114,17 @@ def op11_window_panes(spark, sf_dir):
     return panes.revisions(click_batches(_read(spark, sf_dir, "clicks")), 10, due_after=12, closed_after=48)
 
 
+#: Score from which a document counts as toxic.
+TOXIC_FROM = 0.5
+
+
+def op12_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 #: Fields of a document that its digest covers, in order.
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -126,7 +137,7 @@ def op13_merkle_manifest(spark, sf_dir):
     return merkle.prove(_read(spark, sf_dir, "documents"), LEAF_FIELDS, by="lang", order="doc_id", altered=tampered)
 
 
-_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding, op11_window_panes, op13_merkle_manifest)
+_QUERIES = (op1_chat_format, op2_exact_top_k, op3_license_scan, op4_simhash_near_dedup, op5_packing, op6_substring_dedup, op7_decontamination, op8_quality, op9_warc, op10_sharding, op11_window_panes, op12_toxicity, op13_merkle_manifest)
 
 def _canonical_sql(text: str) -> str:
     """DuckDB's form of licenses.canonical."""
