@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestream.storage import cut
 
 from .components import components
-from .ranges import radius_join
+from .ranges import geodesic_join, radius_join
 from .relational import number_rows
 
 
@@ -70,7 +70,18 @@ def dbscan(df: DataFrame, id_col: str, coords: list[str], eps: float, least: int
     Border rows, which several clusters may reach, join that of their least core neighbour.
     """
     points = df.select(id_col, *coords)
-    pairs = cut(radius_join(points, points, coords, eps).select(F.col(id_col).alias("a"), F.col(id_col + "_r").alias("b")))
+    return _density(df, id_col, radius_join(points, points, coords, eps), least)
+
+
+def dbscan_geodesic(df: DataFrame, id_col: str, lat: str, lon: str, km: float, least: int) -> DataFrame:
+    """As dbscan, for places on the sphere and their haversine distance. Rows without a place are noise."""
+    points = df.select(id_col, lat, lon)
+    return _density(df, id_col, geodesic_join(points, points, lat, lon, km), least)
+
+
+def _density(df: DataFrame, id_col: str, near: DataFrame, least: int) -> DataFrame:
+    """Clusters from the pairs within the radius, each row's with itself among them."""
+    pairs = cut(near.select(F.col(id_col).alias("a"), F.col(id_col + "_r").alias("b")))
     core = pairs.groupBy("a").count().where(F.col("count") >= least).select("a")
     ends = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b")
     found = components(ends).select(F.col("node").alias("b"), "root")

@@ -70,6 +70,48 @@ def radius_join(left: DataFrame, right: DataFrame, coords: list[str], radius: fl
     return a.join(b, keys).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius).drop(*keys)
 
 
+def geodesic_join(left: DataFrame, right: DataFrame, lat: str, lon: str, km: float, suffix: str = "_r") -> DataFrame:
+    """Pairs of rows within `km` of each other on the sphere (haversine), with their distance; columns of `right`
+    get the suffix. Places without a latitude of -90 to 90 or without a longitude have no pair; longitudes may have any turn.
+
+    Cells are bands of latitude as high as the radius, each cut into as many equal columns as are at least as wide as
+    the radius where the band is narrowest; a band that comes near a pole is one cell. A right row is copied to the
+    columns of three bands that its own reach in longitude touches, around the date line too.
+    """
+    reach = min(km / EARTH_KM, 3.1415)  # as an angle
+    high = max(reach * 57.29577951308232 * (1 + 1e-9), 1e-6)
+    last = int(180 / high)
+
+    def extent(phi: Column) -> Column:
+        """Half the range of longitudes, in degrees, that the radius reaches at a latitude; 180 or more is all."""
+        most = F.abs(F.radians(phi)) + reach
+        side = F.sin(F.lit(reach)) / F.cos(F.radians(phi))
+        return F.when((most >= 1.5707) | (side >= 1), F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(side, F.lit(1.0)))) * (1 + 1e-9))
+
+    def columns(band: Column) -> Column:
+        edge = F.greatest(F.abs(band * high - 90), F.abs((band + 1) * high - 90))
+        return F.greatest(F.floor(F.lit(360.0) / extent(F.least(edge, F.lit(90.0)))), F.lit(1))
+
+    def turned(x: Column) -> Column:
+        return F.pmod(x.cast("double") + 180, F.lit(360.0))
+
+    def band_of(x: Column) -> Column:
+        return F.least(F.floor((x.cast("double") + 90) / high), F.lit(last))
+
+    placed = (F.abs(F.col(lat)) <= 90) & (F.abs(F.col(lon)) < 1e9)
+    a = left.where(placed).withColumn("_b", band_of(F.col(lat)))
+    a = a.withColumn("_c", F.least(F.floor(turned(F.col(lon)) * columns(F.col("_b")) / 360), columns(F.col("_b")) - 1))
+    b = right.where(placed).select(*[F.col(c).alias(c + suffix) for c in right.columns])
+    own = band_of(F.col(lat + suffix))
+    b = b.withColumn("_b", F.explode(F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.lit(last)))))
+    n, wide, x = columns(F.col("_b")), extent(F.col(lat + suffix)), turned(F.col(lon + suffix))
+    some = F.sequence(F.floor((x - wide) * n / 360), F.floor((x + wide) * n / 360))
+    cells = F.when(wide >= 180, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array_distinct(F.transform(some, lambda c: F.pmod(c, n))))
+    b = b.withColumn("_c", F.explode(cells))
+    far = haversine_km(F.col(lat), F.col(lon), F.col(lat + suffix), F.col(lon + suffix))
+    return a.join(b, ["_b", "_c"]).withColumn("distance", far).where(F.col("distance") <= km).drop("_b", "_c")
+
+
 def k_nearest(df: DataFrame, id_col: str, coords: list[str], k: int, first_radius: float) -> DataFrame:
     """The k nearest rows of every row, itself included: id, rank, other, distance; ties to the smaller id.
 

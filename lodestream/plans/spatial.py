@@ -102,16 +102,31 @@ WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN suppli
 c AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 3),
 e AS (SELECT p.a, p.b FROM p JOIN c x ON x.a = p.a JOIN c y ON y.a = p.b),
 o AS (SELECT a AS id, s_acctbal AS v FROM c JOIN supplier ON s_suppkey = a),
-i AS (SELECT id, v, sum(CASE WHEN v - lag(v) OVER (ORDER BY v, id) <= 120 THEN 0 ELSE 1 END) OVER (ORDER BY v, id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT id, v, lag(v) OVER (ORDER BY v, id) FROM o)),
 k AS (SELECT id, min(id) OVER (PARTITION BY g) AS cluster FROM (SELECT id, v, sum(f) OVER (ORDER BY v, id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT id, v, CASE WHEN v - lag(v) OVER (ORDER BY v, id) <= 120 THEN 0 ELSE 1 END AS f FROM o)))
 SELECT s_suppkey, arg_min(cluster, (p.a <> p.b, p.b)) AS cluster, s_suppkey IN (SELECT a FROM c) AS core
-FROM supplier LEFT JOIN (p JOIN k ON k.id = p.b) ON p.a = s_suppkey GROUP BY s_suppkey""".replace("""i AS (SELECT id, v, sum(CASE WHEN v - lag(v) OVER (ORDER BY v, id) <= 120 THEN 0 ELSE 1 END) OVER (ORDER BY v, id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT id, v, lag(v) OVER (ORDER BY v, id) FROM o)),
-""", ""))
+FROM supplier LEFT JOIN (p JOIN k ON k.id = p.b) ON p.a = s_suppkey GROUP BY s_suppkey""")
 def dbscan(spark, sf):
     """In one dimension, where runs of core rows are the clusters"""
     return C.dbscan(table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"], 120.0, 3)
 
 
+@query("""
+WITH RECURSIVE g AS (SELECT c_custkey AS id, (c_custkey * 7919) % 18001 / 100.0::DOUBLE - 90 AS lat, (c_custkey * 104729) % 36000 / 100.0::DOUBLE - 180 AS lon FROM customer),
+p AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON abs(a.lat - b.lat) <= 4 AND 2 * 6371 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2
+  + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 400),
+c AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 3),
+e AS (SELECT p.a, p.b FROM p JOIN c x ON x.a = p.a JOIN c y ON y.a = p.b),
+r AS (SELECT a AS id, a AS seen FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+k AS (SELECT id, min(seen) AS cluster FROM r GROUP BY id)
+SELECT g.id AS c_custkey, arg_min(cluster, (p.a <> p.b, p.b)) AS cluster, g.id IN (SELECT a FROM c) AS core
+FROM g LEFT JOIN (p JOIN k ON k.id = p.b) ON p.a = g.id GROUP BY g.id""")
+def dbscan_on_the_globe(spark, sf):
+    """Clusters of places all over the globe, the poles and the date line among them"""
+    key = F.col("c_custkey")
+    places = table(spark, sf, "customer").select("c_custkey", ((key * 7919) % 18001 / 100 - 90).alias("lat"), ((key * 104729) % 36000 / 100 - 180).alias("lon"))
+    return C.dbscan_geodesic(places, "c_custkey", "lat", "lon", 400.0, 3)
+
+
 @query("""
 WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.e, b.e) AS d FROM n a JOIN n b ON a.vec_id < b.vec_id)
