@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestream.session import table
-from lodestream.sources import excel, files
+from lodestream.sources import excel, files, tdms
 from lodestream.storage import checkpoint_folder
 
 QUERIES: dict = {}
@@ -81,3 +81,27 @@ def excel_header_row(spark, sf):
     found = excel.below_header(excel.cells(spark, path, rows_a_task=1000), "measured depth", skip=2)
     sstvd = F.round(excel.number(F.get("cells", F.lit(5))), 6)
     return found.select(excel.number(F.get("cells", F.lit(0))).cast("long").alias("depth"), sstvd.alias("sstvd"), F.get("header", F.lit(5)).alias("header"), sstvd.isNotNull().alias("valid"))
+
+
+def _pump_file(frame):
+    """Segments of 1000 rows, in turns plain, interleaved and with the other byte order."""
+    out = b""
+    for k in range(0, len(frame), 1000):
+        part = frame.iloc[k : k + 1000]
+        channels = {
+            "Time": (tdms.TIME, part["t"].tolist()), "Interval pressure": (10, part["pressure"].tolist()), "Pump flow": (9 if k % 2000 else 10, part["flow"].tolist()), "State": (3, part["flow"].tolist()),
+        }
+        out += tdms.segment(channels, big=k % 3000 == 1000, interleaved=k % 3000 == 2000, properties={"unit": "kPa"})
+    return out
+
+
+@query("""
+SELECT o_orderdate + INTERVAL 1 HOUR AS time, o_totalprice / 1000 AS "Pressure", o_custkey::DOUBLE AS "Flow" FROM orders""")
+def pump_files(spark, sf):
+    """Pump data of segmented binary files, from their zone to UTC and from kPa to MPa"""
+    o = table(spark, sf, "orders")
+    path = _path(spark, "pumps")
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    rows = o.select(F.expr("o_orderkey div 6000").alias("file"), (seconds * 1_000_000).alias("t"), F.col("o_totalprice").alias("pressure"), F.col("o_custkey").alias("flow"))
+    files.write_each(rows, ["file"], path, ".tdms", _pump_file)
+    return tdms.pump_data(spark, path)

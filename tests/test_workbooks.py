@@ -1,11 +1,12 @@
 import io
+import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import relational as R
-from lodestream.sources import excel
+from lodestream.sources import excel, tdms
 
 
 def put(path, sheets, **options):
@@ -79,3 +80,30 @@ def test_number_rows_numbers_every_row_once(spark, adaptive, rows, width):
         assert wrong == 0 and order == sorted(order) == [r.k for r in df.orderBy("k").limit(1000).collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_segments_of_every_kind(spark, tmp_path):
+    times = [1_700_000_000_123_456, -5_000_001]
+    plain = {"it's": (tdms.TIME, times), "b": (3, [1, -2]), "c": (tdms.TEXT, ["é", ""]), "d": (0x21, [1, 0])}
+    rows = {"x": (9, [0.5, 1.5, 2.5]), "y": (8, [1, 2, 3])}
+    data = tdms.segment(plain, group="G", properties={"unit": "kPa"}) + tdms.segment(plain, group="G", same=True)
+    data += tdms.segment(rows, interleaved=True, big=True) + tdms.segment(rows, interleaved=True, big=True, same=True)
+    twice = tdms.segment({"z": (4, [7, 8])})  # its raw data hold the chunk twice, and the begin of a third
+    twice = twice[:12] + struct.pack("<Q", (1 << 64) - 1) + twice[20:] + struct.pack("<qqi", 9, 10, 1)
+    (tmp_path / "one.tdms").write_bytes(data + twice)
+    (tmp_path / "one.tdms_index").write_bytes(b"other")
+    for size in (1, 1 << 20):
+        df = tdms.values(spark, str(tmp_path), bytes_a_task=size)
+        assert df.rdd.getNumPartitions() == (5 if size == 1 else 1)
+        got = sorted((r.group, r.channel, r["index"], r.value, r.text, r.time_us) for r in df.collect())
+        want = [("G", "it's", i, None, None, t) for i, t in enumerate(times * 2)] + [("G", "b", i, v, None, None) for i, v in enumerate([1, -2] * 2)]
+        want += [("G", "c", i, None, v, None) for i, v in enumerate(["é", ""] * 2)] + [("G", "d", i, v, None, None) for i, v in enumerate([1, 0] * 2)]
+        want += [("Channels", c, i, v, None, None) for c, vs in (("x", [0.5, 1.5, 2.5] * 2), ("y", [1, 2, 3] * 2), ("z", [7, 8, 9, 10])) for i, v in enumerate(vs)]
+        assert got == sorted(want)
+    assert {r.channel for r in tdms.values(spark, str(tmp_path), ["x"]).collect()} == {"x"}
+
+
+def test_files_that_are_none(spark, tmp_path):
+    (tmp_path / "a.tdms").write_bytes(b"x" * 40)
+    with pytest.raises(Exception, match="no segment begins at byte 0"):
+        tdms.values(spark, str(tmp_path)).collect()
