@@ -53,55 +53,126 @@ def interpolate_scattered(points: DataFrame, grid: DataFrame, coords: list[str],
     return pairs.groupBy(*coords).agg((F.sum(weight * F.col(f"{value}_r")) / F.sum(weight)).alias(value), F.count("*").alias("n"))
 
 
+def hull_faces(points: np.ndarray) -> np.ndarray | None:
+    """The triangles (n x 3 corners x 3 coordinates) of the convex hull of points in space, built a point at a time; None if they are flat.
+
+    Places are judged in the points' own box, so that long and thin clouds are judged like round ones."""
+    points = np.unique(np.asarray(points, float), axis=0)
+    if len(points) < 4 or (np.ptp(points, axis=0) == 0).any():
+        return None
+    p = (points - points.min(0)) / np.ptp(points, axis=0)
+    a = 0
+    b = int(np.argmax(((p - p[a]) ** 2).sum(1)))
+    c = int(np.argmax((np.cross(p - p[a], p[b] - p[a]) ** 2).sum(1)))
+    normal = np.cross(p[b] - p[a], p[c] - p[a])
+    d = int(np.argmax(np.abs((p - p[a]) @ normal)))
+    if np.linalg.norm(normal) < 1e-12 or abs((p[d] - p[a]) @ normal) < 1e-12:
+        return None
+    centre = p[[a, b, c, d]].mean(0)
+
+    def outward(faces):
+        """Faces turned so that the centre lies behind them, their normals of length 1 and distances."""
+        tri = p[faces]
+        n = np.cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
+        turn = np.einsum("ij,ij->i", centre - tri[:, 0], n) > 0
+        faces[turn] = faces[turn][:, ::-1]
+        n[turn] *= -1
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        return faces, n, np.einsum("ij,ij->i", tri[:, 0], n)
+
+    faces, normals, far = outward(np.array([[a, b, c], [a, b, d], [a, c, d], [b, c, d]]))
+    ids, fresh = np.arange(4), 4
+    rest, owner, height = np.arange(len(p)), np.zeros(len(p), int), np.full(len(p), -1.0)
+
+    def deal(at, normals, far, ids):
+        """Points (places in `rest`) go to the face that they are furthest above; those above none lie inside for good."""
+        h = p[rest[at]] @ normals.T - far
+        best = h.argmax(1)
+        owner[at], height[at] = ids[best], h[np.arange(len(at)), best]
+
+    deal(np.arange(len(rest)), normals, far, ids)
+    while True:
+        out = height > 1e-10
+        rest, owner, height = rest[out], owner[out], height[out]
+        if not len(rest):
+            return points[faces]
+        q = int(rest[height.argmax()])  # the point furthest out is a corner
+        seen = normals @ p[q] - far > 1e-10
+        edges: set = set()
+        for x, y, z in faces[seen].tolist():
+            for u, v in ((x, y), (y, z), (z, x)):
+                if (v, u) in edges:
+                    edges.remove((v, u))
+                else:
+                    edges.add((u, v))
+        new, n, f = outward(np.array([[u, v, q] for u, v in sorted(edges)]))
+        names = np.arange(fresh, fresh + len(new))
+        fresh += len(new)
+        deal(np.flatnonzero(np.isin(owner, ids[seen])), n, f, names)
+        faces, normals, far, ids = np.concatenate([faces[~seen], new]), np.concatenate([normals[~seen], n]), np.concatenate([far[~seen], f]), np.concatenate([ids[~seen], names])
+
+
 def hull_volume(points: np.ndarray) -> float:
-    """The volume of the convex hull of points in space, built a point at a time; 0 if they are flat."""
-    p = np.unique(np.asarray(points, float), axis=0)
-    if len(p) < 4:
-        return 0.0
-    a = p[0]
-    b = p[np.argmax(((p - a) ** 2).sum(1))]
-    c = p[np.argmax((np.cross(p - a, b - a) ** 2).sum(1))]
-    normal = np.cross(b - a, c - a)
-    d = p[np.argmax(np.abs((p - a) @ normal))]
-    size = np.abs(p - a).max()
-    if np.linalg.norm(normal) < 1e-12 * size**2 or abs((d - a) @ normal) < 1e-12 * size**3:
+    """The volume of the convex hull of points in space; 0 if they are flat."""
+    tri = hull_faces(points)
+    if tri is None:
         return 0.0
-    centre = (a + b + c + d) / 4
+    centre = tri.reshape(-1, 3).mean(0)
+    return float(np.abs(np.einsum("ij,ij->i", tri[:, 0] - centre, np.cross(tri[:, 1] - centre, tri[:, 2] - centre))).sum() / 6)
 
-    def face(x, y, z):
-        n = np.cross(y - x, z - x)
-        return (x, y, z) if (centre - x) @ n < 0 else (x, z, y)
 
-    faces = [face(a, b, c), face(a, b, d), face(a, c, d), face(b, c, d)]
-    for q in p:
-        tri = np.array(faces)
-        n = np.cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
-        seen = np.einsum("ij,ij->i", q - tri[:, 0], n) > 1e-10 * size**3
-        if not seen.any():
-            continue
-        edges: dict = {}
-        for x, y, z in tri[seen]:
-            for u, v in ((x, y), (y, z), (z, x)):
-                key, back = (tuple(u), tuple(v)), (tuple(v), tuple(u))
-                if edges.pop(back, None) is None:
-                    edges[key] = (u, v)
-        faces = [f for f, s in zip(faces, seen) if not s] + [face(u, v, q) for u, v in edges.values()]
-    tri = np.array(faces)
-    return float(np.abs(np.einsum("ij,ij->i", tri[:, 0] - centre, np.cross(tri[:, 1] - centre, tri[:, 2] - centre))).sum() / 6)
+def hull_corners(points: np.ndarray) -> np.ndarray:
+    """Points that may be corners of a hull of more points: the corners of theirs, or all different ones if they are flat."""
+    tri = hull_faces(points)
+    return np.unique(np.asarray(points, float) if tri is None else tri.reshape(-1, 3), axis=0)
+
+
+#: Points of a key that a task gathers before it keeps their corners only.
+_GATHERED = 20_000
 
 
 def hull_volumes(df: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
-    """C13 per key; only corner candidates (the extremes along many directions) could be corners, but a key's points
-    are taken whole, so keys should be clusters and not the table."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", volume double"
+    """Keys and the volume of the convex hull of a key's points in three coordinates.
+
+    A hull of points is the hull of the hulls of its parts: every task sends the corners of what it holds of a key, and
+    only they meet. Points with a null or non-finite coordinate don't count; keys may be null, and flat ones have volume 0.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(coords)])
+    for i in range(3):
+        rows = rows.where(F.abs(F.col(f"_{i}")) < float("inf"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    marks = [f"_{i}" for i in range(3)]
+
+    def partial(frames):
+        held: dict = {}
+        heads: dict = {}
+
+        def corners(key):
+            held[key] = [hull_corners(np.concatenate(held[key]))]
+            return held[key][0]
+
+        for frame in frames:
+            for key, part in frame.groupby(keys, dropna=False, sort=False):
+                name = repr(key)
+                heads.setdefault(name, part[keys].head(1))
+                held.setdefault(name, []).append(part[marks].to_numpy(float))
+                if sum(map(len, held[name])) > _GATHERED:
+                    corners(name)
+        for name in list(held):
+            found = corners(name)
+            out = pd.DataFrame(found, columns=marks)
+            for c in keys:
+                out[c] = [heads[name][c].iloc[0]] * len(out)
+            yield out[[*keys, *marks]]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = part[keys].head(1).copy()
-        out["volume"] = hull_volume(part[coords].to_numpy(float))
+        out["volume"] = hull_volume(part[marks].to_numpy(float))
         return out
 
-    return df.select(*keys, *coords).groupBy(*keys).applyInPandas(run, schema)
+    corners = rows.mapInPandas(partial, f"{schema}, _0 double, _1 double, _2 double")
+    return corners.groupBy(*keys).applyInPandas(run, f"{schema}, volume double")
 
 
 def quadtree_cells(x: Column, y: Column, box: tuple[float, float, float, float], depth: int) -> Column:

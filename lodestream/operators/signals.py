@@ -70,19 +70,6 @@ def metrics(pairs: DataFrame, baseline: str, epoch: str, rate: float, max_lag: i
     return pairs.withColumn("_f", found).select(*pairs.columns, "_f.rms", "_f.centroid", "_f.dt_us", "_f.cc", "_f.rejected")
 
 
-def first_vectors(df: DataFrame, keys: list[str], order: str, samples: str) -> DataFrame:
-    """Per key the first singular vector over its traces: key, order, weight."""
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        u = K.first_vector(np.array([np.asarray(x, float) for x in part[samples]]))
-        return part[[*keys, order]].assign(weight=u)
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", weight double"
-    return df.select(*keys, order, samples).groupBy(*keys).applyInPandas(solve, schema)
-
-
 def sign_weights(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """The signed agreement of two weights per key: sum(ab) / sum(|ab|)."""
     product = F.col(a) * F.col(b)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "timeseries", "statistics", "spatial", "scalars", "signals", "events", "io", "formats", "workbooks", "streams", "stacks")
+MODULES = ("relational", "timeseries", "statistics", "spatial", "scalars", "signals", "events", "io", "formats", "workbooks", "streams", "stacks", "archives")
 
 
 def _all(kind: str) -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import kernels as K
 from lodestream.operators import signals as S
+from lodestream.operators import stacks
 from lodestream.session import table
 
 QUERIES: dict = {}
@@ -137,8 +138,8 @@ def relative_polarity(spark, sf):
 
 @query()
 def svd_weights(spark, sf):
-    """G26, G30"""
-    return S.first_vectors(_traces(spark, sf).withColumn("cluster", F.floor(F.col("vec_id") / 25)), ["label", "cluster"], "vec_id", "x")
+    """From the clusters' sums of products; no cluster goes to one task whole"""
+    return stacks.first_weights(_traces(spark, sf).withColumn("cluster", F.floor(F.col("vec_id") / 25)), ["label", "cluster"], "vec_id", "x")
 
 
 @query()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestream.operators import arrays as A
+from lodestream.operators import magnitudes as M
 from lodestream.operators import polarity, stacks
 from lodestream.session import table
 
@@ -104,3 +106,50 @@ def polarity_pairs(spark, sf):
 def subspace_basis(spark, sf):
     """Vectors that hold nine tenths of a channel's energy"""
     return stacks.subspace_design(_traces(spark, sf), ["label"], "x", 0.9)
+
+
+@query(f"""
+WITH e AS ({_E}), f AS (SELECT label, vec_id % 3 AS channel, vec_id // 30 AS detection, arg_min(x, vec_id) AS x, min(vec_id) AS v FROM e GROUP BY ALL),
+t AS (SELECT label, channel, arg_min(x, v)[13:52] AS x, arg_min(x, v)[1:8] AS z, min(v) % 5 + 0.5 AS m FROM f GROUP BY ALL),
+k AS (SELECT f.label, f.channel, detection, t.x AS a, z, m, k, f.x[k + 1:k + 40] AS b FROM f JOIN t USING (label, channel), range(0, 25) r(k)),
+c AS (SELECT *, {_CC.format(a="a", b="b", n=40)} AS cc FROM k),
+g AS (SELECT label, channel, detection, any_value(a) AS a, any_value(z) AS z, any_value(m) AS m, max(cc) AS cc, arg_max(b, cc) AS b FROM c GROUP BY ALL HAVING max(cc) >= 0.2),
+s AS (SELECT *, list_inner_product(a, a) AS xx, list_inner_product(b, b) AS yy, list_inner_product(a, b) AS xy, list_stddev_pop(a) AS sa, list_stddev_pop(b) AS sb, list_stddev_pop(z) AS sz FROM g),
+p AS (SELECT label, detection, m, ((xx + yy + sqrt((xx - yy) ** 2 + 4 * xy * xy)) / 2 - xx) / xy AS ratio, log10(sb / sa) AS raw, log10(cc * sb / sa * (1 + (sz / sa) ** 2)) AS corrected FROM s),
+o AS (SELECT label, detection, count(*) AS channels, median(ratio) AS r, median(raw) AS raw, median(corrected) AS corrected, min(m) AS m FROM p GROUP BY ALL HAVING count(*) >= 2)
+SELECT label, detection, channels, round(r, 5) AS relative_amplitude, round(raw, 5) AS delta_raw, round(corrected, 5) AS delta, round(CASE WHEN r > 0 THEN 0.9 * m + 0.1 + log10(CASE WHEN r > 0 THEN r END) * 2 / 3 END, 5) AS magnitude FROM o""")
+def relative_magnitudes(spark, sf):
+    """A channel's first trace is the template of the others, in blocks of 30 epochs"""
+    e = _traces(spark, sf).withColumn("channel", F.col("vec_id") % 3).withColumn("detection", F.floor(F.col("vec_id") / 30))
+    first = F.min_by(F.struct("x", "vec_id"), "vec_id")
+    d = e.groupBy("label", "channel", "detection").agg(first.alias("f")).select("label", "channel", "detection", "f.x", "f.vec_id")
+    t = e.groupBy("label", "channel").agg(first.alias("f")).select("label", "channel", F.slice("f.x", 13, 40).alias("x"), F.slice("f.x", 1, 8).alias("noise"), (F.col("f.vec_id") % 5 + 0.5).alias("m"))
+    found = M.party_magnitudes(t, d, ["label"], "channel", "detection", "x", "noise", "m", least_cc=0.2, least_channels=2, slope=0.9, offset=0.1)
+    return found.select("label", "detection", "channels", *[F.round(c, 5).alias(c) for c in ("relative_amplitude", "delta_raw", "delta", "magnitude")])
+
+
+@query(f"""
+WITH e AS ({_E}), p AS (SELECT vec_id, label, x, lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM e),
+k AS (SELECT vec_id, k, x, y[k + 1:k + 40] AS a, x[13:52] AS b FROM p, range(0, 25) r(k) WHERE y IS NOT NULL),
+c AS (SELECT vec_id, k, {_CC.format(a="a", b="b", n=40)} AS cc FROM k)
+SELECT vec_id, arg_max(k, cc)::INT - 12 AS shift, round(max(cc), 6) AS cc FROM c GROUP BY vec_id""")
+def fiber_shift(spark, sf):
+    """Where the middle of a trace lies in the one before it of its channel"""
+    from pyspark.sql import Window
+
+    e = _traces(spark, sf).withColumn("y", F.lag("x").over(Window.partitionBy("label").orderBy("vec_id"))).where("y is not null")
+    pairs = e.select("vec_id", F.slice("x", 13, 40).alias("x"), "y", F.array(F.lit(0.0)).alias("z"))
+    return M.channel_amplitudes(pairs, ["vec_id"], "x", "y", "z").select("vec_id", (F.col("shift") - 12).alias("shift"), F.round("cc", 6).alias("cc"))
+
+
+@query("""
+WITH b AS (SELECT o_custkey % 7 AS cloud, count(*) AS n, min(o_totalprice) AS x0, max(o_totalprice) AS x1 FROM orders GROUP BY 1)
+SELECT cloud, round((x1 - x0) * 10 * 20, 2) AS volume FROM b""")
+def hull_volume(spark, sf):
+    """Hulls of clouds of points inside boxes whose corners are among the points"""
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("cloud"), F.col("o_totalprice").alias("x"), "o_orderkey")
+    ends = o.groupBy("cloud").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    side = [F.explode(F.array(*[F.lit(float(v)) for v in (0, n)])) for n in (10, 20)]
+    corners = ends.select("cloud", F.explode(F.array("a", "b")).alias("x")).withColumn("y", side[0]).withColumn("z", side[1])
+    inside = o.select("cloud", "x", (F.col("o_orderkey") % 101 / 10.1).alias("y"), (F.col("o_orderkey") % 211 / 10.55).alias("z"))
+    return A.hull_volumes(inside.unionByName(corners), ["cloud"], ["x", "y", "z"]).withColumn("volume", F.round("volume", 2))

@@ -26,7 +26,8 @@ def epoch_cubes(spark: SparkSession, paths: str | list[str], bad_channels: tuple
                 epoch = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 for source in range(data.shape[0]):  # a source at a time, so that a batch stays small
                     keep = [r for r in range(data.shape[1]) if r not in bad_channels and np.any(data[source, r])]
-                    yield pd.DataFrame({"epoch": epoch, "source": source, "receiver": keep, "samples": [data[source, r].astype(np.float32).tolist() for r in keep]})
+                    if keep:
+                        yield pd.DataFrame({"epoch": epoch, "source": source, "receiver": keep, "samples": [data[source, r].astype(np.float32).tolist() for r in keep]})
 
     return files.mapInPandas(run, "epoch string, source int, receiver int, samples array<float>")
 
@@ -124,6 +125,20 @@ def mat_arrays(content: bytes) -> dict[str, np.ndarray]:
     return found
 
 
+def mat_file(matrices: dict[str, np.ndarray]) -> bytes:
+    """A level-5 MAT file of matrices of doubles, as bytes."""
+
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + bytes(-len(data) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<HH", 0x0100, 0x4D49)
+    for name, matrix in matrices.items():
+        m = np.atleast_2d(np.asarray(matrix, float))
+        body = element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack(f"<{m.ndim}i", *m.shape)) + element(1, name.encode()) + element(9, m.tobytes(order="F"))
+        out += struct.pack("<II", 14, len(body)) + body
+    return out
+
+
 def mat_matrices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """File, variable, row, values of every matrix; a task holds one file."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")

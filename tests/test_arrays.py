@@ -90,3 +90,20 @@ def test_matrices_grids_and_header_times(spark, tmp_path):
     frames = spark.createDataFrame([(1, 5.0), (2, 25.0)], "id int, depth double")
     segments = spark.createDataFrame([("w", 0.0, 10.0, 2.0)], "well string, start double, stop double, stretch double")
     assert [(r.id, r.well, r.along) for r in B.fiber_by_well(frames, segments).collect()] == [(1, "w", 10.0)]
+
+
+def test_hulls_of_parts_and_of_thin_clouds(spark):
+    rng = np.random.default_rng(8)
+    ball = rng.normal(size=(3000, 3))
+    ball /= np.linalg.norm(ball, axis=1)[:, None]
+    stretched = ball * [1e6, 1.0, 1e-3] + [5.0, 1e3, 0.0]
+    assert A.hull_volume(stretched) == pytest.approx(A.hull_volume(ball) * 1e3, rel=1e-6)
+    box = np.array([[x, y, z] for x in (0, 9) for y in (0, 1) for z in (0, 5)], float)
+    faces = rng.uniform(0, 1, (500, 3)) * [9, 1, 5]
+    faces[np.arange(500), rng.integers(0, 3, 500)] = 0  # many points on the box's own sides
+    assert A.hull_volume(np.r_[faces, box]) == pytest.approx(45)
+    rows = [("ball", *map(float, r)) for r in ball[:800]] + [("box", *map(float, r)) for r in np.r_[faces, box]] + [(None, *map(float, r)) for r in box]
+    rows += [("flat", float(i), 1.0, float(i * i)) for i in range(9)] + [("ball", None, 0.0, 0.0), ("ball", float("inf"), 0.0, 0.0), ("ball", float("nan"), 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(11)
+    got = {r.k: r.volume for r in A.hull_volumes(df, ["k"], ["x", "y", "z"]).collect()}
+    assert got == {"ball": pytest.approx(A.hull_volume(ball[:800])), "box": pytest.approx(45), None: pytest.approx(45), "flat": 0.0}
