@@ -23,8 +23,8 @@ QUERIES_AT_ONCE = 2048
 #: Bins of a query's histogram in one pass.
 BINS = 512
 VECTORS_AT_ONCE = 2048
-#: Scores of this magnitude or more raise an error; histogram bounds of all others fit a long.
-LARGEST = 1 << 61
+#: Scores of this magnitude or more raise an error: they are no longs.
+LARGEST = 1 << 63
 PAIRS_AT_ONCE = 1 << 14
 
 
@@ -70,7 +70,7 @@ def _scores(matrix: np.ndarray, queries: np.ndarray, counts: np.ndarray | bool =
         for x, y in zip(i[~long].tolist(), j[~long].tolist()):
             score = sum(int(a) * int(b) for a, b in zip(queries[x].tolist(), matrix[y].tolist()))
             if abs(score) >= LARGEST:
-                raise OverflowError(f"a score of {score} is too large for a histogram of long integers")
+                raise OverflowError(f"a score of {score} is too large for a long")
             out[x, y] = score
     return out
 
@@ -106,20 +106,21 @@ def _search(rows: DataFrame, block: list, k: int, scale: float) -> DataFrame:
         q = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q, low[q], high[q], n[q])], names=["q", "low", "high", "n"])
 
-    low, width = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    low, width = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64)  # a width may pass the longs
     above, wanted = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     spread = rows.mapInArrow(extent, "q long, low long, high long, n long")
     for q, lo, hi, n in spread.groupBy("q").agg(F.min("low"), F.max("high"), F.sum("n")).collect():  # a row for each query
         low[q], width[q], wanted[q] = lo, hi - lo + 1, min(k, n)
     while (width > 1).any():
-        bins = np.maximum(1, -(-width // BINS))
+        bins = np.maximum(width // BINS + (width % BINS > 0), 1).astype(np.uint64)
 
-        def histogram(batches, at_low=low.copy(), bins=bins, top=low + width, still=wanted - above):
+        def histogram(batches, at_low=low.copy(), bins=bins, width=width.copy(), still=wanted - above):
             counts = np.zeros((len(ids), BINS), np.int64)
             for batch in batches:
                 for at, _, s, own in scored(batch):
-                    ok = own & (s >= at_low[at][:, None]) & (s < top[at][:, None])
-                    place = (s - at_low[at][:, None]) // bins[at][:, None] + np.arange(len(at))[:, None] * BINS
+                    over = (s - at_low[at][:, None]).view(np.uint64)  # differences of longs, exact where they aren't negative
+                    ok = own & (s >= at_low[at][:, None]) & (over < width[at][:, None])
+                    place = (over // bins[at][:, None]).astype(np.int64) + np.arange(len(at))[:, None] * BINS
                     counts[at] += np.bincount(place[ok], minlength=len(at) * BINS).reshape(len(at), BINS)
             higher = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
             q, b = np.nonzero((counts > 0) & (higher < still[:, None]))  # lower bins can't hold the k-th highest of all
@@ -130,10 +131,9 @@ def _search(rows: DataFrame, block: list, k: int, scale: float) -> DataFrame:
         want = F.element_at(F.array(*[F.lit(int(w)) for w in wanted - above]), F.col("q").cast("int") + 1)
         reached = total.withColumn("upto", upto).where(F.col("upto") >= want)
         kth = reached.groupBy("q").agg(F.max(F.struct("b", F.col("upto") - F.col("n"))).alias("x")).select("q", "x.*")
-        top = low + width
         for q, b, over in kth.collect():  # a row for each query of the block
-            low[q] += b * bins[q]
-            width[q] = min(bins[q], top[q] - low[q])
+            passed = b * int(bins[q])
+            low[q], width[q] = int(low[q]) + passed, min(int(bins[q]), int(width[q]) - passed)
             above[q] += over
 
     def keep(batches):

@@ -47,3 +47,10 @@ def test_empty_and_without_queries(spark):
     assert topk.top_k(df).collect() == []
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(df).collect() == []
+
+
+def test_scores_that_just_fit_a_long(spark):
+    rows = [(i, [x]) for i, x in enumerate([1.18e7, -1.18e7, 1.17e7, 1.0, 0.0, -1.0, 1.18e7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, k=3, every=1).collect()))
+    assert got == brute(rows, 3, 1) and max(abs(r[3]) for r in got) > 2**62
