@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.storage import cut
+from lodestream.storage import cut, small
 
 EARTH_KM = 6371.0
 
@@ -27,23 +27,32 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, stop
 def nearest(left: DataFrame, right: DataFrame, at: str, on: list[str], order: list[str], name: str = "nearest") -> DataFrame:
     """For every row of `left` the row of `right` of the same key nearest in `at`, as a struct.
 
-    Both sides are laid in one order; the last right row before and the first after are the only candidates.
-    Ties go to the earlier place, then to the least `order`. Rows without any partner get null.
+    Both sides are laid in one order, written in ranges of key and place, and looked through range by range; what a range
+    lacks at its ends is the last right row of a range before and the first of one after, so that a hot key is many tasks.
+    Ties go to the earlier place, then to the least `order`. Rows without any partner get null; keys that are null meet.
     """
     pick = F.struct(*[F.col(c) for c in right.columns])
     mark = F.struct(*[F.col(c) for c in left.columns])
     kind = left.select(mark.alias("_")).schema[0].dataType
-    r = right.select(*on, F.col(at).alias("_at"), pick.alias("_r"), F.struct(*order).alias("_o"), F.lit(None).cast(kind).alias("_l"))
+    r = right.where(F.col(at).isNotNull()).select(*on, F.col(at).alias("_at"), pick.alias("_r"), F.struct(*order).alias("_o"))
     r = r.groupBy(*on, "_at").agg(F.min_by("_r", "_o").alias("_r")).select(*on, "_at", "_r", F.lit(None).cast(kind).alias("_l"))
     l = left.select(*on, F.col(at).alias("_at"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), mark.alias("_l"))
-    rows = l.unionByName(r)
-    w = Window.partitionBy(*on).orderBy("_at", F.col("_l").isNotNull())
+    laid = l.unionByName(r).repartitionByRange(*on, "_at")
+    rows = cut(laid.withColumn("_p", F.spark_partition_id()))
+    whole = Window.partitionBy(*on).orderBy("_p")
+    ends = rows.groupBy(*on, "_p").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))).alias("_z"), F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))).alias("_y"))
+    before = F.last("_z", True).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_y", True).over(whole.rowsBetween(1, Window.unboundedFollowing))
+    carried = ends.select(*[F.col(c).alias("_k" + c) for c in on], F.col("_p").alias("_kp"), before.alias("_z"), after.alias("_y"))
+    w = Window.partitionBy(*on, "_p").orderBy("_at", F.col("_l").isNotNull())
     back = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    v = Window.partitionBy(*on).orderBy(F.desc("_at"), F.col("_l").isNotNull())
+    v = Window.partitionBy(*on, "_p").orderBy(F.desc("_at"), F.col("_l").isNotNull())
     ahead = F.last("_r", True).over(v.rowsBetween(Window.unboundedPreceding, 0))
     found = rows.withColumn("_b", back).withColumn("_a", ahead).where("_l is not null")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("_k" + c)) for c in on], F.col("_p") == F.col("_kp"))
+    found = found.join(small(cut(carried)), same, "left").withColumn("_b", F.coalesce("_b", "_z")).withColumn("_a", F.coalesce("_a", "_y"))
     to_back, to_ahead = F.abs(F.col("_at") - F.col(f"_b.{at}")), F.abs(F.col(f"_a.{at}") - F.col("_at"))
-    best = F.when(F.col("_a").isNull() | (to_back <= to_ahead), F.col("_b")).otherwise(F.col("_a"))
+    best = F.when(F.col("_at").isNull(), None).when(F.col("_a").isNull() | (to_back <= to_ahead), F.col("_b")).otherwise(F.col("_a"))
     return found.select("_l.*", best.alias(name))
 
 
