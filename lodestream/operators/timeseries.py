@@ -6,12 +6,15 @@ Every operator takes the partition keys explicitly; a window without keys would
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.storage import cut, small
+
 
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
@@ -116,15 +119,58 @@ def percentile(value: str | Column, share: float = 0.5) -> Column:
     return F.percentile(value, F.lit(share))
 
 
+#: Rows of a key that one window takes; a hot key has many windows.
+ROWS_A_WINDOW = 20_000
+
+
+def _meet(rows: DataFrame, other: DataFrame, on: list[str], few: bool = False) -> DataFrame:
+    """`rows` with the further columns of `other`, which has a row for each of their keys; nulls meet nulls."""
+    named = other.select(*[F.col(c).alias("_k" + c) if c in on else F.col(c) for c in other.columns])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("_k" + c)) for c in on])
+    return rows.join(small(cut(named)) if few else named, same).drop(*["_k" + c for c in on])
+
+
+def number_within(df: DataFrame, keys: list[str], order: list, name: str = "_i") -> DataFrame:
+    """`df`, stored in ranges of keys and order, with each row's number from 1 within its key; null keys are one key.
+
+    A row's number is its place in its range after those of its key in the ranges before, which are few numbers.
+    """
+    laid = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = cut(laid.withColumn("_m", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_m", 33))
+    counts = rows.groupBy(*keys, "_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    shifts = counts.select(*keys, "_p", (before - F.col("_first") + 1).alias("_shift"))
+    return _meet(rows, shifts, [*keys, "_p"], few=True).withColumn(name, F.col("_m") + F.col("_shift")).drop("_m", "_p", "_shift")
+
+
+def beside(rows: DataFrame, keys: list[str], columns: dict[str, Column], back: int = 1, ahead: int = 0) -> DataFrame:
+    """`rows` of number_within with window columns that look `back` rows before and `ahead` rows after each: windows of ROWS_A_WINDOW rows of a key, which get the rows beside them too."""
+    own = F.floor((F.col("_i") - 1) / ROWS_A_WINDOW)
+    copies = F.array_distinct(F.array(F.floor((F.col("_i") - 1 - ahead) / ROWS_A_WINDOW), own, F.floor((F.col("_i") - 1 + back) / ROWS_A_WINDOW)))
+    dealt = rows.withColumn("_own", own).withColumn("_c", F.explode(copies))
+    w = Window.partitionBy(*keys, "_c").orderBy("_i")
+    for name, make in columns.items():
+        dealt = dealt.withColumn(name, make(w))
+    return dealt.where("_c = _own").drop("_c", "_own")
+
+
+def running_count(rows: DataFrame, keys: list[str], flag: str, name: str) -> DataFrame:
+    """The sum of `flag` up to each row of number_within: sums within windows of rows, and of the windows before."""
+    dealt = rows.withColumn("_w", F.floor((F.col("_i") - 1) / ROWS_A_WINDOW))
+    sums = dealt.groupBy(*keys, "_w").agg(F.sum(flag).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_w").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
+    here = F.sum(flag).over(Window.partitionBy(*keys, "_w").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    found = _meet(dealt.withColumn("_h", here), sums.select(*keys, "_w", before.alias("_o")), [*keys, "_w"])
+    return found.withColumn(name, F.col("_h") + F.col("_o")).drop("_w", "_h", "_o")
+
+
 def despike(df: DataFrame, value: str, keys: list[str], order: list, threshold: float) -> DataFrame:
     """The median of a row and its neighbours replaces values off by over `threshold` times the key's MAD.
 
     At the ends the median of the two there are is their mean.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    frame = w.rowsBetween(-1, 1)
-    smooth = df.withColumn("_m", percentile(value).over(frame))
-    off = smooth.withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    smooth = beside(number_within(df, keys, order), keys, {"_m": lambda w: percentile(value).over(w.rowsBetween(-1, 1))}, 1, 1)
+    off = smooth.withColumn("_d", F.abs(F.col(value) - F.col("_m"))).drop("_i")
     middle = off.groupBy(*keys).agg(percentile("_d").alias("_c"))
     spread = off.join(middle, keys).groupBy(*keys).agg(percentile(F.abs(F.col("_d") - F.col("_c"))).alias("_s"))
     joined = off.join(spread, keys)
@@ -138,7 +184,7 @@ def delta_first(value: str, keys: list[str], order: list) -> Column:
 
 def detrend(df: DataFrame, value: str, keys: list[str], order: list, name: str = "residual") -> DataFrame:
     """A value less its least-squares line over row position, per key."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("double"))
+    numbered = number_within(df, keys, order)
     lines = numbered.groupBy(*keys).agg(F.regr_slope(value, "_i").alias("_a"), F.regr_intercept(value, "_i").alias("_b"))
     return numbered.join(lines, keys).withColumn(name, F.col(value) - (F.col("_a") * F.col("_i") + F.col("_b"))).drop("_i", "_a", "_b")
 
@@ -184,9 +230,9 @@ def decluster(df: DataFrame, keys: list[str], ts: str, strength: str, seconds: f
     Detections are first cut into runs whose neighbours lie nearer than `seconds`. No choice reaches over a
     larger gap, so a call gets a few hundred runs and not a whole key.
     """
-    w = Window.partitionBy(*keys).orderBy("_t")
-    rows = df.withColumn("_t", micros(ts) / 1e6).withColumn("_g", F.when(F.col("_t") - F.lag("_t").over(w) < seconds, 0).otherwise(1))
-    rows = rows.withColumn("_run", F.floor(F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 256))
+    rows = number_within(df.withColumn("_t", micros(ts) / 1e6), keys, ["_t"])
+    rows = beside(rows, keys, {"_g": lambda w: F.when(F.col("_t") - F.lag("_t").over(w) < seconds, 0).otherwise(1)})
+    rows = running_count(rows, keys, "_g", "_run").withColumn("_run", F.floor(F.col("_run") / 256)).drop("_i")
     columns = list(df.columns)
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
@@ -213,10 +259,11 @@ def gain_steps(df: DataFrame, value: str, keys: list[str], order: list, threshol
 
 def short_runs(df: DataFrame, valid: Column, keys: list[str], order: list, longest: int) -> DataFrame:
     """Marks runs of valid rows of `longest` or fewer that invalid rows enclose (intent; trap T-01)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_v", valid).withColumn("_c", F.when(F.col("_v") != F.lag("_v").over(w), 1).otherwise(0))
-    rows = rows.withColumn("_r", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = Window.partitionBy(*keys, "_r")
-    last = F.max("_r").over(Window.partitionBy(*keys))
-    inside = (F.col("_r") > 0) & (F.col("_r") < last)
-    return rows.withColumn("short", F.col("_v") & inside & (F.count("*").over(sizes) <= longest)).drop("_v", "_c", "_r")
+    rows = number_within(df.withColumn("_v", valid), keys, order)
+    rows = beside(rows, keys, {"_x": lambda w: F.when(F.col("_v") != F.lag("_v").over(w), 1).otherwise(0)})
+    rows = running_count(rows, keys, "_x", "_r").drop("_i", "_x")
+    sizes = rows.groupBy(*keys, "_r").agg(F.count("*").alias("_n"))
+    most = sizes.groupBy(*keys).agg(F.max("_r").alias("_last"))
+    found = _meet(_meet(rows, sizes, [*keys, "_r"]), most, keys)
+    inside = (F.col("_r") > 0) & (F.col("_r") < F.col("_last"))
+    return found.withColumn("short", F.col("_v") & inside & (F.col("_n") <= longest)).drop("_v", "_r", "_n", "_last")

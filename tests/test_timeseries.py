@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -68,3 +69,43 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "k string, ts timestamp_ntz, v double")
     assert T.decluster(df, ["k"], "ts", "v", 1).count() == 0
     assert T.islands(df, ["k"], F.col("ts"), F.col("ts")).count() == 0
+
+
+def test_windows_over_hot_keys_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(T, "ROWS_A_WINDOW", 7)
+    rng = np.random.default_rng(12)
+    keys = rng.choice(["hot", "cold", None], 400, p=[0.8, 0.15, 0.05])
+    rows = [(i, None if k is None else str(k), int(t), float(v)) for i, (k, t, v) in enumerate(zip(keys, rng.permutation(4000)[:400], rng.normal(size=400)))]
+    df = spark.createDataFrame(rows, "id int, k string, t int, v double").repartition(9)
+    by = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        by.setdefault(r[1], []).append(r)
+
+    got = {r.id: r["_i"] for r in T.number_within(df, ["k"], ["t"]).collect()}
+    assert got == {r[0]: n for part in by.values() for n, r in enumerate(part, 1)}
+
+    got = {r.id: r.short for r in T.short_runs(df, F.col("v") > -0.3, ["k"], ["t"], 3).collect()}
+    want = {}
+    for part in by.values():
+        runs = [list(g) for _, g in itertools.groupby(part, key=lambda r: r[3] > -0.3)]
+        for n, run in enumerate(runs):
+            for r in run:
+                want[r[0]] = r[3] > -0.3 and 0 < n < len(runs) - 1 and len(run) <= 3
+    assert got == want and any(want.values())
+
+    got = {r.id: r.clean for r in T.despike(df.where("k is not null"), "v", ["k"], ["t"], 3.0).collect()}
+    for k in ("hot", "cold"):
+        v = np.array([r[3] for r in by[k]])
+        m = np.array([np.median(v[max(0, i - 1) : i + 2]) for i in range(len(v))])
+        d = np.abs(v - m)
+        s = np.median(np.abs(d - np.median(d)))
+        assert np.allclose([got[r[0]] for r in by[k]], np.where(d > 3 * s, m, v))
+
+    left = spark.createDataFrame(rows[:150] + [(900, "hot", None, 0.0), (901, "none", 5, 0.0)], df.schema).repartition(5)
+    right = spark.createDataFrame(rows[150:] + [(902, "hot", None, 0.0)], df.schema).repartition(6)
+    got = {r.id: None if r.nearest is None else r.nearest.id for r in R.nearest(left, right, "t", ["k"], ["id"]).collect()}
+    want = {900: None, 901: None}
+    for r in rows[:150]:
+        others = [(abs(x[2] - r[2]), x[2], x[0]) for x in rows[150:] if x[1] == r[1]]
+        want[r[0]] = min(others)[2] if others else None
+    assert got == want
