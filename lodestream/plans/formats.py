@@ -30,7 +30,7 @@ def query(sql: str):
 
 
 def _documents(lines, key, path: str) -> None:
-    """A document with one root per value of `key`, a file each, of the elements in column `value`."""
+    """A document with one root per value of `key`, a file each, of the elements in column `value`; keys hold what one file should."""
     grouped = lines.groupBy(key.alias("part")).agg(F.collect_list("value").alias("v"))
     grouped.select("part", F.concat(F.lit("<all>"), F.array_join("v", ""), F.lit("</all>")).alias("value")).write.partitionBy("part").text(path)
 
@@ -87,7 +87,7 @@ def xml_frame_scan(spark, sf):
     data = F.array_join(F.transform("l", lambda r: F.concat(F.lit("<data>"), r["event_id"].cast("string"), F.lit(", "), r["value"].cast("string"), F.lit("</data>"))), "")
     w = e.groupBy("user_id").agg(F.date_format(F.date_trunc("second", F.max("ts")), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), rows.alias("l"))
     frames = w.select("user_id", _text("<log><endDateTimeIndex>", F.col("t"), "</endDateTimeIndex><logData>", data, "</logData><customData><referenceTemperature>20.5</referenceTemperature><probe1Temperature>", F.col("user_id").cast("string"), "</probe1Temperature></customData></log>").alias("value"))
-    _documents(frames, F.col("user_id") % 4, path)
+    _documents(frames, F.expr("user_id div 40"), path)
     f = readers.xml_frames(spark, path, 2)
     return f.select("ts", "reference", "probe1", "row", F.round("v0", 1).alias("depth"), F.round("v1", 4).alias("temperature"))
 
@@ -100,10 +100,11 @@ def json_frame_scan(spark, sf):
     path = _path(spark, "fiber")
     e = table(spark, sf, "events").withColumn("part", F.col("user_id") % 8)
     point = F.struct(F.col("event_id").cast("double").alias("distance"), F.struct(F.col("value").alias("value"), (F.col("value") / 2).alias("width"), F.lit(1.0).alias("gain")).alias("peak1"))
-    w = e.groupBy("part").agg(F.date_trunc("second", F.min("ts")).alias("t"), F.collect_list(point).alias("points"))
+    begins = e.groupBy("part").agg(F.date_trunc("second", F.min("ts")).alias("t"))
+    w = e.groupBy("part", F.expr("event_id div 2000").alias("file")).agg(F.collect_list(point).alias("points")).join(begins, "part")  # a bounded file
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     info = F.struct(stamp(F.col("t")).alias("meas_start_time"), stamp(F.col("t") + F.expr("INTERVAL 1 MINUTE")).alias("meas_end_time"))
-    w.select(F.format_string("2024010%d", "part").alias("stamp"), F.to_json(F.struct(info.alias("info"), "points")).alias("value")).write.partitionBy("stamp").text(path)
+    w.select(F.format_string("2024010%d", "part").alias("stamp"), F.to_json(F.struct(info.alias("info"), "points")).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("stamp").text(path)
     chosen = readers.files_between([f"{path}/stamp=2024010{i}" for i in range(8)], r"stamp=(\d+)", "20240101", "20240106")
     f = readers.json_frames(spark, chosen)
     return f.select("ts", "distance", F.round("value", 4).alias("value"), F.round("width", 4).alias("width"))
@@ -162,7 +163,7 @@ def catalog_scan(spark, sf):
         '<event publicID="smi:a/', key, '"><preferredOriginID>b</preferredOriginID><origin publicID="a"><depth><value>-1</value></depth></origin><origin publicID="b"><time><value>', t,
         "</value></time><longitude><value>-103.5</value></longitude><depth><value>", F.col("o_totalprice").cast("string"), "</value></depth></origin>", mag, pick, "</event>",
     )
-    _documents(o.select("o_orderkey", line.alias("value")), F.col("o_orderkey") % 4, path)
+    _documents(o.select("o_orderkey", line.alias("value")), F.expr("o_orderkey div 4000"), path)
     e = B.catalog_events(spark, path)
     return e.select("event_id", "ts", "longitude", "depth", F.round("magnitude", 3).alias("magnitude"), F.size("picks").alias("n_picks"), F.get("picks", F.lit(0))["station"].alias("station"))
 

@@ -113,7 +113,7 @@ def stream_windows(spark, sf):
     """A01, R06 as a stream: the windows that the watermark has closed"""
     source, out, check = (_path(spark, n) for n in ("arrivals", "windows", "progress"))
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    e.coalesce(1).write.parquet(source)
+    e.write.parquet(source)
     ingest.append(ingest.windowed_means(ingest.file_stream(spark, source, e.schema), "ts", "1 hour", ["event_type"], "value", "10 minutes"), out, check)
     w = spark.read.parquet(out)
     return w.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", F.round("mean", 4).alias("mean"), "n")
