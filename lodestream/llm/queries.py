@@ -171,7 +171,52 @@ FROM (SELECT r, doc_id, sha256({_canonical_sql("text")}) AS h FROM d) LEFT JOIN
 _CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
     lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
 
+def _coded_sql(*fields: str) -> str:
+    """DuckDB's form of merkle.leaf."""
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+_LOWERED_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _ORACLES = {
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_coded_sql(*LEAF_FIELDS)} AS leaf,
+    CASE WHEN {_CRC32_SQL.format("doc_id::VARCHAR")} % 3 = 0 THEN {_coded_sql(*LEAF_FIELDS[:-1], _LOWERED_SQL)} END AS other
+  FROM documents
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+), t AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM r
+  UNION ALL
+  SELECT lang, level + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, level, i // 8
+), s AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM s
+  UNION ALL
+  SELECT level + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 8
+), b AS (
+  SELECT a.lang, a.level, a.i, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < a.i), '') AS before, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > a.i), '') AS after
+  FROM t a JOIN t o ON a.lang IS NOT DISTINCT FROM o.lang AND a.level = o.level AND a.i // 8 = o.i // 8 WHERE a.n > 1 GROUP BY ALL
+), c AS (
+  SELECT a.level, a.i, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < a.i), '') AS before, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > a.i), '') AS after
+  FROM u a JOIN u o ON a.level = o.level AND a.i // 8 = o.i // 8 WHERE a.n > 1 GROUP BY ALL
+), f AS (
+  SELECT lang, i AS leaf_no, 0 AS level, i AS pos, coalesce(other, leaf) AS h, '' AS proof FROM r
+  UNION ALL
+  SELECT f.lang, leaf_no, f.level + 1, pos // 8, sha256(before || h || after), proof || before || after FROM f JOIN b ON f.lang IS NOT DISTINCT FROM b.lang AND f.level = b.level AND f.pos = b.i
+), g AS (
+  SELECT lang, leaf_no, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM f GROUP BY ALL
+), k AS (
+  SELECT g.lang, leaf_no, 0 AS level, s.i AS pos, h, proof FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT k.lang, leaf_no, k.level + 1, pos // 8, sha256(before || h || after), proof || before || after FROM k JOIN c ON k.level = c.level AND k.pos = c.i
+), e AS (
+  SELECT lang, leaf_no, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM k GROUP BY ALL
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM r JOIN e ON r.lang IS NOT DISTINCT FROM e.lang AND r.i = e.leaf_no JOIN s ON r.lang IS NOT DISTINCT FROM s.lang, (SELECT h AS root FROM u WHERE n = 1)""",
     "op11_window_panes": f"""
 WITH c AS (
   SELECT click_id, min({{'a': coalesce(arrived_at, ts), 'ts': ts, 'kind': kind, 'value': value}}) AS r
