@@ -1,9 +1,10 @@
-"""Relative polarities of all templates and detections of a phase and channel, block by block as matrices."""
+"""Relative polarities of templates and detections (G28) and coherences of events (G07), of all pairs, block by block as matrices."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +116,59 @@ def polarity_matrix(templates: DataFrame, detections: DataFrame, keys: list[str]
 
     a, b = dealt(t, "template", "_a", "_b"), dealt(d, "detection", "_b", "_a")
     return a.groupBy(*keys, "p", "q").cogroup(b.groupBy(*keys, "p", "q")).applyInArrow(work, schema)
+
+
+def event_coherences(df: DataFrame, keys: list[str], event: str, channel: str, samples: str, least: float, min_channels: int = 1) -> DataFrame:
+    """Keys, a, b, coherence and channels of all pairs of events a < b of a key whose coherence is `least` or more:
+    the mean zero-lag correlation over the channels that both have, if these are `min_channels` or more.
+
+    Events are dealt to blocks by a hash, more of them where a key has more events, and a task gets two blocks with all
+    their channels as matrices; only pairs over the threshold leave it. Traces with a null key, event or channel, with
+    null samples or without spread, and pairs of other lengths, don't count; of traces that repeat an event and a channel, the least counts.
+    """
+    rows = df.select(*keys, F.col(event).alias("event"), F.col(channel).alias("channel"), F.col(samples).cast("array<double>").alias("x"))
+    for c in [*keys, "event", "channel", "x"]:
+        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).groupBy(*keys, "event", "channel").agg(F.min("x").alias("x"))
+    rows = cut(rows)
+    blocks = cut(rows.groupBy(*keys).agg(F.ceil(F.count_distinct("event") / BLOCK).cast("int").alias("_n")))
+    own = F.pmod(F.xxhash64("event", F.lit(13)), F.col("_n")).cast("int")
+    dealt = rows.join(small(blocks), keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    cells = dealt.select(*keys, F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), "_own", "event", "channel", "x")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", a {kinds['event']}, b {kinds['event']}, coherence double, channels long"
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        event, channel, owner = (table[c].combine_chunks() for c in ("event", "channel", "_own"))
+        p, q = table["p"][0].as_py(), table["q"][0].as_py()
+        names = event.unique()
+        names = names.take(pc.sort_indices(names))
+        code = pc.index_in(event, names).to_numpy(zero_copy_only=False)
+        lists = table["x"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        lengths, owner = np.diff(starts), owner.to_numpy(zero_copy_only=False)
+        groups = pc.index_in(channel, channel.unique()).to_numpy(zero_copy_only=False)
+        total, count = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), np.int64)
+        for g in np.unique(groups):
+            for n in np.unique(lengths[groups == g]):
+                at = np.flatnonzero((groups == g) & (lengths == n))
+                m = flat[starts[:-1][at][:, None] + np.arange(n)[None, :]]
+                m = m - m.mean(1, keepdims=True)
+                size = np.sqrt((m * m).sum(1))
+                at, m = at[size > 1e-12], m[size > 1e-12] / size[size > 1e-12][:, None]
+                i, j = owner[at] == p, owner[at] == q
+                cell = np.ix_(code[at[i]], code[at[j]])
+                total[cell] += m[i] @ m[j].T
+                count[cell] += 1
+        if p != q:  # each pair once, whichever block its lesser event is in
+            total, count = total + total.T, count + count.T
+        good = np.triu(count >= max(1, min_channels), 1)
+        mean = np.divide(total, count, out=np.zeros_like(total), where=good)
+        a, b = np.nonzero(good & (mean >= least))
+        columns = [pa.array([table[c][0].as_py()] * len(a), table[c].type) for c in keys]
+        columns += [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(mean[a, b]), pa.array(count[a, b])]
+        return pa.table(columns, names=[*keys, "a", "b", "coherence", "channels"])
+
+    return cells.groupBy(*keys, "p", "q").applyInArrow(work, schema)

@@ -102,6 +102,17 @@ def polarity_pairs(spark, sf):
     return found.withColumn("polarity", F.round("polarity", 6))
 
 
+@query(f"""
+WITH e AS (SELECT vec_id, label, vec_id // 4 AS event, vec_id % 4 AS channel, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE vec_id % 9 <> 4),
+p AS (SELECT a.event AS a, b.event AS b, {_CC.format(a="a.x", b="b.x", n=64)} AS cc FROM e a JOIN e b ON a.channel = b.channel AND a.event < b.event)
+SELECT a, b, round(avg(cc), 6) AS coherence, count(*) AS channels FROM p GROUP BY ALL HAVING count(*) >= 3 AND avg(cc) >= 0.12""")
+def event_coherence(spark, sf):
+    """All pairs of events by the mean correlation over the channels that they share"""
+    e = _traces(spark, sf).where("vec_id % 9 <> 4").select(F.lit("all").alias("k"), F.expr("vec_id div 4").alias("event"), (F.col("vec_id") % 4).alias("channel"), "x")
+    found = polarity.event_coherences(e, ["k"], "event", "channel", "x", 0.12, 3)
+    return found.select("a", "b", F.round("coherence", 6).alias("coherence"), "channels")
+
+
 @query()
 def subspace_basis(spark, sf):
     """Vectors that hold nine tenths of a channel's energy"""

@@ -174,3 +174,24 @@ def test_density_clusters_in_space_and_on_the_sphere(spark, least):
     near = 2 * 6371.0 * np.arcsin(np.sqrt(h)) <= 90
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], "id int, lat double, lon double")
     assert sorted(tuple(r) for r in C.dbscan_geodesic(df, "id", "lat", "lon", 90.0, least).collect()) == clusters(near, least)
+
+
+def test_event_coherences_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(polarity, "BLOCK", 5)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3, 20))
+    traces = {("hot" if e < 25 else "cold", e, c): base[c] * (e % 2) + rng.normal(size=20) for e in range(32) for c in range(3) if (e + c) % 7}
+    traces["hot", 3, 1] = np.ones(20)
+    rows = [(k, e, c, x.tolist()) for (k, e, c), x in traces.items()] + [("hot", 90, 0, None), ("hot", None, 0, [1.0]), ("hot", 91, 0, [1.0, 2.0]), (None, 92, 0, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "k string, e int, c int, x array<double>").repartition(6)
+    want = {}
+    for k in ("hot", "cold"):
+        events = sorted({e for k2, e, _ in traces if k2 == k})
+        for a in events:
+            for b in events:
+                cc = [np.corrcoef(traces[k, a, c], traces[k, b, c])[0, 1] for c in range(3) if (k, a, c) in traces and (k, b, c) in traces and np.ptp(traces[k, a, c]) > 0 and np.ptp(traces[k, b, c]) > 0] if a < b else []
+                if len(cc) >= 2 and np.mean(cc) >= 0.2:
+                    want[k, a, b] = (np.mean(cc), len(cc))
+    got = {(r.k, r.a, r.b): (r.coherence, r.channels) for r in polarity.event_coherences(df, ["k"], "e", "c", "x", 0.2, 2).collect()}
+    assert got.keys() == want.keys() and len(want) > 30
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
