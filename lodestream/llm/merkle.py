@@ -23,6 +23,8 @@ FANOUT = 8
 #: Levels of a block, which has FANOUT ** BLOCK_LEVELS leaves, and of a band of its traversal.
 BLOCK_LEVELS = 4
 BAND = 2
+#: Rows with paths (3 kB at most each) up to which a table is sent to every task: 12 MB.
+PATH_ROWS = 4_000
 _PROOFS = "doc_id {}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
@@ -117,6 +119,11 @@ def fold(node: str, path: list[tuple[str, str]]) -> str:
     return node
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """`df`, whose rows hold paths, to be sent to every task if it has PATH_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(PATH_ROWS + 1).count() <= PATH_ROWS else df
+
+
 def _ranked(rows: DataFrame, *order: str) -> DataFrame:
     """`rows` (with column part) stored once, with rank (from 0 within a part) and n, the part's rows.
 
@@ -189,11 +196,11 @@ def prove(docs: DataFrame, fields: tuple[str, ...], by: str, order: str, altered
         subroots = store(subroots.select(F.lit("").alias("part"), F.col("part").alias("name"), F.col("root").alias("node")), "subroots")
         numbered = store(_ranked(subroots, "name").withColumnRenamed("rank", "idx"), "parts")
         root, over = tree(numbered)
-        parts = numbered.join(small(over.drop("part")), "idx").crossJoin(F.broadcast(root.select("root")))  # one root
+        parts = numbered.join(_few(over.drop("part")), "idx").crossJoin(F.broadcast(root.select("root")))  # one root
         parts = parts.select(F.col("name").alias("part"), F.col("node").alias("subroot"), "root", F.col("path").alias("over"))
-        paths = upper.join(small(parts), "part").select("part", F.col("idx").alias("block"), F.concat("path", "over").alias("path"), "subroot", "root")
+        paths = upper.join(_few(parts), "part").select("part", F.col("idx").alias("block"), F.concat("path", "over").alias("path"), "subroot", "root")
         kept = store(paths, "paths")
-        out = blocks.select("part", "block", "height", "entries").join(small(kept), ["part", "block"])
+        out = blocks.select("part", "block", "height", "entries").join(_few(kept), ["part", "block"])
         out = out.select("height", "entries", "path", "subroot", "root")
         proofs = store(out.mapInArrow(_proofs, _PROOFS.format(dict(hashed.dtypes)["id"])), "proofs")
     drop(hashed, blocks, subroots, numbered, kept)
