@@ -53,23 +53,6 @@ def amplitude_ratio(a: Column, b: Column) -> Column:
     return (top - xx) / F.nullif(xy, F.lit(0.0))
 
 
-def lags(pairs: DataFrame, baseline: str, epoch: str, max_lag: int) -> DataFrame:
-    """Lag, cc and edge of every pair of array columns."""
-    found = K.on_arrays(lambda a, b: K.correlation_lag(a, b, max_lag), "lag double, cc double, edge boolean", baseline, epoch)
-    return pairs.withColumn("_f", found).select(*pairs.columns, "_f.lag", "_f.cc", "_f.edge")
-
-
-def metrics(pairs: DataFrame, baseline: str, epoch: str, rate: float, max_lag: int, least_cc: float) -> DataFrame:
-    """RMS, centroid frequency, time shift in microseconds, correlation and flags of every epoch against its baseline."""
-
-    def battery(a, b):
-        lag, cc, edge = K.correlation_lag(a, b, max_lag)
-        return float(np.sqrt((b * b).mean())), K.centroid_frequency(b, rate), lag / rate * 1e6, cc, bool(edge or cc < least_cc)
-
-    found = K.on_arrays(battery, "rms double, centroid double, dt_us double, cc double, rejected boolean", baseline, epoch)
-    return pairs.withColumn("_f", found).select(*pairs.columns, "_f.rms", "_f.centroid", "_f.dt_us", "_f.cc", "_f.rejected")
-
-
 def sign_weights(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """The signed agreement of two weights per key: sum(ab) / sum(|ab|)."""
     product = F.col(a) * F.col(b)

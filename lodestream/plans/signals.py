@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import kernels as K
+from lodestream.operators import picks as P
 from lodestream.operators import signals as S
 from lodestream.operators import stacks
 from lodestream.session import table
@@ -76,28 +77,54 @@ def polarity_resolution(spark, sf):
     return S.sign_weights(x, ["label"], "a", "b").withColumn("resolved", F.round("resolved", 6))
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE ** 2) AS q, list_transform(embedding, lambda v: abs(v::DOUBLE)) AS a FROM embeddings),
+k AS (SELECT vec_id, q, a, k, k * log10(list_sum(q[1:k]) / (k - 1)) + (63 - k) * log10(list_sum(q[k + 1:64]) / (63 - k)) AS aic FROM e, range(5, 59) r(k)),
+p AS (SELECT vec_id, any_value(q) AS q, any_value(a) AS a, arg_min(k, aic) AS k FROM k GROUP BY vec_id)
+SELECT vec_id, k::INT AS pick, CASE WHEN k > 5 THEN round(0.707 * list_max(a[k + 1:59]) / sqrt(list_sum(q[6:k]) / (k - 5)), 5) END AS snr FROM p""")
 def aic_pick(spark, sf):
-    """G12"""
-    return _traces(spark, sf).select("vec_id", K.on_arrays(lambda x: K.aic_pick(x, 5), "int", "x").alias("pick"))
+    """G12; the ratio counts where there is noise before the pick"""
+    found = P.on_matrices(lambda x: P.aic_picks(x, 5), "pick int, snr double", "x")
+    p = _traces(spark, sf).select("vec_id", found.alias("f"))
+    return p.select("vec_id", "f.pick", F.when(F.col("f.pick") > 5, F.round("f.snr", 5)).alias("snr"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), q AS (SELECT vec_id, x, list_transform(x, lambda v: v ** 2) AS q FROM e),
+i AS (SELECT vec_id, i - 1 AS i, (list_sum(q[greatest(i - 2, 1):i]) / least(i, 3)) / (list_sum(q[greatest(i - 11, 1):i]) / least(i, 12)) AS r, CASE WHEN i = 1 THEN 0 ELSE abs(x[i] - x[i - 1]) END AS step FROM q, range(1, 65) r(i))
+SELECT vec_id, coalesce(min(i) FILTER (r >= 2.5), arg_max(i, r))::INT AS pick, arg_max(i, step)::INT AS steepest FROM i GROUP BY vec_id""")
 def sta_lta_pick(spark, sf):
     """G13, G14"""
-    return _traces(spark, sf).select("vec_id", K.on_arrays(lambda x: K.sta_lta_pick(x, 3, 12, 2.5), "int", "x").alias("pick"))
+    both = P.on_matrices(lambda x: (*P.sta_lta_picks(x, 3, 12, 2.5), *P.gradient_picks(x)), "pick int, steepest int", "x")
+    return _traces(spark, sf).select("vec_id", both.alias("f")).select("vec_id", "f.*")
 
 
-@query()
+_LAGS = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+p AS (SELECT vec_id, x, lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM e),
+k AS (SELECT vec_id, k, list_inner_product(x[greatest(1, 1 + k):least(64, 64 + k)], y[greatest(1, 1 - k):least(64, 64 - k)]) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) AS c FROM p, range(-9, 10) r(k) WHERE y IS NOT NULL),
+t AS (SELECT vec_id, arg_max(k, c) AS k FROM k WHERE abs(k) <= 8 GROUP BY vec_id),
+n AS (SELECT vec_id, t.k, max(c) FILTER (k.k = t.k) AS c1, max(c) FILTER (k.k = t.k - 1) AS c0, max(c) FILTER (k.k = t.k + 1) AS c2 FROM t JOIN k USING (vec_id) GROUP BY ALL),
+l AS (SELECT vec_id, k + greatest(-0.5, least(0.5, (c2 - c0) / (2 * (2 * c1 - c0 - c2)))) AS lag, c1 AS cc, abs(k) >= 7 AS edge FROM n)"""
+
+
+@query(f"{_LAGS} SELECT vec_id, round(lag, 5) AS lag, round(cc, 6) AS cc, edge FROM l")
 def xcorr_lag(spark, sf):
-    """G09, G32, G45"""
-    return S.lags(_pairs(spark, sf), "y", "x", 8).select("vec_id", "lag", "cc", "edge")
+    """Every epoch against the one before of its station"""
+    found = P.on_matrices(lambda a, b: P.correlation_lags(a, b, 8), "lag double, cc double, edge boolean", "y", "x")
+    return _pairs(spark, sf).select("vec_id", found.alias("f")).select("vec_id", F.round("f.lag", 5).alias("lag"), F.round("f.cc", 6).alias("cc"), "f.edge")
 
 
-@query()
+@query(f"""{_LAGS},
+f AS (SELECT vec_id, x, k, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * cos(2 * pi() * k * i / 64))) ** 2 + list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * sin(2 * pi() * k * i / 64))) ** 2 AS w
+  FROM e, range(0, 33) r(k)),
+c AS (SELECT vec_id, sqrt(list_inner_product(any_value(x), any_value(x)) / 64) AS rms, sum(w * k * 750) / sum(w) AS centroid FROM f GROUP BY vec_id)
+SELECT vec_id, round(rms, 6) AS rms, round(centroid, 3) AS centroid, round(lag / 48000 * 1e6, 3) AS dt_us, round(cc, 6) AS cc, edge OR cc < 0.2 AS rejected FROM l JOIN c USING (vec_id)""")
 def metric_battery(spark, sf):
-    """Every epoch against the one before"""
-    return S.metrics(_pairs(spark, sf), "y", "x", 48_000.0, 8, 0.2).drop("x", "y")
+    """Every epoch against the one before"""
+    found = P.on_matrices(lambda a, b: P.metric_batteries(a, b, 48_000.0, 8, 0.2), "rms double, centroid double, dt_us double, cc double, rejected boolean", "y", "x")
+    f = _pairs(spark, sf).select("vec_id", found.alias("f"))
+    return f.select("vec_id", F.round("f.rms", 6).alias("rms"), F.round("f.centroid", 3).alias("centroid"), F.round("f.dt_us", 3).alias("dt_us"), F.round("f.cc", 6).alias("cc"), "f.rejected")
 
 
 @query()
@@ -130,10 +157,21 @@ def spectra(spark, sf):
     return _pairs(spark, sf).select("vec_id", centroid.alias("centroid"), filtered.alias("band_power"), slope.alias("slope"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+p AS (SELECT vec_id, x, (lag(x) OVER (PARTITION BY label ORDER BY vec_id))[13:52] AS a FROM e),
+k AS (SELECT vec_id, k, a, x[k + 1:k + 40] AS b FROM p, range(0, 25) r(k) WHERE a IS NOT NULL),
+c AS (SELECT vec_id, list((list_inner_product(a, b) - list_sum(a) * list_sum(b) / 40) / sqrt((list_inner_product(a, a) - list_sum(a) ** 2 / 40) * (list_inner_product(b, b) - list_sum(b) ** 2 / 40)) ORDER BY k) AS c FROM k GROUP BY vec_id),
+m AS (SELECT *, list_transform(c, lambda v: abs(v)) AS a FROM c),
+n AS (SELECT *, list_position(a, list_max(a)) AS top,
+  list_filter(range(1, 26), lambda i: a[i] > a[least(i + 1, 25)] AND a[i] > a[least(i + 2, 25)] AND a[i] > a[greatest(i - 1, 1)] AND a[i] > a[greatest(i - 2, 1)]) AS peaks FROM m)
+SELECT vec_id, round(CASE WHEN top > 1 AND top < 25 AND a[top] >= 0.2 AND list_contains(peaks, top) AND len(peaks) > 1 THEN sign(c[top]) * (a[top] - greatest(
+  coalesce(a[list_max(list_filter(peaks, lambda i: i < top))], -1), coalesce(a[list_min(list_filter(peaks, lambda i: i > top))], -1))) ELSE 0 END, 6) AS polarity FROM n""")
 def relative_polarity(spark, sf):
-    """G27"""
-    return _pairs(spark, sf).select("vec_id", K.on_arrays(lambda a, b: K.relative_polarity(a, b, 0.2), "double", "y", "x").alias("polarity"))
+    """The middle of the trace before against every trace"""
+    pairs = _pairs(spark, sf).withColumn("y", F.slice("y", 13, 40))
+    found = P.on_matrices(lambda a, b: P.pair_polarities(a, b, 0.2), "polarity double", "y", "x")
+    return pairs.select("vec_id", F.round(found["polarity"], 6).alias("polarity"))
 
 
 @query()
