@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestream.operators import detect
 from lodestream.operators import kernels as K
 from lodestream.operators import picks as P
 from lodestream.operators import signals as S
@@ -141,11 +142,23 @@ def peaks_nms(spark, sf):
     return _traces(spark, sf).select("vec_id", K.on_arrays(lambda x: K.runs_of_peaks(x, 0.2, 4), "array<int>", "x").alias("peaks"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT vec_id % 3 AS channel, vec_id // 3 * 64 + i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i) WHERE vec_id % 41 <> 7),
+t AS (SELECT vec_id // 3 AS template, vec_id % 3 AS channel, vec_id % 3 * 5 - 3 AS delay, k - 1 AS k, embedding[k + 16]::DOUBLE AS w FROM embeddings, range(1, 33) r(k) WHERE vec_id // 3 % 40 = 3),
+c AS (SELECT template, channel, i - delay - k AS start, corr(v, w) AS cc FROM s JOIN t USING (channel) GROUP BY ALL HAVING count(*) = 32),
+g AS (SELECT template, start, floor(start / 2048)::BIGINT AS period, sum(cc) AS stack, count(*) AS channels FROM c GROUP BY ALL),
+h AS (SELECT *, 4.5 * median(abs(stack)) OVER (PARTITION BY template, period) AS threshold FROM g),
+o AS (SELECT *, start - row_number() OVER (PARTITION BY template, period ORDER BY start) AS run FROM h WHERE abs(stack) >= threshold)
+SELECT template::VARCHAR AS template, arg_max(start, abs(stack)) AS start, period, round(arg_max(stack, abs(stack)), 6) AS stack, arg_max(channels, abs(stack)) AS channels, round(any_value(threshold), 6) AS threshold
+FROM o GROUP BY template, period, run""")
 def matched_filter(spark, sf):
-    """The first quarter of the trace before as template"""
-    found = K.on_arrays(lambda a, b: K.detections(K.normalised_correlation(a[: len(a) // 4], b), "mad", 3.0, 1, 4), "array<int>", "y", "x")
-    return _pairs(spark, sf).select("vec_id", found.alias("detections"))
+    """A record of three channels, in periods of 2048 samples, with templates that are delayed by channel"""
+    e = _traces(spark, sf).withColumn("channel", F.col("vec_id") % 3).withColumn("place", F.expr("vec_id div 3"))
+    samples = e.where("vec_id % 41 <> 7").select("channel", "place", F.posexplode("x").alias("k", "v"))
+    record = samples.select("channel", (F.col("place") * 64 + F.col("k")).alias("i"), "v")
+    templates = e.where("place % 40 = 3").select(F.col("place").alias("template"), "channel", (F.col("channel") * 5 - 3).alias("delay"), F.slice("x", 17, 32).alias("x"))
+    found = detect.matched_filter(record, templates, "channel", "i", "v", "template", "delay", "x", "mad", 4.5, 2048)
+    return found.withColumn("stack", F.round("stack", 6)).withColumn("threshold", F.round("threshold", 6))
 
 
 @query()
