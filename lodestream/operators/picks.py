@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .polarity import relative_polarities
+from .stacks import analytic
 
 #: Samples of windows that a task holds at once.
 _AT_ONCE = 4_000_000
@@ -126,3 +127,46 @@ def metric_batteries(baseline: np.ndarray, epoch: np.ndarray, rate: float, max_l
     whole = power.sum(1)
     centroid = np.divide(power @ np.fft.rfftfreq(epoch.shape[1], 1 / rate), whole, out=np.zeros(len(epoch)), where=whole > 0)
     return np.sqrt((epoch * epoch).mean(1)), centroid, lag / rate * 1e6, cc, edge | (cc < least_cc)
+
+
+def smoothed_envelopes(x: np.ndarray, smooth: int = 5) -> np.ndarray:
+    """Lengths of the analytic signals, as running means of `smooth` samples with zeros beyond the ends."""
+    size = np.abs(analytic(x))
+    wide = np.pad(size, ((0, 0), (smooth // 2, smooth - 1 - smooth // 2)))
+    return np.lib.stride_tricks.sliding_window_view(wide, smooth, axis=1).mean(2)
+
+
+def envelope_lags(baseline: np.ndarray, epoch: np.ndarray, max_lag: int, smooth: int = 5):
+    """A coarse lag, and its correlation, from smoothed envelopes; 0 and 0 for fewer than four samples or no energy."""
+    if min(baseline.shape[1], epoch.shape[1]) < max(4, smooth):
+        return np.zeros(len(baseline)), np.zeros(len(baseline))
+    return correlation_lags(smoothed_envelopes(baseline, smooth), smoothed_envelopes(epoch, smooth), max_lag)[:2]
+
+
+def welch_powers(x: np.ndarray, rate: float, size: int):
+    """One-sided power density of every frequency, the mean over half-overlapping Hann windows of `size` samples (the
+    whole trace if it is shorter), each without its mean."""
+    size = min(size, x.shape[1])
+    if size < 2:
+        return (np.zeros((len(x), 0)),)
+    w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(size) / size))
+    parts = np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, :: max(1, size // 2)]
+    power = (np.abs(np.fft.rfft((parts - parts.mean(2, keepdims=True)) * w, axis=2)) ** 2).mean(1) / (rate * (w * w).sum())
+    power[:, 1 : power.shape[1] - (size % 2 == 0)] *= 2
+    return (power,)
+
+
+def spectral_slopes(baseline: np.ndarray, epoch: np.ndarray, rate: float, low: float, high: float):
+    """The least-squares slope over frequency, from `low` to `high`, of the log of the ratio of amplitude spectra, epoch
+    over baseline; frequencies that one of them lacks don't count, and with fewer than two it is null."""
+    n = min(baseline.shape[1], epoch.shape[1])
+    f = np.fft.rfftfreq(n, 1 / rate) if n else np.zeros(0)
+    a, b = (np.abs(np.fft.rfft(v[:, :n], axis=1)) if n else np.zeros((len(v), 0)) for v in (baseline, epoch))
+    keep = (f >= low) & (f <= high) & (a > 1e-15) & (b > 1e-15)
+    y = np.log(np.where(keep, b, 1) / np.where(keep, a, 1))
+    k = keep.sum(1)
+    mean_f, mean_y = (f * keep).sum(1) / np.maximum(k, 1), (y * keep).sum(1) / np.maximum(k, 1)
+    d = (f - mean_f[:, None]) * keep
+    spread = (d * d).sum(1)
+    slope = np.divide((d * (y - mean_y[:, None])).sum(1), spread, out=np.zeros(len(d)), where=spread > 0)
+    return (np.where((k >= 2) & (spread > 0), slope, None),)

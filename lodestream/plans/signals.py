@@ -161,9 +161,47 @@ def matched_filter(spark, sf):
     return found.withColumn("stack", F.round("stack", 6)).withColumn("threshold", F.round("threshold", 6))
 
 
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+h AS (SELECT vec_id, label, list_transform(range(0, 64), lambda n: sqrt(x[n + 1] ** 2 + list_sum(list_transform(range(0, 64), lambda m: CASE WHEN (n - m) % 2 = 0 THEN 0 ELSE x[m + 1] * 2 / 64 / tan(pi() * (n - m) / 64) END)) ** 2)) AS v FROM e),
+s AS (SELECT vec_id, label, list_transform(range(1, 65), lambda i: list_sum(v[greatest(1, i - 2):least(64, i + 2)]) / 5) AS x FROM h),
+p AS (SELECT vec_id, x, lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM s),
+k AS (SELECT vec_id, k, list_inner_product(x[greatest(1, 1 + k):least(64, 64 + k)], y[greatest(1, 1 - k):least(64, 64 - k)]) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) AS c FROM p, range(-7, 8) r(k) WHERE y IS NOT NULL),
+t AS (SELECT vec_id, arg_max(k, c) AS k FROM k WHERE abs(k) <= 6 GROUP BY vec_id),
+n AS (SELECT vec_id, t.k, max(c) FILTER (k.k = t.k) AS c1, max(c) FILTER (k.k = t.k - 1) AS c0, max(c) FILTER (k.k = t.k + 1) AS c2 FROM t JOIN k USING (vec_id) GROUP BY ALL)
+SELECT vec_id, round(k + greatest(-0.5, least(0.5, (c2 - c0) / (2 * (2 * c1 - c0 - c2)))), 4) AS coarse, round(c1, 6) AS cc FROM n""")
+def envelope_lag(spark, sf):
+    """Every epoch against the one before of its station"""
+    found = P.on_matrices(lambda a, b: P.envelope_lags(a, b, 6), "lag double, cc double", "y", "x")
+    return _pairs(spark, sf).select("vec_id", found.alias("f")).select("vec_id", F.round("f.lag", 4).alias("coarse"), F.round("f.cc", 6).alias("cc"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, s, list_transform(embedding[s + 1:s + 32], lambda v: v::DOUBLE) AS x FROM embeddings, (SELECT unnest([0, 16, 32]) AS s)),
+w AS (SELECT vec_id, s, list_transform(range(0, 32), lambda j: (x[j + 1] - list_sum(x) / 32) * (0.5 - 0.5 * cos(2 * pi() * j / 32))) AS x FROM e),
+p AS (SELECT vec_id, k, avg((list_sum(list_transform(range(0, 32), lambda j: x[j + 1] * cos(2 * pi() * k * j / 32))) ** 2 + list_sum(list_transform(range(0, 32), lambda j: x[j + 1] * sin(2 * pi() * k * j / 32))) ** 2) / 1200) AS v FROM w, range(0, 17) r(k) GROUP BY ALL)
+SELECT vec_id, k AS bin, round(v * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END, 8) AS power FROM p""")
+def welch_power(spark, sf):
+    """Power densities of windows of 32 samples at 100 a second"""
+    found = P.on_matrices(lambda x: P.welch_powers(x, 100.0, 32), "power array<double>", "x")
+    each = _traces(spark, sf).select("vec_id", F.posexplode(found["power"]).alias("bin", "power"))
+    return each.select("vec_id", F.col("bin").cast("long").alias("bin"), F.round("power", 8).alias("power"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+f AS (SELECT vec_id, label, k, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * cos(2 * pi() * k * i / 64))) ** 2 + list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * sin(2 * pi() * k * i / 64))) ** 2 AS w FROM e, range(2, 27) r(k)),
+p AS (SELECT vec_id, k, w, lag(w) OVER (PARTITION BY label, k ORDER BY vec_id) AS v FROM f)
+SELECT vec_id, round(regr_slope(ln(w / v) / 2, k * 0.75), 6) AS slope FROM p WHERE v IS NOT NULL GROUP BY vec_id""")
+def spectral_slope(spark, sf):
+    """Per kHz, from 1 to 20 kHz"""
+    found = P.on_matrices(lambda a, b: P.spectral_slopes(a, b, 48.0, 1.0, 20.0), "slope double", "y", "x")
+    return _pairs(spark, sf).select("vec_id", F.round(found["slope"], 6).alias("slope"))
+
+
 @query()
 def spectra(spark, sf):
-    """G15, G18, G21, G22, G36"""
+    """G15, G21"""
     centroid = K.on_arrays(lambda x: K.centroid_frequency(x, 48_000.0), "double", "x")
     filtered = K.on_arrays(lambda x: float((K.bandpass(x, 3000, 12_000, 48_000.0) ** 2).mean()), "double", "x")
     slope = K.on_arrays(lambda a, b: K.spectral_slope(a, b, 48_000.0, 1000, 20_000), "double", "y", "x")
