@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels as K
-
 
 def stack(df: DataFrame, keys: list[str], samples: str) -> DataFrame:
     """Element-wise mean and sum of the arrays of a key, by position, so that partial sums meet."""
@@ -57,23 +54,3 @@ def sign_weights(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """The signed agreement of two weights per key: sum(ab) / sum(|ab|)."""
     product = F.col(a) * F.col(b)
     return df.groupBy(*keys).agg((F.sum(product) / F.nullif(F.sum(F.abs(product)), F.lit(0.0))).alias("resolved"))
-
-
-def beams(df: DataFrame, keys: list[str], samples: str, east: str, north: str, azimuths: list[float], slowness: float, frequency: float, rate: float, size: int) -> DataFrame:
-    """Bartlett power of every direction per key (a window of the array); stations are the key's rows."""
-
-    def power(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([east, north], kind="stable")
-        traces = np.array([np.asarray(x, float) for x in part[samples]])
-        csd = K.cross_spectral_density(traces, size)
-        k = int(np.argmin(np.abs(np.fft.rfftfreq(size, 1 / rate) - frequency)))
-        coords = part[[east, north]].to_numpy(float)
-        rows = [(a, K.beam_power(csd[k], coords, a, slowness, frequency)) for a in azimuths]
-        out = pd.DataFrame(rows, columns=["azimuth", "power"])
-        for c in keys:
-            out[c] = part[c].iloc[0]
-        return out[[*keys, "azimuth", "power"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", azimuth double, power double"
-    return df.groupBy(*keys).applyInPandas(power, schema)

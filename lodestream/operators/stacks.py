@@ -234,3 +234,38 @@ def window_coherence(df: DataFrame, station: str, at: str, value: str, nodes: di
         return pa.concat_tables(out)
 
     return dealt.groupBy("c").applyInArrow(work, "node string, start long, coherence double, pairs long")
+
+
+def beam_powers(df: DataFrame, keys: list[str], samples: str, east: str, north: str, azimuths: list[float], slownesses: list[float], frequency: float, rate: float, size: int) -> DataFrame:
+    """Keys, azimuth, slowness, power, response and stations: per key (an array's record, a row a station) the
+    Bartlett power of plane waves from every back-azimuth (degrees) and slowness, and the array's response to a vertical wave.
+
+    Spectra at the frequency nearest `frequency` of half-overlapping Hann windows of `size` samples are turned by each
+    wave's phase at the station and added up over stations, window by window, so that partial sums meet; the power is the mean
+    over the windows of the squared length, by the number of stations squared. Rows with a null, or shorter than a window, take no part.
+    """
+    from .picks import on_matrices
+
+    at = int(np.argmin(np.abs(np.fft.rfftfreq(size, 1 / rate) - frequency)))
+    taper = 0.5 * (1 - np.cos(2 * np.pi * np.arange(size) / size))
+    turn = np.exp(-2j * np.pi * at * np.arange(size) / size) * taper
+
+    def spectra(x):
+        if x.shape[1] < size:
+            return [None] * len(x), [None] * len(x)
+        z = np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, :: size // 2] @ turn
+        return z.real, z.imag
+
+    rows = _usable(df, keys, samples, east, north).where(F.col(east).isNotNull() & F.col(north).isNotNull())
+    found = rows.withColumn("z", on_matrices(spectra, "re array<double>, im array<double>", "x")).where("z.re is not null")
+    waves = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(s)).alias("s")) for a in azimuths for s in slownesses])
+    each = found.select(*keys, east, north, F.posexplode(F.arrays_zip("z.re", "z.im")).alias("w", "v"))
+    each = each.select(*keys, "w", "v", east, north, F.explode(waves).alias("k"))
+    phase = 2 * np.pi * frequency * F.col("k.s") * (F.col(east) * F.sin(F.radians("k.a")) + F.col(north) * F.cos(F.radians("k.a")))
+    c, s, re, im = F.cos(phase), F.sin(phase), F.col("v.re"), F.col("v.im")
+    sums = each.groupBy(*keys, "w", "k").agg(
+        F.sum(re * c + im * s).alias("re"), F.sum(im * c - re * s).alias("im"), F.sum(c).alias("c"), F.sum(s).alias("s"), F.count("*").alias("n"),
+    )
+    square = F.col("n") * F.col("n")
+    out = sums.groupBy(*keys, "k").agg(F.avg((F.col("re") ** 2 + F.col("im") ** 2) / square).alias("power"), F.avg((F.col("c") ** 2 + F.col("s") ** 2) / square).alias("response"), F.max("n").alias("stations"))
+    return out.select(*keys, F.col("k.a").alias("azimuth"), F.col("k.s").alias("slowness"), "power", "response", "stations")

@@ -231,9 +231,16 @@ def svd_weights(spark, sf):
     return stacks.first_weights(_traces(spark, sf).withColumn("cluster", F.floor(F.col("vec_id") / 25)), ["label", "cluster"], "vec_id", "x")
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id // 25 AS block, 500 * cos(radians(vec_id % 25 * 14.4)) AS east, 500 * sin(radians(vec_id % 25 * 14.4)) AS north, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+w AS (SELECT block, east, north, w, list_transform(range(0, 32), lambda j: x[16 * w + j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 32))) AS x FROM e, range(0, 3) r(w)),
+z AS (SELECT block, east, north, w, list_sum(list_transform(range(0, 32), lambda j: x[j + 1] * cos(2 * pi() * j / 32))) AS re, -list_sum(list_transform(range(0, 32), lambda j: x[j + 1] * sin(2 * pi() * j / 32))) AS im FROM w),
+g AS (SELECT block, w, re, im, a * 30 AS azimuth, s, 2 * pi() * 2 * s * (east * sin(radians(a * 30)) + north * cos(radians(a * 30))) AS p FROM z, range(0, 12) r(a), (SELECT unnest([0.0005, 0.001]) AS s)),
+t AS (SELECT block, azimuth, s, w, sum(re * cos(p) + im * sin(p)) AS re, sum(im * cos(p) - re * sin(p)) AS im, sum(cos(p)) AS c, sum(sin(p)) AS d, count(*) AS n FROM g GROUP BY ALL)
+SELECT block, azimuth::DOUBLE AS azimuth, s::DOUBLE AS slowness, round(avg((re * re + im * im) / (n * n)), 8) AS power, round(avg((c * c + d * d) / (n * n)), 6) AS response FROM t GROUP BY ALL""")
 def beam_power(spark, sf):
     """Every block of 25 traces as an array of stations on a ring"""
-    e = _traces(spark, sf).withColumn("block", F.floor(F.col("vec_id") / 25)).withColumn("a", F.radians((F.col("vec_id") % 25) * 14.4))
+    e = _traces(spark, sf).withColumn("block", F.expr("vec_id div 25")).withColumn("a", F.radians((F.col("vec_id") % 25) * 14.4))
     placed = e.select("block", "x", (500 * F.cos("a")).alias("east"), (500 * F.sin("a")).alias("north"))
-    return S.beams(placed, ["block"], "x", "east", "north", [float(z) for z in range(0, 360, 30)], 1e-3, 2.0, 100.0, 32)
+    found = stacks.beam_powers(placed, ["block"], "x", "east", "north", [float(z) for z in range(0, 360, 30)], [5e-4, 1e-3], 2.0, 100.0, 32)
+    return found.select("block", "azimuth", "slowness", F.round("power", 8).alias("power"), F.round("response", 6).alias("response"))
