@@ -75,3 +75,35 @@ def test_stages_as_brute_force(spark, tmp_path):
     assert check_pieces(kept["packing"], kept["decontamination"], 2048) < 0.05
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r.length for r in whole) == sum(r.length for r in kept["packing"])
+
+
+CLASHES = ["score", "id", "t", "y", "h", "fp", "version", "component_id", "row", "start", "length", "part", "key", "x", "w", "n_words", "gone", "value", "unit", "__lodestream_id2"]
+
+
+def tables(spark, path, docs, labels, items):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    spark.createDataFrame([(*d, *CLASHES) for d in docs], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(*r, "z") for r in labels], "doc_id long, quality int, toxic int, score string").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, doc_id string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_columns_with_clashing_names_stay(spark, tmp_path):
+    docs, labels, items = corpus()
+    tables(spark, tmp_path, docs[:60] + docs[160:170] + docs[-6:], labels, items)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = [now.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, shared.store(stage(spark, now, str(tmp_path)), name)
+        counts.append(now.count())
+        if name != "packing":
+            assert now.dtypes == before.dtypes
+            assert all(tuple(r) == tuple(CLASHES) for r in now.select(*CLASHES).distinct().collect())
+    assert counts[0] > counts[1] > counts[2] and counts[4] > 20 and counts[5] >= counts[4] - 3
+
+
+def test_empty_tables(spark, tmp_path):
+    docs, labels, items = corpus()
+    tables(spark, f"{tmp_path}/all", [], [], [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/all").collect() == []
+    tables(spark, f"{tmp_path}/docs", docs[1:5], [], [])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/docs").collect()} == {1, 2, 3, 4}
