@@ -196,8 +196,9 @@ def prove(docs: DataFrame, fields: tuple[str, ...], by: str, order: str, altered
         subroots = store(subroots.select(F.lit("").alias("part"), F.col("part").alias("name"), F.col("root").alias("node")), "subroots")
         numbered = store(_ranked(subroots, "name").withColumnRenamed("rank", "idx"), "parts")
         root, over = tree(numbered)
-        parts = numbered.join(_few(over.drop("part")), "idx").crossJoin(F.broadcast(root.select("root")))  # one root
-        parts = parts.select(F.col("name").alias("part"), F.col("node").alias("subroot"), "root", F.col("path").alias("over"))
+        top = root.first()  # of one tree: a digest, or none without rows
+        parts = numbered.join(_few(over.drop("part")), "idx")
+        parts = parts.select(F.col("name").alias("part"), F.col("node").alias("subroot"), F.lit(top and top["root"]).cast("string").alias("root"), F.col("path").alias("over"))
         paths = upper.join(_few(parts), "part").select("part", F.col("idx").alias("block"), F.concat("path", "over").alias("path"), "subroot", "root")
         kept = store(paths, "paths")
         out = blocks.select("part", "block", "height", "entries").join(_few(kept), ["part", "block"])
