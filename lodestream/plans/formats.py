@@ -171,12 +171,12 @@ def catalog_scan(spark, sf):
 @query("""
 SELECT TIMESTAMP '2024-01-02 03:04:00' + to_seconds(s_suppkey % 60) AS ts, s_acctbal AS depth, 0.01::DOUBLE AS rms, (s_suppkey % 90)::INT AS n_phases, s_name[-4:] AS station, 0.5::DOUBLE AS residual FROM supplier""")
 def location_scan(spark, sf):
-    """Location output documents, a file an event: origin, quality and phases"""
+    """Location output documents, files of many events: origin, quality and phases"""
     path = _path(spark, "hyp")
     s = table(spark, sf, "supplier")
     head = F.format_string("GEOGRAPHIC  OT 2024 01 02  03 04 %d.0  Lat 44.1 Long -103.7 Depth %s\nQUALITY  Pmax 1 RMS 0.01 Nphs %d Gap 120.5\n", F.col("s_suppkey") % 60, F.col("s_acctbal").cast("string"), F.col("s_suppkey") % 90)
     phase = F.concat(F.substring("s_name", -4, 4), F.lit("   ?    ?    ? P      ? 20240102 0304    5.6 GAU  1  2  3  4  >  0.105  0.5\n"))
-    s.select("s_suppkey", F.concat(head, phase).alias("value")).write.partitionBy("s_suppkey").text(path)
+    s.select(_text("NLLOC \n", head, phase, "END_NLLOC").alias("value")).write.text(path)
     r = B.location_outputs(spark, path)
     return r.select("ts", "depth", "rms", "n_phases", F.get("phases", F.lit(0))["station"].alias("station"), F.get("phases", F.lit(0))["residual"].alias("residual"))
 

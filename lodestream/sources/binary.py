@@ -65,18 +65,23 @@ def catalog_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 _ORIGIN = re.compile(r"GEOGRAPHIC\s+OT\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s+Lat\s+(\S+)\s+Long\s+(\S+)\s+Depth\s+(\S+)")
+_EVENT = re.compile(r"^(?=NLLOC\b)", re.M)  # events that lack their end
 _QUALITY = re.compile(r"QUALITY\b.*?RMS\s+(\S+)\s+Nphs\s+(\d+)\s+Gap\s+(\S+)")
 _PHASE = re.compile(r"^(\w+)\s+\S+\s+\S+\s+\S\s+(\w)\s+.*?>\s+(\S+)\s+(\S+)", re.M)
 
 
 def location_outputs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Location output documents: origin, quality, and the phases with predicted time and residual."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """Location output documents: origin, quality, and the phases with predicted time and residual.
+
+    A file holds one event or many; events end with END_NLLOC, so that Spark splits large files between them.
+    """
+    files = spark.read.text(paths, lineSep="END_NLLOC").select(F.col("_metadata.file_name").alias("file"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, text in zip(batch["file"], batch["value"]):
+            events = ((name, event) for name, text in zip(batch["file"], batch["value"]) for event in _EVENT.split(text))
+            for name, text in events:
                 if not (m := _ORIGIN.search(text)):
                     continue
                 y, mo, d, h, mi, s = m.groups()[:6]

@@ -45,6 +45,22 @@ def test_location_outputs(spark, tmp_path):
     assert [tuple(p) for p in r.phases] == [("ST01", "P", 0.105, -0.002)]
 
 
+def test_location_outputs_of_many_events(spark, tmp_path):
+    event = "NLLOC \nGEOGRAPHIC  OT 2024 01 02  03 04 {0}.5  Lat 44.1 Long -103.7 Depth {0}.25\nST0{0}   ?    ?    ? P      ? 20240102 0304    5.6 GAU  1  2  3  4  >  0.105  -0.002\n"
+    (tmp_path / "a.hyp").write_text("".join(event.format(i) + "END_NLLOC\n" for i in range(3)) + event.format(3) + event.format(4))
+    (tmp_path / "b.hyp").write_text(event.format(5))
+    rows = sorted(B.location_outputs(spark, str(tmp_path)).collect(), key=lambda r: r.ts)
+    assert [(r.file, r.depth, [p.station for p in r.phases]) for r in rows] == [("b.hyp" if i == 5 else "a.hyp", i + 0.25, [f"ST0{i}"]) for i in range(6)]
+
+
+def test_location_scan_writes_few_files(spark, tmp_path):
+    from lodestream.plans import formats
+
+    spark.range(500).selectExpr("id as s_suppkey", "format_string('Supplier#%09d', id) as s_name", "double(id) / 4 as s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    found = formats.location_scan(spark, str(tmp_path))
+    assert found.count() == 500 and len(found.inputFiles()) <= 8
+
+
 def test_day_partitions(spark, tmp_path):
     df = spark.createDataFrame([("2024001", "A", 1), ("2024002", "A", 2), ("2024001", "B", 3)], "day string, station string, v int")
     W.by_key(df, str(tmp_path / "w"), ["day", "station"])
