@@ -10,8 +10,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestream.storage import cut, small
 
@@ -90,6 +93,87 @@ def rolling_in_chunks(df: DataFrame, keys: list[str], ts: str, seconds: float, c
     return rows.where("_c = _own").drop("_c", "_own")
 
 
+def frame_statistics(t: np.ndarray, v: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, median and sample deviation of the values with t in (at - width, at], for every `at`; t and `at` ascend.
+
+    A frame's values are kept in order and its sums are differences of running sums, so that a step costs what enters
+    and leaves it. NaN is the largest value; frames without values, and deviations of one value, are NaN.
+    """
+    lo, hi = np.searchsorted(t, at - width, "right"), np.searchsorted(t, at, "right")
+    n = hi - lo
+    odd, nan = ~np.isfinite(v), np.isnan(v)
+    centre = v[~odd].mean() if not odd.all() else 0.0
+    d = np.where(odd, 0.0, v - centre).astype(np.longdouble)
+    running = lambda x: np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
+    one, two, odds, nans = running(d), running(d * d), running(odd.astype(np.int64)), running(nan.astype(np.int64))
+    with np.errstate(all="ignore"):
+        part = one[hi] - one[lo]
+        square = two[hi] - two[lo] - part * part / n
+        mean = np.asarray(centre + part / n, float)
+        sd = np.sqrt(np.asarray(np.maximum(square, 0) / (n - 1), float))
+    lost = two[hi] * np.longdouble(1e-17) > np.longdouble(1e-9) * square  # much larger values lie before the frame
+    med = np.full(len(at), np.nan)
+    frame: list[float] = []
+    a = b = 0
+    for i in range(len(at)):
+        p, q = int(lo[i]), int(hi[i])
+        if p >= b or (q - b) + (p - a) > len(frame) // 8:
+            frame = np.sort(v[p:q][~nan[p:q]]).tolist()
+        else:
+            for x in v[b:q].tolist():
+                if x == x:
+                    bisect.insort(frame, x)
+            for x in v[a:p].tolist():
+                if x == x:
+                    del frame[bisect.bisect_left(frame, x)]
+        a, b = p, q
+        if p == q:
+            continue
+        k, last = q - p - 1, len(frame) - 1
+        if (k + 1) // 2 <= last:
+            med[i] = frame[k // 2] if k % 2 == 0 or frame[k // 2] == frame[k // 2 + 1] else frame[k // 2] * 0.5 + frame[k // 2 + 1] * 0.5
+        if odds[q] > odds[p]:
+            mean[i], sd[i] = v[p:q].sum(), np.nan
+        elif frame[0] == frame[-1]:
+            mean[i], sd[i] = frame[0], 0.0
+        elif lost[i]:
+            mean[i], sd[i] = v[p:q].mean(), v[p:q].std(ddof=1)
+    return mean, med, np.where(n > 1, sd, np.nan)
+
+
+def rolling_statistics(df: DataFrame, keys: list[str], ts: str, seconds: float, chunk_seconds: float, value: str) -> DataFrame:
+    """`df` with mean, med and sd of `value` over (t - seconds, t] of its key, null without values (sd: without two).
+
+    Time is cut into chunks; a row is also copied to the chunks that begin within `seconds` after it. Spark's own sliding
+    frames look at all rows of the frame again for every row; here a task goes once through a chunk of a key. Rows
+    without a time are frames among themselves.
+    """
+    at, width = micros(ts), int(seconds * 1e6)
+    long = chunk_seconds * 1e6
+    first, last = F.floor(at / long), F.floor((at + width - 1) / long)
+    rows = df.withColumn("_t", at).withColumn("_v", F.col(value).cast("double")).withColumn("_own", first)
+    rows = rows.withColumn("_c", F.explode(F.coalesce(F.sequence(first, last), F.array(F.lit(None).cast("long")))))
+    names = list(df.columns)
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table["_t"].fill_null(0).to_numpy()
+        order = np.argsort(t, kind="stable")
+        known = order[~pc.is_null(table["_v"]).to_numpy()[order]]
+        v = table["_v"].fill_null(0.0).to_numpy()
+        own = order[pc.fill_null(pc.equal(table["_c"], table["_own"]), True).to_numpy()[order]]
+        moments = np.unique(t[own])
+        place = np.searchsorted(moments, t[own])
+        some = np.searchsorted(t[known], moments, "right") > np.searchsorted(t[known], moments - width, "right")
+        pairs = np.searchsorted(t[known], moments, "right") - np.searchsorted(t[known], moments - width, "right") > 1
+        out = table.select(names).take(pa.array(own))
+        for name, x, there in zip(("mean", "med", "sd"), frame_statistics(t[known], v[known], moments, width), (some, some, pairs)):
+            out = out.append_column(name, pa.array(x[place], mask=~there[place]))
+        return out
+
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in ("mean", "med", "sd")]])
+    return rows.groupBy(*keys, "_c").applyInArrow(run, schema)
+
+
 def running_total(df: DataFrame, keys: list[str], ts: str, ties: list, value: Column, chunk_seconds: float, name: str = "total") -> DataFrame:
     """W04, A26, W28 for keys with many rows: the sum of `value` up to each row in time order.
 

@@ -96,14 +96,10 @@ def cumulative_detections(spark, sf):
 SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(median(value) OVER w, 6) AS med, round(stddev_samp(value) OVER w, 4) AS sd FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '7199.999999 seconds' PRECEDING AND CURRENT ROW)""")
 def rolling_2h(spark, sf):
-    """Mean, median and deviation over (t - 2 h, t], a day of a type in a task"""
-    results = {
-        "mean": lambda w: F.round(F.avg("value").over(w), 6),
-        "med": lambda w: F.round(T.percentile("value").over(w), 6),
-        "sd": lambda w: F.round(F.stddev_samp("value").over(w), 4),
-    }
+    """Mean, median and deviation over (t - 2 h, t], six hours of a type in a task"""
     e = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    return T.rolling_in_chunks(e, ["event_type"], "ts", 7200, 86_400, results).select("event_id", "mean", "med", "sd")
+    r = T.rolling_statistics(e, ["event_type"], "ts", 7200, 21_600, "value")
+    return r.select("event_id", F.round("mean", 6).alias("mean"), F.round("med", 6).alias("med"), F.round("sd", 4).alias("sd"))
 
 
 @query("""

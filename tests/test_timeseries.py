@@ -109,3 +109,31 @@ def test_windows_over_hot_keys_in_parts(spark, monkeypatch):
         others = [(abs(x[2] - r[2]), x[2], x[0]) for x in rows[150:] if x[1] == r[1]]
         want[r[0]] = min(others)[2] if others else None
     assert got == want
+
+
+def test_rolling_statistics_in_long_frames(spark):
+    draw = random.Random(5)
+    odd = [None, float("nan"), float("inf"), 1e13]
+    values = [draw.choice(odd) if i % 97 == 5 else round(draw.gauss(50, 20), 2) if i < 500 else 7.25 for i in range(700)]
+    seconds = sorted(draw.randrange(0, 30_000) for _ in values)
+    rows = [(i, "a" if i % 5 else None, None if i % 50 == 9 else s, v) for i, (s, v) in enumerate(zip(seconds, values))]
+    df = spark.createDataFrame(rows, "id long, k string, s long, v double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = {r.id: r for r in T.rolling_statistics(df, ["k"], "ts", 3600, 5400, "v").collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    for i, k, s, _ in rows:
+        frame = np.array([v for _, o, t, v in rows if o == k and v is not None and ((s is None and t is None) or (None not in (s, t) and s - 3600 < t <= s))])
+        with np.errstate(all="ignore"):
+            if not len(frame):
+                assert (got[i].mean, got[i].med, got[i].sd) == (None, None, None)
+                continue
+            middle = np.sort(frame)[[(len(frame) - 1) // 2, len(frame) // 2]]
+            want = [frame.mean(), middle[0] if middle[0] == middle[1] else middle.mean(), frame.std(ddof=1) if len(frame) > 1 else np.nan]
+        assert (got[i].sd is None) == (len(frame) == 1)
+        assert [got[i].mean, got[i].med, np.nan if got[i].sd is None else got[i].sd] == pytest.approx(want, rel=1e-6, abs=1e-9, nan_ok=True)
+
+
+def test_a_step_of_a_rolling_median_costs_what_enters_and_leaves():
+    t = np.arange(200_000)
+    v = (t * 7919 % 100_003).astype(float)
+    _, med, _ = T.frame_statistics(t, v, t, 50_000)
+    assert med[-1] == np.median(v[-50_000:]) and med[60_000] == np.median(v[10_001:60_001])
