@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.storage import cut
 
 from .components import components
-from .ranges import geodesic_join, radius_join
+from .ranges import EARTH_KM, haversine_km
 from .relational import number_rows
 
 
@@ -69,26 +74,77 @@ def dbscan(df: DataFrame, id_col: str, coords: list[str], eps: float, least: int
 
     Border rows, which several clusters may reach, join that of their least core neighbour.
     """
-    points = df.select(id_col, *coords)
-    return _density(df, id_col, radius_join(points, points, coords, eps), least)
+    at = [F.col(c).cast("double") for c in coords]
+    square = lambda a, b: reduce(lambda x, y: x + y, [F.pow(F.col(f"{a}_x{i}") - F.col(f"{b}_x{i}"), 2) for i in range(len(coords))])
+    near = lambda a, b: F.sqrt(square(a, b)) <= eps
+    there = reduce(lambda x, y: x & y, [F.abs(x) < float("inf") for x in at])
+    return _density(df, id_col, at, at, there, eps, near, least)
 
 
 def dbscan_geodesic(df: DataFrame, id_col: str, lat: str, lon: str, km: float, least: int) -> DataFrame:
     """As dbscan, for places on the sphere and their haversine distance. Rows without a place are noise."""
-    points = df.select(id_col, lat, lon)
-    return _density(df, id_col, geodesic_join(points, points, lat, lon, km), least)
-
-
-def _density(df: DataFrame, id_col: str, near: DataFrame, least: int) -> DataFrame:
-    """Clusters from the pairs within the radius, each row's with itself among them."""
-    pairs = cut(near.select(F.col(id_col).alias("a"), F.col(id_col + "_r").alias("b")))
-    core = pairs.groupBy("a").count().where(F.col("count") >= least).select("a")
-    ends = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b")
-    found = components(ends).select(F.col("node").alias("b"), "root")
-    member = pairs.join(found, "b").groupBy(F.col("a").alias(id_col)).agg(F.min(F.struct(F.col("a") != F.col("b"), "b", "root")).alias("x"))
-    own = core.select(F.col("a").alias(id_col), F.lit(True).alias("core"))
-    out = df.select(id_col).join(member.select(id_col, F.col("x.root").alias("cluster")), id_col, "left").join(own, id_col, "left")
-    return out.select(id_col, "cluster", F.coalesce("core", F.lit(False)).alias("core"))
+    p, q = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    space = [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
+    chord = 2 * math.sin(min(km / EARTH_KM, math.pi) / 2)
+    near = lambda a, b: haversine_km(F.col(f"{a}_x0"), F.col(f"{a}_x1"), F.col(f"{b}_x0"), F.col(f"{b}_x1")) <= km
+    there = (F.abs(F.col(lat)) <= 90) & (F.abs(F.col(lon)) < 1e9)
+    return _density(df, id_col, [F.col(lat).cast("double"), F.col(lon).cast("double")], space, there, chord, near, least)
+
+
+def _density(df: DataFrame, id_col: str, at: list[Column], space: list[Column], there: Column, eps: float, near: Callable[[str, str], Column], least: int) -> DataFrame:
+    """Density clusters without the pairs of dense places.
+
+    Rows of equal coordinates are one place. Space is cut into cells whose places are all near each other (their diagonal
+    is just below `eps`), so a cell of `least` rows is core as it is, and all core places of a cell are of one cluster.
+    Only places of cells with fewer rows are compared with those of the cells around. Cells are linked by their outermost
+    core places first; all core places are compared only between cells that this leaves in different clusters.
+    """
+    d = len(space)
+    side = max(eps, 1e-300) / math.sqrt(d) * (1 - 1e-6)
+    reach = int(eps / side) + 1 if eps > 0 else 1
+    cell, xs = [f"_c{i}" for i in range(d)], [f"_x{i}" for i in range(len(at))]
+    rows = df.where(there).select(F.col(id_col).alias("_id"), *[(x + 0.0).alias(n) for x, n in zip(at, xs)], *[F.floor(x / side).alias(n) for x, n in zip(space, cell)])
+    places = cut(rows.groupBy(*cell, *xs).agg(F.min("_id").alias("_id"), F.count("*").alias("_n")))
+    steps = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if math.sqrt(sum(max(abs(k) - 1, 0) ** 2 for k in o)) * side <= eps * (1 + 1e-6)]
+    around = F.explode(F.array(*[F.struct(*[F.lit(k).cast("long").alias(f"o{i}") for i, k in enumerate(o)]) for o in steps]))
+
+    def named(t: DataFrame, mark: str) -> DataFrame:
+        return t.select(*[F.col(c).alias(mark + c) for c in t.columns])
+
+    def neighbours(cells: DataFrame, others: DataFrame) -> DataFrame:
+        """Cells (a_c...) with the cells around them and themselves (b_c...) among the others."""
+        moved = named(cells.select(*cell), "a").withColumn("_o", around).select(*["a" + c for c in cell], *[(F.col("a" + c) + F.col(f"_o.o{i}")).alias("b" + c) for i, c in enumerate(cell)])
+        return moved.join(named(others.select(*cell), "b"), ["b" + c for c in cell], "left_semi")
+
+    def compared(few: DataFrame, many: DataFrame, links: DataFrame) -> DataFrame:
+        """Places of linked cells that are near each other, with the columns of both."""
+        left = named(few, "a").join(links, ["a" + c for c in cell])
+        return left.join(named(many, "b"), ["b" + c for c in cell]).where(near("a", "b"))
+
+    cells = cut(places.groupBy(*cell).agg(F.sum("_n").alias("_rows")))
+    sparse = places.join(cells.where(F.col("_rows") < least).select(*cell), cell, "left_semi")
+    counted = compared(sparse, places, neighbours(cells.where(F.col("_rows") < least), cells)).groupBy(*["a" + x for x in xs]).agg((F.sum("b_n") >= least).alias("_core"))
+    judged = places.join(cells, cell).join(counted.select(*[F.col("a" + x).alias(x) for x in xs], "_core"), xs, "left")
+    judged = cut(judged.withColumn("_core", F.coalesce((F.col("_rows") >= least) | F.col("_core"), F.lit(False))))
+    core = judged.where("_core").select(*cell, *xs, "_id")
+    ends = [f(F.struct(*xs), x) for x in xs for f in (F.min_by, F.max_by)] + [f(F.struct(*xs), reduce(lambda u, v: u + v, [k * F.col(x) for k, x in zip(sign, xs)])) for sign in itertools.product((1, -1), repeat=len(xs)) if len(xs) > 1 for f in (F.max_by,)]
+    hubs = cut(core.groupBy(*cell).agg(F.min("_id").alias("_id"), F.array_distinct(F.array(*ends)).alias("_ends")))
+    beside = cut(neighbours(hubs, hubs).where(F.struct(*["a" + c for c in cell]) < F.struct(*["b" + c for c in cell])))
+    tips = hubs.select(*cell, "_id", F.explode("_ends").alias("_e")).select(*cell, "_id", "_e.*")
+    first = compared(tips, tips, beside).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    alone = hubs.select(F.col("_id").alias("a"), F.col("_id").alias("b"))
+    roots = cut(hubs.select(*cell, "_id").join(components(first.union(alone)).select(F.col("node").alias("_id"), F.col("root").alias("_root")), "_id"))
+    apart = beside.join(named(roots.select(*cell, "_root"), "a"), ["a" + c for c in cell]).join(named(roots.select(*cell, "_root"), "b"), ["b" + c for c in cell]).where("a_root <> b_root")
+    bare = core.select(*cell, *xs)
+    second = cut(compared(bare, bare, cut(apart)).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    last = components(second).select(F.col("node").alias("_root"), F.col("root").alias("_last"))
+    found = cut(roots.join(last, "_root", "left").select(*cell, F.coalesce("_last", "_root").alias("cluster")))
+    own = core.join(found, cell).select(*xs, "cluster", F.lit(True).alias("core"))
+    border = judged.where("not _core")
+    joined = compared(border.select(*cell, *xs), core.join(found, cell), neighbours(border.select(*cell).distinct(), hubs))
+    joined = joined.groupBy(*["a" + x for x in xs]).agg(F.min_by("bcluster", "b_id").alias("cluster")).select(*[F.col("a" + x).alias(x) for x in xs], "cluster", F.lit(False).alias("core"))
+    placed = df.select(F.col(id_col), *[F.when(there, x + 0.0).alias(n) for x, n in zip(at, xs)])
+    return placed.join(own.union(joined), xs, "left").select(id_col, "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def single_linkage(pairs: DataFrame, a: str, b: str, distance: str, most: float) -> DataFrame:

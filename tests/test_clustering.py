@@ -33,3 +33,20 @@ def test_cosine_pairs_as_brute_force(spark, monkeypatch):
                 want.add((i, j))
     found = C.cosine_pairs(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", 0.4).collect()
     assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+
+
+def test_density_clusters_of_dense_places_store_no_pairs(spark, monkeypatch):
+    """30,000 rows in two dense strips, of which all pairs would be 450 million, with copies, a bridge and noise."""
+    from lodestream.operators import clustering as C
+
+    written = []
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: written.append(cut(df)) or written[-1])
+    strip = "case when id < 15000 then (id % 5000) / 5000 else 3.5 + (id % 5000) / 5000 end as x"
+    odd = [(30_000, 1.75), (30_001, 2.625), (30_002, 9.0), (30_003, None), (30_004, float("nan")), (30_005, 9.5), (30_006, 5.25)]
+    df = spark.range(30_000).selectExpr("id", strip).union(spark.createDataFrame(odd, "id long, x double"))
+    got = {r.id: (r.cluster, r.core) for r in C.dbscan(df, "id", ["x"], 1.0, 3).collect()}
+    assert len(got) == 30_007
+    assert {got[i] for i in range(30_000)} == {(0, True)} and got[30_000] == (0, True) == got[30_001] == got[30_006]
+    assert all(got[i] == (None, False) for i in (30_002, 30_003, 30_004, 30_005))
+    assert sum(t.count() for t in written) < 100_000
