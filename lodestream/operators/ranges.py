@@ -124,22 +124,39 @@ def geodesic_join(left: DataFrame, right: DataFrame, lat: str, lon: str, km: flo
 def k_nearest(df: DataFrame, id_col: str, coords: list[str], k: int, first_radius: float) -> DataFrame:
     """The k nearest rows of every row, itself included: id, rank, other, distance; ties to the smaller id.
 
-    A row whose k nearest lie within the radius is done; the others look again within twice the radius.
+    Rows of equal coordinates are one place with its k least ids. The first radius is made smaller until a cell holds few
+    places. A place whose k nearest rows lie within the radius is done; the others look again within twice the radius.
+    Rows without finite coordinates take no part.
     """
-    todo, radius, done = df, first_radius, None
-    total = df.count()
-    wanted = min(k, total)
-    while True:
-        pairs = radius_join(todo, df, coords, radius)
-        rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", id_col + "_r"))
-        best = pairs.withColumn("rank", rank).where(F.col("rank") <= wanted).select(id_col, "rank", F.col(id_col + "_r").alias("other"), "distance")
-        full = best.where(F.col("rank") == wanted).select(id_col)
-        part = best.join(full, id_col, "left_semi")
+    xs = [f"_x{i}" for i in range(len(coords))]
+    rows = df.select(F.col(id_col), *[(F.col(c).cast("double") + 0.0).alias(x) for c, x in zip(coords, xs)])
+    rows = rows.where(reduce(lambda x, y: x & y, [F.abs(F.col(x)) < float("inf") for x in xs]))
+    wanted = min(k, rows.limit(k).count())
+    least = F.row_number().over(Window.partitionBy(*xs).orderBy(id_col))
+    places = rows.withColumn("_m", least).where(F.col("_m") <= wanted).groupBy(*xs).agg(F.array_sort(F.collect_list(id_col)).alias("_ids"))
+    places = cut(places)
+    radius = first_radius
+    for _ in range(30):
+        cells = places.groupBy(*[F.floor(F.col(x) / radius) for x in xs]).agg(F.count("*").cast("double").alias("n"))
+        mean = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if mean is None or mean <= max(4 * k, 16):
+            break
+        radius /= 4
+    here = Window.partitionBy(*xs)
+    todo, done = places.select(*xs), None
+    while not todo.isEmpty():
+        pairs = radius_join(todo, places, xs, radius)
+        first = F.row_number().over(here.orderBy("distance", F.col("_ids_r")[0]))
+        few = pairs.withColumn("_m", first).where(F.col("_m") <= wanted).withColumn("other", F.explode("_ids_r"))
+        rank = F.row_number().over(here.orderBy("distance", "other"))
+        best = few.withColumn("rank", rank).where(F.col("rank") <= wanted).groupBy(*xs).agg(F.array_sort(F.collect_list(F.struct("rank", "other", "distance"))).alias("_best"))
+        part = cut(best.where(F.size("_best") == wanted))
         done = part if done is None else done.union(part)
-        todo = cut(todo.join(full, id_col, "left_anti"))
-        if todo.isEmpty():
-            return done
+        todo = cut(todo.join(part.select(*xs), xs, "left_anti"))
         radius *= 2
+    if done is None:
+        done = places.select(*xs, F.array().cast(f"array<struct<rank:int,other:{rows.schema[id_col].dataType.simpleString()},distance:double>>").alias("_best"))
+    return rows.join(done, xs).select(id_col, F.explode("_best").alias("_b")).select(id_col, "_b.rank", "_b.other", "_b.distance")
 
 
 def space_time_semi(df: DataFrame, id_col: str, seconds: Column, coords: list[str], within_s: float, within: float) -> DataFrame:
