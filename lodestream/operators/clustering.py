@@ -20,21 +20,51 @@ from .ranges import EARTH_KM, haversine_km
 from .relational import number_rows
 
 
-#: Vectors of a block; every two blocks are compared in a task as matrices.
-BLOCK = 1024
-
-
-def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float) -> DataFrame:
+#: Vectors of a block, and of one where there are many; every two blocks are compared in a task as matrices.
+BLOCK, LARGE_BLOCK, MANY_BLOCKS = 1024, 4096, 32
+
+
+def spanning_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of a matrix of links that connect its rows and columns as all of them do: one fewer than these, at most."""
+    rows, columns = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)  # those not reached yet
+    turned = np.ascontiguousarray(near.T)
+    p, q = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in range(len(rows)):
+        if not rows[start]:
+            continue
+        rows[start] = False
+        todo = [(start, True)]
+        while todo:
+            k, is_row = todo.pop()
+            line, fresh = (near[k], columns) if is_row else (turned[k], rows)
+            found = np.flatnonzero(line & fresh)
+            if len(found):
+                fresh[found] = False
+                same = np.full(len(found), k)
+                p.append(same if is_row else found)
+                q.append(found if is_row else same)
+                todo += [(f, not is_row) for f in found.tolist()]
+    return np.concatenate(p), np.concatenate(q)
+
+
+def cosine_links(vectors: DataFrame, id_col: str, vector_col: str, most: float) -> DataFrame:
+    """Of cosine_pairs as many as connect the same vectors: a task returns a spanning forest of its two blocks' pairs."""
+    return cosine_pairs(vectors, id_col, vector_col, most, True)
+
+
+def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float, forest: bool = False) -> DataFrame:
     """(a, b, d) of all pairs a < b of vectors of one length whose cosine distance d is `most` or less.
 
     Vectors are dealt to blocks by a hash of their id, so that no block grows with a group of alike ones; a task gets
     two blocks and multiplies them as matrices. Only near pairs leave it. Null vectors, and those of zero length or
     with null or non-finite parts, are near none.
     """
-    e = F.col(vector_col).cast("array<double>")
+    e = F.col(vector_col)  # single precision is sent as it is and computed as double
+    e = e if vectors.select(e.alias("e")).schema["e"].dataType.simpleString() == "array<float>" else e.cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), e.alias("e")).where("id is not null and e is not null")
     rows = cut(rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))))
-    blocks = max(1, -(-rows.count() // BLOCK))
+    count = rows.count()
+    blocks = max(1, -(-count // (LARGE_BLOCK if count > MANY_BLOCKS * BLOCK else BLOCK)))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
     dealt = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
     cells = rows.select("id", "e", own.alias("own"), F.explode(dealt).alias("c")).select("c.x", "c.y", "own", "id", "e")
@@ -50,17 +80,30 @@ def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float)
         left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for n in np.unique(lengths[lengths > 0]).tolist():
             at = np.flatnonzero(lengths == n)
-            m = values[starts[at][:, None] + np.arange(n)[None, :]]
+            m = values[starts[at][:, None] + np.arange(n)[None, :]].astype(float)
             norm = np.sqrt((m * m).sum(1))
             at, m = at[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
             i, j = at[owner[at] == x], at[owner[at] == y]
-            d = 1 - m[owner[at] == x] @ m[owner[at] == y].T
-            p, q = np.nonzero(d <= most)
-            if x == y:
-                p, q = p[(once := p < q)], q[once]
-            left.append(i[p])
-            right.append(j[q])
-            far.append(d[p, q])
+            u, v = m[owner[at] == x], m[owner[at] == y].T
+            near = np.zeros((len(i) if forest else 0, len(j)), bool)
+            for k in range(0, len(i), 512):
+                d = 1 - u[k : k + 512] @ v
+                if forest:
+                    near[k : k + 512] = d <= most
+                    continue
+                p, q = np.nonzero(d <= most)
+                if x == y:
+                    p, q = p[(once := p + k < q)], q[once]
+                left.append(i[p + k])
+                right.append(j[q])
+                far.append(d[p, q])
+            if forest:
+                if x == y:
+                    np.fill_diagonal(near, True)  # a row and a column of one vector are one
+                p, q = spanning_links(near)
+                left.append(i[p])
+                right.append(j[q])
+                far.append(1 - (u[p] * v.T[q]).sum(1))
         a, b = (ids.take(pa.array(np.concatenate(k))) for k in (left, right))
         swap = pc.greater(a, b)
         found = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "d": pa.array(np.concatenate(far))})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import clustering as C
 from lodestream.operators import ranges as R
 from lodestream.operators import timeseries as T
+from lodestream.operators.components import components
 from lodestream.session import table
 
 QUERIES: dict = {}
@@ -142,8 +143,8 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec
 r AS (SELECT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
 SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def single_linkage(spark, sf):
-    """Over all vectors"""
-    return C.single_linkage(C.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.7), "a", "b", "d", 0.7)
+    """Over all vectors, from a spanning forest of the near pairs of every two blocks"""
+    return components(C.cosine_links(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.7))
 
 
 @query("""

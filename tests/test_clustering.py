@@ -50,3 +50,13 @@ def test_density_clusters_of_dense_places_store_no_pairs(spark, monkeypatch):
     assert {got[i] for i in range(30_000)} == {(0, True)} and got[30_000] == (0, True) == got[30_001] == got[30_006]
     assert all(got[i] == (None, False) for i in (30_002, 30_003, 30_004, 30_005))
     assert sum(t.count() for t in written) < 100_000
+
+
+def test_cosine_links_connect_as_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 40)
+    x = np.random.default_rng(8).normal(size=(300, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>")
+    pairs, links = C.cosine_pairs(df, "id", "e", 0.01), C.cosine_links(df, "id", "e", 0.01)
+    assert sorted(map(tuple, components(pairs).collect())) == sorted(map(tuple, components(links).collect()))
+    full = C.cosine_links(df, "id", "e", 2.0).count()  # every vector is near every other: 44,850 pairs
+    assert 299 <= full <= 36 * 80
