@@ -15,13 +15,34 @@ from lodestream.storage import cut, small
 EARTH_KM = 6371.0
 
 
+#: Comparisons of a point with a span up to which a bucket is one key of the join.
+COMPARISONS = 20_000_000
+
+
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, width: float, on: list[str] = ()) -> DataFrame:
-    """Points with the spans [start, stop) that hold them; `width` is the bucket size of the equi-join."""
+    """Points with the spans [start, stop) that hold them; `width` is the bucket size of the equi-join.
+
+    The points of a bucket with many comparisons are dealt to parts, each of which gets all its spans, so that a full
+    bucket is many tasks.
+    """
     copies = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))
     left = points.withColumn("_b", F.floor(F.col(at) / width))
     right = spans.where(F.col(start) < F.col(stop)).withColumn("_b", F.explode(copies))
-    joined = left.join(right, [*on, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop)))
-    return joined.drop("_b")
+    key = [*on, "_b"]
+    work = left.groupBy(*key).agg(F.count("*").alias("_m")).join(right.groupBy(*key).agg(F.count("*").alias("_n")), key)
+    full = work.withColumn("_parts", F.ceil(F.col("_m").cast("double") * F.col("_n") / COMPARISONS).cast("int")).where(F.col("_parts") > 1)
+    full = cut(full.select(*key, "_parts"))
+    total = full.agg(F.sum("_parts")).first()[0]
+    if total:
+        parts = small(full)
+        spread = F.pmod(F.xxhash64(*points.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+        tasks = int(min(max(total, 200), 2000))
+        left = left.join(parts, key, "left").withColumn("_part", spread).drop("_parts")
+        right = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        key = [*key, "_part"]
+        left, right = left.repartition(tasks, *key), right.repartition(tasks, *key)
+    joined = left.join(right, key).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop)))
+    return joined.drop("_b", "_part")
 
 
 def nearest(left: DataFrame, right: DataFrame, at: str, on: list[str], order: list[str], name: str = "nearest") -> DataFrame:

@@ -14,3 +14,25 @@ def test_k_nearest_with_copies_dense_places_and_rows_without_a_place(spark, k):
     want = sorted((i, r + 1, int(j), far[i, j]) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), far[i]))[:k]))
     got = sorted(tuple(r) for r in R.k_nearest(df, "id", ["x", "y"], k, 60.0).collect())
     assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
+def test_interval_join_deals_a_full_bucket_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "COMPARISONS", 5_000)
+    points = spark.range(3000).selectExpr("id", "cast(id % 2 as int) as k", "double(id % 50) as x")
+    spans = spark.range(40).selectExpr("id as s", "cast(id % 2 as int) as k", "double(id) as a", "double(id) + 3.5 as b")
+    found = R.interval_join(points, spans, "x", "a", "b", 100.0, ["k"])
+    want = sorted((p, s) for p in range(3000) for s in range(40) if p % 2 == s % 2 and s <= p % 50 < s + 3.5)
+    assert sorted(map(tuple, found.select("id", "s").collect())) == want
+    tasks = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(1 for n in tasks if n) > 10
+
+
+def test_radius_join_of_copies_is_of_places(spark, tmp_path, monkeypatch):
+    from lodestream.plans import spatial
+
+    spark.range(3000).selectExpr("id as c_custkey", "1.5D as c_acctbal", "2 as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(2000).selectExpr("id as s_suppkey", "double(id % 2) * 60 as s_acctbal", "2 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs, join = [], R.radius_join
+    monkeypatch.setattr(R, "radius_join", lambda *a: pairs.append(join(*a)) or pairs[-1])
+    assert sorted(map(tuple, spatial.radius_join(spark, str(tmp_path)).collect())) == [(50.0, 3_000_000), (100.0, 6_000_000), (200.0, 6_000_000)]
+    assert pairs[0].count() == 2
