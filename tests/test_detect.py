@@ -65,3 +65,34 @@ def test_without_templates_or_record(spark):
     assert D.matched_filter(r.limit(0), t, "c", "i", "v", "t", "d", "x", "mad", 3.0, 10).collect() == []
     with pytest.raises(ValueError):
         D.matched_filter(r, t, "c", "i", "v", "t", "d", "x", "other", 3.0, 10)
+
+
+def test_correlations_of_many_templates_at_once():
+    rng = np.random.default_rng(4)
+    templates, windows = rng.normal(size=(5, 12)), rng.normal(size=(30, 12))
+    templates[2], windows[7], windows[8, 3] = 1.5, -2.0, np.nan
+    whole = np.arange(30) != 9
+    got = D.sliding_correlations(templates, windows, whole)
+    want = [[0.0 if i == 2 or j in (7, 8, 9) else np.corrcoef(t, w)[0, 1] for j, w in enumerate(windows)] for i, t in enumerate(templates)]
+    assert np.allclose(got, want)
+    stack = np.array([[1.0, -3, 3, 0, 2, 1], [2, 0, 0, 0, 0, 2], [0, 0, 0, 0, 0, 0]])
+    row, place = D.peaks_of_runs(stack, np.array([1.0, 2.0, 1.0]))
+    assert list(zip(row.tolist(), place.tolist())) == [(0, 1), (0, 4), (1, 0), (1, 5)]
+    assert np.allclose(D.medians(stack), np.median(stack, axis=1)) and np.allclose(D.medians(stack[:, :5]), np.median(stack[:, :5], axis=1))
+
+
+def test_delays_beyond_a_period_and_spans_of_periods(spark, monkeypatch):
+    for name, value in (("_SPAN", 120), ("_PACK", 16), ("_WINDOWS", 24), ("_AT_ONCE", 120)):
+        monkeypatch.setattr(D, name, value)
+    rng = np.random.default_rng(8)
+    record = {c: {i: float(v) for i, v in zip(range(-300, 500), rng.normal(size=800))} for c in "ab"}
+    templates = {f"t{t}": [(c, d, rng.normal(size=10)) for c, d in zip("abb", (int(rng.integers(-150, 150)), 7, 7))][: 1 + t % 3] for t in range(7)}
+    rows = [(c, i, v) for c, own in record.items() for i, v in own.items() if i not in (50, 51)]
+    for own in record.values():
+        del own[50], own[51]
+    r = spark.createDataFrame(rows, "c string, i long, v double").repartition(4)
+    t = spark.createDataFrame([(n, c, d, x.tolist()) for n, parts in templates.items() for c, d, x in parts], "t string, c string, d int, x array<double>")
+    got = sorted(tuple(x) for x in D.matched_filter(r, t, "c", "i", "v", "t", "d", "x", "mad", 3.0, 60).collect())
+    want = brute_force(record, templates, "mad", 3.0, 60)
+    assert [g[:3] + g[4:5] for g in got] == [w[:3] + w[4:5] for w in want] and len(want) > 30
+    assert np.allclose([[g[3], g[5]] for g in got], [[w[3], w[5]] for w in want])
