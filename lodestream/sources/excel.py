@@ -7,26 +7,41 @@ import json
 import re
 import zipfile
 from functools import lru_cache
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestream.storage import cut, small
+
 from .files import listed, opened
 
 _SCHEMA = "file string, sheet string, row long, cells array<string>"
 #: Rows of a sheet that one task reads.
 ROWS_A_TASK = 100_000
+#: Tasks beyond which a task reads several ranges.
+TASKS = 256
+#: Rows of a batch.
+_BATCH = 2000
+_ARROW = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string()))])
 _STRINGS = "xl/sharedStrings.xml"
 _REF = re.compile(r"([A-Z]+)(\d+)")
 
 
+@lru_cache(maxsize=4096)
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
 def _name(element) -> str:
     """Name of an element without its namespace."""
-    return element.tag.rpartition("}")[2]
+    return _local(element.tag)
 
 
+@lru_cache(maxsize=20_000)
 def _column(letters: str) -> int:
     n = 0
     for c in letters:
@@ -59,13 +74,16 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 def _last_row(book: zipfile.ZipFile, part: str) -> int | None:
     """The last row that the sheet says it has; the rows themselves aren't read."""
+    parser = ElementTree.XMLPullParser(("start",))
     with book.open(part) as f:
-        for _, element in ElementTree.iterparse(f, ("start",)):
-            if _name(element) == "dimension":
-                found = _REF.findall(element.get("ref", ""))
-                return int(found[-1][1]) if found else None
-            if _name(element) == "sheetData":
-                return None
+        while piece := f.read(512):
+            parser.feed(piece)
+            for _, element in parser.read_events():
+                if _name(element) == "dimension":
+                    found = _REF.findall(element.get("ref", ""))
+                    return int(found[-1][1]) if found else None
+                if _name(element) == "sheetData":
+                    return None
     return None
 
 
@@ -89,8 +107,15 @@ def _strings(path: str, book: zipfile.ZipFile) -> list[str]:
 def _value(cell, strings: list[str]) -> str | None:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
-        return next((_text(x) for x in cell if _name(x) == "is"), None)
-    raw = next((x.text for x in cell if _name(x) == "v"), None)
+        for x in cell:
+            if _local(x.tag) == "is":
+                return _text(x)
+        return None
+    raw = None
+    for x in cell:
+        if _local(x.tag) == "v":
+            raw = x.text
+            break
     if raw is None or kind == "e":
         return None
     if kind == "s":
@@ -104,11 +129,12 @@ def _rows(book: zipfile.ZipFile, part: str, strings: list[str], first: int, last
     with book.open(part) as f:
         parents = []
         for event, element in ElementTree.iterparse(f, ("start", "end")):
+            tag = element.tag
             if event == "start":
-                if _name(element) == "sheetData":
+                if tag.endswith("sheetData") and _local(tag) == "sheetData":
                     parents.append(element)
                 continue
-            if _name(element) != "row":
+            if not tag.endswith("row") or _local(tag) != "row":
                 continue
             number = int(element.get("r", number + 1))
             if last is not None and number > last:
@@ -118,6 +144,9 @@ def _rows(book: zipfile.ZipFile, part: str, strings: list[str], first: int, last
                 for cell in element:
                     found = _REF.match(cell.get("r", ""))
                     at = _column(found[1]) if found else len(cells)
+                    if at == len(cells):
+                        cells.append(_value(cell, strings))
+                        continue
                     cells.extend([None] * (at + 1 - len(cells)))
                     cells[at] = _value(cell, strings)
                 yield number, cells
@@ -125,9 +154,28 @@ def _rows(book: zipfile.ZipFile, part: str, strings: list[str], first: int, last
                 parent.clear()
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, name: str, part: str, first: int, last: int | None):
-        self.path, self.name, self.part, self.first, self.last = path, name, part, first, last
+class _Ranges(InputPartition):
+    """Ranges of rows that a task reads: path, sheet, its part, first and last row."""
+
+    def __init__(self, ranges: list[tuple[str, str, str, int, int | None]]):
+        self.ranges = ranges
+
+
+def _bundled(ranges: list[tuple], sizes: list[int], rows: int) -> list[list[tuple]]:
+    """Neighbours of `rows` rows together as one list, in which ranges of a sheet that follow each other are one."""
+    out: list[list[tuple]] = []
+    total = 0
+    for own, size in zip(ranges, sizes):
+        if not out or total + size > rows:
+            out.append([])
+            total = 0
+        total += size
+        before = out[-1][-1] if out[-1] else None
+        if before and before[:3] == own[:3] and before[4] is not None and before[4] + 1 == own[3]:
+            out[-1][-1] = (*before[:4], own[4])
+        else:
+            out[-1].append(own)
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -137,27 +185,34 @@ class _Reader(DataSourceReader):
         self.first, self.last = int(options.get("first_row", 1)), int(options["last_row"]) if "last_row" in options else None
 
     def partitions(self):
-        out = []
+        """A task a range of `rows_a_task` rows; of more than TASKS ranges, as of many small books, several are a task's."""
+        out, sizes = [], []
         for path in self.paths:
             with opened(path) as f, zipfile.ZipFile(f) as book:
                 for name, part in _sheets(book):
                     if self.sheets is not None and name not in self.sheets:
                         continue
-                    end, start = _last_row(book, part) or 0, self.first
-                    while end - start >= self.rows_a_task and (self.last is None or start + self.rows_a_task <= self.last):
-                        out.append(_Range(path, name, part, start, start + self.rows_a_task - 1))
+                    end, start = _last_row(book, part), self.first
+                    while (end or 0) - start >= self.rows_a_task and (self.last is None or start + self.rows_a_task <= self.last):
+                        out.append((path, name, part, start, start + self.rows_a_task - 1))
+                        sizes.append(self.rows_a_task)
                         start += self.rows_a_task
                     if self.last is None or start <= self.last:  # to the end, wherever the sheet says that it is
-                        out.append(_Range(path, name, part, start, self.last))
-        return out
+                        out.append((path, name, part, start, self.last))
+                        sizes.append(self.rows_a_task if end is None else max(1, min(end, self.last or end) - start + 1))
+        rows = min(max(self.rows_a_task, ROWS_A_TASK), max(self.rows_a_task, sum(sizes) // TASKS)) if len(out) > TASKS else 0
+        return [_Ranges(ranges) for ranges in _bundled(out, sizes, rows)]
 
     def read(self, partition):
         if partition is None:  # nothing is left to read
             return
-        with opened(partition.path) as f, zipfile.ZipFile(f) as book:
-            strings = _strings(partition.path, book)
-            for number, cells in _rows(book, partition.part, strings, partition.first, partition.last):
-                yield partition.path, partition.name, number, cells
+        for path, name, part, first, last in partition.ranges:
+            with opened(path) as f, zipfile.ZipFile(f) as book:
+                rows = _rows(book, part, _strings(path, book), first, last)
+                while some := list(islice(rows, _BATCH)):
+                    numbers, values = zip(*some)
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([name] * n), pa.array(numbers, pa.int64()), pa.array(values, _ARROW.field("cells").type)], schema=_ARROW)
 
 
 class ExcelSource(DataSource):
@@ -197,18 +252,19 @@ def number(text: Column) -> Column:
 
 def below_header(rows: DataFrame, start: str, skip: int = 2) -> DataFrame:
     """Of every sheet the rows from `skip` rows below the first whose first cell begins with `start` (case and
-    outer blanks don't matter), with its cells as `header`; sheets without such a row give none."""
+    outer blanks don't matter), with its cells as `header`; sheets without such a row give none. Files are read once."""
+    rows = cut(rows)
     first = F.lower(F.trim(F.get("cells", F.lit(0))))
     heads = rows.where(first.startswith(start.lower())).groupBy("file", "sheet").agg(F.min_by(F.struct("row", "cells"), "row").alias("head"))
-    found = rows.join(heads, ["file", "sheet"]).where(F.col("row") >= F.col("head.row") + skip)
+    found = rows.join(small(cut(heads)), ["file", "sheet"]).where(F.col("row") >= F.col("head.row") + skip)
     return found.select("file", "sheet", "row", "cells", F.col("head.cells").alias("header"))
 
 
 def blocks(rows: DataFrame, starts: list[int], names: list[str], title_row: int, first_row: int) -> DataFrame:
     """Blocks of columns side by side as rows below each other: file, sheet, row, block (its first column, from 0),
     title (the block's cell of `title_row`) and a column of text for each of `names`. Rows count from 1; a block without
-    a title, and rows whose first cell of the block is no number, are left out."""
-    wide = rows.where(F.col("row") >= min(title_row, first_row))
+    a title, and rows whose first cell of the block is no number, are left out. Files are read once."""
+    wide = cut(rows.where(F.col("row") >= min(title_row, first_row)))
     block = F.explode(F.array(*[F.lit(s) for s in starts]))
     stacked = wide.select("file", "sheet", "row", "cells", block.alias("block"))
     stacked = stacked.select("file", "sheet", "row", "block", *[F.get("cells", F.col("block") + i).alias(n) for i, n in enumerate(names)])

@@ -107,3 +107,19 @@ def test_files_that_are_none(spark, tmp_path):
     (tmp_path / "a.tdms").write_bytes(b"x" * 40)
     with pytest.raises(Exception, match="no segment begins at byte 0"):
         tdms.values(spark, str(tmp_path)).collect()
+
+
+def test_many_small_books_are_few_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    import json
+
+    for k in range(20):
+        put(tmp_path / f"{k:02}.xlsx", {"Cover": [["no"]], "A": [["Depth", k]] + [[i, k] for i in range(30)]})
+    monkeypatch.setattr(excel, "TASKS", 8)
+    reader = excel.ExcelSource({"paths": json.dumps(sorted(map(str, tmp_path.glob("*.xlsx")))), "rows_a_task": "10"}).reader(None)
+    parts = reader.partitions()  # of 80 ranges
+    assert 8 <= len(parts) <= 12 and sum(r[1] == "A" for p in parts for r in p.ranges) < 40
+    rows = [(r["file"][-7:], r["sheet"], r["row"], r["cells"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(rows) == sorted([(f"{k:02}.xlsx", "Cover", 1, ["no"]) for k in range(20)] + [(f"{k:02}.xlsx", "A", i + 1, [c, str(k)]) for k in range(20) for i, c in enumerate(["Depth", *map(str, range(30))])])
+    found = excel.below_header(excel.cells(spark, str(tmp_path), rows_a_task=10), "depth", skip=1)
+    assert found.inputFiles() and not any(f.endswith(".xlsx") for f in found.inputFiles())
+    assert found.count() == 600
