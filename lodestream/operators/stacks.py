@@ -17,6 +17,12 @@ from lodestream.storage import cut, small
 from .signals import correlation
 
 
+#: Values of a key's traces up to which they go to one task as they are.
+_FEW = 1 << 16
+#: Values of the matrices that a task holds at once.
+_HELD = 1 << 22
+
+
 def _kinds(df: DataFrame, columns: list[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
@@ -100,11 +106,19 @@ def phase_weighted_stack(df: DataFrame, keys: list[str], samples: str, weight: f
 
 
 def _gram(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and length the cells (i <= j) of the sum of all products of two samples; a matrix a task and key is sent."""
+    """Per key and length the cells (i <= j) of the sum of all products of two samples; a matrix a task and key is sent,
+    and sent early where a task would hold too many of them."""
     kinds = _kinds(rows, keys)
 
+    def sent(held):
+        for key, g in held.items():
+            i, j = np.triu_indices(len(g))
+            columns = [pa.array([key[k]] * len(i)).cast(rows_schema.field(c).type) for k, c in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(i), len(g)), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g[i, j])], names=[*keys, "n", "i", "j", "v"])
+
     def partial(batches):
         held: dict = {}
+        size = 0
         for batch in batches:
             frame = pd.DataFrame({c: batch.column(k).to_pandas() for k, c in enumerate(keys)})
             values = batch.column(len(keys))
@@ -113,12 +127,13 @@ def _gram(rows: DataFrame, keys: list[str]) -> DataFrame:
             for key, at in frame.groupby([*keys, "_n"], sort=False).indices.items():
                 n = int(lengths[at[0]])
                 m = flat[starts[at][:, None] + np.arange(n)[None, :]]
+                if key not in held:
+                    if held and size + n * n > _HELD:
+                        yield from sent(held)
+                        held, size = {}, 0
+                    size += n * n
                 held[key] = held.get(key, 0) + m.T @ m
-        for key, g in held.items():
-            key = key if isinstance(key, tuple) else (key,)
-            i, j = np.triu_indices(len(g))
-            columns = [pa.array([key[k]] * len(i)).cast(rows_schema.field(c).type) for k, c in enumerate(keys)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(i), len(g)), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g[i, j])], names=[*keys, "n", "i", "j", "v"])
+        yield from sent(held)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -129,27 +144,50 @@ def _gram(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def principal_vectors(df: DataFrame, keys: list[str], samples: str, most: int) -> DataFrame:
     """Per key (and length n) the first `most` right singular vectors of its traces: rank (from 1), sigma,
-    share (of the energy, with those before) and vector, whose largest component is positive. Vectors of no energy are left out."""
-    rows = _usable(df, keys, samples)
+    share (of the energy, with those before) and vector, whose largest component is positive. Vectors of no energy are left out.
 
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        n = int(cells["n"].iloc[0])
-        g = np.zeros((n, n))
-        i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
-        g[i, j] = g[j, i] = cells["v"].to_numpy()
+    The traces of a key go to one task where they are few, and meet as sums of their products where they are many."""
+    rows = cut(_usable(df, keys, samples))
+    counts = rows.groupBy(*keys, F.size("x").alias("n")).agg((F.count("*") * F.size("x") <= _FEW).alias("_few"))
+
+    def vectors(g: np.ndarray):
+        """sigma, share and vector, as many as count."""
         value, vector = np.linalg.eigh(g)
         value, vector = np.maximum(value[::-1][:most], 0), vector.T[::-1][:most]
         whole = max(float(np.trace(g)), 1e-300)
         some = value > 1e-12 * whole
         value, vector = value[some], vector[some]
         sign = np.sign(vector[np.arange(len(vector)), np.abs(vector).argmax(1)]) if len(vector) else np.zeros(0)
-        out = pd.DataFrame({"n": n, "rank": np.arange(1, len(value) + 1), "sigma": np.sqrt(value), "share": np.cumsum(value) / whole, "vector": pd.Series(list(vector * sign[:, None]), dtype=object)})
-        for c in keys:
-            out[c] = cells[c].iloc[0]
-        return out[[*keys, "n", "rank", "sigma", "share", "vector"]]
+        return np.sqrt(value), np.cumsum(value) / whole, vector * sign[:, None]
+
+    def result(heads: pa.Table, found: list) -> pa.Table:
+        """A row for each vector of the keys of `heads`."""
+        ranks = [len(sigma) for sigma, _, _ in found]
+        columns = [heads[c].take(pa.array(np.repeat(np.arange(len(found)), ranks))) for c in [*keys, "n"]]
+        columns += [pa.array(np.concatenate([np.arange(1, k + 1) for k in ranks] or [[]]), pa.int32())]
+        columns += [pa.array(np.concatenate([f[k] for f in found] or [[]]), pa.float64()) for k in (0, 1)]
+        return pa.table([*columns, pa.array([v for f in found for v in f[2]], pa.list_(pa.float64()))], names=[*keys, "n", "rank", "sigma", "share", "vector"])
+
+    def solve_cells(cells: pa.Table) -> pa.Table:
+        n = cells["n"][0].as_py()
+        g = np.zeros((n, n))
+        i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
+        g[i, j] = g[j, i] = cells["v"].to_numpy()
+        return result(cells.slice(0, 1), [vectors(g)])
+
+    def solve_traces(traces: pa.Table) -> pa.Table:
+        n = traces["n"][0].as_py()
+        lists = traces["x"].combine_chunks()
+        m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in (lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists])]).reshape(-1, n)
+        return result(traces.slice(0, 1), [vectors(m.T @ m)])
 
     schema = f"{_kinds(rows, keys)}, n int, rank int, sigma double, share double, vector array<double>"
-    return _gram(rows, keys).groupBy(*keys, "n").applyInPandas(solve, schema)
+    counted = cut(counts)
+    full = counted.where("not _few").select(*keys, "n")
+    sized = rows.withColumn("n", F.size("x"))
+    cold = sized.join(small(full), [*keys, "n"], "left_anti").groupBy(*keys, "n").applyInArrow(solve_traces, schema)
+    hot = _gram(sized.join(small(full), [*keys, "n"], "left_semi").drop("n"), keys).groupBy(*keys, "n").applyInArrow(solve_cells, schema)
+    return cold.unionByName(hot)
 
 
 def first_weights(df: DataFrame, keys: list[str], id_col: str, samples: str) -> DataFrame:

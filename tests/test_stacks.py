@@ -67,6 +67,22 @@ def test_principal_vectors_equal_the_decomposition(spark):
     assert stacks.principal_vectors(df, ["k"], "x", 5).where("k in ('z', 'n')").count() == 0
 
 
+def test_principal_vectors_of_many_keys_hold_few_matrices(spark, monkeypatch):
+    monkeypatch.setattr(stacks, "_FEW", 60)  # 3 traces of 16 samples, and 5 of 12
+    monkeypatch.setattr(stacks, "_HELD", 600)  # two matrices of 16 samples
+    rng = np.random.default_rng(12)
+    traces = {f"k{k}": rng.normal(size=(1 + k % 7, 16 if k % 2 else 12)) for k in range(40)}
+    df = frame(spark, [(k, i, x.tolist()) for k, m in traces.items() for i, x in enumerate(m)]).repartition(5)
+    got = {(r.k, r["rank"]): r for r in stacks.principal_vectors(df, ["k"], "x", 3).collect()}
+    assert len(got) == sum(min(len(m), 3) for m in traces.values())
+    for k, m in traces.items():
+        _, s, v = np.linalg.svd(m, full_matrices=False)
+        for i in range(min(len(m), 3)):
+            assert got[k, i + 1].n == m.shape[1] and got[k, i + 1].sigma == pytest.approx(s[i]) and abs(np.dot(got[k, i + 1].vector, v[i])) == pytest.approx(1)
+    few = stacks._gram(df.where("k = 'k1'").select("k", "x"), ["k"]).count()
+    assert few == 16 * 17 // 2
+
+
 def test_coherence_of_shifted_stations(spark):
     rng = np.random.default_rng(3)
     wave = rng.normal(size=400)
