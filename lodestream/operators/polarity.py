@@ -12,6 +12,8 @@ from lodestream.storage import cut, small
 
 #: Rows of a block of templates or detections; every two blocks of a key are compared in a task.
 BLOCK = 512
+#: Blocks of events beyond which a key's blocks grow instead, to `_LARGE` events each.
+_BLOCKS, _LARGE = 24, 4096
 #: Correlations that a task holds at once.
 _AT_ONCE = 4_000_000
 
@@ -123,7 +125,9 @@ def event_coherences(df: DataFrame, keys: list[str], event: str, channel: str, s
     the mean zero-lag correlation over the channels that both have, if these are `min_channels` or more.
 
     Events are dealt to blocks by a hash, more of them where a key has more events, and a task gets two blocks with all
-    their channels as matrices; only pairs over the threshold leave it. Traces with a null key, event or channel, with
+    their channels as matrices, compared strip by strip; only pairs over the threshold leave it. A trace goes to every block
+    of its key, BLOCK events each up to _BLOCKS of them; then blocks grow, so that copies don't, and samples that are
+    floats go as such. Traces with a null key, event or channel, with
     null samples or without spread, and pairs of other lengths, don't count; of traces that repeat an event and a channel, the least counts.
     """
     rows = df.select(*keys, F.col(event).alias("event"), F.col(channel).alias("channel"), F.col(samples).cast("array<double>").alias("x"))
@@ -131,9 +135,13 @@ def event_coherences(df: DataFrame, keys: list[str], event: str, channel: str, s
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).groupBy(*keys, "event", "channel").agg(F.min("x").alias("x"))
     rows = cut(rows)
-    blocks = cut(rows.groupBy(*keys).agg(F.ceil(F.count_distinct("event") / BLOCK).cast("int").alias("_n")))
+    events = F.count_distinct("event")
+    many = F.greatest(F.least(F.ceil(events / BLOCK), F.lit(_BLOCKS)), F.ceil(events / _LARGE))
+    blocks = cut(rows.groupBy(*keys).agg(many.cast("int").alias("_n"), F.bool_and(F.forall("x", lambda v: v == v.cast("float").cast("double"))).alias("_exact")))
+    exact = blocks.agg(F.bool_and("_exact")).first()[0]
     own = F.pmod(F.xxhash64("event", F.lit(13)), F.col("_n")).cast("int")
-    dealt = rows.join(small(blocks), keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    sent = rows.withColumn("x", F.col("x").cast("array<float>")) if exact else rows  # without any loss
+    dealt = sent.join(small(blocks.drop("_exact")), keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     cells = dealt.select(*keys, F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), "_own", "event", "channel", "x")
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", a {kinds['event']}, b {kinds['event']}, coherence double, channels long"
@@ -150,25 +158,41 @@ def event_coherences(df: DataFrame, keys: list[str], event: str, channel: str, s
         starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         lengths, owner = np.diff(starts), owner.to_numpy(zero_copy_only=False)
         groups = pc.index_in(channel, channel.unique()).to_numpy(zero_copy_only=False)
-        total, count = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), np.int64)
+        left, right = (np.unique(code[owner == k]) for k in (p, q))  # events of the blocks, in their order
+        parts = []
         for g in np.unique(groups):
             for n in np.unique(lengths[groups == g]):
                 at = np.flatnonzero((groups == g) & (lengths == n))
-                m = flat[starts[:-1][at][:, None] + np.arange(n)[None, :]]
+                m = flat[starts[:-1][at][:, None] + np.arange(n)[None, :]].astype(float)
                 m = m - m.mean(1, keepdims=True)
                 size = np.sqrt((m * m).sum(1))
                 at, m = at[size > 1e-12], m[size > 1e-12] / size[size > 1e-12][:, None]
-                i, j = owner[at] == p, owner[at] == q
-                cell = np.ix_(code[at[i]], code[at[j]])
-                total[cell] += m[i] @ m[j].T
-                count[cell] += 1
-        if p != q:  # each pair once, whichever block its lesser event is in
-            total, count = total + total.T, count + count.T
-        good = np.triu(count >= max(1, min_channels), 1)
-        mean = np.divide(total, count, out=np.zeros_like(total), where=good)
-        a, b = np.nonzero(good & (mean >= least))
+                side = [(np.searchsorted(block, code[at[owner[at] == k]]), m[owner[at] == k]) for block, k in ((left, p), (right, q))]
+                order = np.argsort(side[0][0])
+                parts.append((side[0][0][order], side[0][1][order], *side[1]))
+        found = []
+        step = max(1, _AT_ONCE // max(1, len(right)))
+        for k in range(0, len(left), step):
+            strip = left[k : k + step]
+            total, count = np.zeros((len(strip), len(right))), np.zeros((len(strip), len(right)), np.int32)
+            for i, a, j, b in parts:
+                own = slice(*np.searchsorted(i, (k, k + step)))
+                if len(j) == len(right) and own.stop - own.start == len(strip):
+                    total[:, j] += a[own] @ b.T
+                    count += 1
+                elif own.stop > own.start and len(j):
+                    cell = np.ix_(i[own] - k, j)
+                    total[cell] += a[own] @ b.T
+                    count[cell] += 1
+            good = count >= max(1, min_channels)
+            if p == q:  # each pair once
+                good &= strip[:, None] < right[None, :]
+            mean = np.divide(total, count, out=np.zeros_like(total), where=good)
+            a, b = np.nonzero(good & (mean >= least))
+            found.append((np.minimum(strip[a], right[b]), np.maximum(strip[a], right[b]), mean[a, b], count[a, b]))
+        a, b, mean, count = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, int))
         columns = [pa.array([table[c][0].as_py()] * len(a), table[c].type) for c in keys]
-        columns += [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(mean[a, b]), pa.array(count[a, b])]
+        columns += [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(mean), pa.array(count.astype(np.int64))]
         return pa.table(columns, names=[*keys, "a", "b", "coherence", "channels"])
 
     return cells.groupBy(*keys, "p", "q").applyInArrow(work, schema)

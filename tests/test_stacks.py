@@ -211,3 +211,27 @@ def test_event_coherences_equal_brute_force(spark, monkeypatch):
     got = {(r.k, r.a, r.b): (r.coherence, r.channels) for r in polarity.event_coherences(df, ["k"], "e", "c", "x", 0.2, 2).collect()}
     assert got.keys() == want.keys() and len(want) > 30
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_event_coherences_of_few_large_blocks(spark, monkeypatch, exact):
+    for name, value in (("BLOCK", 2), ("_BLOCKS", 3), ("_LARGE", 20), ("_AT_ONCE", 40)):
+        monkeypatch.setattr(polarity, name, value)
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(3, 20))
+    traces = {(e, c): base[c] * (e % 2) + rng.normal(size=20) for e in range(40) for c in range(3) if (e + c) % 7}
+    if exact:
+        traces = {k: x.astype(np.float32).astype(float) for k, x in traces.items()}
+    df = spark.createDataFrame([("hot", e, c, x.tolist()) for (e, c), x in traces.items()], "k string, e int, c int, x array<double>").repartition(6)
+    found = polarity.event_coherences(df, ["k"], "e", "c", "x", 0.2, 2)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert ("array<float>" in plan) == exact
+    got = {(r.a, r.b): (r.coherence, r.channels) for r in found.collect()}
+    want = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            cc = [np.corrcoef(traces[a, c], traces[b, c])[0, 1] for c in range(3) if (a, c) in traces and (b, c) in traces]
+            if len(cc) >= 2 and np.mean(cc) >= 0.2:
+                want[a, b] = (np.mean(cc), len(cc))
+    assert got.keys() == want.keys() and len(want) > 30
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
