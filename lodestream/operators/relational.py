@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 
 from lodestream.storage import cut
 
+#: Rows of both sides of a join that are dealt to a task, from DEALT_FROM tasks on.
+ROWS_A_TASK = 500_000
+DEALT_FROM = 16
+
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of `schema` in order, null where `df` lacks them."""
@@ -105,6 +109,15 @@ def update_by_key(current: DataFrame, changes: DataFrame, removed: DataFrame, ke
     return rest.unionByName(changes.join(current.select(key), key, "left_semi"))
 
 
+def dealt(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join dealt by its key to tasks of ROWS_A_TASK rows, so that these don't grow with the tables,
+    whatever the session's number of partitions; small tables stay as they are. No key should have many rows."""
+    tasks = (left.count() + right.count()) // ROWS_A_TASK + 1
+    if tasks < DEALT_FROM:
+        return left, right
+    return left.repartition(tasks, left_key), right.repartition(tasks, right_key)
+
+
 def zip_rows(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], name: str = "position") -> DataFrame:
     """The n-th row of one side with the n-th of the other. Places are counted by ordered partitions."""
     a, b = number_rows(left, left_order, name), number_rows(right, right_order, name)

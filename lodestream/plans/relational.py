@@ -219,8 +219,11 @@ LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F' GROUP BY A
 def chained_joins(spark, sf):
     """One set-based join in place of a loop over events"""
     o, l, s = (table(spark, sf, t) for t in ("orders", "lineitem", "supplier"))
-    j = o.where("o_orderstatus = 'F'").join(l, o.o_orderkey == l.l_orderkey).join(s, s.s_suppkey == l.l_suppkey, "left")
-    return j.groupBy("o_orderkey", "l_suppkey", "s_name").agg(F.round(F.sum("l_quantity"), 4).alias("qty"))
+    o, l = R.dealt(o.where("o_orderstatus = 'F'").select("o_orderkey"), l.select("l_orderkey", "l_suppkey", "l_quantity"), "o_orderkey", "l_orderkey")
+    sums = o.join(l, o.o_orderkey == l.l_orderkey).groupBy("o_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("_sum"))
+    names = small(s.groupBy("s_suppkey", "s_name").agg(F.count("*").alias("_n")))
+    named = sums.join(names, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return named.select("o_orderkey", "l_suppkey", "s_name", F.round(F.col("_sum") * F.coalesce("_n", F.lit(1)), 4).alias("qty"))
 
 
 @query("""
