@@ -15,6 +15,8 @@ _BLOCK_SAMPLES = 4_000_000
 #: Starts of a span (a period at least), and of the windows that are held as a matrix at once.
 _SPAN = 32_768
 _WINDOWS = 4096
+#: Tasks where there are several blocks.
+_TASKS = 200
 #: Samples of a packed row of the record.
 _PACK = 1024
 #: Sums of correlations (templates times starts) that a task holds at once.
@@ -168,4 +170,6 @@ def matched_filter(record: DataFrame, templates: DataFrame, channel: str, at: st
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
         return pa.table([pa.array([], k) for k in kinds], names=["template", "start", "period", "stack", "channels", "threshold"])
 
+    if blocks > 1:  # few bytes are much work: tasks aren't to be joined by their bytes
+        pieces, held = pieces.repartition(_TASKS, "p", "b"), held.repartition(_TASKS, "tp", "tb")
     return pieces.groupBy("p", "b").cogroup(held.groupBy("tp", "tb")).applyInArrow(work, schema)
