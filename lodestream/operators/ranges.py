@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.storage import cut, small
+from lodestream.storage import cut, joined_with, small
 
 EARTH_KM = 6371.0
 
@@ -18,6 +18,9 @@ EARTH_KM = 6371.0
 #: Comparisons of a point with a span up to which a bucket is one key of the join.
 COMPARISONS = 20_000_000
 
+#: Places up to which k_nearest sends those that look again to every task.
+FEW = 10_000
+
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, width: float, on: list[str] = ()) -> DataFrame:
     """Points with the spans [start, stop) that hold them; `width` is the bucket size of the equi-join.
@@ -87,8 +90,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def radius_join(left: DataFrame, right: DataFrame, coords: list[str], radius: float, suffix: str = "_r") -> DataFrame:
     """Pairs of rows whose coordinates lie within `radius`; columns of `right` get the suffix.
 
-    Cells are `radius` wide; a right row is copied to the cells around its own.
+    Cells are `radius` wide; a right row is copied to the cells around its own. The copies are never broadcast.
     """
+    return _near_in_cells(left, right, coords, radius, suffix).drop(*[f"_c{i}" for i in range(len(coords))])
+
+
+def _near_in_cells(left: DataFrame, right: DataFrame, coords: list[str], radius: float, suffix: str, hint: str = "merge") -> DataFrame:
+    """radius_join with the cells _c0, _c1, ... of the left rows, by which its result is partitioned unless one side is sent."""
     cell = [F.floor(F.col(c) / radius) for c in coords]
     near = [F.explode(F.sequence(F.floor(F.col(c + suffix) / radius) - 1, F.floor(F.col(c + suffix) / radius) + 1)) for c in coords]
     a = left.select("*", *[x.alias(f"_c{i}") for i, x in enumerate(cell)])
@@ -97,7 +105,7 @@ def radius_join(left: DataFrame, right: DataFrame, coords: list[str], radius: fl
         b = b.withColumn(f"_c{i}", x)
     keys = [f"_c{i}" for i in range(len(coords))]
     square = reduce(lambda x, y: x + y, [F.pow(F.col(c) - F.col(c + suffix), 2) for c in coords])
-    return a.join(b, keys).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius).drop(*keys)
+    return a.join(b.hint(hint), keys).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius)
 
 
 def geodesic_join(left: DataFrame, right: DataFrame, lat: str, lon: str, km: float, suffix: str = "_r") -> DataFrame:
@@ -147,6 +155,7 @@ def k_nearest(df: DataFrame, id_col: str, coords: list[str], k: int, first_radiu
 
     Rows of equal coordinates are one place with its k least ids. The first radius is made smaller until a cell holds few
     places. A place whose k nearest rows lie within the radius is done; the others look again within twice the radius.
+    Copies of places and results are not broadcast, whatever Spark takes them for.
     Rows without finite coordinates take no part.
     """
     xs = [f"_x{i}" for i in range(len(coords))]
@@ -163,21 +172,26 @@ def k_nearest(df: DataFrame, id_col: str, coords: list[str], k: int, first_radiu
         if mean is None or mean <= max(4 * k, 16):
             break
         radius /= 4
-    here = Window.partitionBy(*xs)
     todo, done = places.select(*xs), None
     while not todo.isEmpty():
-        pairs = radius_join(todo, places, xs, radius)
-        first = F.row_number().over(here.orderBy("distance", F.col("_ids_r")[0]))
+        if todo.limit(FEW + 1).count() <= FEW:  # the few are sent to the places, not all places to the cells around
+            sent = todo.select(*[F.col(x).alias(x + "_r") for x in xs])
+            pairs = _near_in_cells(places.select(*[F.col(x).alias(x + "_r") for x in xs], F.col("_ids").alias("_ids_r")), sent, [x + "_r" for x in xs], radius, "_l", "broadcast")
+            pairs, own = pairs.select(*[F.col(x + "_r_l").alias(x) for x in xs], "_ids_r", "distance"), xs
+        else:
+            pairs = _near_in_cells(todo, places, xs, radius, "_r")
+            own = [*[f"_c{i}" for i in range(len(xs))], *xs] if done is None else xs  # at first a cell's pairs are few and stay in its task
+        first = F.row_number().over(Window.partitionBy(*own).orderBy("distance", F.col("_ids_r")[0]))
         few = pairs.withColumn("_m", first).where(F.col("_m") <= wanted).withColumn("other", F.explode("_ids_r"))
-        rank = F.row_number().over(here.orderBy("distance", "other"))
-        best = few.withColumn("rank", rank).where(F.col("rank") <= wanted).groupBy(*xs).agg(F.array_sort(F.collect_list(F.struct("rank", "other", "distance"))).alias("_best"))
-        part = cut(best.where(F.size("_best") == wanted))
+        rank = F.row_number().over(Window.partitionBy(*own).orderBy("distance", "other"))
+        best = few.withColumn("rank", rank).where(F.col("rank") <= wanted).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rank", "other", "distance"))).alias("_best"))
+        part = cut(best.where(F.size("_best") == wanted).select(*xs, "_best"))
         done = part if done is None else done.union(part)
-        todo = cut(todo.join(part.select(*xs), xs, "left_anti"))
+        todo = cut(todo.join(joined_with(part.select(*xs)), xs, "left_anti"))
         radius *= 2
     if done is None:
         done = places.select(*xs, F.array().cast(f"array<struct<rank:int,other:{rows.schema[id_col].dataType.simpleString()},distance:double>>").alias("_best"))
-    return rows.join(done, xs).select(id_col, F.explode("_best").alias("_b")).select(id_col, "_b.rank", "_b.other", "_b.distance")
+    return rows.join(joined_with(done, max(wanted, 1)), xs).select(id_col, F.explode("_best").alias("_b")).select(id_col, "_b.rank", "_b.other", "_b.distance")
 
 
 def space_time_semi(df: DataFrame, id_col: str, seconds: Column, coords: list[str], within_s: float, within: float) -> DataFrame:

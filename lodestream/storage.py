@@ -28,6 +28,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def joined_with(df: DataFrame, items: int = 1) -> DataFrame:
+    """`df` for a join that doesn't fill the driver: broadcast if it has SMALL rows at most, or items of its arrays, else both sides are sorted.
+
+    Spark estimates a table by its files, which tells little of its rows once they are decoded or copied.
+    """
+    most = SMALL // items
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back, so that a lost executor repeats what follows only.
 

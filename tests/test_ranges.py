@@ -16,6 +16,23 @@ def test_k_nearest_with_copies_dense_places_and_rows_without_a_place(spark, k):
     assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
 
 
+def test_k_nearest_broadcasts_no_places(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(0, 100, (300, 2)), [[900.0, 900.0], [5000.0, 0.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    want = sorted((i, r + 1, int(j)) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), far[i]))[:4]))
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    monkeypatch.setattr("lodestream.storage.SMALL", -1)
+    for few in (-1, 20):  # in the second run the two far places are sent
+        monkeypatch.setattr(R, "FEW", few, raising=False)
+        found = R.k_nearest(df, "id", ["x", "y"], 4, 60.0)
+        assert sorted((r.id, r.rank, r.other) for r in found.collect()) == want
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert any("BroadcastExchange" in p for p in plans) == (few > 0)
+
+
 def test_interval_join_deals_a_full_bucket_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(R, "COMPARISONS", 5_000)
     points = spark.range(3000).selectExpr("id", "cast(id % 2 as int) as k", "double(id % 50) as x")
