@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ EARTH_KM = 6371.0
 #: Comparisons of a point with a span up to which a bucket is one key of the join.
 COMPARISONS = 20_000_000
 
+#: Comparisons of a cell up to which radius_counts makes its pairs; steps of a task beyond that, and places of both sides in it.
+PAIRED, STEPS, LEFT, RIGHT = 1_000_000, 50_000_000, 250_000, 100_000
+
 #: Places up to which k_nearest sends those that look again to every task.
 FEW = 10_000
 
@@ -95,17 +100,107 @@ def radius_join(left: DataFrame, right: DataFrame, coords: list[str], radius: fl
     return _near_in_cells(left, right, coords, radius, suffix).drop(*[f"_c{i}" for i in range(len(coords))])
 
 
+def _in_cells(df: DataFrame, coords: list[str], radius: float) -> DataFrame:
+    """Rows with their cell _c0, _c1, ..."""
+    return df.select("*", *[F.floor(F.col(c) / radius).alias(f"_c{i}") for i, c in enumerate(coords)])
+
+
+def _around(df: DataFrame, coords: list[str], radius: float) -> DataFrame:
+    """Rows, copied to the cells _c0, _c1, ... around their own."""
+    for i, c in enumerate(coords):
+        df = df.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(F.col(c) / radius) - 1, F.floor(F.col(c) / radius) + 1)))
+    return df
+
+
 def _near_in_cells(left: DataFrame, right: DataFrame, coords: list[str], radius: float, suffix: str, hint: str = "merge") -> DataFrame:
     """radius_join with the cells _c0, _c1, ... of the left rows, by which its result is partitioned unless one side is sent."""
-    cell = [F.floor(F.col(c) / radius) for c in coords]
-    near = [F.explode(F.sequence(F.floor(F.col(c + suffix) / radius) - 1, F.floor(F.col(c + suffix) / radius) + 1)) for c in coords]
-    a = left.select("*", *[x.alias(f"_c{i}") for i, x in enumerate(cell)])
-    b = right.select(*[F.col(c).alias(c + suffix) for c in right.columns])
-    for i, x in enumerate(near):
-        b = b.withColumn(f"_c{i}", x)
-    keys = [f"_c{i}" for i in range(len(coords))]
+    b = _around(right.select(*[F.col(c).alias(c + suffix) for c in right.columns]), [c + suffix for c in coords], radius)
     square = reduce(lambda x, y: x + y, [F.pow(F.col(c) - F.col(c + suffix), 2) for c in coords])
-    return a.join(b.hint(hint), keys).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius)
+    near = _in_cells(left, coords, radius).join(b.hint(hint), [f"_c{i}" for i in range(len(coords))])
+    return near.withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius)
+
+
+def count_within(x: list[np.ndarray], n: np.ndarray, y: list[np.ndarray], m: np.ndarray, radii: list[float]) -> list[int]:
+    """Sums of n * m over the pairs of places x and y within each of the ascending radii, found without the pairs.
+
+    Places x that are equal in all coordinates but the first are a line. On it those within a radius of a place y are
+    neighbours, whose ends are found by bisection with the distance itself, as it is rounded.
+    """
+    order = np.lexsort(x)
+    x, total = [v[order] for v in x], np.concatenate([[0], np.cumsum(n[order])])
+    fresh = np.arange(len(order)) == 0
+    for v in x[1:]:
+        fresh[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(fresh)
+    stops = np.append(starts[1:], len(order))
+    found, step = [0] * len(radii), max(1, 500_000 // len(starts))
+    for at in range(0, len(m), step):
+        k = np.repeat(np.arange(at, min(at + step, len(m))), len(starts))
+        line = np.tile(np.arange(len(starts)), len(k) // len(starts))
+        rest = [np.square(v[starts[line]] - u[k]) for v, u in zip(x[1:], y[1:])]
+        near = np.sqrt(reduce(np.add, rest, np.zeros(len(k)))) <= radii[-1]
+        k, line, rest = k[near], line[near], [r[near] for r in rest]
+        here = y[0][k]
+
+        def bisect(low: np.ndarray, high: np.ndarray, before) -> np.ndarray:
+            """The first place from low to high for which `before` doesn't hold."""
+            low, high = low.copy(), high.copy()
+            while (open := low < high).any():
+                middle = np.minimum((low + high) // 2, len(order) - 1)
+                less = before(middle)
+                low, high = np.where(open & less, middle + 1, low), np.where(open & ~less, middle, high)
+            return low
+
+        def inside(place: np.ndarray, radius: float) -> np.ndarray:
+            return np.sqrt(reduce(np.add, rest, np.square(x[0][place] - here))) <= radius
+
+        first = last = bisect(starts[line], stops[line], lambda place: x[0][place] < here)
+        for i, radius in enumerate(radii):
+            first = bisect(starts[line], first, lambda place, r=radius: ~inside(place, r))
+            last = bisect(last, stops[line], lambda place, r=radius: inside(place, r))
+            found[i] += int(((total[last] - total[first]) * m[k]).sum())
+    return found
+
+
+def radius_counts(left: DataFrame, right: DataFrame, coords: list[str], radii: list[float]) -> DataFrame:
+    """Radius, n: how many pairs of rows lie within each radius that has any; both sides are places with their number of `rows`.
+
+    Pairs are made in cells of few comparisons. The places of a full cell are counted along lines of the first coordinate
+    (count_within), so that a right place costs steps by the lines near it and not by the places. A full cell is dealt to
+    tasks by its lines, by the places of these and by its right places.
+    """
+    radii, keys, most = sorted(radii), [f"_c{i}" for i in range(len(coords))], max(radii)
+    placed = reduce(lambda x, y: x & y, [F.abs(F.col(c)) < float("inf") for c in coords])
+    left, right = (cut(t.where(placed).select(*[F.col(c).cast("double").alias(c) for c in coords], "rows")) for t in (left, right))
+    a, b = _in_cells(left, coords, most), _around(right, coords, most)
+    lines = F.count_distinct(F.struct(*coords[1:])) if coords[1:] else F.lit(1)
+    work = a.groupBy(*keys).agg(F.count("*").cast("double").alias("_m"), lines.alias("_l")).join(b.groupBy(*keys).agg(F.count("*").cast("double").alias("_n")), keys)
+    full = work.where(F.col("_m") * F.col("_n") > PAIRED).withColumn("_q", F.ceil(F.col("_n") / RIGHT))
+    full = full.withColumn("_p", F.ceil(F.col("_l") * F.least(F.col("_n"), F.lit(RIGHT)) / STEPS)).withColumn("_o", F.ceil(F.col("_m") / F.col("_p") / LEFT))
+    full = cut(full.select(*keys, "_q", "_p", "_o"))
+    total = full.agg(F.sum(F.col("_q") * F.col("_p") * F.col("_o"))).first()[0]
+    sparse = a.join(joined_with(full.select(*keys)), keys, "left_anti").drop(*keys) if total else left
+    pairs = radius_join(sparse, right, coords, most)
+    within = F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("distance") <= r)
+    found = pairs.select(F.explode(within).alias("radius"), (F.col("rows") * F.col("rows_r")).alias("n"))
+    if total:
+        tasks, key, parts = int(min(max(total, 200), 2000)), [*keys, "_i", "_j", "_k"], joined_with(full)
+        dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        a = a.join(parts, keys).withColumn("_i", dealt("_p", *(coords[1:] or [F.lit(0)]))).withColumn("_j", dealt("_o", *coords, F.lit(1))).withColumn("_k", every("_q"))
+        b = b.join(parts, keys).withColumn("_i", every("_p")).withColumn("_j", every("_o")).withColumn("_k", dealt("_q", *coords, F.lit(2)))
+        a, b = (t.select(*key, *coords, "rows").repartition(tasks, *key) for t in (a, b))
+
+        def run(x: pa.Table, y: pa.Table) -> pa.Table:
+            n = [0] * len(radii)
+            if len(x) and len(y):
+                sides = [([t[c].to_numpy() for c in coords], t["rows"].to_numpy()) for t in (x, y)]
+                n = count_within(*sides[0], *sides[1], radii)
+            return pa.table({"radius": pa.array(radii, pa.float64()), "n": pa.array(n, pa.int64())})
+
+        counted = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(run, "radius double, n long")
+        found = found.union(counted.where("n > 0"))
+    return found.groupBy("radius").agg(F.sum("n").alias("n"))
 
 
 def geodesic_join(left: DataFrame, right: DataFrame, lat: str, lon: str, km: float, suffix: str = "_r") -> DataFrame:

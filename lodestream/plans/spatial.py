@@ -71,13 +71,11 @@ def nearest_snap(spark, sf):
 SELECT r.radius, count(*) AS n FROM customer a, supplier b, (SELECT unnest([50.0::DOUBLE, 100.0, 200.0]) AS radius) r
 WHERE sqrt(pow(c_acctbal - s_acctbal, 2) + pow((c_nationkey - s_nationkey) * 20, 2)) <= r.radius GROUP BY 1""")
 def radius_join(spark, sf):
-    """Several radii from one join on cells, of places with the number of their rows"""
+    """Several radii at once, on cells of places with the number of their rows"""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 20).cast("double").alias("y"))
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 20).cast("double").alias("y"))
     c, s = (t.groupBy("x", "y").agg(F.count("*").alias("rows")) for t in (c, s))
-    pairs = R.radius_join(c, s, ["x", "y"], 200.0)
-    radii = F.filter(F.array(*[F.lit(r) for r in (50.0, 100.0, 200.0)]), lambda r: F.col("distance") <= r)
-    return pairs.select(F.explode(radii).alias("radius"), (F.col("rows") * F.col("rows_r")).alias("n")).groupBy("radius").agg(F.sum("n").alias("n"))
+    return R.radius_counts(c, s, ["x", "y"], [50.0, 100.0, 200.0])
 
 
 @query("""

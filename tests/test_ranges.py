@@ -53,3 +53,32 @@ def test_radius_join_of_copies_is_of_places(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "radius_join", lambda *a: pairs.append(join(*a)) or pairs[-1])
     assert sorted(map(tuple, spatial.radius_join(spark, str(tmp_path)).collect())) == [(50.0, 3_000_000), (100.0, 6_000_000), (200.0, 6_000_000)]
     assert pairs[0].count() == 2
+
+
+def test_radius_join_of_many_places_counts_pairs_without_making_them(spark, tmp_path, monkeypatch):
+    from lodestream.plans import spatial
+
+    rng = np.random.default_rng(6)
+    x, y, u, v = rng.integers(0, 60_000, 900) / 100, rng.integers(0, 25, 900), rng.integers(0, 60_000, 400) / 100, rng.integers(0, 25, 400)
+    x[:50], u[:50] = np.arange(50) * 10 + 0.1, np.arange(50) * 10 + 0.1  # many at exactly one of the radii
+    x[50] = u[50] = 5000.0  # a cell of few places
+    y[50] = v[50] = 7
+    spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(u, v))], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    far = np.sqrt((x[:, None] - u) ** 2 + ((y[:, None] - v) * 20.0) ** 2)
+    pairs, join = [], R.radius_join
+    monkeypatch.setattr(R, "radius_join", lambda *a: pairs.append(join(*a)) or pairs[-1])
+    for name, n in (("PAIRED", 5_000), ("STEPS", 500), ("LEFT", 20), ("RIGHT", 60)):
+        monkeypatch.setattr(R, name, n, raising=False)
+    assert sorted(map(tuple, spatial.radius_join(spark, str(tmp_path)).collect())) == [(r, int((far <= r).sum())) for r in (50.0, 100.0, 200.0)]
+    assert 0 < pairs[0].count() < 1_000 and (far <= 200).sum() > 100_000
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_count_within_as_all_pairs(d):
+    rng = np.random.default_rng(d)
+    x, y = ([np.round(rng.uniform(0, 8, k), 1) if i == 0 else rng.integers(0, 5, k) / 2 for i in range(d)] for k in (200, 150))
+    n, m = rng.integers(1, 4, 200), rng.integers(1, 4, 150)
+    far = np.sqrt(sum((a[:, None] - b) ** 2 for a, b in zip(x, y)))
+    radii = [0.0, 0.5, 1.0, 2.5, 100.0]
+    assert R.count_within(x, n, y, m, radii) == [int(((far <= r) * n[:, None] * m).sum()) for r in radii]
