@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,6 +23,9 @@ from .relational import number_rows
 #: Vectors of a block, and of one where there are many; every two blocks are compared in a task as matrices.
 BLOCK, LARGE_BLOCK, MANY_BLOCKS = 1024, 4096, 32
 
+#: Pairs that a task holds and returns at once.
+PAIRS = 1_000_000
+
 
 def spanning_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of a matrix of links that connect its rows and columns as all of them do: one fewer than these, at most."""
@@ -52,12 +55,12 @@ def cosine_links(vectors: DataFrame, id_col: str, vector_col: str, most: float)
     return cosine_pairs(vectors, id_col, vector_col, most, True)
 
 
-def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float, forest: bool = False) -> DataFrame:
-    """(a, b, d) of all pairs a < b of vectors of one length whose cosine distance d is `most` or less.
+def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float = math.inf, forest: bool = False) -> DataFrame:
+    """(a, b, d) of all pairs a < b of vectors of one length with their cosine distance d; of those with `most` or less, if given.
 
     Vectors are dealt to blocks by a hash of their id, so that no block grows with a group of alike ones; a task gets
-    two blocks and multiplies them as matrices. Only near pairs leave it. Null vectors, and those of zero length or
-    with null or non-finite parts, are near none.
+    two blocks, multiplies them as matrices in strips of PAIRS pairs, and returns strip by strip. Null vectors, and those
+    of zero length or with null or non-finite parts, have no distance and no pair.
     """
     e = F.col(vector_col)  # single precision is sent as it is and computed as double
     e = e if vectors.select(e.alias("e")).schema["e"].dataType.simpleString() == "array<float>" else e.cast("array<double>")
@@ -68,46 +71,48 @@ def cosine_pairs(vectors: DataFrame, id_col: str, vector_col: str, most: float,
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
     dealt = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
     cells = rows.select("id", "e", own.alias("own"), F.explode(dealt).alias("c")).select("c.x", "c.y", "own", "id", "e")
+    if blocks > 1:  # as many tasks as pairs of blocks, not joined by the bytes that they get
+        cells = cells.repartition(min(blocks * (blocks + 1) // 2, 2000), "x", "y")
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         ids, owner = table["id"], table["own"].to_numpy()
         lists = table["e"].combine_chunks() if isinstance(table["e"], pa.ChunkedArray) else table["e"]
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         lengths, starts = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1]
         values, x, y = lists.values.to_numpy(zero_copy_only=False), table["x"][0].as_py(), table["y"][0].as_py()
-        left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+
+        def named(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = (ids.take(pa.array(k)) for k in (i, j))
+            swap = pc.greater(a, b)
+            found = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "d": pa.array(d)})
+            yield from found.filter(pc.not_equal(found["a"], found["b"])).to_batches()
+
         for n in np.unique(lengths[lengths > 0]).tolist():
             at = np.flatnonzero(lengths == n)
             m = values[starts[at][:, None] + np.arange(n)[None, :]].astype(float)
+            m = np.ldexp(m, -np.frexp(np.abs(m).max(1))[1][:, None])  # exact; no square is too large or small
             norm = np.sqrt((m * m).sum(1))
             at, m = at[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
             i, j = at[owner[at] == x], at[owner[at] == y]
             u, v = m[owner[at] == x], m[owner[at] == y].T
             near = np.zeros((len(i) if forest else 0, len(j)), bool)
-            for k in range(0, len(i), 512):
-                d = 1 - u[k : k + 512] @ v
+            strip = max(1, PAIRS // max(len(j), 1))
+            for k in range(0, len(i), strip):
+                d = 1 - u[k : k + strip] @ v
                 if forest:
-                    near[k : k + 512] = d <= most
+                    near[k : k + strip] = d <= most
                     continue
                 p, q = np.nonzero(d <= most)
                 if x == y:
                     p, q = p[(once := p + k < q)], q[once]
-                left.append(i[p + k])
-                right.append(j[q])
-                far.append(d[p, q])
+                yield from named(i[p + k], j[q], d[p, q])
             if forest:
                 if x == y:
                     np.fill_diagonal(near, True)  # a row and a column of one vector are one
                 p, q = spanning_links(near)
-                left.append(i[p])
-                right.append(j[q])
-                far.append(1 - (u[p] * v.T[q]).sum(1))
-        a, b = (ids.take(pa.array(np.concatenate(k))) for k in (left, right))
-        swap = pc.greater(a, b)
-        found = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b), "d": pa.array(np.concatenate(far))})
-        return found.filter(pc.not_equal(found["a"], found["b"]))
+                yield from named(i[p], j[q], 1 - (u[p] * v.T[q]).sum(1))
 
     return cells.groupBy("x", "y").applyInArrow(run, f"a {id_type}, b {id_type}, d double")
 

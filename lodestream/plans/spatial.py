@@ -130,10 +130,11 @@ def dbscan_on_the_globe(spark, sf):
 @query("""
 WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.e, b.e) AS d FROM n a JOIN n b ON a.vec_id < b.vec_id)
-SELECT a, b, round(d, 4) AS d FROM p WHERE d <= 0.75""")
+SELECT a, b, round(d, 4) AS d FROM p WHERE isfinite(d)""")
 def pairwise_cosine(spark, sf):
     """Cosine distances of all pairs, by blocks"""
-    return C.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.75).withColumn("d", F.round("d", 4))
+    pairs = C.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return pairs.withColumn("d", F.floor(F.col("d") * 10_000 + 0.5) / 10_000)  # to four digits; F.round makes a decimal of every value
 
 
 @query("""

@@ -60,3 +60,26 @@ def test_cosine_links_connect_as_all_pairs_do(spark, monkeypatch):
     assert sorted(map(tuple, components(pairs).collect())) == sorted(map(tuple, components(links).collect()))
     full = C.cosine_links(df, "id", "e", 2.0).count()  # every vector is near every other: 44,850 pairs
     assert 299 <= full <= 36 * 80
+
+
+def test_pairwise_cosine_is_of_all_pairs(spark, tmp_path, monkeypatch):
+    from lodestream.plans import spatial
+
+    monkeypatch.setattr(C, "BLOCK", 30)
+    monkeypatch.setattr(C, "PAIRS", 200, raising=False)
+    x = np.random.default_rng(9).normal(size=(100, 8)).astype(np.float32)
+    x[1], x[2] = -x[0], x[0]  # as far from each other as can be, and copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    far = 1 - unit @ unit.T
+    found = {(r.a, r.b): r.d for r in spatial.pairwise_cosine(spark, str(tmp_path)).collect()}
+    assert set(found) == {(i, j) for j in range(100) for i in range(j)} and found[0, 1] == 2.0 and found[0, 2] == 0.0
+    assert all(abs(d - far[p]) < 1e-4 for p, d in found.items())
+
+
+def test_cosine_distance_of_large_and_small_parts(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [0.0, 1e-200])]
+    found = {(r.a, r.b): r.d for r in C.cosine_pairs(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", 3.0).collect()}
+    assert set(found) == {(0, 1), (0, 2), (1, 2)}
+    assert np.allclose([found[0, 1], found[0, 2], found[1, 2]], [1 - 0.5**0.5, 1.0, 1 - 0.5**0.5])
