@@ -250,7 +250,7 @@ def k_nearest(df: DataFrame, id_col: str, coords: list[str], k: int, first_radiu
 
     Rows of equal coordinates are one place with its k least ids. The first radius is made smaller until a cell holds few
     places. A place whose k nearest rows lie within the radius is done; the others look again within twice the radius.
-    Copies of places and results are not broadcast, whatever Spark takes them for.
+    What is broadcast is counted first: copies of FEW places at most, and narrow tables of storage.SMALL rows.
     Rows without finite coordinates take no part.
     """
     xs = [f"_x{i}" for i in range(len(coords))]
